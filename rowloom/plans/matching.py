@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.plans.ranking import number_rows
-from rowloom.session import pin
+from rowloom.session import fresh, pin
 
 GROUP_LIMIT = 1_000_000
 MATCH_SCHEMA = "bucket string, id_a long, id_b long, score double"
@@ -144,7 +144,7 @@ def greedy_match(
     if busy:
         small_pairs = pairs.join(F.broadcast(large) if large.count() < 10_000 else large, "bucket", "left_anti")
         small_rows = rows.join(large, "bucket", "left_anti")
-    out = small_pairs.groupBy("bucket").cogroup(small_rows.groupBy("bucket")).applyInPandas(_settle, MATCH_SCHEMA)
+    out = small_pairs.groupBy("bucket").cogroup(fresh(small_rows).groupBy("bucket")).applyInPandas(_settle, MATCH_SCHEMA)
     if not busy:
         return out
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", name: str = "rowloom", memory: str = "8g") -> SparkSession:
@@ -54,3 +55,8 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably: lineage is cut and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column ids, for one side of a cogroup of related tables."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
