@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rowloom.plans.ranking import rank_rows, top_rows
 
-COUNT = F.count(F.lit(1))
+def _count() -> Column:
+    return F.count(F.lit(1))
 
 
 def measures(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -114,7 +115,7 @@ def field_inventory(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         s = F.nullif(F.col(c).cast("string"), F.lit(""))
         aggs += [F.count(s).alias(f"f{i}"), F.min(s).alias(f"s{i}")]
-    one = df.agg(COUNT.alias("n"), *aggs)
+    one = df.agg(_count().alias("n"), *aggs)
     entries = F.array(
         *[
             F.struct(F.lit(c).alias("field"), F.col(f"f{i}").alias("filled"), F.col(f"s{i}").alias("sample_value"))
@@ -158,9 +159,9 @@ def first_and_last(df: DataFrame, entity: str, value: str, order: Sequence[str])
 
 def distribution(df: DataFrame, category: str, k: int) -> DataFrame:
     """The ``k`` most frequent categories and ``Other``, with share."""
-    counts = df.groupBy(category).agg(COUNT.alias("n"))
+    counts = df.groupBy(category).agg(_count().alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc(category)).limit(k).select(F.col(category).alias("__c"), F.lit(True).alias("__top"))
-    total = df.agg(COUNT.alias("n"))
+    total = df.agg(_count().alias("n"))
     named = counts.join(top, counts[category].eqNullSafe(F.col("__c")), "left")
     label = F.when(F.col("__top"), F.col(category).cast("string")).otherwise(F.lit("Other"))
     return (

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from rowloom.functions import naming
 from rowloom.plans.ranking import number_rows, top_rows
 
-COUNT = F.count(F.lit(1))
+def _count() -> Column:
+    return F.count(F.lit(1))
 
 
 def build_catalog(rows: DataFrame, size: Column, cells: str = "cells", keys: Sequence[str] = ("filename", "group")) -> DataFrame:
     """Rows, columns and bytes per table from its rows."""
     return rows.groupBy(*keys).agg(
-        COUNT.alias("rows"), F.max(F.size(cells)).alias("columns"), F.sum(size).alias("size_bytes")
+        _count().alias("rows"), F.max(F.size(cells)).alias("columns"), F.sum(size).alias("size_bytes")
     )
 
 
@@ -24,21 +25,21 @@ def group_summary(catalog: DataFrame, totals: bool = False) -> DataFrame:
     """Files, rows and bytes per group; with ``totals`` also the grand total under a null group."""
     grouped = catalog.rollup("group") if totals else catalog.groupBy("group")
     return grouped.agg(
-        COUNT.alias("file_count"), F.sum("rows").alias("total_rows"), F.sum("size_bytes").alias("total_size")
+        _count().alias("file_count"), F.sum("rows").alias("total_rows"), F.sum("size_bytes").alias("total_size")
     )
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row count and non-empty count per column of one wide table."""
     filled = [F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c) for c in columns]
-    return df.agg(COUNT.alias("row_count"), *filled)
+    return df.agg(_count().alias("row_count"), *filled)
 
 
 def profile_rows(rows: DataFrame, keys: Sequence[str], cells: str = "cells") -> DataFrame:
     """Row count and non-empty count per column position of many tables at once."""
     long = rows.select(*keys, F.posexplode(cells).alias("pos", "cell"))
     return long.groupBy(*keys, "pos").agg(
-        COUNT.alias("row_count"), F.count_if(F.coalesce("cell", F.lit("")) != "").alias("non_empty")
+        _count().alias("row_count"), F.count_if(F.coalesce("cell", F.lit("")) != "").alias("non_empty")
     )
 
 
@@ -51,16 +52,16 @@ def index_groups(chunks: DataFrame) -> DataFrame:
     return (
         chunks.filter(~F.coalesce("doc_type", F.lit("")).isin("summary", "file_marker") & F.col("group").isNotNull())
         .groupBy("group")
-        .agg(COUNT.alias("chunk_count"))
+        .agg(_count().alias("chunk_count"))
     )
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
     is_chunk = ~F.coalesce("doc_type", F.lit("")).isin("summary", "file_marker") & F.col("group").isNotNull()
     return chunks.agg(
-        COUNT.alias("documents"),
+        _count().alias("documents"),
         F.count_if(is_chunk).alias("total_chunks"),
-        (COUNT - F.count_if(is_chunk)).alias("total_summaries"),
+        (_count() - F.count_if(is_chunk)).alias("total_summaries"),
         F.count_distinct(F.when(is_chunk, F.col("group"))).alias("total_groups"),
     )
 
@@ -74,7 +75,7 @@ def conversion_stats(outcomes: DataFrame) -> DataFrame:
     """Totals over conversion outcomes ``(success, skipped, rows, seconds)``."""
     ok = F.col("success") & ~F.col("skipped")
     return outcomes.agg(
-        COUNT.alias("total_files"),
+        _count().alias("total_files"),
         F.count_if(ok).alias("success"),
         F.count_if(~F.col("success") & ~F.col("skipped")).alias("failed"),
         F.count_if("skipped").alias("skipped"),
@@ -87,15 +88,15 @@ def conversion_stats_by_group(outcomes: DataFrame) -> DataFrame:
     return (
         outcomes.filter(F.col("success") & ~F.col("skipped"))
         .groupBy("group")
-        .agg(COUNT.alias("success"), F.sum("rows").alias("total_rows"))
+        .agg(_count().alias("success"), F.sum("rows").alias("total_rows"))
     )
 
 
 def status_counts(df: DataFrame, status: str, statuses: Sequence[str] | None = None) -> DataFrame:
     """Rows per status; with ``statuses`` as one row with a column each and the total."""
     if statuses is None:
-        return df.groupBy(status).agg(COUNT.alias("n"))
-    return df.agg(COUNT.alias("total"), *[F.count_if(F.col(status) == s).alias(s.lower()) for s in statuses])
+        return df.groupBy(status).agg(_count().alias("n"))
+    return df.agg(_count().alias("total"), *[F.count_if(F.col(status) == s).alias(s.lower()) for s in statuses])
 
 
 def estimate(groups: DataFrame, chosen: Sequence[str], name: str = "group", records: str = "record_count") -> DataFrame:
@@ -138,7 +139,7 @@ def sort_table(df: DataFrame, col: str, direction: str = "asc", then: Sequence[s
 
 def head_of(df: DataFrame, col: str, direction: str, n: int, then: Sequence[str] = ()) -> DataFrame:
     """First ``n`` of the sorted rows with the number shown and the total."""
-    total = df.agg(COUNT.alias("n"))
+    total = df.agg(_count().alias("n"))
     return (
         sort_table(df, col, direction, then)
         .limit(n)
@@ -149,7 +150,7 @@ def head_of(df: DataFrame, col: str, direction: str, n: int, then: Sequence[str]
 
 def preview(df: DataFrame, order: str, n: int = 100) -> DataFrame:
     """First ``n`` rows with the row and column count of the whole table."""
-    total = df.agg(COUNT.alias("n"))
+    total = df.agg(_count().alias("n"))
     return (
         df.orderBy(order)
         .limit(n)

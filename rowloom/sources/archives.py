@@ -156,7 +156,7 @@ def decode_text(content: Column) -> Column:
     s = F.when(
         F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")
     ).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.when(s.startswith("﻿"), F.substring(s, 2, 2147483647)).otherwise(s)
+    return F.when(s.startswith("\ufeff"), F.substring(s, 2, 2147483647)).otherwise(s)
 
 
 def file_signature(size: Column, modified: Column) -> Column:

@@ -1,63 +1,44 @@
-"""Incremental ingest: new files become chunks, written over earlier ones by id."""
+"""Incremental ingest: new rows become chunks, and a later chunk of an id replaces an earlier one.
+
+The index is a table in batches. A batch writes only its own chunks, so its
+cost follows the new data; the newest chunk of an id is chosen on reading, and
+``compact`` folds the batches when there are many.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowloom.operators.chunking import upsert
-
-
-def read_versions(spark: SparkSession, index: str) -> DataFrame | None:
-    """Newest complete version of the index below ``index``."""
-    path = _latest(spark, index)
-    return spark.read.parquet(path) if path else None
-
-
-def _latest(spark: SparkSession, index: str) -> str | None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(index)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{index}/{n}/_SUCCESS"))]
-    return f"{index}/{max(done)}" if done else None
-
 
 def ingest(
     stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], index: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Run ``to_chunks`` on every batch of new rows and upsert the result by ``doc_id``.
+    """Run ``to_chunks`` on every batch of new rows and add the result to the index.
 
-    A batch writes a new version of the index named after its number, so a
-    batch that is run again after a failure overwrites its own version only.
+    A batch that runs again after a failure overwrites its own part only.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        chunks = to_chunks(batch)
-        before = [v for v in [_before(spark, index, number)] if v]
-        out = upsert(spark.read.parquet(before[0]), chunks) if before else chunks
-        out.write.mode("overwrite").parquet(f"{index}/v{number:012d}")
+        to_chunks(batch).write.mode("overwrite").parquet(f"{index}/batch={number}")
 
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
-def _before(spark: SparkSession, index: str, number: int) -> str | None:
-    path = _latest(spark, index)
-    while path and path.rsplit("/v", 1)[1] >= f"{number:012d}":
-        number_of = int(path.rsplit("/v", 1)[1]) - 1
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(index)
-        fs = root.getFileSystem(conf)
-        path = None
-        for n in range(number_of, -1, -1):
-            p = f"{index}/v{n:012d}"
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS")):
-                path = p
-                break
-    return path
+def read_index(spark: SparkSession, index: str, key: str = "doc_id") -> DataFrame:
+    """The newest chunk of every id."""
+    df = spark.read.parquet(index)
+    rest = [c for c in df.columns if c not in (key, "batch")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(key, "r.*")
+
+
+def compact(spark: SparkSession, index: str, target: str, key: str = "doc_id") -> None:
+    """Write the present state of an index as the first batch of a new one."""
+    read_index(spark, index, key).write.parquet(f"{target}/batch=-1")
