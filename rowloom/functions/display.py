@@ -50,7 +50,7 @@ def fixed(v: Column, digits: int = 2) -> Column:
 
 def grouped_number(v: Column) -> Column:
     """Thousands separators and up to three decimals."""
-    return _or_missing(v, F.format_number(v, "#,##0.###"))
+    return _or_missing(v, F.call_function("format_number", v, F.lit("#,##0.###")))
 
 
 def event_class(action: Column) -> Column:

@@ -1 +1,327 @@
-"""Reports."""
+"""Comparison of file collections and of tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowloom.functions import text
+from rowloom.operators import align, diff
+from rowloom.reports.registry import report, table
+
+COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+# --- two extracts of one table ---------------------------------------------
+
+def left_rows(spark, d, pair=None):
+    a = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    return diff.table_rows(a.withColumn("ord", F.col("c_custkey")), COLUMNS, pair, order=["ord"])
+
+
+def right_rows(spark, d, pair=None):
+    """The same table with rows dropped, changed, padded and added."""
+    a = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    key = F.col("c_custkey")
+    kept = a.filter(key % 23 != 5).select(
+        (key * 2).alias("ord"),
+        "c_custkey",
+        F.when(key % 41 == 7, F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit("# ")), F.lit(" "))).otherwise(F.col("c_name")).alias("c_name"),
+        "c_nationkey",
+        F.when(key % 17 == 3, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).cast("decimal(18,2)").alias("c_acctbal"),
+        F.when(key % 29 == 11, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+    )
+    new = a.filter(key % 31 == 30).select(
+        (key * 2 + 1).alias("ord"), "c_custkey", F.concat(F.lit("New "), "c_name").alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment"
+    )
+    return diff.table_rows(kept.unionByName(new), COLUMNS, pair, order=["ord"])
+
+
+DIFF = r"""
+WITH RECURSIVE
+c AS (SELECT c_custkey k, c_name nm, c_nationkey nk, c_acctbal::DECIMAL(18,2) bal, c_mktsegment seg FROM customer),
+ra AS (SELECT {pair} AS pair_id, k AS ord, [k::VARCHAR, nm, nk::VARCHAR, bal::VARCHAR, seg] AS cells FROM c),
+rb AS (SELECT {pair} AS pair_id, k * 2 AS ord, [k::VARCHAR, CASE WHEN k % 41 = 7 THEN '  ' || replace(nm, '#', '# ') || ' ' ELSE nm END, nk::VARCHAR,
+         (CASE WHEN k % 17 = 3 THEN bal + 1 ELSE bal END)::DECIMAL(18,2)::VARCHAR, CASE WHEN k % 29 = 11 THEN lower(seg) ELSE seg END] AS cells FROM c WHERE k % 23 <> 5
+       UNION ALL SELECT {pair}, k * 2 + 1, [k::VARCHAR, 'New ' || nm, nk::VARCHAR, bal::VARCHAR, seg] FROM c WHERE k % 31 = 30),
+n AS (SELECT pair_id, side, row_number() OVER (PARTITION BY pair_id, side ORDER BY ord) - 1 AS idx,
+        list_transform(cells, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS cells
+      FROM (SELECT 'a' AS side, * FROM ra UNION ALL SELECT 'b', * FROM rb)),
+h AS (SELECT *, sha1(array_to_string(cells, chr(31))) AS hash, list_distinct(regexp_extract_all(lower(array_to_string(cells, chr(31))), '[A-Za-z0-9_./\-]{{2,64}}')) AS toks,
+        row_number() OVER (PARTITION BY pair_id, side, array_to_string(cells, chr(31)) ORDER BY idx) AS occ FROM n),
+eq AS (SELECT a.pair_id, a.idx AS ia, b.idx AS ib FROM h a JOIN h b ON a.pair_id = b.pair_id AND a.hash = b.hash AND a.occ = b.occ AND a.side = 'a' AND b.side = 'b'),
+m AS (SELECT h.*, EXISTS (SELECT 1 FROM eq WHERE eq.pair_id = h.pair_id AND (CASE WHEN h.side = 'a' THEN eq.ia ELSE eq.ib END) = h.idx) AS same FROM h),
+g AS (SELECT *, sum(same::INT) OVER (PARTITION BY pair_id, side ORDER BY idx) AS blk FROM m),
+oa AS (SELECT * FROM g WHERE side = 'a' AND NOT same), ob AS (SELECT * FROM g WHERE side = 'b' AND NOT same),
+sim AS (SELECT a.pair_id, a.idx AS ia, b.idx AS ib, a.cells AS ca, b.cells AS cb,
+          len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))::DOUBLE AS s,
+          row_number() OVER (PARTITION BY a.pair_id, a.blk ORDER BY len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))::DOUBLE DESC, a.idx, b.idx) AS rk,
+          a.pair_id || ':' || a.blk AS bk
+        FROM oa a JOIN ob b ON a.pair_id = b.pair_id AND a.blk = b.blk
+        WHERE len(a.toks) > 0 AND len(b.toks) > 0 AND len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))::DOUBLE >= 0.65),
+gr AS (SELECT bk, 0::BIGINT AS rk, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS ia, NULL::BIGINT AS ib FROM sim GROUP BY bk
+       UNION ALL
+       SELECT g.bk, s.rk, CASE WHEN list_contains(g.ua, s.ia) OR list_contains(g.ub, s.ib) THEN g.ua ELSE list_append(g.ua, s.ia) END,
+         CASE WHEN list_contains(g.ua, s.ia) OR list_contains(g.ub, s.ib) THEN g.ub ELSE list_append(g.ub, s.ib) END,
+         CASE WHEN list_contains(g.ua, s.ia) OR list_contains(g.ub, s.ib) THEN NULL ELSE s.ia END, s.ib
+       FROM gr g JOIN sim s ON s.bk = g.bk AND s.rk = g.rk + 1),
+pr AS (SELECT s.* FROM gr JOIN sim s ON s.bk = gr.bk AND s.rk = gr.rk WHERE gr.ia IS NOT NULL),
+d AS (SELECT pair_id, 'MODIFIED' AS kind, ia AS row_a, ib AS row_b, ca, cb FROM pr WHERE ca <> cb
+      UNION ALL SELECT pair_id, 'REMOVED', idx, NULL, cells, NULL FROM oa WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.pair_id = oa.pair_id AND pr.ia = oa.idx)
+      UNION ALL SELECT pair_id, 'ADDED', NULL, idx, NULL, cells FROM ob WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.pair_id = ob.pair_id AND pr.ib = ob.idx))
+"""
+WHOLE = DIFF.format(pair="'table'")
+BY_NATION = DIFF.format(pair="nk::VARCHAR")
+ROWS = """SELECT pair_id, kind, row_a, row_b,
+  array_to_string(list_filter([CASE WHEN ca[i] IS DISTINCT FROM cb[i] THEN i - 1 END for i in range(1, 6)], lambda x: x IS NOT NULL), ',') AS changed,
+  coalesce(array_to_string(list_filter([CASE WHEN ca[i] IS DISTINCT FROM cb[i] THEN ca[i] END for i in range(1, 6)], lambda x: x IS NOT NULL), '|'), '') AS old_values,
+  coalesce(array_to_string(list_filter([CASE WHEN ca[i] IS DISTINCT FROM cb[i] THEN cb[i] END for i in range(1, 6)], lambda x: x IS NOT NULL), '|'), '') AS new_values FROM d"""
+
+
+def _flat(deltas):
+    pick = lambda m: F.array_join(F.filter(F.transform("changed_cols", lambda i: F.try_element_at(m, i)), lambda x: x.isNotNull()), "|")
+    return deltas.select(
+        "pair_id", "kind", "row_a", "row_b", F.array_join(F.transform("changed_cols", lambda i: i.cast("string")), ",").alias("changed"),
+        pick(F.col("old_vals")).alias("old_values"), pick(F.col("new_vals")).alias("new_values"),
+    )
+
+
+@report(WHOLE + ROWS)
+def table_changes(spark, d):
+    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    return _flat(deltas)
+
+
+@report(BY_NATION + ROWS)
+def table_changes_ordered(spark, d):
+    pair = F.col("c_nationkey")
+    deltas, _ = diff.diff(left_rows(spark, d, pair), right_rows(spark, d, pair), mode="auto", width=5)
+    return _flat(deltas)
+
+
+@report(BY_NATION + """
+SELECT pair_id, (SELECT count(*) FROM eq WHERE eq.pair_id = x.pair_id) AS equal, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'MODIFIED') AS modified,
+ (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'REMOVED') AS removed, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'ADDED') AS added,
+ (SELECT count(*) FROM pr WHERE pr.pair_id = x.pair_id AND ca = cb) AS pad_only FROM (SELECT DISTINCT pair_id FROM h) x
+""")
+def change_counts(spark, d):
+    pair = F.col("c_nationkey")
+    return diff.diff(left_rows(spark, d, pair), right_rows(spark, d, pair), width=5)[1]
+
+
+@report(WHOLE + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(row_a, row_b), row_a IS NULL, row_b) AS rn, count(*) OVER (PARTITION BY pair_id) AS n FROM d)
+SELECT pair_id, kind, row_a, row_b, rn, n > 40 AS truncated FROM r WHERE rn <= 40""")
+def first_changes(spark, d):
+    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    out = diff.first_deltas(deltas, 40).select("pair_id", "kind", "row_a", "row_b", F.col("rn").cast("long").alias("rn"), "truncated")
+    return out
+
+
+@report(WHOLE + """
+, pos AS (SELECT pair_id, k, a.idx AS ia, b.idx AS ib, a.cells AS ca, b.cells AS cb FROM
+  (SELECT *, row_number() OVER (PARTITION BY pair_id, blk ORDER BY idx) AS k FROM oa) a JOIN (SELECT *, row_number() OVER (PARTITION BY pair_id, blk ORDER BY idx) AS k FROM ob) b USING (pair_id, blk, k))
+SELECT (SELECT count(*) FROM eq) AS equal, (SELECT count(*) FROM pos WHERE ca <> cb) AS modified, (SELECT count(*) FROM oa) - (SELECT count(*) FROM pos) AS removed,
+  (SELECT count(*) FROM ob) - (SELECT count(*) FROM pos) AS added""")
+def positional_counts(spark, d):
+    _, stats = diff.diff(left_rows(spark, d), right_rows(spark, d), similarity_pairing=False, mode="anchored", width=5)
+    return stats.select("equal", "modified", "removed", "added")
+
+
+@report(WHOLE + """
+SELECT pair_id, kind, row_a, row_b, ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'][i] AS "column", ca[i] AS old_value, cb[i] AS new_value
+FROM d, range(1, 6) t(i) WHERE ca[i] IS DISTINCT FROM cb[i]""")
+def cell_report(spark, d):
+    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    return diff.cell_changes(deltas, COLUMNS)
+
+
+@report(WHOLE + """
+SELECT 'a' AS side, kind, row_a, row_b, ra.cells[2] AS c_name, ra.cells[4] AS c_acctbal FROM d JOIN ra ON ra.ord = d.row_a WHERE kind <> 'ADDED'
+UNION ALL SELECT 'b', kind, row_a, row_b, rb.cells[2], rb.cells[4] FROM d JOIN (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx FROM rb) rb ON rb.idx = d.row_b WHERE kind <> 'REMOVED'""")
+def side_by_side(spark, d):
+    a, b = left_rows(spark, d), right_rows(spark, d)
+    deltas, _ = diff.diff(a, b, mode="anchored", width=5)
+    fa, fb = diff.side_frames(deltas, a, b, COLUMNS)
+    cols = ["kind", "row_a", "row_b", "c_name", "c_acctbal"]
+    return fa.select(F.lit("a").alias("side"), *cols).unionByName(fb.select(F.lit("b").alias("side"), *cols))
+
+
+@report("SELECT s_nationkey::VARCHAR AS pair_id, 'REMOVED' AS kind, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row_a, s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier")
+def removed_tables(spark, d):
+    rows = diff.table_rows(table(spark, d, "supplier"), ["s_suppkey", "s_name"], F.col("s_nationkey"), order=["s_suppkey"])
+    return diff.one_sided(rows, "a", ["s_suppkey", "s_name"]).drop("row_b")
+
+
+@report(r"""
+WITH n AS (SELECT c_custkey, sha1(concat_ws(chr(31), c_custkey::VARCHAR, c_name, c_mktsegment)) AS row_hash,
+  list_distinct(regexp_extract_all(lower(c_name || ' ' || c_mktsegment), '[A-Za-z0-9_./\-]{2,64}')) AS x,
+  list_distinct(regexp_extract_all(lower(c_mktsegment || ' customer ' || c_nationkey), '[A-Za-z0-9_./\-]{2,64}')) AS y FROM customer)
+SELECT c_custkey, row_hash, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS similarity FROM n""")
+def row_hashes(spark, d):
+    x = text.token_set(F.concat_ws(" ", "c_name", "c_mktsegment"))
+    y = text.token_set(F.concat(F.col("c_mktsegment"), F.lit(" customer "), F.col("c_nationkey").cast("string")))
+    cells = F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.concat(F.col("c_mktsegment"), F.lit("  ")))
+    return table(spark, d, "customer").select(
+        "c_custkey", diff.row_hash(cells).alias("row_hash"), F.round(text.jaccard(x, y), 6).alias("similarity")
+    )
+
+
+# --- collections of files ---------------------------------------------------
+
+def sides(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "lang", F.col("doc_id").cast("string"), F.concat("source", F.lit(".csv")))
+    both = align.artifacts(docs, "doc_id", path, "text", F.col("lang")).withColumn("side", F.col("artifact_id") % 2)
+    return both.filter("side = 0").drop("side"), both.filter("side = 1").drop("side")
+
+
+FILES = r"""
+WITH RECURSIVE
+f AS (SELECT doc_id, doc_id % 2 AS side, lang AS grp, source || '.csv' AS fn, lang || '/' || doc_id || '/' || source || '.csv' AS path, text, sha256(text) AS sha,
+        len(string_split(text, chr(10))) - 1 AS rws, len(string_split(string_split(text, chr(10))[1], ',')) AS cls FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY side, grp, fn, sha ORDER BY doc_id) AS occ FROM f),
+ex AS (SELECT a.doc_id AS ia, b.doc_id AS ib FROM o a JOIN o b ON a.side = 0 AND b.side = 1 AND a.grp = b.grp AND a.fn = b.fn AND a.sha = b.sha AND a.occ = b.occ),
+ra AS (SELECT * FROM f WHERE side = 0 AND doc_id NOT IN (SELECT ia FROM ex)), rb AS (SELECT * FROM f WHERE side = 1 AND doc_id NOT IN (SELECT ib FROM ex)),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{2,64}')) AS term FROM f) GROUP BY 1, 2),
+nm AS (SELECT doc_id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM t GROUP BY 1),
+pp AS (SELECT a.doc_id AS ia, b.doc_id AS ib, a.grp || '/' || a.fn AS bk FROM ra a JOIN rb b ON a.grp = b.grp AND a.fn = b.fn),
+dt AS (SELECT pp.ia, pp.ib, sum(x.tf * y.tf)::DOUBLE AS dot FROM pp JOIN t x ON x.doc_id = pp.ia JOIN t y ON y.doc_id = pp.ib AND y.term = x.term GROUP BY 1, 2),
+sm AS (SELECT pp.bk, pp.ia, pp.ib, coalesce(dt.dot / (na.norm * nb.norm), 0) AS s FROM pp LEFT JOIN dt ON dt.ia = pp.ia AND dt.ib = pp.ib
+       LEFT JOIN nm na ON na.doc_id = pp.ia LEFT JOIN nm nb ON nb.doc_id = pp.ib),
+rk AS (SELECT *, row_number() OVER (PARTITION BY bk ORDER BY s DESC, ia, ib) AS rk FROM sm),
+gr AS (SELECT bk, 0::BIGINT AS rk, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS ia, NULL::BIGINT AS ib FROM rk GROUP BY bk
+       UNION ALL SELECT g.bk, r.rk, CASE WHEN list_contains(g.ua, r.ia) OR list_contains(g.ub, r.ib) THEN g.ua ELSE list_append(g.ua, r.ia) END,
+         CASE WHEN list_contains(g.ua, r.ia) OR list_contains(g.ub, r.ib) THEN g.ub ELSE list_append(g.ub, r.ib) END,
+         CASE WHEN list_contains(g.ua, r.ia) OR list_contains(g.ub, r.ib) THEN NULL ELSE r.ia END, r.ib
+       FROM gr g JOIN rk r ON r.bk = g.bk AND r.rk = g.rk + 1),
+pr AS (SELECT ia, ib, 1.0::DOUBLE AS s FROM ex UNION ALL SELECT r.ia, r.ib, r.s FROM gr JOIN rk r ON r.bk = gr.bk AND r.rk = gr.rk WHERE gr.ia IS NOT NULL)
+"""
+
+
+@report(FILES + """
+SELECT a.grp AS "group", a.fn AS filename, CASE WHEN a.sha = b.sha THEN 'SAME' ELSE 'MODIFIED' END AS status, round(CASE WHEN a.sha = b.sha THEN 1.0 ELSE s END, 6) AS similarity,
+  a.rws AS rows_a, b.rws AS rows_b, a.cls AS cols_a, b.cls AS cols_b, a.path AS path_a, b.path AS path_b FROM pr JOIN f a ON a.doc_id = ia JOIN f b ON b.doc_id = ib
+UNION ALL SELECT grp, fn, 'REMOVED', 0.0, rws, 0, cls, 0, path, '' FROM ra WHERE doc_id NOT IN (SELECT ia FROM pr)
+UNION ALL SELECT grp, fn, 'ADDED', 0.0, 0, rws, 0, cls, '', path FROM rb WHERE doc_id NOT IN (SELECT ib FROM pr)""")
+def file_changes(spark, d):
+    out = align.compare_files(*sides(spark, d))
+    return out.withColumn("similarity", F.round("similarity", 6)).drop("sha_a", "sha_b", "message")
+
+
+@report("""
+WITH k AS (SELECT source, text, doc_id % 2 AS side, row_number() OVER (PARTITION BY doc_id % 2, lang, sha256(text) ORDER BY doc_id) AS n, lang, doc_id FROM documents)
+SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM k a JOIN k b ON a.side = 0 AND b.side = 1 AND a.lang = b.lang AND sha256(a.text) = sha256(b.text) AND a.n = b.n""")
+def identical_files(spark, d):
+    a, b = sides(spark, d)
+    return align.match_exact(a.withColumn("bucket", F.col("group")), b.withColumn("bucket", F.col("group"))).select("id_a", "id_b")
+
+
+@report("""
+SELECT lang AS "group", source || '.csv' AS filename, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_a, count(*) FILTER (WHERE doc_id % 2 = 1) AS n_b FROM documents GROUP BY 1, 2""")
+def aligned_keys(spark, d):
+    return align.align(*sides(spark, d))
+
+
+@report("""
+WITH a AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), b AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+x AS (SELECT 'folder' AS kind, lang || '/' || source AS name, count(*) AS n, 0 AS m FROM a GROUP BY 2 UNION ALL SELECT 'folder', lang || '/' || source, 0, count(*) FROM b GROUP BY 2
+  UNION ALL SELECT 'group', lang, count(*), 0 FROM a GROUP BY 2 UNION ALL SELECT 'group', lang, 0, count(*) FROM b GROUP BY 2)
+SELECT kind, name, sum(n)::BIGINT AS count_a, sum(m)::BIGINT AS count_b, (sum(m) - sum(n))::BIGINT AS delta FROM x GROUP BY 1, 2 HAVING sum(n) <> sum(m)""")
+def structure_changes(spark, d):
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("group"), F.concat_ws("/", "lang", "source", "doc_id").alias("logical_path")
+    )
+    ids = table(spark, d, "labels").select("doc_id")
+    a, b = docs.join(ids, "doc_id", "left_semi"), docs.join(ids, "doc_id", "left_anti")
+    folders = align.folder_changes(a, b).withColumnRenamed("folder", "name").withColumn("kind", F.lit("folder"))
+    groups = align.group_changes(a, b).withColumnRenamed("group", "name").withColumn("kind", F.lit("group"))
+    return folders.unionByName(groups)
+
+
+@report("""
+SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN NULL ELSE 'REMOVED' END AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT s_suppkey, 'ADDED' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""")
+def unmatched_keys(spark, d):
+    cust, orders = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    gone = align.unmatched(cust, orders.distinct(), "c_custkey").filter("status = 'REMOVED'")
+    supp = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    new = align.unmatched(cust, supp, "c_custkey").filter("status = 'ADDED'")
+    return gone.unionByName(new)
+
+
+@report("""SELECT doc_id, sha256(text) AS sha256, len(string_split(text, chr(10))) - 1 AS rows, source || '__' || substr(sha1(lang || '/' || source || '.csv'), 1, 16) AS stub FROM documents""")
+def file_artifacts(spark, d):
+    path = F.concat("lang", F.lit("/"), "source", F.lit(".csv"))
+    return align.artifacts(table(spark, d, "documents"), "doc_id", path, "text").select(F.col("artifact_id").alias("doc_id"), "sha256", "rows", "stub")
+
+
+@report("""
+WITH l AS (SELECT c_nationkey AS k, c_custkey // 64 AS b, sha256(c_name || c_mktsegment) AS h, c_custkey AS i FROM customer),
+l1 AS (SELECT k, b, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l GROUP BY k, b), l2 AS (SELECT k, b // 64 AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM l1 GROUP BY k, b // 64),
+l3 AS (SELECT k, b // 64 AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM l2 GROUP BY k, b // 64)
+SELECT k AS c_nationkey, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM l3 GROUP BY k""")
+def table_fingerprints(spark, d):
+    return align.table_fingerprint(table(spark, d, "customer"), "c_nationkey", "c_custkey", F.concat("c_name", "c_mktsegment"), fan_out=64)
+
+
+TERMS = r"WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{2,64}')) AS term FROM documents) GROUP BY 1, 2)"
+
+
+@report(TERMS + " SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens, round(sqrt(sum(tf * tf)::DOUBLE), 6) AS norm FROM t GROUP BY doc_id")
+def term_vectors(spark, d):
+    terms = align.term_counts(table(spark, d, "documents"), "doc_id", "text")
+    sums = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
+    return sums.join(align.vector_norms(terms, "doc_id"), "doc_id").withColumn("norm", F.round("norm", 6))
+
+
+@report(TERMS + """, p AS (SELECT doc_id AS id_a, doc_id + 1 AS id_b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)), n AS (SELECT doc_id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM t GROUP BY 1),
+ dt AS (SELECT p.id_a, p.id_b, sum(x.tf * y.tf)::DOUBLE AS dot FROM p JOIN t x ON x.doc_id = id_a JOIN t y ON y.doc_id = id_b AND y.term = x.term GROUP BY 1, 2)
+SELECT p.id_a, p.id_b, round(coalesce(dot / (a.norm * b.norm), 0), 6) AS similarity FROM p LEFT JOIN dt ON dt.id_a = p.id_a AND dt.id_b = p.id_b LEFT JOIN n a ON a.doc_id = p.id_a LEFT JOIN n b ON b.doc_id = p.id_b""")
+def neighbour_cosines(spark, d):
+    docs = table(spark, d, "documents")
+    ids = docs.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
+    pairs = ids.join(docs.select(F.col("doc_id").alias("id_b")), "id_b", "left_semi")
+    return align.cosine(align.term_counts(docs, "doc_id", "text"), pairs, "doc_id").withColumn("similarity", F.round("similarity", 6))
+
+
+# --- reports on a list of changes -------------------------------------------
+
+CHANGES = """WITH x AS (SELECT o_orderkey, o_orderpriority AS "group", 'F' || o_custkey || '.csv' AS filename,
+ CASE WHEN o_orderstatus = 'F' THEN 'SAME' WHEN o_orderstatus = 'P' THEN 'ADDED' WHEN o_custkey % 2 = 0 THEN 'MODIFIED' ELSE 'REMOVED' END AS status FROM orders)"""
+
+
+def changes(spark, d):
+    status = F.expr("CASE WHEN o_orderstatus = 'F' THEN 'SAME' WHEN o_orderstatus = 'P' THEN 'ADDED' WHEN o_custkey % 2 = 0 THEN 'MODIFIED' ELSE 'REMOVED' END")
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("group"), F.concat(F.lit("F"), "o_custkey", F.lit(".csv")).alias("filename"), status.alias("status")
+    )
+
+
+N = "count(*) FILTER (WHERE status = '{}') AS {}"
+COUNTS = ", ".join(N.format(s, s.lower()) for s in ("SAME", "MODIFIED", "ADDED", "REMOVED"))
+
+
+@report(CHANGES + f" SELECT {COUNTS}, count(*) AS total_files, round(count(*) FILTER (WHERE status = 'SAME') / count(*)::DOUBLE * 100, 6) AS overall_similarity FROM x")
+def change_summary(spark, d):
+    return align.compare_summary(changes(spark, d)).withColumn("overall_similarity", F.round("overall_similarity", 6))
+
+
+@report(CHANGES + """ SELECT 2 * count(*) FILTER (WHERE status IN ('SAME', 'MODIFIED')) + count(*) FILTER (WHERE status IN ('ADDED', 'REMOVED')) AS total_files,
+ count(*) FILTER (WHERE status IN ('SAME', 'MODIFIED')) AS matched_files, round(count(*) FILTER (WHERE status = 'SAME') / count(*)::DOUBLE, 6) AS average_similarity FROM x""")
+def session_summary(spark, d):
+    return align.session_summary(changes(spark, d)).withColumn("average_similarity", F.round("average_similarity", 6))
+
+
+@report(CHANGES + f' SELECT "group" AS name, {COUNTS}, count(*) AS total FROM x GROUP BY 1')
+def status_matrix(spark, d):
+    return align.status_by_group(changes(spark, d))
+
+
+@report(CHANGES + """ SELECT o_orderkey, status FROM x WHERE status IN ('ADDED', 'REMOVED') AND status IN ('ADDED', 'MODIFIED') AND (contains(lower("group"), 'f1') OR contains(lower(filename), 'f1'))""")
+def filtered_changes(spark, d):
+    return align.filter_changes(changes(spark, d), "ADDED_REMOVED", ["ADDED", "MODIFIED"], "F1").select("o_orderkey", "status")
+
+
+@report(CHANGES + """ SELECT "group" || '/' || filename AS path, filename AS name, false AS is_folder, 1 AS depth, status FROM x
+ UNION ALL SELECT DISTINCT "group", "group", true, 0, NULL FROM x""")
+def change_tree(spark, d):
+    return align.folder_tree(changes(spark, d)).drop("path_order")

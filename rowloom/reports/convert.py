@@ -335,7 +335,7 @@ def group_names(spark, d):
 WITH p AS (SELECT page_id, '\\x\\.\\..\\' || replace(url, '//', '/./') || CASE WHEN page_id % 2 = 0 THEN '.XML' ELSE '.v2.txt' END AS raw FROM pages),
 c AS (SELECT page_id, raw, array_to_string(list_filter(string_split(replace(raw, '\\', '/'), '/'), lambda s: s NOT IN ('', '.', '..')), '/') AS safe FROM p)
 SELECT page_id, safe, regexp_replace(safe, '\\.[^./]+$', '') || '.csv' AS output, substr(sha1(safe), 1, 16) AS short,
-       regexp_replace(regexp_extract(safe, '[^/]*$', 0), '\\.[^.]+$', '') || '__' || substr(sha1(safe), 1, 16) AS stub FROM c
+       regexp_replace(regexp_extract(safe, '[^/]*$', 0), '^(.+)\\.[^.]+$', '\\1') || '__' || substr(sha1(safe), 1, 16) AS stub FROM c
 """)
 def safe_paths(spark, d):
     raw = F.concat(
