@@ -204,13 +204,14 @@ def retrieve(
     intent: str = "factual",
     group: str | None = None,
     summaries: bool = True,
+    diversify: bool = True,
 ) -> DataFrame:
     """Hybrid multi-query retrieval: ``(query_id, doc_id, score, rank)`` with ranks from 0.
 
     ``queries(query_id, text)`` are the primary questions. ``query_lists(query_id,
     list_id, embedding)`` holds their vectors, list 0 the primary one, others
     those of sub-queries. ``docs(doc_id, group, doc_type, text, embedding)`` is
-    the index.
+    the index. Without ``diversify`` all fused hits come back, unranked.
     """
     if group:
         docs = docs.filter(F.col("group") == group)
@@ -227,6 +228,8 @@ def retrieve(
         last = F.lit(2_000_000_000).cast(dict(query_lists.dtypes)["list_id"])
         hits = hits.unionByName(extra.withColumn("list_id", last).withColumn("weight", F.lit(SUMMARY_WEIGHT)))
     fused = rrf(score_hits(hits, queries, docs))
+    if not diversify:
+        return fused.select("query_id", "doc_id", "score")
     diversity = 0.25 if intent in CONTRAST_INTENTS else 0.15
     return mmr(fused, docs, k, diversity).filter(F.col("rank") < k)
 

@@ -155,7 +155,7 @@ def latest_request(spark, d):
 def renumbered_rows(spark, d):
     from rowloom.plans.ranking import number_rows
 
-    rows = number_rows(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], number="n", block=F.lit(0))
+    rows = number_rows(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], number="n", block=F.col("l_linenumber"))
     rows = rows.select("l_orderkey", (F.col("n") - 1).alias("row_idx"), (F.col("n") - 1).alias("i"))
     return catalog.delete_rows(rows, rows.filter("row_idx % 3 = 1"), ["l_orderkey"])
 

@@ -18,8 +18,8 @@ def fold(updates: DataFrame) -> DataFrame:
     Progress is clamped to 0..100 and 100 on success; a job starts with its
     first RUNNING update and completes with its last end state.
     """
-    p = F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress")))
-    p = F.when(F.col("status") == "SUCCESS", 100).otherwise(p)
+    clamped = F.when(F.col("progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))))
+    p = F.when(F.col("status") == "SUCCESS", 100).otherwise(clamped)
     seen = p.isNotNull()
     at = F.struct("ts", "seq")
     return updates.groupBy("job_id").agg(
