@@ -13,14 +13,27 @@ COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 # --- two extracts of one table ---------------------------------------------
 
-def left_rows(spark, d, pair=None):
-    a = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+def customers(spark, d):
+    return table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+
+
+def orders_alike(spark, d):
+    """Orders under the column names of the customer table, for the same comparison on ten times the rows."""
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("c_custkey"),
+        F.concat(F.lit("Order#"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("c_name"),
+        F.col("o_custkey").alias("c_nationkey"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("c_acctbal"),
+        F.col("o_orderpriority").alias("c_mktsegment"),
+    )
+
+
+def left_rows(a, pair=None):
     return diff.table_rows(a.withColumn("ord", F.col("c_custkey")), COLUMNS, pair, order=["ord"])
 
 
-def right_rows(spark, d, pair=None):
+def right_rows(a, pair=None):
     """The same table with rows dropped, changed, padded and added."""
-    a = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     key = F.col("c_custkey")
     kept = a.filter(key % 23 != 5).select(
         (key * 2).alias("ord"),
@@ -38,7 +51,7 @@ def right_rows(spark, d, pair=None):
 
 DIFF = r"""
 WITH RECURSIVE
-c AS (SELECT c_custkey k, c_name nm, c_nationkey nk, c_acctbal::DECIMAL(18,2) bal, c_mktsegment seg FROM customer),
+c AS (SELECT {source}),
 ra AS (SELECT {pair} AS pair_id, k AS ord, [k::VARCHAR, nm, nk::VARCHAR, bal::VARCHAR, seg] AS cells FROM c),
 rb AS (SELECT {pair} AS pair_id, k * 2 AS ord, [k::VARCHAR, CASE WHEN k % 41 = 7 THEN '  ' || replace(nm, '#', '# ') || ' ' ELSE nm END, nk::VARCHAR,
          (CASE WHEN k % 17 = 3 THEN bal + 1 ELSE bal END)::DECIMAL(18,2)::VARCHAR, CASE WHEN k % 29 = 11 THEN lower(seg) ELSE seg END] AS cells FROM c WHERE k % 23 <> 5
@@ -69,8 +82,10 @@ d AS (SELECT pair_id, 'MODIFIED' AS kind, ia AS row_a, ib AS row_b, ca, cb FROM
       UNION ALL SELECT pair_id, 'REMOVED', idx, NULL, cells, NULL FROM oa WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.pair_id = oa.pair_id AND pr.ia = oa.idx)
       UNION ALL SELECT pair_id, 'ADDED', NULL, idx, NULL, cells FROM ob WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.pair_id = ob.pair_id AND pr.ib = ob.idx))
 """
-WHOLE = DIFF.format(pair="'table'")
-BY_NATION = DIFF.format(pair="nk::VARCHAR")
+CUSTOMERS = "c_custkey k, c_name nm, c_nationkey nk, c_acctbal::DECIMAL(18,2) bal, c_mktsegment seg FROM customer"
+ORDERS = "o_orderkey k, 'Order#' || lpad(o_orderkey::VARCHAR, 9, '0') nm, o_custkey nk, o_totalprice::DECIMAL(18,2) bal, o_orderpriority seg FROM orders"
+WHOLE = DIFF.format(pair="'table'", source=CUSTOMERS)
+BY_NATION = DIFF.format(pair="nk::VARCHAR", source=CUSTOMERS)
 ROWS = """SELECT pair_id, kind, row_a, row_b,
   array_to_string(list_filter([CASE WHEN ca[i] IS DISTINCT FROM cb[i] THEN i - 1 END for i in range(1, 6)], lambda x: x IS NOT NULL), ',') AS changed,
   coalesce(array_to_string(list_filter([CASE WHEN ca[i] IS DISTINCT FROM cb[i] THEN ca[i] END for i in range(1, 6)], lambda x: x IS NOT NULL), '|'), '') AS old_values,
@@ -87,14 +102,14 @@ def _flat(deltas):
 
 @report(WHOLE + ROWS)
 def table_changes(spark, d):
-    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
     return _flat(deltas)
 
 
 @report(BY_NATION + ROWS)
 def table_changes_ordered(spark, d):
     pair = F.col("c_nationkey")
-    deltas, _ = diff.diff(left_rows(spark, d, pair), right_rows(spark, d, pair), mode="auto", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d), pair), right_rows(customers(spark, d), pair), mode="auto", width=5)
     return _flat(deltas)
 
 
@@ -105,13 +120,21 @@ SELECT pair_id, (SELECT count(*) FROM eq WHERE eq.pair_id = x.pair_id) AS equal,
 """)
 def change_counts(spark, d):
     pair = F.col("c_nationkey")
-    return diff.diff(left_rows(spark, d, pair), right_rows(spark, d, pair), width=5)[1]
+    return diff.diff(left_rows(customers(spark, d), pair), right_rows(customers(spark, d), pair), width=5)[1]
+
+
+@report(DIFF.format(pair="'table'", source=ORDERS) + """
+SELECT (SELECT count(*) FROM eq) AS equal, (SELECT count(*) FROM d WHERE kind = 'MODIFIED') AS modified, (SELECT count(*) FROM d WHERE kind = 'REMOVED') AS removed,
+ (SELECT count(*) FROM d WHERE kind = 'ADDED') AS added, (SELECT count(*) FROM pr WHERE ca = cb) AS pad_only""")
+def order_change_counts(spark, d):
+    a = orders_alike(spark, d)
+    return diff.diff(left_rows(a), right_rows(a), mode="anchored", width=5)[1].drop("pair_id")
 
 
 @report(WHOLE + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(row_a, row_b), row_a IS NULL, row_b) AS rn, count(*) OVER (PARTITION BY pair_id) AS n FROM d)
 SELECT pair_id, kind, row_a, row_b, rn, n > 40 AS truncated FROM r WHERE rn <= 40""")
 def first_changes(spark, d):
-    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
     out = diff.first_deltas(deltas, 40).select("pair_id", "kind", "row_a", "row_b", F.col("rn").cast("long").alias("rn"), "truncated")
     return out
 
@@ -122,7 +145,7 @@ def first_changes(spark, d):
 SELECT (SELECT count(*) FROM eq) AS equal, (SELECT count(*) FROM pos WHERE ca <> cb) AS modified, (SELECT count(*) FROM oa) - (SELECT count(*) FROM pos) AS removed,
   (SELECT count(*) FROM ob) - (SELECT count(*) FROM pos) AS added""")
 def positional_counts(spark, d):
-    _, stats = diff.diff(left_rows(spark, d), right_rows(spark, d), similarity_pairing=False, mode="anchored", width=5)
+    _, stats = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), similarity_pairing=False, mode="anchored", width=5)
     return stats.select("equal", "modified", "removed", "added")
 
 
@@ -130,7 +153,7 @@ def positional_counts(spark, d):
 SELECT pair_id, kind, row_a, row_b, ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'][i] AS "column", ca[i] AS old_value, cb[i] AS new_value
 FROM d, range(1, 6) t(i) WHERE ca[i] IS DISTINCT FROM cb[i]""")
 def cell_report(spark, d):
-    deltas, _ = diff.diff(left_rows(spark, d), right_rows(spark, d), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
     return diff.cell_changes(deltas, COLUMNS)
 
 
@@ -138,7 +161,7 @@ def cell_report(spark, d):
 SELECT 'a' AS side, kind, row_a, row_b, ra.cells[2] AS c_name, ra.cells[4] AS c_acctbal FROM d JOIN ra ON ra.ord = d.row_a WHERE kind <> 'ADDED'
 UNION ALL SELECT 'b', kind, row_a, row_b, rb.cells[2], rb.cells[4] FROM d JOIN (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx FROM rb) rb ON rb.idx = d.row_b WHERE kind <> 'REMOVED'""")
 def side_by_side(spark, d):
-    a, b = left_rows(spark, d), right_rows(spark, d)
+    a, b = left_rows(customers(spark, d)), right_rows(customers(spark, d))
     deltas, _ = diff.diff(a, b, mode="anchored", width=5)
     fa, fb = diff.side_frames(deltas, a, b, COLUMNS)
     cols = ["kind", "row_a", "row_b", "c_name", "c_acctbal"]

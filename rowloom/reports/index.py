@@ -58,6 +58,19 @@ def table_chunks(spark, d):
     return chunks.select("filename", "chunk_index", "row_start", "row_end", F.sha2("text", 256).alias("digest"))
 
 
+@report()
+def lineitem_chunks(spark, d):
+    """Three tables that hold all line items: blocks of one table are packed apart."""
+    li = table(spark, d, "lineitem").withColumn("filename", F.concat("l_returnflag", F.lit(".csv")))
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    placed = number_rows(li, ["filename"], cols, number="n")
+    rows = placed.select(
+        "filename", F.lit("LINES").alias("group"), (F.col("n") - 1).alias("row_idx"), F.array(*[F.col(c).cast("string") for c in cols]).alias("cells")
+    )
+    chunks = chunking.chunk_lines(chunking.lines_of(rows, F.array(*[F.lit(c) for c in cols])))
+    return chunks.select("filename", "chunk_index", "row_start", "row_end", F.sha2("text", 256).alias("digest"))
+
+
 @report("WITH " + LINES + """,
 c AS (SELECT f, g, count(*) AS n, count(*) FILTER (WHERE nm <> '') AS nn, string_agg(CASE WHEN n <= 5 THEN line END, chr(10) ORDER BY n) AS sample FROM l GROUP BY 1, 2)
 SELECT f AS filename, sha256(('TYPE: CSV_SUMMARY | FILE: ' || f || ' | GROUP: ' || g || chr(10) || 'COLUMNS: p_partkey, p_name, p_type, p_size, p_retailprice' || chr(10) || 'ROW_COUNT: ' || n || chr(10) ||

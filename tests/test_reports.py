@@ -11,11 +11,15 @@ def con(data):
     return database(data)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+# Sequential packing of whole line items is too slow in SQL; see test_chunking.
+WITHOUT_SQL = {"lineitem_chunks"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_agrees_with_sql(spark, data, con, name):
     problem = compare(QUERIES[name](spark, data), con, SQL[name])
     if problem == "both sides are empty":
