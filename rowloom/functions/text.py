@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Patterns that decide results.
 TOKEN = r"[A-Za-z0-9_./\-]{2,64}"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+ASCII_WHITESPACE = r"[\s\x0b\x1c-\x1f]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 INSTRUCTION = r"(?i)^\s*(system:|ignore|do this|instruction:|developer:|assistant:)\b"
 INSTRUCTION_STRICT = r"(?i)^\s*(system:|ignore\b|do this\b|instruction:|developer:|assistant:)"
@@ -18,7 +19,10 @@ def norm_cell(c: Column, ignore_case: bool = False, trim_ws: bool = True) -> Col
     """Null to empty, no NUL, one blank between words, optionally lower case."""
     s = F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x00"), F.lit(""))
     if trim_ws:
-        s = F.trim(F.regexp_replace(s, WHITESPACE, " "))
+        ascii_only = F.octet_length(s) == F.length(s)
+        s = F.trim(
+            F.when(ascii_only, F.regexp_replace(s, ASCII_WHITESPACE, " ")).otherwise(F.regexp_replace(s, WHITESPACE, " "))
+        )
     return F.lower(s) if ignore_case else s
 
 

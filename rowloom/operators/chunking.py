@@ -13,12 +13,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming, text
 from rowloom.plans.ranking import number_rows
-from rowloom.session import pin
+from rowloom.session import pin, small_side
 
 # Fixed values.
 TARGET_CHARS = 1500
@@ -93,8 +93,8 @@ def chunk_lines(
     """Pack lines into chunks per table; rows are 1-based, chunks count from 0.
 
     A chunk closes before the line that would pass ``target`` and at ``cap``;
-    the next one starts with the trailing lines that fit ``overlap``. ``cap``
-    lines must fit in a block.
+    the next one starts with the trailing lines that fit ``overlap``. A block
+    must hold at least ``cap`` rows.
     """
     target = max(min(MIN_CHARS, cap), min(target, cap))
     head = F.concat(
@@ -104,8 +104,9 @@ def chunk_lines(
     placed = lines.select(
         "filename", "group", "row_no", "line", head.alias("head"), F.expr(f"(row_no - 1) div {block_rows}").alias("block")
     )
-    tables = placed.groupBy("filename", "group").agg(F.max("block").alias("last_block"))
-    many = pin(tables.filter("last_block > 0"))
+    tables = pin(placed.groupBy("filename", "group").agg(F.max("block").alias("last_block")))
+    many = tables.filter("last_block > 0")
+
     def emit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
         numbers, body, head = pdf.row_no.to_numpy(), pdf.line.tolist(), pdf["head"].iloc[0]
@@ -141,15 +142,15 @@ def chunk_lines(
 def _with_entries(placed, tables, many, target, overlap, cap, block_rows) -> DataFrame:
     """Block rows with the lines that reach into the block and the start of the chunk open there."""
     key = ["filename", "group"]
-    behind = Window.partitionBy(*key, "block").orderBy(F.desc("row_no"))
-    sized = placed.withColumn("tail", F.sum(F.length("line") + 1).over(behind))
+    # a chunk open at a block's start reaches back at most this many lines, a line being one character or more
     reach = max(cap, overlap)
-    halo = sized.filter(F.col("tail") <= reach).withColumn("block", F.col("block") + 1)
+    if reach > block_rows:
+        raise ValueError("a block must hold as many rows as a chunk has characters")
+    last_rows = (F.col("row_no") - 1) % block_rows >= block_rows - reach
     rows = pin(
-        sized.withColumn("own", F.lit(True))
-        .unionByName(halo.withColumn("own", F.lit(False)))
-        .drop("tail")
-        .join(tables, key)
+        placed.join(small_side(tables), key)
+        .withColumn("__b", F.explode(F.when(last_rows, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))))
+        .drop("block").withColumnRenamed("__b", "block")
         .filter("block <= last_block")
         .withColumn("first_row", F.col("block") * block_rows + 1)
     )
@@ -160,7 +161,8 @@ def _with_entries(placed, tables, many, target, overlap, cap, block_rows) -> Dat
         first = int(np.searchsorted(numbers, pdf.first_row.iloc[0]))
         packer = Packer(pdf["size"].to_numpy(), int(pdf.base.iloc[0]), target, overlap, cap)
         known: dict[int, int] = {}
-        entries = [first] if k[2] == 0 else list(range(first + 1))
+        near = packer.sums[first] - packer.sums[: first + 1] <= reach
+        entries = [first] if k[2] == 0 else np.flatnonzero(near).tolist()
         ends = [packer.run(s, first, len(numbers), known)[1] for s in entries]
         after = int(numbers[-1]) + 1
         return pd.DataFrame(

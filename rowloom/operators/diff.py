@@ -9,12 +9,13 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import text
-from rowloom.plans.matching import greedy_match
+from rowloom.plans.matching import bin_count, greedy_match
 from rowloom.plans.ranking import number_rows, top_rows
 from rowloom.plans.similarity import jaccard_pairs, token_classes
 from rowloom.session import fresh, pin
@@ -24,12 +25,18 @@ ORDERED_WORK = 5_000_000  # and equal-hash row pairs
 ROW_BLOCK = 100_000
 
 
-def table_rows(df: DataFrame, columns: Sequence[str], pair: Column | None = None, row_idx: str | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """Row form of a wide table; rows are numbered by ``order`` unless ``row_idx`` is given."""
+def table_rows(
+    df: DataFrame, columns: Sequence[str], pair: Column | None = None, row_idx: str | None = None,
+    order: Sequence[str] = (), block: Column | None = None,
+) -> DataFrame:
+    """Row form of a wide table; rows are numbered by ``order`` unless ``row_idx`` is given.
+
+    ``block`` is passed to ``number_rows``.
+    """
     pair = F.lit("table") if pair is None else pair
     df = df.withColumn("pair_id", pair.cast("string"))
     if row_idx is None:
-        df = number_rows(df, ["pair_id"], list(order), number="__rn").withColumn("__idx", F.col("__rn") - 1)
+        df = number_rows(df, ["pair_id"], list(order), number="__rn", block=block).withColumn("__idx", F.col("__rn") - 1)
         row_idx = "__idx"
     cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return df.select("pair_id", F.col(row_idx).cast("long").alias("row_idx"), cells.alias("cells"))
@@ -50,20 +57,28 @@ def row_hash(cells: Column, ignore_case: bool = False, trim_ws: bool = True) ->
 
 
 def _ordered_blocks(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of the ordered diff of one bounded pair of hash sequences."""
-    a, b = a.sort_values("row_idx"), b.sort_values("row_idx")
+    """Blocks of the ordered diff of a bin of bounded pairs of hash sequences."""
+    def by_pair(df: pd.DataFrame) -> dict:
+        return {p: (g.row_idx.to_numpy(), g.hash.tolist()) for p, g in df.sort_values("row_idx").groupby("pair_id")}
+
+    none = (np.empty(0, "int64"), [])
+    left, right = by_pair(a), by_pair(b)
     parts = []
-    ops = difflib.SequenceMatcher(a=a.hash.tolist(), b=b.hash.tolist(), autojunk=False).get_opcodes()
-    for n, (tag, i1, i2, j1, j2) in enumerate(ops):
-        for side, src, lo, hi in (("a", a, i1, i2), ("b", b, j1, j2)):
-            if hi > lo:
-                parts.append(
-                    pd.DataFrame(
-                        {"pair_id": key[0], "side": side, "row_idx": src.row_idx.iloc[lo:hi], "block": n, "equal": tag == "equal"}
-                    )
+    for pair in left.keys() | right.keys():
+        (ia, ha), (ib, hb) = left.get(pair, none), right.get(pair, none)
+        ops = difflib.SequenceMatcher(a=ha, b=hb, autojunk=False).get_opcodes()
+        for side, idx, lo, hi in (("a", ia, 1, 2), ("b", ib, 3, 4)):
+            lengths = [op[hi] - op[lo] for op in ops]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "pair_id": pair, "side": side, "row_idx": idx,
+                        "block": np.repeat(np.arange(len(ops)), lengths),
+                        "equal": np.repeat([op[0] == "equal" for op in ops], lengths),
+                    }
                 )
-    cols = ["pair_id", "side", "row_idx", "block", "equal"]
-    return pd.concat(parts)[cols] if parts else pd.DataFrame(columns=cols)
+            )
+    return pd.concat(parts)
 
 
 BLOCK_SCHEMA = "pair_id string, side string, row_idx long, block long, equal boolean"
@@ -76,15 +91,24 @@ def anchored_blocks(hashes: DataFrame) -> DataFrame:
     rows between two paired rows form a block. Where equal rows keep their
     order this is the ordered diff; moved rows count as equal.
     """
-    seen = number_rows(
-        hashes, ["pair_id", "side", "hash"], ["row_idx"], number="k", block=F.expr(f"row_idx div {ROW_BLOCK}")
-    )
     counts = hashes.groupBy("pair_id", "hash").agg(
         F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")
     )
-    marked = seen.join(counts, ["pair_id", "hash"]).select(
-        "pair_id", "side", "row_idx", (F.col("k") <= F.least("n_a", "n_b")).alias("equal")
+    clear = (F.col("n_a") == F.col("n_b")) | (F.col("n_a") == 0) | (F.col("n_b") == 0)
+    known = pin(
+        hashes.join(counts, ["pair_id", "hash"]).select(
+            "pair_id", "side", "row_idx", F.when(~clear, F.col("hash")).alias("hash"),
+            F.least("n_a", "n_b").alias("n"), F.when(clear, F.col("n_a") == F.col("n_b")).alias("equal"),
+        )
     )
+    marked = known.filter(F.col("equal").isNotNull()).select("pair_id", "side", "row_idx", "equal")
+    # only where one side has more copies of a row does it matter which ones pair up
+    uneven = known.filter(F.col("equal").isNull())
+    if not uneven.isEmpty():
+        seen = number_rows(
+            uneven, ["pair_id", "side", "hash"], ["row_idx"], number="k", block=F.expr(f"row_idx div {ROW_BLOCK}")
+        )
+        marked = marked.unionByName(seen.select("pair_id", "side", "row_idx", (F.col("k") <= F.col("n")).alias("equal")))
     return number_rows(
         marked,
         ["pair_id", "side"],
@@ -115,12 +139,16 @@ def diff_blocks(a: DataFrame, b: DataFrame, mode: str = "auto", max_rows: int =
     size = per_hash.groupBy("pair_id").agg(
         F.sum("n_a").alias("rows_a"), F.sum("n_b").alias("rows_b"), F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("work")
     )
-    big = pin(size.filter((F.col("rows_a") > max_rows) | (F.col("rows_b") > max_rows) | (F.col("work") > max_work)).select("pair_id"))
-    any_big = not big.isEmpty()
+    too_big = (F.col("rows_a") > max_rows) | (F.col("rows_b") > max_rows) | (F.col("work") > max_work)
+    total, any_big = size.agg(F.coalesce(F.sum(F.col("rows_a") + F.col("rows_b")), F.lit(0)), F.count_if(too_big)).first()
     if any_big and mode == "ordered":
         raise ValueError("a pair is too large for the ordered diff; use mode='auto' or 'anchored'")
-    small = hashes.join(big, "pair_id", "left_anti") if any_big else hashes
-    pick = lambda s: fresh(small.filter(F.col("side") == s)).groupBy("pair_id")
+    small = hashes
+    if any_big:
+        big = pin(size.filter(too_big).select("pair_id"))
+        small = hashes.join(big, "pair_id", "left_anti")
+    bins = F.pmod(F.xxhash64("pair_id"), F.lit(bin_count(hashes, total))).alias("bin")
+    pick = lambda s: fresh(small.filter(F.col("side") == s).select("*", bins)).groupBy("bin")
     out = pick("a").cogroup(pick("b")).applyInPandas(_ordered_blocks, BLOCK_SCHEMA)
     if any_big:
         out = out.unionByName(anchored_blocks(hashes.join(big, "pair_id", "left_semi")))

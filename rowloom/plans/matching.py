@@ -2,12 +2,13 @@
 
 A pair that is best for both its ends under that order is always part of the
 greedy result, so pairs can be settled in rounds. Buckets whose pairs are few
-are settled at once, each in one bounded group.
+are settled at once in bins of bounded size.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,36 +17,36 @@ from pyspark.sql import functions as F
 from rowloom.plans.ranking import number_rows
 from rowloom.session import fresh, pin
 
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 1_000_000  # pairs and rows of a bucket that one task settles
+BIN_ROWS = 200_000  # rows of small buckets settled together
 MATCH_SCHEMA = "bucket string, id_a long, id_b long, score double"
 
 
 def _settle(key, pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of one bounded bucket, level by level of equal scores."""
+    """Greedy matching of a bin of bounded buckets, level by level of equal scores."""
     queues = {"a": defaultdict(list), "b": defaultdict(list)}
-    for side, cls, rid in members.sort_values("row_id", ascending=False)[["side", "cls", "row_id"]].itertuples(index=False):
-        queues[side][cls].append(rid)
+    members = members.sort_values("row_id", ascending=False)
+    for side, bucket, cls, rid in zip(members.side, members.bucket, members.cls, members.row_id):
+        queues[side][bucket, cls].append(rid)
     left, right = queues["a"], queues["b"]
     found = []
-    for score, level in pairs.sort_values("score", ascending=False).groupby("score", sort=False):
+    pairs = pairs.sort_values(["bucket", "score"], ascending=[True, False])
+    rows = zip(pairs.bucket, pairs.score, pairs.cls_a, pairs.cls_b)
+    for (bucket, score), level in groupby(rows, key=lambda r: r[:2]):
         partners = defaultdict(list)
-        for ca, cb in level[["cls_a", "cls_b"]].itertuples(index=False):
+        for _, _, ca, cb in level:
             partners[ca].append(cb)
-        rows = sorted((rid, ca) for ca in partners for rid in left[ca])
         spent = set()
-        for rid, ca in rows:
-            open_cb = [cb for cb in partners[ca] if right[cb]]
-            partners[ca] = open_cb
-            if not open_cb:
-                continue
-            cb = min(open_cb, key=lambda c: right[c][-1])
-            found.append((rid, right[cb].pop(), score))
-            spent.add(rid)
-        for ca in partners:
-            left[ca] = [r for r in left[ca] if r not in spent]
-    out = pd.DataFrame(found, columns=["id_a", "id_b", "score"])
-    out.insert(0, "bucket", key[0])
-    return out
+        for rid, ca in sorted((rid, ca) for ca in partners for rid in left[bucket, ca]):
+            free = partners[ca] = [cb for cb in partners[ca] if right[bucket, cb]]
+            if free:
+                cb = min(free, key=lambda c: right[bucket, c][-1]) if len(free) > 1 else free[0]
+                found.append((bucket, rid, right[bucket, cb].pop(), score))
+                spent.add(rid)
+        if spent:
+            for ca in partners:
+                left[bucket, ca] = [r for r in left[bucket, ca] if r not in spent]
+    return pd.DataFrame(found, columns=["bucket", "id_a", "id_b", "score"])
 
 
 def _members(classes: DataFrame, block_rows: int) -> DataFrame:
@@ -115,13 +116,18 @@ def _heads(members: DataFrame, used: DataFrame | None, side: str) -> DataFrame:
     )
 
 
+def bin_count(df: DataFrame, rows: int) -> int:
+    """Bins for bounded groups that share a task: of bounded size, and enough to keep the cores busy."""
+    return max(rows // BIN_ROWS, min(df.sparkSession.sparkContext.defaultParallelism, rows // 100), 1)
+
+
 def greedy_match(
     pairs: DataFrame, classes_a: DataFrame, classes_b: DataFrame, limit: int = GROUP_LIMIT, block_rows: int = 100_000
 ) -> DataFrame:
     """Match rows one to one from class pairs ``(bucket, cls_a, cls_b, score)``.
 
     ``classes_*`` hold ``(bucket, cls, row_id)``. Buckets with at most
-    ``limit`` pairs and rows are settled in one group each; larger ones take
+    ``limit`` pairs and rows are settled at once; larger ones take
     rounds of mutually best pairs until they are small enough or done.
     """
     pairs = pin(pairs)
@@ -139,13 +145,19 @@ def greedy_match(
     weight = (
         pairs.select("bucket").unionByName(rows.select("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("w"))
     )
-    large = pin(weight.filter(F.col("w") > limit).select("bucket"))
-    small_pairs, small_rows, busy = pairs, rows, not large.isEmpty()
-    if busy:
-        small_pairs = pairs.join(F.broadcast(large) if large.count() < 10_000 else large, "bucket", "left_anti")
+    total, n_large = weight.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count_if(F.col("w") > limit)).first()
+    small_pairs, small_rows = pairs, rows
+    if n_large:
+        large = pin(weight.filter(F.col("w") > limit).select("bucket"))
+        small_pairs = pairs.join(large, "bucket", "left_anti")
         small_rows = rows.join(large, "bucket", "left_anti")
-    out = small_pairs.groupBy("bucket").cogroup(fresh(small_rows).groupBy("bucket")).applyInPandas(_settle, MATCH_SCHEMA)
-    if not busy:
+    bins = F.pmod(F.xxhash64("bucket"), F.lit(bin_count(pairs, total))).alias("bin")
+    out = (
+        small_pairs.select("*", bins).groupBy("bin")
+        .cogroup(fresh(small_rows.select("*", bins)).groupBy("bin"))
+        .applyInPandas(_settle, MATCH_SCHEMA)
+    )
+    if not n_large:
         return out
 
     todo = pin(pairs.join(large, "bucket", "left_semi"))

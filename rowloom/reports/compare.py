@@ -29,7 +29,7 @@ def orders_alike(spark, d):
 
 
 def left_rows(a, pair=None):
-    return diff.table_rows(a.withColumn("ord", F.col("c_custkey")), COLUMNS, pair, order=["ord"])
+    return diff.table_rows(a.withColumn("ord", F.col("c_custkey")), COLUMNS, pair, order=["ord"], block=F.expr("ord div 100000"))
 
 
 def right_rows(a, pair=None):
@@ -46,7 +46,7 @@ def right_rows(a, pair=None):
     new = a.filter(key % 31 == 30).select(
         (key * 2 + 1).alias("ord"), "c_custkey", F.concat(F.lit("New "), "c_name").alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    return diff.table_rows(kept.unionByName(new), COLUMNS, pair, order=["ord"])
+    return diff.table_rows(kept.unionByName(new), COLUMNS, pair, order=["ord"], block=F.expr("ord div 100000"))
 
 
 DIFF = r"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import display, naming, text
 from rowloom.operators import catalog, lookups
 from rowloom.reports.registry import report, table
-from rowloom.session import scratch_path
+from rowloom.session import scratch_path, spread
 from rowloom.sources import archives, markup, tables
 
 # Expressions that read the same in both SQL dialects.
@@ -23,11 +23,11 @@ LIST_DOC = """concat('<list>', repeat('<item><v>1</v></item>', cast(4 + o_custke
 
 
 def order_docs(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.expr(ORDER_DOC).alias("content"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", F.expr(ORDER_DOC).alias("content"))
 
 
 def list_docs(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.expr(LIST_DOC).alias("content"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", F.expr(LIST_DOC).alias("content"))
 
 
 @report("""
@@ -156,7 +156,7 @@ def archive_entries(spark, d):
     name = F.when(F.col("c_nationkey") % 5 == 0, F.lit("All_20260113_055727.zip")).otherwise(
         F.concat("c_mktsegment", F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".zip"))
     )
-    src = table(spark, d, "customer").select(
+    src = spread(table(spark, d, "customer")).select(
         F.concat(F.col("c_custkey").cast("string"), F.lit("/"), name).alias("path"), F.col("c_name").alias("name")
     )
     zips = src.mapInPandas(_pack, "path string, content binary")

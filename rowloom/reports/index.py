@@ -8,6 +8,7 @@ from rowloom.functions import vectors
 from rowloom.operators import chunking
 from rowloom.plans.ranking import number_rows
 from rowloom.reports.registry import report, table
+from rowloom.session import spread
 
 HEADER = ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"]
 
@@ -134,5 +135,5 @@ k AS (SELECT {id} AS id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot,
 
 @report("WITH " + SLOTS.format(id="doc_id", text="text", table="documents") + """ SELECT id AS doc_id, slot::INT AS slot, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)::DOUBLE), 6) AS weight FROM k""")
 def embedded_texts(spark, d):
-    v = table(spark, d, "documents").select("doc_id", F.posexplode(vectors.embed(F.col("text"))).alias("slot", "weight"))
+    v = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(vectors.embed(F.col("text"))).alias("slot", "weight"))
     return v.filter("weight <> 0").withColumn("weight", F.round("weight", 6))

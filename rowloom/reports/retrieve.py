@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import text, vectors
 from rowloom.operators import retrieval
 from rowloom.reports.registry import report, table
+from rowloom.session import pin, spread
 
 
 @report(r"""SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:80], ' ') AS tokens
@@ -65,9 +66,10 @@ def question_lists(spark, d):
 
 def indexed_docs(spark, d):
     kind = F.when(F.col("n_chars") < 500, "summary").otherwise("chunk")
-    return table(spark, d, "documents").select(
+    return pin(
+        spread(table(spark, d, "documents")).select(
         "doc_id", F.col("lang").alias("group"), kind.alias("doc_type"), "text", vectors.embed(F.col("text")).alias("embedding"), "source", "n_chars"
-    )
+    ))
 
 
 RETRIEVE = r"""

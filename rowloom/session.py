@@ -61,3 +61,23 @@ def pin(df: DataFrame) -> DataFrame:
 def fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column ids, for one side of a cogroup of related tables."""
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cores when the input has fewer parts than there are cores.
+
+    For work in Python on small inputs; an input with enough splits stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; for narrow, pinned tables.
+
+    Larger ones come back as they are and are joined by shuffle.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
