@@ -107,11 +107,11 @@ def _tiled(queries, docs, k, query_id, doc_id, embedding, id_type: str, qid_type
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     q = queries.select(
         F.col(query_id).alias("query_key"), F.col(embedding).alias("qv"), spread(query_id, n_q).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).cast("long").alias("db"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_d - 1).cast("long"))).alias("db"),
     )
     d = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(embedding).alias("dv"), spread(doc_id, n_d).alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"),
     )
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
