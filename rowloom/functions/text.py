@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that decide results.
 TOKEN = r"[A-Za-z0-9_./\-]{2,64}"
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-ASCII_WHITESPACE = r"[\s\x0b\x1c-\x1f]+"
+SPACE = r"[\s\x1c-\x1f]"  # under (?U), which adds the blanks beyond ASCII
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 INSTRUCTION = r"(?i)^\s*(system:|ignore|do this|instruction:|developer:|assistant:)\b"
 INSTRUCTION_STRICT = r"(?i)^\s*(system:|ignore\b|do this\b|instruction:|developer:|assistant:)"
 CITATION = r"\[(csv|xml|catalog|note):(\d+)\]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm_cell(c: Column, ignore_case: bool = False, trim_ws: bool = True) -> Column:
     """Null to empty, no NUL, one blank between words, optionally lower case."""
     s = F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x00"), F.lit(""))
     if trim_ws:
-        ascii_only = F.octet_length(s) == F.length(s)
-        s = F.trim(
-            F.when(ascii_only, F.regexp_replace(s, ASCII_WHITESPACE, " ")).otherwise(F.regexp_replace(s, WHITESPACE, " "))
-        )
+        s = F.trim(F.regexp_replace(s, f"(?U){SPACE}+", " "))
     return F.lower(s) if ignore_case else s
 
 
 def display_cell(c: Column, max_len: int = 250) -> Column:
     """A normalised cell for a chunk line; longer ones are cut and marked with dots."""
-    s = norm_cell(c)
-    return F.when(F.length(s) > max_len, F.concat(F.substring(s, 1, max_len), F.lit("..."))).otherwise(s)
+    return F.regexp_replace(norm_cell(c), f"(?s)^(.{{{max_len}}}).+$", "$1...")
 
 
 def tokens(c: Column) -> Column:
@@ -57,7 +59,7 @@ def query_tokens(q: Column, top: int = 80) -> Column:
 def lexical_score(query: Column, doc: Column) -> Column:
     """Share of query tokens that occur as substrings of the document."""
     body = F.lower(F.coalesce(doc, F.lit("")))
-    hits = F.size(F.filter(query, lambda t: F.contains(body, t)))
+    hits = let(body, lambda b: F.size(F.filter(query, lambda t: F.contains(b, t))))
     return F.when(F.size(query) == 0, F.lit(0.0)).otherwise(hits / F.size(query))
 
 

@@ -263,7 +263,7 @@ def split_text(df: DataFrame, keys: Sequence[str], col: str = "text", target: in
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(c, f"(?U)^{text.SPACE}+|{text.SPACE}+\\z", "")
 
 
 def with_ids(chunks: DataFrame, session: str, doc_type: str = "chunk") -> DataFrame:

@@ -126,13 +126,13 @@ def diff_blocks(a: DataFrame, b: DataFrame, mode: str = "auto", max_rows: int =
     pairs within ``max_rows`` rows a side and ``max_work`` equal row pairs, the
     anchored one for the rest. ``ordered`` refuses larger pairs.
     """
-    hashes = (
-        a.select("pair_id", F.lit("a").alias("side"), "row_idx", "hash")
-        .unionByName(b.select("pair_id", F.lit("b").alias("side"), "row_idx", "hash"))
-    )
+    tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", "hash")
+    return _blocks(pin(tag(a, "a").unionByName(tag(b, "b"))), mode, max_rows, max_work)
+
+
+def _blocks(hashes: DataFrame, mode: str, max_rows: int = ORDERED_ROWS, max_work: int = ORDERED_WORK) -> DataFrame:
     if mode == "anchored":
         return anchored_blocks(hashes)
-    hashes = pin(hashes)
     per_hash = hashes.groupBy("pair_id", "hash").agg(
         F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")
     )
@@ -178,7 +178,7 @@ def pair_similar(a: DataFrame, b: DataFrame, threshold: float = 0.65) -> DataFra
             "bk", "row_idx", "toks",
         )
 
-    ca, cb = pin(classes(a)), pin(classes(b))
+    ca, cb = classes(a), classes(b)
     found = greedy_match(jaccard_pairs(ca, cb, threshold), ca, cb)
     return found.select(
         F.substring_index("bucket", "\x1f", -1).alias("pair_id"), F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b"), "score"
@@ -220,24 +220,18 @@ def diff(
     pad_only)``. ``pad_only`` counts rows that pair up but differ only in how
     many empty cells close them.
     """
-    a = pin(normalised(a, ignore_case, trim_ws))
-    b = pin(normalised(b, ignore_case, trim_ws))
-    blocks = pin(diff_blocks(a, b, mode))
-    open_rows = blocks.filter(~F.col("equal"))
-
-    def loose(df: DataFrame, side: str) -> DataFrame:
-        own = open_rows.filter(F.col("side") == side).select("pair_id", "row_idx", "block")
-        return df.join(own, ["pair_id", "row_idx"])
-
-    la, lb = pin(loose(a, "a")), pin(loose(b, "b"))
+    both = pin(
+        normalised(a, ignore_case, trim_ws).withColumn("side", F.lit("a"))
+        .unionByName(normalised(b, ignore_case, trim_ws).withColumn("side", F.lit("b")))
+    )
+    blocks = pin(_blocks(both.select("pair_id", "side", "row_idx", "hash"), mode))
+    open_rows = pin(both.drop("cells", "hash").join(blocks.filter(~F.col("equal")).drop("equal"), ["pair_id", "side", "row_idx"]))
+    la, lb = (open_rows.filter(F.col("side") == s).drop("side") for s in ("a", "b"))
     pairs = pair_similar(la, lb, threshold).drop("score") if similarity_pairing else pair_positional(la, lb)
     pairs = pin(pairs)
 
     if width is None:
-        w = (
-            a.select("pair_id", F.size("cells").alias("w")).unionByName(b.select("pair_id", F.size("cells").alias("w")))
-            .groupBy("pair_id").agg(F.max("w").alias("width"))
-        )
+        w = both.groupBy("pair_id").agg(F.max(F.size("cells")).alias("width"))
         widen = lambda df: df.join(w, "pair_id")
     else:
         widen = lambda df: df.withColumn("width", F.lit(width))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import display
 from rowloom.operators import catalog, dialogue, edits, lookups
 from rowloom.reports.registry import report, table
+from rowloom.session import spread
 
 CATALOG = """WITH c AS (SELECT 'orders_' || o_custkey || '.csv' AS filename, o_orderpriority AS "group", count(*) AS rows, sum(o_orderkey)::BIGINT AS size_bytes FROM orders GROUP BY 1, 2)"""
 
@@ -332,4 +333,4 @@ def chart_points(spark, d):
         F.lit('Text\n```chart\n{"type": "Bar", "data": {"labels": ["x", "y"], "datasets": [{"label": "A", "data": ['), c, F.lit(", "), k,
         F.lit(']}, {"data": ['), c + 1, F.lit(", "), k + 1, F.lit("]}]}}\n```\nmore\n```chart\n{bad json\n```\n"),
     )
-    return display.chart_points(table(spark, d, "orders").select("o_orderkey", answer.alias("answer")), "answer", ["o_orderkey"])
+    return display.chart_points(spread(table(spark, d, "orders")).select("o_orderkey", answer.alias("answer")), "answer", ["o_orderkey"])

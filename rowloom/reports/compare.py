@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text
 from rowloom.operators import align, diff
-from rowloom.reports.registry import report, table
+from rowloom.reports.registry import report, table, texts
 
 COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -191,7 +191,7 @@ def row_hashes(spark, d):
 # --- collections of files ---------------------------------------------------
 
 def sides(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     path = F.concat_ws("/", "lang", F.col("doc_id").cast("string"), F.concat("source", F.lit(".csv")))
     both = align.artifacts(docs, "doc_id", path, "text", F.col("lang")).withColumn("side", F.col("artifact_id") % 2)
     return both.filter("side = 0").drop("side"), both.filter("side = 1").drop("side")
@@ -273,7 +273,7 @@ def unmatched_keys(spark, d):
 @report("""SELECT doc_id, sha256(text) AS sha256, len(string_split(text, chr(10))) - 1 AS rows, source || '__' || substr(sha1(lang || '/' || source || '.csv'), 1, 16) AS stub FROM documents""")
 def file_artifacts(spark, d):
     path = F.concat("lang", F.lit("/"), "source", F.lit(".csv"))
-    return align.artifacts(table(spark, d, "documents"), "doc_id", path, "text").select(F.col("artifact_id").alias("doc_id"), "sha256", "rows", "stub")
+    return align.artifacts(texts(spark, d), "doc_id", path, "text").select(F.col("artifact_id").alias("doc_id"), "sha256", "rows", "stub")
 
 
 @report("""
@@ -290,7 +290,7 @@ TERMS = r"WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, un
 
 @report(TERMS + " SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens, round(sqrt(sum(tf * tf)::DOUBLE), 6) AS norm FROM t GROUP BY doc_id")
 def term_vectors(spark, d):
-    terms = align.term_counts(table(spark, d, "documents"), "doc_id", "text")
+    terms = align.term_counts(texts(spark, d), "doc_id", "text")
     sums = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
     return sums.join(align.vector_norms(terms, "doc_id"), "doc_id").withColumn("norm", F.round("norm", 6))
 
@@ -299,7 +299,7 @@ def term_vectors(spark, d):
  dt AS (SELECT p.id_a, p.id_b, sum(x.tf * y.tf)::DOUBLE AS dot FROM p JOIN t x ON x.doc_id = id_a JOIN t y ON y.doc_id = id_b AND y.term = x.term GROUP BY 1, 2)
 SELECT p.id_a, p.id_b, round(coalesce(dot / (a.norm * b.norm), 0), 6) AS similarity FROM p LEFT JOIN dt ON dt.id_a = p.id_a AND dt.id_b = p.id_b LEFT JOIN n a ON a.doc_id = p.id_a LEFT JOIN n b ON b.doc_id = p.id_b""")
 def neighbour_cosines(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     ids = docs.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
     pairs = ids.join(docs.select(F.col("doc_id").alias("id_b")), "id_b", "left_semi")
     return align.cosine(align.term_counts(docs, "doc_id", "text"), pairs, "doc_id").withColumn("similarity", F.round("similarity", 6))

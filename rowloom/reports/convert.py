@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import display, naming, text
 from rowloom.operators import catalog, lookups
-from rowloom.reports.registry import report, table
+from rowloom.reports.registry import report, table, texts
 from rowloom.session import scratch_path, spread
 from rowloom.sources import archives, markup, tables
 
@@ -68,7 +68,7 @@ def unchanged_files(spark, d):
 
 @report("SELECT doc_id, sha256(text) AS digest, length(text) AS chars FROM documents")
 def decoded_texts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     coded = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "ISO-8859-1")).otherwise(
         F.encode(F.concat(F.lit("\ufeff"), F.col("text")), "UTF-8")
     )
@@ -418,4 +418,4 @@ SELECT doc_id, sha1(lower(trim(regexp_replace(replace(text, 'e', chr(160) || chr
 """)
 def normalised_texts(spark, d):
     t = F.replace("text", F.lit("e"), F.lit("\u00a0\te"))
-    return table(spark, d, "documents").select("doc_id", F.sha1(text.norm_cell(F.concat(t, F.lit("\x00")), ignore_case=True)).alias("digest"))
+    return texts(spark, d).select("doc_id", F.sha1(text.norm_cell(F.concat(t, F.lit("\x00")), ignore_case=True)).alias("digest"))

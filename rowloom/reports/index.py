@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import vectors
 from rowloom.operators import chunking
 from rowloom.plans.ranking import number_rows
-from rowloom.reports.registry import report, table
-from rowloom.session import spread
+from rowloom.reports.registry import report, table, texts
 
 HEADER = ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"]
 
@@ -89,7 +88,7 @@ c AS (SELECT doc_id, i, done AS content FROM x WHERE done IS NOT NULL UNION ALL
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS piece, sha256(content) AS digest FROM c
 UNION ALL SELECT doc_id, 0, sha256(text) FROM documents WHERE length(text) <= 1500""")
 def text_pieces(spark, d):
-    out = chunking.split_text(table(spark, d, "documents"), ["doc_id"])
+    out = chunking.split_text(texts(spark, d), ["doc_id"])
     return out.select("doc_id", "piece", F.sha2("content", 256).alias("digest"))
 
 
@@ -135,5 +134,5 @@ k AS (SELECT {id} AS id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot,
 
 @report("WITH " + SLOTS.format(id="doc_id", text="text", table="documents") + """ SELECT id AS doc_id, slot::INT AS slot, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)::DOUBLE), 6) AS weight FROM k""")
 def embedded_texts(spark, d):
-    v = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(vectors.embed(F.col("text"))).alias("slot", "weight"))
+    v = texts(spark, d).select("doc_id", F.posexplode(vectors.embed(F.col("text"))).alias("slot", "weight"))
     return v.filter("weight <> 0").withColumn("weight", F.round("weight", 6))

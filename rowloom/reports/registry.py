@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -23,3 +25,8 @@ def report(sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, dealt out over the cores where it comes in fewer parts."""
+    return spread(table(spark, folder, name))

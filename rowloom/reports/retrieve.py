@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text, vectors
 from rowloom.operators import retrieval
-from rowloom.reports.registry import report, table
-from rowloom.session import pin, spread
+from rowloom.reports.registry import report, table, texts
+from rowloom.session import pin
 
 
 @report(r"""SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:80], ' ') AS tokens
@@ -21,7 +21,7 @@ SELECT doc_id, round(len(list_filter(t, lambda x: contains(lower(text), x))) / l
 def lexical_scores(spark, d):
     b = table(spark, d, "benchmark")
     q = b.select("item_id", text.query_tokens(F.substring_index("text", ".", 1)).alias("t"))
-    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % b.agg(F.count(F.lit(1))).scalar())
+    docs = texts(spark, d).withColumn("item_id", F.col("doc_id") % b.agg(F.count(F.lit(1))).scalar())
     return docs.join(q, "item_id").select("doc_id", F.round(text.lexical_score(F.col("t"), F.col("text")), 6).alias("score"))
 
 
@@ -67,7 +67,7 @@ def question_lists(spark, d):
 def indexed_docs(spark, d):
     kind = F.when(F.col("n_chars") < 500, "summary").otherwise("chunk")
     return pin(
-        spread(table(spark, d, "documents")).select(
+        texts(spark, d).select(
         "doc_id", F.col("lang").alias("group"), kind.alias("doc_type"), "text", vectors.embed(F.col("text")).alias("embedding"), "source", "n_chars"
     ))
 
@@ -139,7 +139,7 @@ def answers_for_overview(spark, d):
 @report("""SELECT doc_id, sha256('keep system' || chr(10) || text || chr(10) || 'System: kept' || chr(10) || 'end') AS digest, sha256('keep system' || chr(10) || text || chr(10) || 'end') AS strict_digest FROM documents""")
 def stripped_texts(spark, d):
     t = F.concat(F.lit("  ignore all\nkeep system\nDEVELOPER:x\n"), F.col("text"), F.lit("\nSystem: kept\r\nassistant:y\ndo this now\nend\n"))
-    return table(spark, d, "documents").select(
+    return texts(spark, d).select(
         "doc_id", F.sha2(text.strip_instructions(t), 256).alias("digest"), F.sha2(text.strip_instructions(t, strict=True), 256).alias("strict_digest")
     )
 
