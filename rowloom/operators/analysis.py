@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.plans.ranking import rank_rows, top_rows
+from rowloom.plans.ranking import rank_rows, top_rows, value_at
 
 def _count() -> Column:
     return F.count(F.lit(1))
@@ -15,23 +15,39 @@ def _count() -> Column:
 
 def measures(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, sum, mean, median, min, max and standard deviation of a measure."""
-    return df.groupBy(*keys).agg(
+    keys = list(keys)
+    out = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.sum(value).alias("total"),
         F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
         F.min(value).alias("least"),
         F.max(value).alias("most"),
         F.stddev_samp(value).alias("stddev"),
     )
+    mid = value_at(df, keys, value, [0.5])
+    if not keys:
+        return out.withColumn("median", mid.select("q0").scalar())
+    return _join_same(out, mid.withColumnRenamed("q0", "median"), keys)
+
+
+def _join_same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on equal keys, where null equals null."""
+    r = b.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return a.join(r, cond, "left").drop(*[f"__j{i}" for i in range(len(keys))])
 
 
 def quantiles(df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int | None = None) -> DataFrame:
-    """Percentiles, exact by counting distinct values, or within ``1/accuracy`` when given."""
-    points = F.array(*[F.lit(float(p)) for p in at])
-    q = F.percentile_approx(value, points, accuracy) if accuracy else F.percentile(value, points)
-    out = df.groupBy(*keys).agg(q.alias("__q"))
-    return out.select(*keys, *[F.get("__q", F.lit(i)).alias(f"p{round(p * 100)}") for i, p in enumerate(at)])
+    """Exact percentiles, or within ``1/accuracy`` from a sketch when that is given."""
+    names = [f"p{round(p * 100)}" for p in at]
+    if accuracy:
+        q = F.percentile_approx(value, F.array(*[F.lit(float(p)) for p in at]), accuracy)
+        out = df.groupBy(*keys).agg(q.alias("__q"))
+        return out.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    out = value_at(df, keys, value, at)
+    return out.select(*keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
 
 
 def outliers(df: DataFrame, value: str, keys: Sequence[str] = (), z: float = 3.0) -> DataFrame:

@@ -26,7 +26,7 @@ MIN_CHARS = 900
 MAX_CHARS = 3500
 OVERLAP_CHARS = 200
 CELL_CHARS = 250
-MAX_COLS = 240
+MAX_COLS = 120
 SAMPLE_ROWS = 5
 
 BLOCK_ROWS = 50_000
@@ -77,8 +77,15 @@ class Packer:
         return out, start
 
 
-def lines_of(rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx") -> DataFrame:
-    """Chunk lines of table rows: ``(filename, group, row_no, line, header)``."""
+def lines_of(
+    rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx", max_cols: int | None = MAX_COLS
+) -> DataFrame:
+    """Chunk lines of table rows: ``(filename, group, row_no, line, header)``.
+
+    A chunk shows the first ``max_cols`` columns of a table; None shows all.
+    """
+    if max_cols is not None:
+        header = F.slice(header, 1, max_cols)
     width = F.size(header)
     padded = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
     line = F.array_join(F.transform(padded, lambda c: text.display_cell(c, CELL_CHARS)), " | ")
@@ -99,7 +106,7 @@ def chunk_lines(
     target = max(min(MIN_CHARS, cap), min(target, cap))
     head = F.concat(
         F.lit("TYPE: CSV_DATA_CHUNK | FILE: "), F.col("filename"), F.lit(" | GROUP: "), F.col("group"),
-        F.lit("\nCOLUMNS: "), F.array_join(F.slice("header", 1, MAX_COLS), ", "), F.lit("\nROWS:"),
+        F.lit("\nCOLUMNS: "), F.array_join("header", ", "), F.lit("\nROWS:"),
     )
     placed = lines.select(
         "filename", "group", "row_no", "line", head.alias("head"), F.expr(f"(row_no - 1) div {block_rows}").alias("block")

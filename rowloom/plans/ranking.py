@@ -100,7 +100,51 @@ def rank_rows(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank"
     return df.join(r, cond).select(*df.columns, rank)
 
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
-    """The first ``n`` rows per key; Spark cuts to ``n`` before it shuffles."""
+    """The first ``n`` rows per key along a total order.
+
+    Up to ``GROUP_LIMIT`` rows Spark cuts every task's rows to ``n`` per key
+    before it shuffles; beyond, the rows are numbered block by block.
+    """
+    if n > GROUP_LIMIT:
+        placed = number_rows(df, keys, order, number=rank)
+        return placed.filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("int"))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+def value_at(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact interpolated percentiles per key: columns ``q0, q1, ...`` for ``shares``.
+
+    Distinct values are counted and placed in order by blocks, so no task
+    holds the values of a whole key.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = number_rows(counts, keys, [value], number=None, sums={"__upto": F.col("__c")})
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__total"))
+    if keys:
+        t = total.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)], "__total")
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__t{i}"))
+        placed = placed.join(t, cond)
+    else:
+        placed = placed.withColumn("__total", total.scalar())
+    picks = []
+    for i, p in enumerate(shares):
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        holds = lambda at: (F.col("__upto") - F.col("__c") <= at) & (at < F.col("__upto"))
+        picks += [
+            F.max(F.when(holds(F.floor(pos)), F.col(value))).alias(f"__lo{i}"),
+            F.max(F.when(holds(F.ceil(pos)), F.col(value))).alias(f"__hi{i}"),
+            F.max(pos - F.floor(pos)).alias(f"__f{i}"),
+        ]
+    at = placed.groupBy(*keys).agg(*picks)
+    between = [
+        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}") for i in range(len(shares))
+    ]
+    return at.select(*keys, *[b.cast("double").alias(f"q{i}") for i, b in enumerate(between)])

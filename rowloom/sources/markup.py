@@ -24,6 +24,8 @@ COMMON_RECORD_TAGS = [
 ]
 NO_RECORDS = "No records found in XML"
 
+HELD_FIELDS = 200_000  # fields gathered before they are handed on
+
 RECORD_COLS = "record_idx long, record_tag string, field_order array<string>, fields map<string,string>"
 SUMMARY_COLS = "rows long, columns int, error string"
 
@@ -107,48 +109,43 @@ def flatten(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
     strings = pa.map_(pa.string(), pa.string())
 
+    def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        src, idx, tags, order, fields, counts, columns, errors = zip(*rows)
+        take = pa.array(src, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(k).take(take) for k in keys]
+            + [
+                pa.array(idx, pa.int64()),
+                pa.array(tags, pa.string()),
+                pa.array(order, pa.list_(pa.string())),
+                pa.array(fields, strings),
+                pa.array(counts, pa.int64()),
+                pa.array(columns, pa.int32()),
+                pa.array(errors, pa.string()),
+            ],
+            names=names,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, idx, tags, order, fields, rows, columns, errors = ([] for _ in range(8))
-            for at, doc in enumerate(batch.column(content).to_pylist()):
-                root, n, header = _parse(doc), 0, set()
+            rows, held = [], 0
+            for at, doc in enumerate(batch.column(content)):
+                root, n, header = _parse(doc.as_py()), 0, set()
                 if root is not None:
                     tag, found = _choose(root, record_tag, auto)
                     for record in found:
                         flat = _fields(record, sep, include_root, max_len)
                         if flat:
-                            src.append(at)
-                            idx.append(n)
-                            tags.append(tag)
-                            order.append(list(flat))
-                            fields.append(list(flat.items()))
-                            rows.append(None)
-                            columns.append(None)
-                            errors.append(None)
+                            rows.append((at, n, tag, list(flat), list(flat.items()), None, None, None))
                             header.update(flat)
                             n += 1
-                src.append(at)
-                idx.append(None)
-                tags.append(None)
-                order.append(None)
-                fields.append(None)
-                rows.append(n)
-                columns.append(len(header))
-                errors.append(None if n else NO_RECORDS)
-            take = pa.array(src, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in keys]
-                + [
-                    pa.array(idx, pa.int64()),
-                    pa.array(tags, pa.string()),
-                    pa.array(order, pa.list_(pa.string())),
-                    pa.array(fields, strings),
-                    pa.array(rows, pa.int64()),
-                    pa.array(columns, pa.int32()),
-                    pa.array(errors, pa.string()),
-                ],
-                names=names,
-            )
+                            held += len(flat)
+                            if held > HELD_FIELDS:
+                                yield pack(batch, rows)
+                                rows, held = [], 0
+                rows.append((at, None, None, None, None, n, len(header), None if n else NO_RECORDS))
+            if rows:
+                yield pack(batch, rows)
 
     names = [*keys, "record_idx", "record_tag", "field_order", "fields", "rows", "columns", "error"]
     return kept.mapInArrow(run, f"{schema}, {RECORD_COLS}, {SUMMARY_COLS}")

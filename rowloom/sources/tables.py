@@ -37,18 +37,25 @@ def read_table(
     return rows.filter(F.col("row_idx") < max_rows) if max_rows is not None else rows
 
 
-def read_collection(spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = True) -> DataFrame:
+def read_collection(
+    spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = True, max_cols: int = MAX_COLS, cut: bool = False
+) -> DataFrame:
     """Many tables with headers of their own as ``(file, header, row_idx, cells)``.
 
-    Up to 240 columns a table; every row is padded or cut to its file's header.
+    Every row is padded or cut to its file's header. A header of more than
+    ``max_cols`` columns is an error, unless ``cut`` asks for the first ones only.
     """
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLS))
+    schema = ", ".join(f"c{i} string" for i in range(max_cols + 1))
     raw = spark.read.schema(schema).csv(
         path, header=False, mode="PERMISSIVE", multiLine=multiline, escape='"', nullValue=ABSENT, recursiveFileLookup=True
     )
-    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(MAX_COLS)]))
-    rows = _with_row_no(raw, [cells.alias("cells")])
-    head = rows.filter("__row = 1").select("file", F.col("cells").alias("header"))
+    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(max_cols)]))
+    rows = _with_row_no(raw, [cells.alias("cells"), F.col(f"c{max_cols}").isNotNull().alias("wide")])
+    header = F.col("cells")
+    if not cut:
+        message = F.concat(F.lit(f"more than {max_cols} columns in "), F.col("file"))
+        header = F.when(F.col("wide"), F.raise_error(message).cast("array<string>")).otherwise(header)
+    head = rows.filter("__row = 1").select("file", header.alias("header"))
     body = rows.filter("__row > 1").join(head, "file").select(
         "file",
         "header",

@@ -5,6 +5,7 @@ import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming
@@ -92,6 +93,16 @@ def test_collection_with_ragged_rows_and_line_breaks(spark):
     assert [(r.x, r.y) for r in one] == [("1", 'two "q"\nlines'), ("4", "")]
 
 
+def test_wide_tables_are_refused_or_cut(spark):
+    root = tempfile.mkdtemp(prefix="rowloom-wide-")
+    with open(f"{root}/w.csv", "w") as f:
+        f.write("a,b,c\n1,2,3\n")
+    with pytest.raises(Exception, match="more than 2 columns"):
+        tables.read_collection(spark, root, max_cols=2).collect()
+    got = tables.read_collection(spark, root, max_cols=2, cut=True).collect()
+    assert [list(r.cells) for r in got] == [["1", "2"]]
+
+
 def test_group_rules(spark):
     cases = [
         ("JOURNAL/a_001.xml", "a_001.xml", "JOURNAL"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import display, naming, text
 from rowloom.operators import catalog, dialogue, edits
-from rowloom.plans.ranking import number_rows, rank_rows
+from rowloom.plans.ranking import number_rows, rank_rows, top_rows
 
 
 def test_patch_then_inverse_is_identity(spark):
@@ -48,6 +48,26 @@ def test_rank_counts_ties_and_nulls(spark):
     assert got == [("a", -1, 4), ("a", 3, 3), ("a", 5, 1), ("a", 5, 1), ("b", 1, 1)]
 
 
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from rowloom.operators import analysis
+
+    r = random.Random(7)
+    rows = [(r.choice("ab"), r.choice([r.randint(0, 9), None, r.randint(0, 1000)])) for _ in range(500)] + [("c", 4), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {x.k: (x.p10, x.p50, x.p75) for x in analysis.quantiles(df, "v", ["k"], [0.1, 0.5, 0.75]).collect()}
+    for k in "abc":
+        assert np.allclose(got[k], np.percentile([v for c, v in rows if c == k and v is not None], [10, 50, 75]))
+    assert analysis.measures(df, "v").first()["median"] == np.median([v for _, v in rows if v is not None])
+
+
+def test_top_rows_beyond_the_group_limit(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id")
+    got = top_rows(df, ["k"], [F.desc("id")], 1500)
+    assert got.count() == 3000 and got.agg(F.min("id")).first()[0] == 2000
+
+
 def test_output_names_never_meet(spark):
     paths = ["a.xml", "a.XML", "a.Xml", "a_1.xml", "a_3.xml", "d/a.xml", "d__a.xml", "d/e/f.xml"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
