@@ -49,70 +49,47 @@ def _settle(key, pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["bucket", "id_a", "id_b", "score"])
 
 
-def _members(classes: DataFrame, block_rows: int) -> DataFrame:
-    return number_rows(
-        classes.select("bucket", "cls", "row_id"),
-        ["bucket", "cls"],
-        ["row_id"],
-        number="k",
-        block=F.floor(F.col("row_id") / block_rows),
+def _one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """Row pairs ``(bucket, id_a, id_b, score)`` that greedy matching is sure to make now."""
+    placed = pin(
+        number_rows(rows, ["side", "bucket", "cls"], ["row_id"], number="k", block=F.expr(f"row_id div {block_rows}"))
     )
 
+    def heads(side: str) -> DataFrame:
+        """Rows left and first row of every class of a side."""
+        mine = placed.filter(F.col("side") == side)
+        return mine.groupBy("bucket", F.col("cls").alias(f"cls_{side}")).agg(
+            F.max("k").alias(f"left_{side}"), F.min("row_id").alias(f"head_{side}")
+        )
 
-def _one_round(pairs: DataFrame, heads_a: DataFrame, heads_b: DataFrame) -> DataFrame:
-    """Class pairs to settle now: ``(bucket, cls_a, cls_b, score, from_a, from_b, take)``."""
-    p = pairs.join(heads_a, ["bucket", "cls_a"]).join(heads_b, ["bucket", "cls_b"])
-    order = F.struct("score", (-F.col("head_a")).alias("ra"), (-F.col("head_b")).alias("rb"), "cls_a", "cls_b")
-    best_a = p.groupBy("bucket", "cls_a").agg(F.max(order).alias("m")).select("bucket", "m.*")
-    best_b = p.groupBy("bucket", "cls_b").agg(F.max(order).alias("m")).select("bucket", "m.*")
-    mutual = best_a.join(best_b, ["bucket", "cls_a", "cls_b"]).select(
-        "bucket", "cls_a", "cls_b", best_a["score"].alias("top")
+    p = pin(pairs.join(heads("a"), ["bucket", "cls_a"]).join(heads("b"), ["bucket", "cls_b"]))
+    order = F.struct("score", (-F.col("head_a")).alias("ra"), (-F.col("head_b")).alias("rb"), "cls_a", "cls_b", "left_a", "left_b")
+    best = lambda cls: p.groupBy("bucket", cls).agg(F.max(order).alias("m")).select("bucket", "m.*")
+    mutual = best("cls_a").join(
+        best("cls_b").select("bucket", "cls_a", "cls_b"), ["bucket", "cls_a", "cls_b"], "left_semi"
     )
+
+    def tied(mine: str, other: str) -> DataFrame:
+        """Classes whose best score another pair of theirs has too."""
+        top = mutual.select("bucket", mine, F.col(other).alias("chosen"), F.col("score").alias("top"))
+        rival = p.join(top, ["bucket", mine]).filter((F.col(other) != F.col("chosen")) & (F.col("score") == F.col("top")))
+        return rival.select("bucket", mine).distinct().withColumn(f"tied_{mine}", F.lit(True))
+
     # a pair with no rival of equal score settles all its copies at once
-    rivals_a = (
-        p.join(mutual.select("bucket", "cls_a", F.col("cls_b").alias("mine"), "top"), ["bucket", "cls_a"])
-        .filter((F.col("cls_b") != F.col("mine")) & (F.col("score") == F.col("top")))
-        .select("bucket", "cls_a").distinct().withColumn("tied_a", F.lit(True))
+    take = F.when(F.col("tied_cls_a") | F.col("tied_cls_b"), F.lit(1)).otherwise(F.least("left_a", "left_b"))
+    settled = pin(
+        mutual.join(tied("cls_a", "cls_b"), ["bucket", "cls_a"], "left")
+        .join(tied("cls_b", "cls_a"), ["bucket", "cls_b"], "left")
+        .select("bucket", "cls_a", "cls_b", "score", take.alias("take"))
     )
-    rivals_b = (
-        p.join(mutual.select("bucket", "cls_b", F.col("cls_a").alias("mine"), "top"), ["bucket", "cls_b"])
-        .filter((F.col("cls_a") != F.col("mine")) & (F.col("score") == F.col("top")))
-        .select("bucket", "cls_b").distinct().withColumn("tied_b", F.lit(True))
+    pick = lambda s: placed.filter(F.col("side") == s).select(
+        "bucket", F.col("cls").alias(f"cls_{s}"), "k", F.col("row_id").alias(f"id_{s}")
     )
     return (
-        mutual.join(heads_a, ["bucket", "cls_a"])
-        .join(heads_b, ["bucket", "cls_b"])
-        .join(rivals_a, ["bucket", "cls_a"], "left")
-        .join(rivals_b, ["bucket", "cls_b"], "left")
-        .select(
-            "bucket",
-            "cls_a",
-            "cls_b",
-            F.col("top").alias("score"),
-            F.col("used_a").alias("from_a"),
-            F.col("used_b").alias("from_b"),
-            F.when(F.col("tied_a") | F.col("tied_b"), F.lit(1))
-            .otherwise(F.least("left_a", "left_b"))
-            .cast("long")
-            .alias("take"),
-        )
-    )
-
-
-def _heads(members: DataFrame, used: DataFrame | None, side: str) -> DataFrame:
-    """Per class with rows left: rows used, rows left and the first unused row."""
-    size = members.groupBy("bucket", "cls").agg(F.max("k").alias("n"))
-    if used is None:
-        state = size.withColumn("used", F.lit(0).cast("long"))
-    else:
-        state = size.join(used, ["bucket", "cls"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
-    state = state.filter(F.col("used") < F.col("n")).withColumn("k", F.col("used") + 1)
-    return state.join(members, ["bucket", "cls", "k"]).select(
-        "bucket",
-        F.col("cls").alias(f"cls_{side}"),
-        F.col("used").alias(f"used_{side}"),
-        (F.col("n") - F.col("used")).alias(f"left_{side}"),
-        F.col("row_id").alias(f"head_{side}"),
+        settled.join(pick("a"), ["bucket", "cls_a"])
+        .filter(F.col("k") <= F.col("take"))
+        .join(pick("b"), ["bucket", "cls_b", "k"])
+        .select("bucket", "id_a", "id_b", "score")
     )
 
 
@@ -127,66 +104,48 @@ def greedy_match(
     """Match rows one to one from class pairs ``(bucket, cls_a, cls_b, score)``.
 
     ``classes_*`` hold ``(bucket, cls, row_id)``. Buckets with at most
-    ``limit`` pairs and rows are settled at once; larger ones take
-    rounds of mutually best pairs until they are small enough or done.
+    ``limit`` pairs and rows are settled at once; larger ones take rounds of
+    mutually best pairs until what is left of them is small enough.
     """
     pairs = pin(pairs)
-    both = (
+    rows = (
         classes_a.select("bucket", "cls", "row_id", F.lit("a").alias("side"))
         .unionByName(classes_b.select("bucket", "cls", "row_id", F.lit("b").alias("side")))
     )
-    # rows of classes that occur in no pair cannot match
-    live = (
-        pairs.select("bucket", F.col("cls_a").alias("cls"), F.lit("a").alias("side"))
-        .unionByName(pairs.select("bucket", F.col("cls_b").alias("cls"), F.lit("b").alias("side")))
-        .distinct()
-    )
-    rows = both.join(live, ["bucket", "cls", "side"], "left_semi")
-    weight = (
-        pairs.select("bucket").unionByName(rows.select("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("w"))
-    )
-    total, n_large = weight.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count_if(F.col("w") > limit)).first()
-    small_pairs, small_rows = pairs, rows
-    if n_large:
-        large = pin(weight.filter(F.col("w") > limit).select("bucket"))
-        small_pairs = pairs.join(large, "bucket", "left_anti")
-        small_rows = rows.join(large, "bucket", "left_anti")
-    bins = F.pmod(F.xxhash64("bucket"), F.lit(bin_count(pairs, total))).alias("bin")
-    out = (
-        small_pairs.select("*", bins).groupBy("bin")
-        .cogroup(fresh(small_rows.select("*", bins)).groupBy("bin"))
-        .applyInPandas(_settle, MATCH_SCHEMA)
-    )
-    if not n_large:
-        return out
-
-    todo = pin(pairs.join(large, "bucket", "left_semi"))
-    big = rows.join(large, "bucket", "left_semi")
-    mem_a = pin(_members(big.filter("side = 'a'"), block_rows))
-    mem_b = pin(_members(big.filter("side = 'b'"), block_rows))
-    used_a = used_b = None
+    out = None
     while True:
-        settled = pin(_one_round(todo, _heads(mem_a, used_a, "a"), _heads(mem_b, used_b, "b")))
-        if settled.isEmpty():
+        # rows of classes that occur in no pair cannot match
+        live = (
+            pairs.select("bucket", F.col("cls_a").alias("cls"), F.lit("a").alias("side"))
+            .unionByName(pairs.select("bucket", F.col("cls_b").alias("cls"), F.lit("b").alias("side")))
+            .distinct()
+        )
+        rows = rows.join(live, ["bucket", "cls", "side"], "left_semi")
+        weight = (
+            pairs.select("bucket").unionByName(rows.select("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("w"))
+        )
+        total, n_large = weight.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count_if(F.col("w") > limit)).first()
+        small_pairs, small_rows = pairs, rows
+        if n_large:
+            large = pin(weight.filter(F.col("w") > limit).select("bucket"))
+            rows = pin(rows)
+            small_pairs, small_rows = (d.join(large, "bucket", "left_anti") for d in (pairs, rows))
+        bins = F.pmod(F.xxhash64("bucket"), F.lit(bin_count(pairs, total))).alias("bin")
+        found = (
+            small_pairs.select("*", bins).groupBy("bin")
+            .cogroup(fresh(small_rows.select("*", bins)).groupBy("bin"))
+            .applyInPandas(_settle, MATCH_SCHEMA)
+        )
+        out = found if out is None else out.unionByName(found)
+        if not n_large:
             return out
-        a = settled.join(mem_a.withColumnRenamed("cls", "cls_a"), ["bucket", "cls_a"]).filter(
-            (F.col("k") > F.col("from_a")) & (F.col("k") <= F.col("from_a") + F.col("take"))
-        ).select("bucket", "cls_a", "cls_b", "score", (F.col("k") - F.col("from_a")).alias("o"), F.col("row_id").alias("id_a"))
-        b = settled.join(mem_b.withColumnRenamed("cls", "cls_b"), ["bucket", "cls_b"]).filter(
-            (F.col("k") > F.col("from_b")) & (F.col("k") <= F.col("from_b") + F.col("take"))
-        ).select("bucket", "cls_a", "cls_b", (F.col("k") - F.col("from_b")).alias("o"), F.col("row_id").alias("id_b"))
-        got = a.join(b, ["bucket", "cls_a", "cls_b", "o"]).select("bucket", "id_a", "id_b", "score")
+
+        pairs, rows = (d.join(large, "bucket", "left_semi") for d in (pairs, rows))
+        got = pin(_one_round(pairs, rows, block_rows))
         out = out.unionByName(got)
-        ua = settled.select("bucket", F.col("cls_a").alias("cls"), (F.col("from_a") + F.col("take")).alias("used"))
-        ub = settled.select("bucket", F.col("cls_b").alias("cls"), (F.col("from_b") + F.col("take")).alias("used"))
-        used_a = pin(_newer(used_a, ua))
-        used_b = pin(_newer(used_b, ub))
-        done_a = _heads(mem_a, used_a, "a").select("bucket", "cls_a")
-        done_b = _heads(mem_b, used_b, "b").select("bucket", "cls_b")
-        todo = pin(todo.join(done_a, ["bucket", "cls_a"], "left_semi").join(done_b, ["bucket", "cls_b"], "left_semi"))
-
-
-def _newer(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    if old is None:
-        return new
-    return old.unionByName(new).groupBy("bucket", "cls").agg(F.max("used").alias("used"))
+        spent = got.select("bucket", F.lit("a").alias("side"), F.col("id_a").alias("row_id")).unionByName(
+            got.select("bucket", F.lit("b").alias("side"), F.col("id_b").alias("row_id"))
+        )
+        rows = pin(rows.join(spent, ["bucket", "side", "row_id"], "left_anti"))
+        free = lambda s: rows.filter(F.col("side") == s).select("bucket", F.col("cls").alias(f"cls_{s}")).distinct()
+        pairs = pin(pairs.join(free("a"), ["bucket", "cls_a"], "left_semi").join(free("b"), ["bucket", "cls_b"], "left_semi"))
