@@ -236,11 +236,18 @@ def _match_large(files: DataFrame, bands) -> DataFrame:
 
 def compare_files(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("group", "filename")) -> DataFrame:
     """Status of every file of two artifact tables: SAME, MODIFIED, REMOVED or ADDED."""
-    a, b = _bucketed(a, list(keys)), _bucketed(b, list(keys))
+    texts = [d.select("artifact_id", "content") for d in (a, b)]
+    # digests are taken once; texts are read again only for files that have no identical partner
+    a, b = (pin(_bucketed(d, list(keys)).drop("content")) for d in (a, b))
     exact = pin(match_exact(a, b))
-    free_a = a.join(exact.select(F.col("id_a").alias("artifact_id")), "artifact_id", "left_anti")
-    free_b = b.join(exact.select(F.col("id_b").alias("artifact_id")), "artifact_id", "left_anti")
-    near = match_cosine(free_a, free_b)
+
+    def free(side: DataFrame, content: DataFrame, mine: str) -> DataFrame:
+        left = side.select("bucket", "artifact_id", "sha256").join(
+            exact.select(F.col(mine).alias("artifact_id")), "artifact_id", "left_anti"
+        )
+        return left.join(content, "artifact_id")
+
+    near = match_cosine(free(a, texts[0], "id_a"), free(b, texts[1], "id_b"))
     pairs = pin(exact.select("id_a", "id_b", F.lit(1.0).alias("score")).unionByName(near.select("id_a", "id_b", "score")))
 
     def side(df: DataFrame, s: str) -> DataFrame:

@@ -76,7 +76,7 @@ def top_and_bottom(df: DataFrame, value: str, n: int, keys: Sequence[str] = (),
 
 
 def rank_and_share(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank by value and share of the key's total."""
+    """Rank by value and share of the key's total; a derived ``df`` should be pinned, it is read more than once."""
     ranked = rank_rows(df, keys, value)
     total = df.groupBy(*keys).agg(F.sum(value).alias("__t"))
     if keys:

@@ -139,7 +139,7 @@ def chunk_lines(
         ready = placed.withColumn("first_row", F.lit(1)).withColumn("entry", F.lit(1)).withColumn("is_last", F.lit(True))
     else:
         ready = _with_entries(placed, tables, many, target, overlap, cap, block_rows)
-    chunks = ready.groupBy("filename", "group", "block").applyInPandas(emit, CHUNK_SCHEMA)
+    chunks = pin(ready.groupBy("filename", "group", "block").applyInPandas(emit, CHUNK_SCHEMA))
     numbered = number_rows(chunks, ["filename", "group"], ["block", "n"], number="__i", block=F.col("block"))
     return numbered.select(
         "filename", "group", (F.col("__i") - 1).cast("int").alias("chunk_index"), "row_start", "row_end", "text"

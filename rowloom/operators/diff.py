@@ -43,13 +43,9 @@ def table_rows(
 
 
 def normalised(rows: DataFrame, ignore_case: bool = False, trim_ws: bool = True) -> DataFrame:
-    """Add normalised cells, their joined text and the row hash."""
+    """Add normalised cells and the row hash."""
     norm = F.transform("cells", lambda c: text.norm_cell(c, ignore_case, trim_ws))
-    return (
-        rows.withColumn("norm", norm)
-        .withColumn("joined", F.array_join("norm", "\x1f"))
-        .withColumn("hash", F.sha1(F.col("joined")))
-    )
+    return rows.withColumn("norm", norm).withColumn("hash", F.sha1(F.array_join("norm", "\x1f")))
 
 
 def row_hash(cells: Column, ignore_case: bool = False, trim_ws: bool = True) -> Column:
@@ -173,7 +169,7 @@ def pair_similar(a: DataFrame, b: DataFrame, threshold: float = 0.65) -> DataFra
             df.select(
                 F.concat_ws("\x1f", F.col("block").cast("string"), "pair_id").alias("bk"),
                 "row_idx",
-                text.token_set(F.col("joined")).alias("toks"),
+                text.token_set(F.array_join("norm", "\x1f")).alias("toks"),
             ),
             "bk", "row_idx", "toks",
         )
@@ -220,18 +216,16 @@ def diff(
     pad_only)``. ``pad_only`` counts rows that pair up but differ only in how
     many empty cells close them.
     """
-    both = pin(
-        normalised(a, ignore_case, trim_ws).withColumn("side", F.lit("a"))
-        .unionByName(normalised(b, ignore_case, trim_ws).withColumn("side", F.lit("b")))
-    )
+    tag = lambda df, s: normalised(df, ignore_case, trim_ws).select("pair_id", F.lit(s).alias("side"), "row_idx", "norm", "hash")
+    both = pin(tag(a, "a").unionByName(tag(b, "b")))
     blocks = pin(_blocks(both.select("pair_id", "side", "row_idx", "hash"), mode))
-    open_rows = pin(both.drop("cells", "hash").join(blocks.filter(~F.col("equal")).drop("equal"), ["pair_id", "side", "row_idx"]))
+    open_rows = pin(both.drop("hash").join(blocks.filter(~F.col("equal")).drop("equal"), ["pair_id", "side", "row_idx"]))
     la, lb = (open_rows.filter(F.col("side") == s).drop("side") for s in ("a", "b"))
     pairs = pair_similar(la, lb, threshold).drop("score") if similarity_pairing else pair_positional(la, lb)
     pairs = pin(pairs)
 
     if width is None:
-        w = both.groupBy("pair_id").agg(F.max(F.size("cells")).alias("width"))
+        w = both.groupBy("pair_id").agg(F.max(F.size("norm")).alias("width"))
         widen = lambda df: df.join(w, "pair_id")
     else:
         widen = lambda df: df.withColumn("width", F.lit(width))

@@ -44,6 +44,8 @@ def number_rows(
     ``order`` must be total within a key. ``block`` is an optional column
     expression that never decreases along ``order`` (for example
     ``row_idx div 50000``); without it the rows are range-partitioned first.
+    With ``block`` the input is read twice, the second time for keys, block and
+    summands only, so a costly one should be pinned by the caller.
     """
     sums = sums or {}
     keys = list(keys)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators import analysis
 from rowloom.reports.registry import report, table
+from rowloom.session import pin
 
 
 def rounded(df, *cols, digits=4):
@@ -50,14 +51,14 @@ def extreme_orders(spark, d):
 
 @report("""WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, n, rank() OVER (ORDER BY n DESC) AS rank, round(n / sum(n) OVER ()::DOUBLE, 8) AS share FROM t""")
 def customer_ranks(spark, d):
-    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    per = pin(table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
     return rounded(analysis.rank_and_share(per, "n"), "share", digits=8)
 
 
 @report("""WITH t AS (SELECT l_returnflag, l_suppkey, sum(l_quantity)::BIGINT AS n FROM lineitem GROUP BY 1, 2)
 SELECT l_returnflag, l_suppkey, n, rank() OVER (PARTITION BY l_returnflag ORDER BY n DESC) AS rank, round(n / sum(n) OVER (PARTITION BY l_returnflag)::DOUBLE, 8) AS share FROM t""")
 def supplier_ranks(spark, d):
-    per = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("n"))
+    per = pin(table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("n")))
     return rounded(analysis.rank_and_share(per, "n", ["l_returnflag"]), "share", digits=8)
 
 
