@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming, text
-from rowloom.plans.matching import MATCH_SCHEMA, greedy_match
+from rowloom.plans.matching import MATCH_SCHEMA, bin_count, greedy_match
 from rowloom.plans.ranking import number_rows
 from rowloom.plans.similarity import cosine_pairs, term_suffixes
 from rowloom.session import fresh, pin
@@ -21,6 +21,7 @@ ADDED_MESSAGE = "➕ Present in Side B only."
 
 SMALL_FILES = 200  # per side and bucket
 SMALL_TERMS = 500_000  # term rows per bucket
+TERM_CHARS = 4  # characters a term row stands for at least
 BANDS = (0.8, 0.5, 0.25, 0.0)
 ID_BLOCK = 100_000
 
@@ -128,28 +129,35 @@ def match_exact(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _match_small(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Greedy cosine pairs of one small bucket; pairs without a common term are left out."""
+    """Greedy cosine pairs of a bin of small buckets; pairs without a common term are left out."""
     found = []
-    if len(a) and len(b):
-        codes, _ = pd.factorize(np.concatenate([a.term.to_numpy(object), b.term.to_numpy(object)]))
-        a = a.assign(code=codes[: len(a)])
-        b = b.assign(code=codes[len(a):])
-        ids_b, doc_b = np.unique(b.row_id.to_numpy(), return_inverse=True)
-        norm_b = b.groupby("row_id").norm.first().reindex(ids_b).to_numpy()
-        tf_b, code_b = b.tf.to_numpy(float), b.code.to_numpy()
+    codes, terms = pd.factorize(np.concatenate([a.term.to_numpy(object), b.term.to_numpy(object)]))
+    code_a, code_b = codes[: len(a)], codes[len(a):]
+    tf_a, tf_b = a.tf.to_numpy(float), b.tf.to_numpy(float)
+    id_a, id_b = a.row_id.to_numpy(), b.row_id.to_numpy()
+    norm_a, norm_b = a.norm.to_numpy(), b.norm.to_numpy()
+    right = b.groupby("bucket").indices
+    weight = np.zeros(len(terms))
+    for bucket, rows_a in a.groupby("bucket").indices.items():
+        rows_b = right.get(bucket)
+        if rows_b is None:
+            continue
+        ids_b, first_b, doc_b = np.unique(id_b[rows_b], return_index=True, return_inverse=True)
+        norms_b = norm_b[rows_b][first_b]
         cand = []
-        for id_a, doc in a.groupby("row_id"):
-            w = np.zeros(codes.max() + 1)
-            w[doc.code.to_numpy()] = doc.tf.to_numpy(float)
-            dot = np.bincount(doc_b, weights=w[code_b] * tf_b, minlength=len(ids_b))
-            sim = dot / (doc.norm.iloc[0] * norm_b)
-            cand.extend((-s, id_a, j) for s, j in zip(sim[dot > 0], ids_b[dot > 0]))
+        for i in np.unique(id_a[rows_a]):
+            mine = rows_a[id_a[rows_a] == i]
+            weight[code_a[mine]] = tf_a[mine]
+            dot = np.bincount(doc_b, weights=weight[code_b[rows_b]] * tf_b[rows_b], minlength=len(ids_b))
+            weight[code_a[mine]] = 0
+            sim = dot / (norm_a[mine[0]] * norms_b)
+            cand.extend((-s, i, j) for s, j in zip(sim[dot > 0], ids_b[dot > 0]))
         used_a, used_b = set(), set()
         for neg, i, j in sorted(cand):
             if i not in used_a and j not in used_b:
                 used_a.add(i)
                 used_b.add(j)
-                found.append((key[0], i, j, -neg))
+                found.append((bucket, i, j, -neg))
     return pd.DataFrame(found, columns=["bucket", "id_a", "id_b", "score"])
 
 
@@ -159,7 +167,7 @@ def match_cosine(
     """Greedy one-to-one pairs by cosine; with no threshold, so dissimilar files pair too.
 
     ``a`` and ``b`` hold ``(bucket, artifact_id, sha256, content)``. Small
-    buckets are settled in one bounded group. In large ones the pairs are found
+    buckets are settled in bins of bounded size. In large ones the pairs are found
     band by band from the most similar down; whatever shares no term is paired
     in order of appearance.
     """
@@ -175,19 +183,21 @@ def match_cosine(
             F.sum(F.length("content")).alias("chars"),
         )
         .filter("n_a > 0 and n_b > 0")
-        .withColumn("small", F.expr(f"n_a <= {small_files} and n_b <= {small_files} and chars <= {small_terms} * 4"))
+        .withColumn("small", F.expr(f"n_a <= {small_files} and n_b <= {small_files} and chars <= {small_terms} * {TERM_CHARS}"))
     )
     both = pin(both.join(sizes.select("bucket", "small"), "bucket"))
+    chars = both.filter("small").agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    bins = F.pmod(F.xxhash64("bucket"), F.lit(bin_count(both, chars // TERM_CHARS))).alias("bin")
     vec = (
         both.select("side", "bucket", "small", F.col("artifact_id").alias("row_id"), F.explode(text.tokens(F.col("content"))).alias("term"))
         .groupBy("side", "bucket", "small", "row_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     norms = vec.groupBy("side", "row_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    small = vec.filter("small").join(norms, ["side", "row_id"]).select("side", "bucket", "row_id", "term", "tf", "norm")
+    small = vec.filter("small").join(norms, ["side", "row_id"]).select("side", "bucket", "row_id", "term", "tf", "norm", bins)
     pick = lambda d, s: d.filter(F.col("side") == s)
     similar = (
-        pick(small, "a").groupBy("bucket").cogroup(fresh(pick(small, "b")).groupBy("bucket")).applyInPandas(_match_small, MATCH_SCHEMA)
+        pick(small, "a").groupBy("bin").cogroup(fresh(pick(small, "b")).groupBy("bin")).applyInPandas(_match_small, MATCH_SCHEMA)
     )
     large = both.filter(~F.col("small")).select("side", "bucket", "sha256", "artifact_id", "content")
     if not large.isEmpty():

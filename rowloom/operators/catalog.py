@@ -203,11 +203,14 @@ def unique_names(files: DataFrame, path: str = "path", ext: str = ".csv") -> Dat
     base = files.withColumn("__base", flat_name(F.col(path), ext))
     placed = number_rows(base, ["__base"], [path], number="__k")
     bare = F.regexp_replace("__base", r"\.[^.]+$", "")
+    shared = base.groupBy("__base").agg(_count().alias("n")).filter("n > 1").select("__base")
     taken = (
         base.select("__base").distinct()
         .select(F.regexp_extract(bare, r"^(.*)_(\d{1,9})$", 1).alias("b"), F.regexp_extract(bare, r"^(.*)_([1-9]\d{0,8})$", 2).alias("n"))
         .filter("b <> '' and n <> ''")
-        .groupBy(F.concat("b", F.lit(ext)).alias("__base"))
+        .withColumn("__base", F.concat("b", F.lit(ext)))
+        .join(shared, "__base", "left_semi")
+        .groupBy("__base")
         .agg(F.array_sort(F.collect_set(F.col("n").cast("long"))).alias("__taken"))
     )
     number = F.aggregate(
