@@ -40,7 +40,9 @@ def main() -> None:
 
     spark = local_session(cpus, "rowloom-bench", memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{folder}/nation.parquet").count()
+    # start the JVM code paths and Python workers before the clock does
+    QUERIES["nearest_vectors"](spark, folder).count()
+    QUERIES["sorted_table"](spark, folder).count()
     times = {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()

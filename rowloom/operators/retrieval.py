@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text
 from rowloom.plans.ranking import top_rows
-from rowloom.session import fresh
+from rowloom.session import fresh, pin, small_side
 
 # Fixed values.
 RRF_K = 60
@@ -135,6 +135,12 @@ def hybrid(semantic: Column, lexical: Column) -> Column:
     return SEMANTIC_WEIGHT * semantic + LEXICAL_WEIGHT * lexical
 
 
+def hit_texts(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of the documents that were hit; a bounded set of ids travels to the documents."""
+    ids = hits.select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")
+
+
 def score_hits(hits: DataFrame, queries: DataFrame, docs: DataFrame, query_text: str = "text", doc_text: str = "text") -> DataFrame:
     """Lexical and hybrid score of vector hits; only hits meet their texts."""
     q = queries.select("query_id", text.query_tokens(F.col(query_text)).alias("__qt"))
@@ -216,7 +222,7 @@ def retrieve(
     if group:
         docs = docs.filter(F.col("group") == group)
     fetch = max(k, int(k * 1.5)) if intent in BROAD_INTENTS else k
-    keyed = query_lists.withColumn("qk", F.to_json(F.struct("query_id", "list_id")))
+    keyed = pin(query_lists.withColumn("qk", F.to_json(F.struct("query_id", "list_id"))))
     names = keyed.select("qk", "query_id", "list_id")
     chunks = docs.filter(F.col("doc_type") == "chunk")
     hits = top_k(keyed, chunks, fetch, query_id="qk").join(names, "qk").drop("qk")
@@ -227,11 +233,13 @@ def retrieve(
         extra = top_k(own, sums, TOP_K_SUMMARY, query_id="qk").join(names, "qk").drop("qk")
         last = F.lit(2_000_000_000).cast(dict(query_lists.dtypes)["list_id"])
         hits = hits.unionByName(extra.withColumn("list_id", last).withColumn("weight", F.lit(SUMMARY_WEIGHT)))
-    fused = rrf(score_hits(hits, queries, docs))
+    hits = pin(hits)
+    texts = pin(hit_texts(hits, docs))
+    fused = rrf(score_hits(hits, queries, texts))
     if not diversify:
         return fused.select("query_id", "doc_id", "score")
     diversity = 0.25 if intent in CONTRAST_INTENTS else 0.15
-    return mmr(fused, docs, k, diversity).filter(F.col("rank") < k)
+    return mmr(fused, texts, k, diversity).filter(F.col("rank") < k)
 
 
 def format_block(hits: DataFrame) -> DataFrame:
