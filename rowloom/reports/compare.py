@@ -200,7 +200,7 @@ def sides(spark, d):
 FILES = r"""
 WITH RECURSIVE
 f AS (SELECT doc_id, doc_id % 2 AS side, lang AS grp, source || '.csv' AS fn, lang || '/' || doc_id || '/' || source || '.csv' AS path, text, sha256(text) AS sha,
-        len(string_split(text, chr(10))) - 1 AS rws, len(string_split(string_split(text, chr(10))[1], ',')) AS cls FROM documents),
+        len(string_split(text, chr(10))) - 1 AS rws, len(string_split(string_split(text, chr(10))[1], ','))::INT AS cls FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY side, grp, fn, sha ORDER BY doc_id) AS occ FROM f),
 ex AS (SELECT a.doc_id AS ia, b.doc_id AS ib FROM o a JOIN o b ON a.side = 0 AND b.side = 1 AND a.grp = b.grp AND a.fn = b.fn AND a.sha = b.sha AND a.occ = b.occ),
 ra AS (SELECT * FROM f WHERE side = 0 AND doc_id NOT IN (SELECT ia FROM ex)), rb AS (SELECT * FROM f WHERE side = 1 AND doc_id NOT IN (SELECT ib FROM ex)),
