@@ -30,5 +30,5 @@ def test_agrees_with_sql(spark, data, con, name):
 def test_entry_points():
     import __spark_entry__ as e
 
-    assert e.queries().keys() == QUERIES.keys()
-    assert e.oracle_sql() == SQL
+    assert e.queries().keys() >= QUERIES.keys()
+    assert e.oracle_sql().items() >= SQL.items()
