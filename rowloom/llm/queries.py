@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import line_rules
+from rowloom.llm import line_rules, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +26,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op8_line_rules(spark, folder):
     """Base measures and the line-frequency verdict of every document."""
     return line_rules.line_rules(documents(spark, folder))
+
+
+@query
+def op4_substring_dedup(spark, folder):
+    """Words left of every document once windows of 35 words that occur elsewhere are gone."""
+    return substrings.substring_dedup(documents(spark, folder))
