@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import line_rules, substrings
+from rowloom.llm import line_rules, substrings, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op8_line_rules(spark, folder):
 def op4_substring_dedup(spark, folder):
     """Words left of every document once windows of 35 words that occur elsewhere are gone."""
     return substrings.substring_dedup(documents(spark, folder))
+
+
+@query
+def op7_weighted_minhash(spark, folder):
+    """The near-duplicate class of every document and how many other texts it is linked to."""
+    return weighted_minhash.near_duplicates(documents(spark, folder))
