@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import line_rules, substrings, weighted_minhash
+from rowloom.llm import id_shards, line_rules, substrings, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +39,10 @@ def op4_substring_dedup(spark, folder):
 def op7_weighted_minhash(spark, folder):
     """The near-duplicate class of every document and how many other texts it is linked to."""
     return weighted_minhash.near_duplicates(documents(spark, folder))
+
+
+@query
+def op10_id_shards(spark, folder):
+    """Ids of every document, written to indexed shards and read back by key."""
+    where, manifest = id_shards.write_shards(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return id_shards.read_shards(where, manifest)
