@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import id_shards, line_rules, substrings, weighted_minhash
+from rowloom.llm import byte_bpe, id_shards, line_rules, mixture_packing, substrings, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,15 @@ def op10_id_shards(spark, folder):
     """Ids of every document, written to indexed shards and read back by key."""
     where, manifest = id_shards.write_shards(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return id_shards.read_shards(where, manifest)
+
+
+@query
+def op9_byte_bpe(spark, folder):
+    """Ids of every document by a rank file, and the text decoded from them, as digests."""
+    return byte_bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op5_mixture_packing(spark, folder):
+    """Where each piece of every document lies in sequences of 2048 tokens, mixed by source."""
+    return mixture_packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
