@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, id_shards, line_rules, mixture_packing, substrings, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, id_shards, line_rules, mixture_packing, substrings, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,11 @@ def op9_byte_bpe(spark, folder):
 def op5_mixture_packing(spark, folder):
     """Where each piece of every document lies in sequences of 2048 tokens, mixed by source."""
     return mixture_packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_compression_quality(spark, folder):
+    """The quality score of every document by compression against good and bad text."""
+    docs = documents(spark, folder)
+    model = compression_quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return compression_quality.score(docs, model)
