@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, id_shards, line_rules, mixture_packing, substrings, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,10 @@ def op1_compression_quality(spark, folder):
     docs = documents(spark, folder)
     model = compression_quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return compression_quality.score(docs, model)
+
+
+@query
+def op3_language_crf(spark, folder):
+    """The language of every document from the posteriors of its words."""
+    docs = documents(spark, folder)
+    return language_crf.predict(docs, language_crf.fit(docs))
