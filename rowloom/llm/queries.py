@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_fingerprints, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op3_language_crf(spark, folder):
     """The language of every document from the posteriors of its words."""
     docs = documents(spark, folder)
     return language_crf.predict(docs, language_crf.fit(docs))
+
+
+@query
+def op6_weighted_fingerprints(spark, folder):
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return weighted_fingerprints.edited_fingerprints(documents(spark, folder))
