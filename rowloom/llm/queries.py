@@ -7,60 +7,66 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_fingerprints, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_fingerprints, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn):
-    """List a query under its name."""
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    """List a query under its name, with the SQL that states its result."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql.strip()
+        return fn
+
+    return add
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-@query
+@query()
 def op8_line_rules(spark, folder):
     """Base measures and the line-frequency verdict of every document."""
     return line_rules.line_rules(documents(spark, folder))
 
 
-@query
+@query()
 def op4_substring_dedup(spark, folder):
     """Words left of every document once windows of 35 words that occur elsewhere are gone."""
     return substrings.substring_dedup(documents(spark, folder))
 
 
-@query
+@query()
 def op7_weighted_minhash(spark, folder):
     """The near-duplicate class of every document and how many other texts it is linked to."""
     return weighted_minhash.near_duplicates(documents(spark, folder))
 
 
-@query
+@query()
 def op10_id_shards(spark, folder):
     """Ids of every document, written to indexed shards and read back by key."""
     where, manifest = id_shards.write_shards(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return id_shards.read_shards(where, manifest)
 
 
-@query
+@query()
 def op9_byte_bpe(spark, folder):
     """Ids of every document by a rank file, and the text decoded from them, as digests."""
     return byte_bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-@query
+@query()
 def op5_mixture_packing(spark, folder):
     """Where each piece of every document lies in sequences of 2048 tokens, mixed by source."""
     return mixture_packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query
+@query()
 def op1_compression_quality(spark, folder):
     """The quality score of every document by compression against good and bad text."""
     docs = documents(spark, folder)
@@ -68,14 +74,30 @@ def op1_compression_quality(spark, folder):
     return compression_quality.score(docs, model)
 
 
-@query
+@query()
 def op3_language_crf(spark, folder):
     """The language of every document from the posteriors of its words."""
     docs = documents(spark, folder)
     return language_crf.predict(docs, language_crf.fit(docs))
 
 
-@query
+@query()
 def op6_weighted_fingerprints(spark, folder):
     """Fingerprints of every document and its edited text, and how alike they are."""
     return weighted_fingerprints.edited_fingerprints(documents(spark, folder))
+
+
+@query("""
+WITH r AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h2 FROM documents),
+b AS (SELECT *, lpad(bin(h), 60, '0') || lpad(bin(h2), 60, '0') AS bits FROM r),
+c AS (SELECT bits, sum(n) AS n, count(*) AS m FROM b GROUP BY 1),
+t AS (SELECT depth, bits[1:depth] AS shard, sum(n)::BIGINT AS bytes, sum(m)::BIGINT AS docs, sum(n) > 16777216 AND min(bits) <> max(bits) AS splits
+  FROM c, range(0, 121) d(depth) GROUP BY 1, 2),
+s AS (SELECT x.* FROM t x LEFT JOIN t y ON y.depth = x.depth - 1 AND y.shard = x.shard[1:x.depth - 1] WHERE NOT x.splits AND (x.depth = 0 OR y.splits))
+SELECT doc_id, n::BIGINT AS n_bytes, depth::INT AS depth, shard, bytes AS shard_bytes, docs AS shard_docs, bytes > 16777216 AS oversized
+FROM b JOIN s ON bits[1:depth] = shard
+""")
+def op2_hash_shards(spark, folder):
+    """The shard of every document under a limit of 16 MiB."""
+    return hash_shards.hash_shards(documents(spark, folder))
