@@ -55,7 +55,7 @@ def lowered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slots(values: np.ndarray, kind: int) -> np.ndarray:
-    return (spans.mix(values + np.uint64(kind + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return (spans.mix(values + spans.salt(kind + 1)) >> np.uint64(48)).astype(np.int64)
 
 
 @dataclass

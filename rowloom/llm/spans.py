@@ -94,6 +94,11 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
+def salt(n: int) -> np.uint64:
+    """A 64-bit constant for the ``n``-th of several hashes of one value."""
+    return np.uint64((n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of a 64-bit hash."""
     h = h ^ (h >> np.uint64(30))
