@@ -105,7 +105,7 @@ def check_packing(docs, tokenizer, window=2048, **kw):
     # ids in pieces put together by document; equal ids are told apart by their runs of pieces
     by_doc = collections.defaultdict(list)
     for r in got:
-        ids = np.frombuffer(r.ids, "<u2").tolist()
+        ids = np.frombuffer(r.ids, "<u4").tolist()
         assert r.length == len(ids) >= 1 and r.ids_crc32 == crc(ids)
         by_doc[r.doc_id].append((r.start, ids, r.doc_tokens))
     for i, parts in by_doc.items():
@@ -137,7 +137,7 @@ def test_packing_of_documents(spark, data, tokenizer):
             assert abs(held[w, s] - 512 * n / total) <= len(tokens) + 8
     packed = mixture_packing.sequences(pieces).collect()
     assert sorted(r.sequence_id for r in packed) == list(range(last + 1))
-    assert all(len(r.ids) == 2 * r.length and (r.length == 512 or r.sequence_id == last) for r in packed)
+    assert all(len(r.ids) == 4 * r.length and (r.length == 512 or r.sequence_id == last) for r in packed)
 
 
 def test_shares_and_shared_queues(spark, data, tokenizer, monkeypatch):
