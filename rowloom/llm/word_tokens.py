@@ -1,8 +1,10 @@
 """Token ids of whole texts by a tokenizer file of the tokenizers library, word by word.
 
 The word tokenizers used here drop white space and never merge over it, so the
-ids of a text are those of its words in order. Words repeat; each task keeps the
-ids of the words it has seen, up to a bound, and asks the library for the others.
+ids of a text are those of its words in order. The words of a batch of texts are
+told apart by their hashes; each different one is looked up once among the words
+that the task has seen, up to a bound, or given to the library, and the ids are
+then laid out for all words at once.
 """
 
 from __future__ import annotations
@@ -12,22 +14,25 @@ import sys
 from array import array
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+
+from rowloom.llm import spans
 
 #: words whose ids a task keeps
 KEPT_WORDS = 1_200_000
 
 #: Latin letters and closing marks, the apostrophe aside: two pieces for the tokenizer
 _LATIN_WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: what ``str.split`` takes for white space and the library does not
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
-
-
-def _split(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if any(c in text for c in _NOT_SPACE):
-        return [w for w in re.split("[ \n]+", text) if w]
-    return text.split()
+def _folded(text: str | None) -> str | None:
+    """Latin text in lower case, which the tokenizer would make of it too; other text as it is, and special tokens."""
+    if not text or "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class WordEncoder:
@@ -42,10 +47,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kept = kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_word = self._words_suffice()
+        self.folds = self._folds()
         # bytes as the characters that a byte-level vocabulary writes them with
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -58,6 +64,11 @@ class WordEncoder:
         both = [self.tokenizer.encode(a + gap + b, add_special_tokens=False).ids for gap in (" ", "\n", " \t ")]
         return all(x == one[0] + one[1] for x in both)
 
+    def _folds(self) -> bool:
+        """Case does not matter: true of tokenizers that make lower case of all text."""
+        a, b = ([e.ids for e in self.tokenizer.encode_batch([x, y], add_special_tokens=False)] for x, y in (("Some CASE ÀÖÞ.", "some case àöþ."), ("µßÿ I'LL", "µßÿ i'll")))
+        return a[0] == a[1] and b[0] == b[1]
+
     def _pack(self, ids) -> bytes:
         packed = array("H" if self.dtype.itemsize == 2 else "I", ids)
         if sys.byteorder == "big":
@@ -71,21 +82,21 @@ class WordEncoder:
             low = "".join([self.shown[b] for b in low.encode()])
         return self._pack([t.id for t in self.model.tokenize(low)])
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not seen yet. Letters and closing punctuation are separate pieces."""
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not seen yet. Letters and the marks behind them are separate pieces."""
         got, odd, cores = {}, [], {}
         parts = _LATIN_WORD.fullmatch
         for w in words:
-            m = parts(w)
+            m = parts(w.decode())
             if m:
                 core, tail = m.groups()
                 ids = cores.get(core)
                 if ids is None:
-                    ids = cores[core] = self.known.get(core) or self._latin(core)
+                    ids = cores[core] = self.known.get(core.encode()) or self._latin(core)
                 got[w] = ids + self._tail(tail) if tail else ids
             else:
                 odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
             got[w] = self._pack(e.ids)
         return got
 
@@ -99,14 +110,29 @@ class WordEncoder:
         """The packed ids of every text; a null text is an empty one."""
         if not self.by_word:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [_split(t) for t in texts]
-        seen: set[str] = set().union(*split)
-        new = seen - self.known.keys()
+        folded = pa.array([_folded(t) if self.folds else t for t in texts], pa.large_string())
+        data, bounds = spans.flat(folded)
+        starts, ends, wb = spans.words(data, bounds)
+        code, _ = pd.factorize(spans.span_hashes(data, starts, ends))
+        n = int(code.max()) + 1 if len(code) else 0
+        first = np.empty(n, dtype=np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        body = data.tobytes()
+        words = [body[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.kept:
-            new, self.known, self.tails = seen, {}, {}
+            new, self.known, self.tails = words, {}, {}
         self.known.update(self._learn(new))
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        packed = [self.known[w] for w in words]
+        # ids of the different words side by side, then of all words
+        size = np.array([len(p) for p in packed], dtype=np.int64) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(packed), self.dtype)
+        begin = np.cumsum(size) - size
+        count = size[code]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        laid = ids[np.repeat(begin[code] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        cut = (upto[wb] * self.dtype.itemsize).tolist()
+        return [laid[a:b] for a, b in zip(cut, cut[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
