@@ -9,6 +9,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
@@ -34,58 +35,122 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2] if "}" in tag else tag
 
 
-def _is_element(node: ET.Element) -> bool:
-    return isinstance(node.tag, str)
+@dataclass
+class Nodes:
+    """A document as columns, one entry per element in document order.
 
+    ``stops`` has the first element behind each one. ``events`` lists starts (an
+    element's number), ends (its complement) and comments (the comment itself);
+    an element's content lies between its ``opened`` and ``closed`` event.
+    """
 
-def _parse(content) -> ET.Element | None:
-    """Root element, comments kept as nodes; None for what is no well-formed XML."""
+    tags: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    elements: list[ET.Element] = field(default_factory=list)
+    opened: list[int] = field(default_factory=list)
+    closed: list[int] = field(default_factory=list)
+    stops: list[int] = field(default_factory=list)
+    events: list[int | ET.Element] = field(default_factory=list)
+
+    def inside(self, i: int) -> range:
+        """The element and all below it."""
+        return range(i, self.stops[i])
+
+    def children(self, i: int) -> list[int]:
+        out, at = [], i + 1
+        while at < self.stops[i]:
+            out.append(at)
+            at = self.stops[at]
+        return out
+
+
+class _Reader(ET.TreeBuilder):
+    """Builds the tree and, along with it, its columns. Comments are nodes of the tree but not of the columns."""
+
+    def __init__(self):
+        super().__init__(insert_comments=True, insert_pis=True)
+        self.nodes, self.path = Nodes(), [-1]
+
+    def start(self, tag, attrs):
+        n, element = self.nodes, super().start(tag, attrs)
+        at = len(n.tags)
+        n.tags.append(_local(tag))
+        n.parents.append(self.path[-1])
+        n.elements.append(element)
+        n.opened.append(len(n.events))
+        n.closed.append(-1)
+        n.stops.append(-1)
+        n.events.append(at)
+        self.path.append(at)
+        return element
+
+    def end(self, tag):
+        at = self.path.pop()
+        self.nodes.closed[at] = len(self.nodes.events)
+        self.nodes.stops[at] = len(self.nodes.tags)
+        self.nodes.events.append(~at)
+        return super().end(tag)
+
+    def comment(self, text):
+        made = super().comment(text)
+        self.nodes.events.append(made)
+        return made
+
+    def pi(self, target, text=None):
+        made = super().pi(target, text)
+        self.nodes.events.append(made)
+        return made
+
+
+def _parse(content) -> Nodes | None:
+    """The document's elements; None for what is no well-formed XML."""
     if content is None:
         return None
-    parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True))
+    reader = _Reader()
     try:
-        return ET.fromstring(content if isinstance(content, str) else bytes(content), parser)
+        ET.fromstring(content if isinstance(content, str) else bytes(content), ET.XMLParser(target=reader))
     except (ET.ParseError, ValueError, LookupError):
         return None
+    return reader.nodes
 
 
-def _choose(root: ET.Element, tag: str | None, auto: bool) -> tuple[str, list[ET.Element]]:
-    """Record elements: those of the tag, else the first repeated child tag, else all children."""
+def _choose(doc: Nodes, tag: str | None, auto: bool) -> tuple[str, list[int]]:
+    """Record elements: those of the tag, else the first child tag that occurs again, else all children; the root if none."""
     if tag:
-        named = [e for e in root.iter() if _is_element(e) and _local(e.tag) == tag]
-        return tag, named or [root]
-    children = [c for c in root if _is_element(c)]
-    if auto:
-        many = Counter(_local(c.tag) for c in children)
-        for name, n in many.items():
-            if n > 1:
-                return f"AUTO:{name}", [c for c in children if _local(c.tag) == name]
-    return "FALLBACK:root_children", children or [root]
+        label, found = tag, [i for i, t in enumerate(doc.tags) if t == tag]
+    else:
+        label, found = "FALLBACK:root_children", doc.children(0)
+        again = {t for t, n in Counter(doc.tags[i] for i in found).items() if n > 1} if auto else set()
+        name = next((doc.tags[i] for i in found if doc.tags[i] in again), None)
+        if name is not None:
+            label, found = f"AUTO:{name}", [i for i in found if doc.tags[i] == name]
+    return label, found or [0]
 
 
-def _fields(record: ET.Element, sep: str, include_root: bool, max_len: int | None) -> dict[str, str]:
-    """Paths and values of one record in document order.
+def _fields(doc: Nodes, record: int, sep: str, include_root: bool, max_len: int | None) -> dict[str, str]:
+    """Paths and values of one record in document order; of equal paths the first counts.
 
-    Siblings of one tag are numbered from the last, which carries no number.
+    Siblings of one tag are numbered from the last, which carries no number:
+    the number is how many of them are still to come, itself included.
     """
+    own = doc.inside(record)
+    left = Counter((doc.parents[i], doc.tags[i]) for i in own)
+    paths = {record: doc.tags[record] if include_root else ""}
     out: dict[str, str] = {}
-    todo = [(record, _local(record.tag) if include_root else "")]
-    while todo:
-        node, path = todo.pop()
-        if path:
-            for name, value in node.attrib.items():
-                out.setdefault(f"{path}@{name}", value[:max_len])
-        if len(node) == 0:
-            if path:
-                out.setdefault(path, (node.text or "").strip()[:max_len])
+    for i in own:
+        if i != record:
+            kin = doc.parents[i], doc.tags[i]
+            number = f"[{left[kin]}]" if left[kin] > 1 else ""
+            left[kin] -= 1
+            paths[i] = sep.join(filter(None, (paths[kin[0]], kin[1]))) + number
+        path, element = paths[i], doc.elements[i]
+        if not path:
             continue
-        below, seen = [], Counter()
-        for child in reversed(node):
-            if _is_element(child):
-                key = f"{path}{sep}{_local(child.tag)}" if path else _local(child.tag)
-                seen[key] += 1
-                below.append((child, key if seen[key] == 1 else f"{key}[{seen[key]}]"))
-        todo.extend(below)
+        pairs = [(f"{path}@{name}", value) for name, value in element.attrib.items()]
+        if not len(element):
+            pairs.append((path, (element.text or "").strip()))
+        for name, value in pairs:
+            out.setdefault(name, value[:max_len])
     return out
 
 
@@ -97,13 +162,13 @@ def flatten(
     auto: bool = True,
     sep: str = ".",
     include_root: bool = False,
-    max_len: int | None = 300,
+    max_len: int | None = None,
 ) -> DataFrame:
     """Records of every document plus one summary row per document.
 
     Record rows carry ``record_idx, record_tag, field_order, fields``; the
     summary row has ``record_idx`` null and ``rows, columns, error``. Values
-    are cut at ``max_len`` characters as the flat format has it; None keeps all.
+    are whole unless ``max_len`` cuts them.
     """
     kept = df.select(*keys, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
@@ -130,11 +195,11 @@ def flatten(
         for batch in batches:
             rows, held = [], 0
             for at, doc in enumerate(batch.column(content)):
-                root, n, header = _parse(doc.as_py()), 0, set()
-                if root is not None:
-                    tag, found = _choose(root, record_tag, auto)
+                tree, n, header = _parse(doc.as_py()), 0, set()
+                if tree is not None:
+                    tag, found = _choose(tree, record_tag, auto)
                     for record in found:
-                        flat = _fields(record, sep, include_root, max_len)
+                        flat = _fields(tree, record, sep, include_root, max_len)
                         if flat:
                             rows.append((at, n, tag, list(flat), list(flat.items()), None, None, None))
                             header.update(flat)
@@ -161,10 +226,10 @@ def outcomes(flat: DataFrame) -> DataFrame:
     return done.drop("record_idx", "record_tag", "field_order", "fields").withColumn("success", F.col("error").isNull())
 
 
-def convert(inventory: DataFrame, groups: list[str] | None = None, keys: tuple[str, ...] = ("path", "group")) -> DataFrame:
+def convert(inventory: DataFrame, groups: list[str] | None = None, keys: tuple[str, ...] = ("path", "group"), **options) -> DataFrame:
     """Flatten the documents of the chosen groups; a bad one gives an error row, not a failed job."""
     chosen = inventory.filter(F.col("group").isin(groups)) if groups else inventory
-    return flatten(chosen, list(keys))
+    return flatten(chosen, list(keys), **options)
 
 
 def header_of(recs: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,20 +252,19 @@ def elements(df: DataFrame, keys: list[str], content: str = "content") -> DataFr
     kept = df.select(*keys, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
 
-    def walk(root: ET.Element) -> Iterator[tuple[int, str]]:
-        todo = [(root, 1)]
-        while todo:
-            node, depth = todo.pop()
-            yield depth, _local(node.tag)
-            todo.extend((c, depth + 1) for c in reversed(node) if _is_element(c))
+    def walk(doc: Nodes) -> Iterator[tuple[int, str]]:
+        depths = {-1: 0}
+        for i, tag in enumerate(doc.tags):
+            depths[i] = depths[doc.parents[i]] + 1
+            yield depths[i], tag
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for *key, doc in pdf[[*keys, content]].itertuples(index=False, name=None):
-                root = _parse(doc)
-                if root is not None:
-                    rows.extend((*key, n, depth, tag) for n, (depth, tag) in enumerate(walk(root)))
+                tree = _parse(doc)
+                if tree is not None:
+                    rows.extend((*key, n, depth, tag) for n, (depth, tag) in enumerate(walk(tree)))
                 if len(rows) >= 50_000:
                     yield pd.DataFrame(rows, columns=[*keys, "seq", "depth", "tag"])
                     rows = []
@@ -213,14 +277,14 @@ def tag_counts(elems: DataFrame, keys: list[str]) -> DataFrame:
     return elems.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def guess_record_tag(elems: DataFrame, keys: list[str], sample: int = 1001, least: int = 5) -> DataFrame:
-    """Likely record tag per document from its first elements.
+def guess_record_tag(elems: DataFrame, keys: list[str], sample: int | None = None, least: int = 5) -> DataFrame:
+    """Likely record tag per document from its elements, or from the first ``sample`` of them.
 
     Candidates first occur at depth 2 to 4 and more than ``least`` times; a
     common record name wins over a more frequent other one.
     """
     stats = (
-        elems.filter(F.col("seq") < sample)
+        (elems if sample is None else elems.filter(F.col("seq") < sample))
         .groupBy(*keys, "tag")
         .agg(F.count(F.lit(1)).alias("n"), F.min_by("depth", "seq").alias("depth"), F.min("seq").alias("first"))
         .filter((F.col("n") > least) & F.col("depth").between(2, 4))
@@ -237,30 +301,33 @@ def top_child_tag(elems: DataFrame, keys: list[str]) -> DataFrame:
     return stats.groupBy(*keys).agg(F.max_by("tag", F.struct("n", (-F.col("first")).alias("f"))).alias("record_tag"))
 
 
-def _as_text(node: ET.Element, max_len: int, emptied: set[int]) -> str:
-    if id(node) in emptied:
-        return _local(node.tag)
-    parts = [_local(node.tag)]
-    parts += [f"{_local(k)}={v.strip()[:max_len]}" for k, v in node.attrib.items() if v.strip()]
-    if (node.text or "").strip():
-        parts.append(node.text.strip()[:max_len])
-    for child in node:
-        if _is_element(child):
-            parts.append(_as_text(child, max_len, emptied))
-        if (child.tail or "").strip():
-            parts.append(child.tail.strip()[:max_len])
-    return " | ".join(parts)
+def _as_text(doc: Nodes, record: int, max_len: int | None) -> str:
+    """Tag, attributes and texts of a record in document order; a record of the same tag inside shows by its tag."""
+    parts: list[str] = []
 
+    def add(prefix: str, value: str | None) -> None:
+        value = (value or "").strip()
+        if value:
+            parts.append(prefix + value[:max_len])
 
-def _closing_order(root: ET.Element) -> Iterator[ET.Element]:
-    todo = [(root, False)]
-    while todo:
-        node, done = todo.pop()
-        if done:
-            yield node
+    at, last = doc.opened[record], doc.closed[record]
+    while at < last:
+        event = doc.events[at]
+        if not isinstance(event, int):
+            add("", event.tail)
+        elif event < 0:
+            add("", doc.elements[~event].tail)
         else:
-            todo.append((node, True))
-            todo.extend((c, False) for c in reversed(node) if _is_element(c))
+            element = doc.elements[event]
+            parts.append(doc.tags[event])
+            if event != record and doc.tags[event] == doc.tags[record]:
+                at = doc.closed[event]
+                continue
+            for name, value in element.attrib.items():
+                add(f"{_local(name)}=", value)
+            add("", element.text)
+        at += 1
+    return " | ".join(parts)
 
 
 def _render(df: DataFrame, keys: list[str], content: str, make) -> DataFrame:
@@ -271,9 +338,9 @@ def _render(df: DataFrame, keys: list[str], content: str, make) -> DataFrame:
         for pdf in batches:
             rows = []
             for *key, doc in pdf[[*keys, content]].itertuples(index=False, name=None):
-                root = _parse(doc)
-                if root is not None:
-                    rows.extend((*key, *r) for r in make(root))
+                tree = _parse(doc)
+                if tree is not None:
+                    rows.extend((*key, *r) for r in make(tree))
             yield pd.DataFrame(rows, columns=[*keys, "record_idx", "record_tag", "content"])
 
     return kept.mapInPandas(run, f"{schema}, record_idx long, record_tag string, content string")
@@ -281,20 +348,19 @@ def _render(df: DataFrame, keys: list[str], content: str, make) -> DataFrame:
 
 def record_text(
     df: DataFrame, keys: list[str], tag: str, content: str = "content",
-    max_chars: int = 6000, max_records: int = 5000, max_field: int = 300, min_chars: int = 50,
+    max_chars: int | None = None, max_records: int | None = None, max_field: int | None = None, min_chars: int = 0,
 ) -> DataFrame:
-    """Records of a tag as ``tag | attr=value | text | child...``; short ones are dropped.
+    """Records of a tag as ``tag | attr=value | text | child...``; those of ``min_chars`` or fewer are dropped.
 
     Within a record that holds records of the same tag the inner ones show by
-    tag only, since they were rendered on their own.
+    tag only, since they were rendered on their own. Nothing is cut unless a
+    limit is given.
     """
-    def make(root: ET.Element):
-        emptied: set[int] = set()
-        hits = (e for e in _closing_order(root) if _local(e.tag) == tag)
-        for n, e in zip(range(max_records), hits):
-            s = _as_text(e, max_field, emptied)
-            emptied.add(id(e))
-            if len(s) > max_chars:
+    def make(doc: Nodes):
+        found = sorted((i for i, t in enumerate(doc.tags) if t == tag), key=doc.closed.__getitem__)
+        for n, i in enumerate(found[:max_records]):
+            s = _as_text(doc, i, max_field)
+            if max_chars is not None and len(s) > max_chars:
                 s = s[:max_chars] + "..."
             if len(s) > min_chars:
                 yield n, tag, s
@@ -304,13 +370,19 @@ def record_text(
 
 def record_xml(
     df: DataFrame, keys: list[str], content: str = "content", record_tag: str | None = None,
-    max_records: int = 5000, max_chars: int = 6000,
+    max_records: int | None = None, max_chars: int | None = None,
 ) -> DataFrame:
-    """Records as XML text with their index; longer ones are cut and marked with dots."""
-    def make(root: ET.Element):
-        tag, found = _choose(root, record_tag, True)
-        for n, e in enumerate(found[:max_records]):
-            s = ET.tostring(e, encoding="unicode")
-            yield n, tag, s if len(s) <= max_chars else s[:max_chars] + "..."
+    """Records as XML text with their index; longer ones than ``max_chars`` are cut and marked with dots.
+
+    A record that is nested too deep to be written out has a null content.
+    """
+    def make(doc: Nodes):
+        tag, found = _choose(doc, record_tag, True)
+        for n, i in enumerate(found[:max_records]):
+            try:
+                s = ET.tostring(doc.elements[i], encoding="unicode")
+            except RecursionError:
+                s = None
+            yield n, tag, s if s is None or max_chars is None or len(s) <= max_chars else s[:max_chars] + "..."
 
     return _render(df, keys, content, make)

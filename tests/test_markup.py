@@ -29,10 +29,10 @@ def test_namespaces_go_from_elements_only(spark):
     assert recs == [[("t@{http://www.w3.org/XML/1998/namespace}lang", "en"), ("t", "hi")]]
 
 
-def test_text_beside_children_is_dropped_and_values_are_cut(spark):
-    recs, _ = fields(spark, f"<r><a>lost<b>{'y' * 400}</b>lost</a></r>")
+def test_text_beside_children_is_dropped_and_values_are_whole_unless_cut(spark):
+    recs, _ = fields(spark, f"<r><a>lost<b>{'y' * 400}</b>lost</a></r>", max_len=300)
     assert recs == [[("b", "y" * 300)]]
-    recs, _ = fields(spark, f"<r><a><b>{'y' * 400}</b></a></r>", max_len=None)
+    recs, _ = fields(spark, f"<r><a><b>{'y' * 400}</b></a></r>")
     assert recs == [[("b", "y" * 400)]]
 
 
@@ -70,3 +70,27 @@ def test_nested_records_of_one_tag_render_by_name(spark):
     df = spark.createDataFrame([("d", doc)], "path string, content string")
     got = markup.record_text(df, ["path"], "rec", min_chars=5).orderBy("record_idx").collect()
     assert [r.content for r in got] == ["rec | t | inner text that is long enough", "rec | t | outer text that is long enough | rec"]
+
+
+def test_deep_and_many_records_render(spark):
+    deep = "<r><rec>" + "<d>" * 3000 + "x" + "</d>" * 3000 + "</rec><rec>y</rec></r>"
+    many = "<r>" + "<rec>z</rec>" * 6000 + "</r>"
+    df = spark.createDataFrame([("deep", deep), ("many", many)], "path string, content string")
+    got = {(r.path, r.record_idx): r.content for r in markup.record_text(df, ["path"], "rec").collect()}
+    assert got["deep", 0] == " | ".join(["rec", *["d"] * 3000, "x"]) and got["deep", 1] == "rec | y"
+    assert sum(p == "many" for p, _ in got) == 6000
+    xml = {(r.path, r.record_idx): r.content for r in markup.record_xml(df, ["path"]).collect()}
+    assert xml["deep", 1] == "<rec>y</rec>" and sum(p == "many" for p, _ in xml) == 6000
+
+
+def test_comments_and_texts_behind_them(spark):
+    doc = "<r><rec k=' v '>a<!--no-->b<t>c</t>d<?p q?>e</rec></r>"
+    df = spark.createDataFrame([("d", doc)], "path string, content string")
+    got = [r.content for r in markup.record_text(df, ["path"], "rec").collect()]
+    assert got == ["rec | k=v | a | b | t | c | d | e"]
+
+
+def test_the_tag_is_guessed_from_the_whole_document(spark):
+    doc = "<r><head>" + "<small/>" * 1200 + "</head>" + "<record/>" * 5000 + "</r>"
+    df = spark.createDataFrame([("d", doc)], "path string, content string")
+    assert [r.record_tag for r in markup.guess_record_tag(markup.elements(df, ["path"]), ["path"]).collect()] == ["record"]
