@@ -6,22 +6,17 @@ A table is a set of rows ``(pair_id, row_idx, cells)``; ``row_idx`` counts from
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import text
-from rowloom.plans.matching import bin_count, greedy_match
-from rowloom.plans.ranking import number_rows, top_rows
+from rowloom.plans.matching import greedy_match
+from rowloom.plans.ranking import number_rows, running_max, top_rows
 from rowloom.plans.similarity import jaccard_pairs, token_classes
-from rowloom.session import fresh, pin
+from rowloom.session import pin
 
-ORDERED_ROWS = 60_000  # rows per side up to which a pair gets the ordered diff
-ORDERED_WORK = 5_000_000  # and equal-hash row pairs
 ROW_BLOCK = 100_000
 
 
@@ -52,103 +47,45 @@ def row_hash(cells: Column, ignore_case: bool = False, trim_ws: bool = True) ->
     return F.sha1(F.array_join(F.transform(cells, lambda c: text.norm_cell(c, ignore_case, trim_ws)), "\x1f"))
 
 
-def _ordered_blocks(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of the ordered diff of a bin of bounded pairs of hash sequences."""
-    def by_pair(df: pd.DataFrame) -> dict:
-        return {p: (g.row_idx.to_numpy(), g.hash.tolist()) for p, g in df.sort_values("row_idx").groupby("pair_id")}
-
-    none = (np.empty(0, "int64"), [])
-    left, right = by_pair(a), by_pair(b)
-    parts = []
-    for pair in left.keys() | right.keys():
-        (ia, ha), (ib, hb) = left.get(pair, none), right.get(pair, none)
-        ops = difflib.SequenceMatcher(a=ha, b=hb, autojunk=False).get_opcodes()
-        for side, idx, lo, hi in (("a", ia, 1, 2), ("b", ib, 3, 4)):
-            lengths = [op[hi] - op[lo] for op in ops]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "pair_id": pair, "side": side, "row_idx": idx,
-                        "block": np.repeat(np.arange(len(ops)), lengths),
-                        "equal": np.repeat([op[0] == "equal" for op in ops], lengths),
-                    }
-                )
-            )
-    return pd.concat(parts)
-
-
-BLOCK_SCHEMA = "pair_id string, side string, row_idx long, block long, equal boolean"
+def diff_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``pair_id, side, row_idx, block, equal, moved`` of every row of both sides, for tables of any size.
 
+    The k-th row of a hash on one side is equal to the k-th on the other. Such a
+    pair is an anchor as long as anchors rise: its right row lies behind the
+    right rows of all pairs with an earlier left row. The other pairs are equal
+    rows that moved. The rows between two anchors form a block; where equal rows
+    keep their order no row has moved and the blocks are those of an ordered diff.
+    """
+    tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", "hash")
+    return _blocks(pin(tag(a, "a").unionByName(tag(b, "b"))))
 
-def anchored_blocks(hashes: DataFrame) -> DataFrame:
-    """Blocks without a sequential step: equal rows pair by hash and occurrence.
 
-    The k-th row of a hash on one side pairs with the k-th on the other. The
-    rows between two paired rows form a block. Where equal rows keep their
-    order this is the ordered diff; moved rows count as equal.
-    """
+def _blocks(hashes: DataFrame) -> DataFrame:
+    place = F.expr(f"row_idx div {ROW_BLOCK}")
     counts = hashes.groupBy("pair_id", "hash").agg(
         F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")
     )
-    clear = (F.col("n_a") == F.col("n_b")) | (F.col("n_a") == 0) | (F.col("n_b") == 0)
-    known = pin(
-        hashes.join(counts, ["pair_id", "hash"]).select(
-            "pair_id", "side", "row_idx", F.when(~clear, F.col("hash")).alias("hash"),
-            F.least("n_a", "n_b").alias("n"), F.when(clear, F.col("n_a") == F.col("n_b")).alias("equal"),
-        )
+    shared = pin(hashes.join(counts.filter("n_a > 0 AND n_b > 0"), ["pair_id", "hash"]))
+    # copies are told apart by their number; a row that occurs once a side needs none
+    once = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    copies = number_rows(shared.filter(~once), ["pair_id", "side", "hash"], ["row_idx"], number="k", block=place)
+    named = shared.filter(once).withColumn("k", F.lit(1).cast("long")).unionByName(copies)
+    side = lambda s, name: named.filter(F.col("side") == s).select("pair_id", "hash", "k", F.col("row_idx").alias(name))
+    anchors = pin(side("a", "row_a").join(side("b", "row_b"), ["pair_id", "hash", "k"]).select("pair_id", "row_a", "row_b"))
+    seen = running_max(anchors, ["pair_id"], "row_a", "row_b", "upto", F.expr(f"row_a div {ROW_BLOCK}"))
+    anchors = seen.select("pair_id", "row_a", "row_b", (F.col("upto") > F.col("row_b")).alias("moved"))
+    marks = anchors.select("pair_id", F.lit("a").alias("side"), F.col("row_a").alias("row_idx"), "moved").unionByName(
+        anchors.select("pair_id", F.lit("b").alias("side"), F.col("row_b").alias("row_idx"), "moved")
     )
-    marked = known.filter(F.col("equal").isNotNull()).select("pair_id", "side", "row_idx", "equal")
-    # only where one side has more copies of a row does it matter which ones pair up
-    uneven = known.filter(F.col("equal").isNull())
-    if not uneven.isEmpty():
-        seen = number_rows(
-            uneven, ["pair_id", "side", "hash"], ["row_idx"], number="k", block=F.expr(f"row_idx div {ROW_BLOCK}")
+    marked = hashes.select("pair_id", "side", "row_idx").join(marks, ["pair_id", "side", "row_idx"], "left")
+    marked = pin(
+        marked.select(
+            "pair_id", "side", "row_idx", F.col("moved").isNotNull().alias("equal"), F.coalesce("moved", F.lit(False)).alias("moved")
         )
-        marked = marked.unionByName(seen.select("pair_id", "side", "row_idx", (F.col("k") <= F.col("n")).alias("equal")))
-    return number_rows(
-        marked,
-        ["pair_id", "side"],
-        ["row_idx"],
-        number=None,
-        sums={"block": F.col("equal").cast("long")},
-        block=F.expr(f"row_idx div {ROW_BLOCK}"),
-    ).select("pair_id", "side", "row_idx", F.col("block").cast("long").alias("block"), "equal")
-
-
-def diff_blocks(a: DataFrame, b: DataFrame, mode: str = "auto", max_rows: int = ORDERED_ROWS, max_work: int = ORDERED_WORK) -> DataFrame:
-    """Block number and equality of every row of both sides.
-
-    ``mode`` is ``ordered``, ``anchored`` or ``auto``: the ordered diff for
-    pairs within ``max_rows`` rows a side and ``max_work`` equal row pairs, the
-    anchored one for the rest. ``ordered`` refuses larger pairs.
-    """
-    tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", "hash")
-    return _blocks(pin(tag(a, "a").unionByName(tag(b, "b"))), mode, max_rows, max_work)
-
-
-def _blocks(hashes: DataFrame, mode: str, max_rows: int = ORDERED_ROWS, max_work: int = ORDERED_WORK) -> DataFrame:
-    if mode == "anchored":
-        return anchored_blocks(hashes)
-    per_hash = hashes.groupBy("pair_id", "hash").agg(
-        F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")
-    )
-    size = per_hash.groupBy("pair_id").agg(
-        F.sum("n_a").alias("rows_a"), F.sum("n_b").alias("rows_b"), F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("work")
     )
-    too_big = (F.col("rows_a") > max_rows) | (F.col("rows_b") > max_rows) | (F.col("work") > max_work)
-    total, any_big = size.agg(F.coalesce(F.sum(F.col("rows_a") + F.col("rows_b")), F.lit(0)), F.count_if(too_big)).first()
-    if any_big and mode == "ordered":
-        raise ValueError("a pair is too large for the ordered diff; use mode='auto' or 'anchored'")
-    small = hashes
-    if any_big:
-        big = pin(size.filter(too_big).select("pair_id"))
-        small = hashes.join(big, "pair_id", "left_anti")
-    bins = F.pmod(F.xxhash64("pair_id"), F.lit(bin_count(hashes, total))).alias("bin")
-    pick = lambda s: fresh(small.filter(F.col("side") == s).select("*", bins)).groupBy("bin")
-    out = pick("a").cogroup(pick("b")).applyInPandas(_ordered_blocks, BLOCK_SCHEMA)
-    if any_big:
-        out = out.unionByName(anchored_blocks(hashes.join(big, "pair_id", "left_semi")))
-    return out
+    rises = (F.col("equal") & ~F.col("moved")).cast("long")
+    placed = number_rows(marked, ["pair_id", "side"], ["row_idx"], number=None, sums={"block": rises}, block=place)
+    return placed.select("pair_id", "side", "row_idx", F.col("block").cast("long").alias("block"), "equal", "moved")
 
 
 def pair_positional(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -204,7 +141,6 @@ def diff(
     b: DataFrame,
     similarity_pairing: bool = True,
     threshold: float = 0.65,
-    mode: str = "auto",
     ignore_case: bool = False,
     trim_ws: bool = True,
     width: int | None = None,
@@ -214,15 +150,25 @@ def diff(
     Returns ``deltas(pair_id, kind, row_a, row_b, changed_cols, old_vals,
     new_vals)`` and ``stats(pair_id, equal, modified, removed, added,
     pad_only)``. ``pad_only`` counts rows that pair up but differ only in how
-    many empty cells close them.
+    many empty cells close them. Unequal rows pair up within their block; in a
+    pair of tables with moved rows, what is left over by similarity pairing is
+    paired once more over the whole tables.
     """
     tag = lambda df, s: normalised(df, ignore_case, trim_ws).select("pair_id", F.lit(s).alias("side"), "row_idx", "norm", "hash")
     both = pin(tag(a, "a").unionByName(tag(b, "b")))
-    blocks = pin(_blocks(both.select("pair_id", "side", "row_idx", "hash"), mode))
-    open_rows = pin(both.drop("hash").join(blocks.filter(~F.col("equal")).drop("equal"), ["pair_id", "side", "row_idx"]))
+    blocks = pin(_blocks(both.select("pair_id", "side", "row_idx", "hash")))
+    open_rows = pin(both.drop("hash").join(blocks.filter(~F.col("equal")).drop("equal", "moved"), ["pair_id", "side", "row_idx"]))
     la, lb = (open_rows.filter(F.col("side") == s).drop("side") for s in ("a", "b"))
     pairs = pair_similar(la, lb, threshold).drop("score") if similarity_pairing else pair_positional(la, lb)
     pairs = pin(pairs)
+    moved = blocks.filter("moved").select("pair_id").distinct()
+    if similarity_pairing and moved.limit(1).count():
+        free = lambda df, mine: (
+            df.join(moved, "pair_id", "left_semi")
+            .join(pairs.select("pair_id", F.col(mine).alias("row_idx")), ["pair_id", "row_idx"], "left_anti")
+            .withColumn("block", F.lit(-1).cast("long"))
+        )
+        pairs = pin(pairs.unionByName(pair_similar(free(la, "row_a"), free(lb, "row_b"), threshold).drop("score")))
 
     if width is None:
         w = both.groupBy("pair_id").agg(F.max(F.size("norm")).alias("width"))

@@ -85,6 +85,22 @@ def number_rows(
     return joined.select(*keep)
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, block: Column) -> DataFrame:
+    """Add the largest ``value`` of the rows up to each one within ``keys`` along ``order``.
+
+    ``block`` never decreases along ``order``; every block is worked through on
+    its own, and the maxima of the blocks before come as one row per block.
+    """
+    keys = list(keys)
+    df = df.withColumn(BLOCK, block)
+    upto = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, BLOCK).agg(F.max(value).alias("__top"))
+    tops = tops.withColumn("__top", F.max("__top").over(before))
+    out = df.withColumn("__own", F.max(value).over(upto)).join(tops, [*keys, BLOCK])
+    return out.withColumn(name, F.greatest("__own", "__top")).drop(BLOCK, "__own", "__top")
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank", tie: str | None = None) -> DataFrame:
     """SQL ``rank()`` by ``value`` descending within ``keys``, counted over distinct values.
 

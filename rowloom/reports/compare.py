@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text
 from rowloom.operators import align, diff
+from rowloom.plans.ranking import number_rows
 from rowloom.reports.registry import report, table, texts
 
 COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -102,14 +103,32 @@ def _flat(deltas):
 
 @report(WHOLE + ROWS)
 def table_changes(spark, d):
-    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), width=5)
     return _flat(deltas)
 
 
+@report("""
+WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer),
+b AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN i % 50 < 20 THEN 1 ELSE 0 END, i) - 1 AS j FROM c WHERE i % 17 <> 3)
+SELECT CASE WHEN b.i IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS kind, c.i AS row_a, b.j AS row_b FROM c LEFT JOIN b USING (i) WHERE b.i IS NULL OR c.i % 10 = 7
+""")
+def moved_rows(spark, d):
+    """Two blocks of rows of every fifty moved to the end, cells changed and rows removed."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(18,2)").alias("bal"))
+    c = number_rows(c, [], ["c_custkey"], number="n").withColumn("i", F.col("n") - 1)
+    cells = ["c_custkey", "c_name", "c_mktsegment", "bal", "again", "more"]
+    c = c.withColumn("again", F.concat(F.lit("K"), F.col("c_custkey") * 7)).withColumn("more", F.concat(F.lit("M"), F.col("c_custkey") * 11))
+    left = diff.table_rows(c, cells, row_idx="i")
+    right = c.filter("i % 17 <> 3").withColumn("at", F.when(F.col("i") % 50 < 20, 1).otherwise(0))
+    right = right.withColumn("bal", F.when(F.col("i") % 10 == 7, F.lit("none")).otherwise(F.col("bal").cast("string")))
+    right = diff.table_rows(right, cells, order=["at", "i"])
+    return diff.diff(left, right)[0].select("kind", "row_a", "row_b")
+
+
 @report(BY_NATION + ROWS)
 def table_changes_ordered(spark, d):
     pair = F.col("c_nationkey")
-    deltas, _ = diff.diff(left_rows(customers(spark, d), pair), right_rows(customers(spark, d), pair), mode="auto", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d), pair), right_rows(customers(spark, d), pair), width=5)
     return _flat(deltas)
 
 
@@ -128,13 +147,13 @@ SELECT (SELECT count(*) FROM eq) AS equal, (SELECT count(*) FROM d WHERE kind =
  (SELECT count(*) FROM d WHERE kind = 'ADDED') AS added, (SELECT count(*) FROM pr WHERE ca = cb) AS pad_only""")
 def order_change_counts(spark, d):
     a = orders_alike(spark, d)
-    return diff.diff(left_rows(a), right_rows(a), mode="anchored", width=5)[1].drop("pair_id")
+    return diff.diff(left_rows(a), right_rows(a), width=5)[1].drop("pair_id")
 
 
 @report(WHOLE + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(row_a, row_b), row_a IS NULL, row_b) AS rn, count(*) OVER (PARTITION BY pair_id) AS n FROM d)
 SELECT pair_id, kind, row_a, row_b, rn, n > 40 AS truncated FROM r WHERE rn <= 40""")
 def first_changes(spark, d):
-    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), width=5)
     out = diff.first_deltas(deltas, 40).select("pair_id", "kind", "row_a", "row_b", F.col("rn").cast("long").alias("rn"), "truncated")
     return out
 
@@ -145,7 +164,7 @@ def first_changes(spark, d):
 SELECT (SELECT count(*) FROM eq) AS equal, (SELECT count(*) FROM pos WHERE ca <> cb) AS modified, (SELECT count(*) FROM oa) - (SELECT count(*) FROM pos) AS removed,
   (SELECT count(*) FROM ob) - (SELECT count(*) FROM pos) AS added""")
 def positional_counts(spark, d):
-    _, stats = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), similarity_pairing=False, mode="anchored", width=5)
+    _, stats = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), similarity_pairing=False, width=5)
     return stats.select("equal", "modified", "removed", "added")
 
 
@@ -153,7 +172,7 @@ def positional_counts(spark, d):
 SELECT pair_id, kind, row_a, row_b, ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'][i] AS "column", ca[i] AS old_value, cb[i] AS new_value
 FROM d, range(1, 6) t(i) WHERE ca[i] IS DISTINCT FROM cb[i]""")
 def cell_report(spark, d):
-    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), mode="anchored", width=5)
+    deltas, _ = diff.diff(left_rows(customers(spark, d)), right_rows(customers(spark, d)), width=5)
     return diff.cell_changes(deltas, COLUMNS)
 
 
@@ -162,7 +181,7 @@ SELECT 'a' AS side, kind, row_a, row_b, ra.cells[2] AS c_name, ra.cells[4] AS c_
 UNION ALL SELECT 'b', kind, row_a, row_b, rb.cells[2], rb.cells[4] FROM d JOIN (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx FROM rb) rb ON rb.idx = d.row_b WHERE kind <> 'REMOVED'""")
 def side_by_side(spark, d):
     a, b = left_rows(customers(spark, d)), right_rows(customers(spark, d))
-    deltas, _ = diff.diff(a, b, mode="anchored", width=5)
+    deltas, _ = diff.diff(a, b, width=5)
     fa, fb = diff.side_frames(deltas, a, b, COLUMNS)
     cols = ["kind", "row_a", "row_b", "c_name", "c_acctbal"]
     return fa.select(F.lit("a").alias("side"), *cols).unionByName(fb.select(F.lit("b").alias("side"), *cols))

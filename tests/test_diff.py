@@ -3,8 +3,6 @@
 import difflib
 import random
 
-import pytest
-from pyspark.sql import functions as F
 
 from rowloom.operators import diff
 
@@ -20,15 +18,14 @@ def counts(spark, a, b, **kw):
     return s.equal, s.modified, s.removed, s.added, s.pad_only
 
 
-@pytest.mark.parametrize("mode", ["ordered", "anchored"])
-def test_known_cases(spark, mode):
+def test_known_cases(spark):
     people = [["John", "25", "NYC"], ["Jane", "25", "LA"], ["Bob", "30", "Chicago"]]
     moved = [["John", "25", "NYC"], ["Jane", "26", "LA"], ["Bob", "30", "Boston"]]
-    assert counts(spark, people, moved, mode=mode) == (1, 0, 2, 2, 0)
-    assert counts(spark, people, moved, mode=mode, similarity_pairing=False) == (1, 2, 0, 0, 0)
+    assert counts(spark, people, moved) == (1, 0, 2, 2, 0)
+    assert counts(spark, people, moved, similarity_pairing=False) == (1, 2, 0, 0, 0)
     a = [["1", "John", "25"], ["2", "Jane", "30"]]
     b = [["1", "John", "26"], ["2", "Jane", "30"], ["3", "Bob", "22"]]
-    assert counts(spark, a, b, mode=mode) == (1, 0, 1, 2, 0)
+    assert counts(spark, a, b) == (1, 0, 1, 2, 0)
 
 
 def test_cells_padding_case_and_width(spark):
@@ -45,7 +42,7 @@ def test_cells_padding_case_and_width(spark):
 
 def test_table_against_itself_is_equal(spark):
     t = [[str(i % 5), "copy"] for i in range(40)]
-    assert counts(spark, t, t, mode="ordered") == counts(spark, t, t, mode="anchored") == (40, 0, 0, 0, 0)
+    assert counts(spark, t, t) == (40, 0, 0, 0, 0)
 
 
 def reference_counts(a, b, threshold=0.65):
@@ -77,36 +74,53 @@ def reference_counts(a, b, threshold=0.65):
     return tuple(n.values())
 
 
-def test_ordered_mode_is_difflib(spark):
+def test_rows_that_keep_their_order_diff_as_in_difflib(spark):
     r = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
     left, right = {}, {}
     for p in range(25):
-        a = [[r.choice(words) for _ in range(4)] for _ in range(r.randint(0, 30))]
+        a = [[f"id{i}"] + [r.choice(words) for _ in range(4)] for i in range(r.randint(0, 30))]
         b = [list(x) for x in a if r.random() > 0.15]
         for row in b:
             if r.random() < 0.3:
-                row[r.randrange(4)] = r.choice(words)
-        r.random() < 0.3 and r.shuffle(b)
+                row[1 + r.randrange(4)] = r.choice(words)
         left[f"p{p}"], right[f"p{p}"] = a, b
-    _, stats = diff.diff(rows(spark, left), rows(spark, right), mode="ordered")
+    _, stats = diff.diff(rows(spark, left), rows(spark, right))
     got = {s.pair_id: (s.equal, s.modified, s.removed, s.added) for s in stats.collect()}
     want = {p: reference_counts(left[p], right[p]) for p in left if left[p] or right[p]}
     assert got == want
 
 
-def test_auto_sends_large_pairs_to_anchors(spark):
-    t = [[f"row {i}"] for i in range(50)]
-    a, b = diff.normalised(rows(spark, {"p": t, "q": t[:3]})), diff.normalised(rows(spark, {"p": t[1:], "q": t[:3]}))
-    out = diff.diff_blocks(a, b, "auto", max_rows=10)
-    got = {(r.pair_id, r.side, r.equal): r.n for r in out.groupBy("pair_id", "side", "equal").agg(F.count("*").alias("n")).collect()}
-    assert got == {("p", "a", True): 49, ("p", "a", False): 1, ("p", "b", True): 49, ("q", "a", True): 3, ("q", "b", True): 3}
-    with pytest.raises(ValueError):
-        diff.diff_blocks(a, b, "ordered", max_rows=10)
+def test_moved_rows_are_equal_and_changed_ones_pair_up(spark):
+    t = [[f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}", f"f{i}"] for i in range(11)]
+    u = [list(x) for x in [*t[4:], *t[:4]]]
+    u[1][2] = "new"
+    (s,) = diff.diff(rows(spark, {"p": t}), rows(spark, {"p": u}))[1].collect()
+    assert (s.equal, s.modified, s.removed, s.added) == (10, 1, 0, 0)
+    u = [list(x) for x in reversed(t)]
+    u[3][0] = "new"
+    (s,) = diff.diff(rows(spark, {"p": t}), rows(spark, {"p": u}))[1].collect()
+    assert (s.equal, s.modified, s.removed, s.added) == (10, 1, 0, 0)
+
+
+def test_anchors_rise_over_block_cuts(spark, monkeypatch):
+    monkeypatch.setattr(diff, "ROW_BLOCK", 4)
+    r = random.Random(9)
+    a, b = list(range(60)), list(range(60))
+    r.shuffle(b)
+    left, right = rows(spark, {"p": [[f"r{i}"] for i in a]}), rows(spark, {"p": [[f"r{i}"] for i in b]})
+    got = {(x.side, x.row_idx): (x.block, x.moved) for x in diff.diff_blocks(diff.normalised(left), diff.normalised(right)).collect()}
+    top, block, want = -1, 0, {}
+    for i in a:
+        j = b.index(i)
+        block += j > top
+        want["a", i] = (block, j < top)
+        top = max(top, j)
+    assert {k: v for k, v in got.items() if k[0] == "a"} == want
 
 
 def test_uneven_copies_pair_in_order(spark):
     a = diff.normalised(rows(spark, {"p": [["x"]] * 5 + [["y"]]}))
     b = diff.normalised(rows(spark, {"p": [["x"]] * 3 + [["y"]] * 2}))
-    got = diff.diff_blocks(a, b, "anchored").filter("not equal").collect()
+    got = diff.diff_blocks(a, b).filter("not equal").collect()
     assert sorted((r.side, r.row_idx) for r in got) == [("a", 3), ("a", 4), ("b", 4)]
