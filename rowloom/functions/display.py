@@ -27,7 +27,7 @@ def byte_size(n: Column) -> Column:
 
 def label(key: Column) -> Column:
     """``unit_price`` to ``Unit Price``; inner capitals stay."""
-    words = F.transform(F.split(key, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100000)))
+    words = F.transform(F.split(key, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.array_join(words, " ")
 
 

@@ -29,8 +29,10 @@ def norm_cell(c: Column, ignore_case: bool = False, trim_ws: bool = True) -> Col
     return F.lower(s) if ignore_case else s
 
 
-def display_cell(c: Column, max_len: int = 250) -> Column:
-    """A normalised cell for a chunk line; longer ones are cut and marked with dots."""
+def display_cell(c: Column, max_len: int | None = None) -> Column:
+    """A normalised cell for a chunk line; ones longer than ``max_len`` are cut and marked with dots."""
+    if max_len is None:
+        return norm_cell(c)
     return F.regexp_replace(norm_cell(c), f"(?s)^(.{{{max_len}}}).+$", "$1...")
 
 
@@ -51,9 +53,9 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def query_tokens(q: Column, top: int = 80) -> Column:
-    """Distinct query tokens in order of appearance, the first ``top``."""
-    return F.slice(token_set(q), 1, top)
+def query_tokens(q: Column, top: int | None = None) -> Column:
+    """Distinct query tokens in order of appearance, or the first ``top`` of them."""
+    return token_set(q) if top is None else F.slice(token_set(q), 1, top)
 
 
 def lexical_score(query: Column, doc: Column) -> Column:

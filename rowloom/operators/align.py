@@ -35,10 +35,15 @@ def table_fingerprint(rows: DataFrame, key: str, row_idx: str, row_text: Column,
     """One digest per table from its rows in order, as a hash tree with bounded groups.
 
     Every level hashes at most ``fan_out`` neighbours into one digest, so no
-    task ever holds a whole table. Four levels cover ``fan_out ** 4`` rows.
+    task ever holds a whole table. The tree has four levels, or as many more as
+    the longest table needs.
     """
+    top = rows.agg(F.max(F.col(row_idx).cast("long")).alias("n")).first()["n"] or 0
+    levels = 4
+    while fan_out**levels <= top:
+        levels += 1
     level = rows.select(F.col(key), F.col(row_idx).cast("long").alias("__i"), F.sha2(row_text, 256).alias("__h"))
-    for _ in range(4):
+    for _ in range(levels):
         level = (
             level.withColumn("__b", F.expr(f"__i div {fan_out}"))
             .groupBy(key, "__b")

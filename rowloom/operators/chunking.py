@@ -25,8 +25,6 @@ TARGET_CHARS = 1500
 MIN_CHARS = 900
 MAX_CHARS = 3500
 OVERLAP_CHARS = 200
-CELL_CHARS = 250
-MAX_COLS = 120
 SAMPLE_ROWS = 5
 
 BLOCK_ROWS = 50_000
@@ -78,17 +76,17 @@ class Packer:
 
 
 def lines_of(
-    rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx", max_cols: int | None = MAX_COLS
+    rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx", max_cols: int | None = None, max_cell: int | None = None
 ) -> DataFrame:
     """Chunk lines of table rows: ``(filename, group, row_no, line, header)``.
 
-    A chunk shows the first ``max_cols`` columns of a table; None shows all.
+    A chunk shows all columns and whole cells, unless ``max_cols`` and ``max_cell`` limit them.
     """
     if max_cols is not None:
         header = F.slice(header, 1, max_cols)
     width = F.size(header)
     padded = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
-    line = F.array_join(F.transform(padded, lambda c: text.display_cell(c, CELL_CHARS)), " | ")
+    line = F.array_join(F.transform(padded, lambda c: text.display_cell(c, max_cell)), " | ")
     return rows.select(
         "filename", "group", (F.col(row_idx) + 1).alias("row_no"), F.when(width > 0, line).otherwise("").alias("line"), header.alias("header")
     )
@@ -100,8 +98,9 @@ def chunk_lines(
     """Pack lines into chunks per table; rows are 1-based, chunks count from 0.
 
     A chunk closes before the line that would pass ``target`` and at ``cap``;
-    the next one starts with the trailing lines that fit ``overlap``. A block
-    must hold at least ``cap`` rows.
+    the next one starts with the trailing lines that fit ``overlap``. A chunk
+    whose lines are longer than ``cap`` goes on in further chunks of the same
+    rows under the same heading. A block must hold at least ``cap`` rows.
     """
     target = max(min(MIN_CHARS, cap), min(target, cap))
     head = F.concat(
@@ -123,15 +122,16 @@ def chunk_lines(
         spans, left = packer.run(start, first, len(body))
         if pdf.is_last.iloc[0] and left < len(body):
             spans.append((left, len(body) - 1))
+        pieces = [(a, b, t) for a, b in spans for t in _within(head, "\n".join(body[a : b + 1]), cap)]
         return pd.DataFrame(
             {
                 "filename": key[0],
                 "group": key[1],
                 "block": key[2],
-                "n": np.arange(len(spans), dtype="int32"),
-                "row_start": [numbers[a] for a, _ in spans],
-                "row_end": [numbers[b] for _, b in spans],
-                "text": ["\n".join([head, *body[a : b + 1]])[:cap] for a, b in spans],
+                "n": np.arange(len(pieces), dtype="int32"),
+                "row_start": [numbers[a] for a, _, _ in pieces],
+                "row_end": [numbers[b] for _, b, _ in pieces],
+                "text": [t for _, _, t in pieces],
             }
         )
 
@@ -146,6 +146,12 @@ def chunk_lines(
     )
 
 
+def _within(head: str, body: str, cap: int) -> list[str]:
+    """The body under its heading, in as many texts of up to ``cap`` characters as it takes; a heading over half of it counts as half."""
+    room = max(cap - len(head) - 1, cap // 2, 1)
+    return [f"{head}\n{body[i : i + room]}" for i in range(0, max(len(body), 1), room)]
+
+
 def _with_entries(placed, tables, many, target, overlap, cap, block_rows) -> DataFrame:
     """Block rows with the lines that reach into the block and the start of the chunk open there."""
     key = ["filename", "group"]
@@ -213,10 +219,13 @@ def _with_entries(placed, tables, many, target, overlap, cap, block_rows) -> Dat
     )
 
 
-def summary_docs(rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx", cap: int = MAX_CHARS) -> DataFrame:
-    """One summary text per table: columns, row count, filled cells per column, first rows."""
+def summary_docs(
+    rows: DataFrame, header: Column, cells: str = "cells", row_idx: str = "row_idx",
+    cap: int | None = None, max_cols: int | None = None, max_cell: int | None = None,
+) -> DataFrame:
+    """One summary text per table: columns, row count, filled cells per column, first rows; whole unless limits are given."""
     key = ["filename", "group"]
-    base = rows.withColumn("__h", F.slice(header, 1, MAX_COLS)).filter(F.size("__h") > 0)
+    base = rows.withColumn("__h", header if max_cols is None else F.slice(header, 1, max_cols)).filter(F.size("__h") > 0)
     cell = base.select(*key, F.posexplode(F.arrays_zip(F.col("__h").alias("h"), F.slice(cells, F.lit(1), F.size("__h")).alias("c"))).alias("pos", "z"))
     per_col = cell.groupBy(*key, "pos").agg(
         F.any_value("z.h").alias("column"), F.count_if(F.coalesce("z.c", F.lit("")) != "").alias("filled"), F.count(F.lit(1)).alias("rows")
@@ -225,7 +234,7 @@ def summary_docs(rows: DataFrame, header: Column, cells: str = "cells", row_idx:
         F.max("rows").alias("row_count"), F.sort_array(F.collect_list(F.struct("pos", "column", "filled"))).alias("cols")
     )
     first = base.filter(F.col(row_idx) < SAMPLE_ROWS)
-    samples = lines_of(first, F.col("__h"), cells, row_idx).groupBy(*key).agg(
+    samples = lines_of(first, F.col("__h"), cells, row_idx, max_cell=max_cell).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("lines")
     )
     body = F.array_join(
@@ -241,7 +250,7 @@ def summary_docs(rows: DataFrame, header: Column, cells: str = "cells", row_idx:
         ),
         "\n",
     )
-    return cols.join(samples, key).select(*key, F.substring(body, 1, cap).alias("text"))
+    return cols.join(samples, key).select(*key, (body if cap is None else F.substring(body, 1, cap)).alias("text"))
 
 
 def split_text(df: DataFrame, keys: Sequence[str], col: str = "text", target: int = TARGET_CHARS) -> DataFrame:
@@ -281,11 +290,13 @@ def with_ids(chunks: DataFrame, session: str, doc_type: str = "chunk") -> DataFr
     )
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str = "doc_id", version: Column | None = None) -> DataFrame:
-    """The target with the batch written over it; only batch keys are looked up."""
+def upsert(target: DataFrame, batch: DataFrame, version: Column, key: str = "doc_id") -> DataFrame:
+    """The target with the batch written over it; of several rows of a key the one of the highest ``version``.
+
+    Only batch keys are looked up.
+    """
     rest = [c for c in batch.columns if c != key]
-    order = version if version is not None else F.struct(*rest)
-    latest = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+    latest = batch.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
     return target.join(latest.select(key), key, "left_anti").unionByName(latest.select(*target.columns))
 
 

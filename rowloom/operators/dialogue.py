@@ -9,7 +9,6 @@ from rowloom.plans.ranking import top_rows
 
 HISTORY = 50
 CONTEXT_TURNS = 6
-TRANSCRIPT_TURNS = 1000
 
 
 def last_turns(df: DataFrame, n: int = HISTORY, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -17,12 +16,12 @@ def last_turns(df: DataFrame, n: int = HISTORY, conv: str = "conv_id", turn: str
     return top_rows(df, [conv], [F.desc(turn)], n, rank="__n").drop("__n")
 
 
-def transcript(df: DataFrame, form: str = "txt", stamp: str = "", n: int = TRANSCRIPT_TURNS) -> DataFrame:
+def transcript(df: DataFrame, form: str = "txt", stamp: str = "", n: int | None = None) -> DataFrame:
     """One text per conversation ``(conv_id, turn, role, text)``: ``txt``, ``md`` or ``json``.
 
-    A transcript shows the last ``n`` turns, so a conversation never grows past one cell.
+    A transcript shows all turns, or the last ``n``.
     """
-    turns = last_turns(df, n)
+    turns = df if n is None else last_turns(df, n)
     ts = F.lit(stamp)
     if form == "txt":
         piece = F.concat(F.lit("["), ts, F.lit("] "), F.upper("role"), F.lit(":\n"), F.col("text"), F.lit("\n"))

@@ -17,17 +17,33 @@ def with_group(files: DataFrame, mapping: DataFrame, path: str = "path", filenam
     return files.join(known, path, "left").withColumn("group", group).drop("__g")
 
 
+def _by_stem(
+    files: DataFrame, stem: Column, parts, groups: DataFrame, name: Column, group: str, order: str, known: Column | None = None
+) -> DataFrame:
+    """``files`` with the first group whose name is one of the ``parts`` of their stem.
+
+    ``parts`` takes the stem and the column of what is ``known`` of all groups.
+
+    Stems are matched once each and joined back, so equal files stay rows of their own.
+    """
+    stems = files.select(stem.alias("__s")).filter("__s IS NOT NULL").distinct()
+    stems = stems.withColumn("__k", F.lit(None) if known is None else known)
+    cand = stems.select("__s", F.explode(F.array_distinct(parts(F.col("__s"), F.col("__k")))).alias("__p"))
+    g = groups.select(name.alias("__p"), F.col(group).alias("matched_group"), F.col(order).alias("__o"))
+    found = cand.join(g, "__p").groupBy("__s").agg(F.min_by("matched_group", "__o").alias("matched_group"))
+    return files.withColumn("__s", stem).join(found, "__s").drop("__s")
+
+
 def match_prefix(files: DataFrame, groups: DataFrame, filename: str = "filename", group: str = "group", order: str = "ord") -> DataFrame:
     """First group whose name is the stem or starts it before an underscore.
 
     The stem's prefixes are joined by equality, so no file meets every group.
     """
-    s = F.upper(naming.stem(F.col(filename)))
-    parts = F.split(s, "_")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
-    cand = files.select("*", F.explode(F.array_distinct(prefixes)).alias("__p"))
-    g = groups.select(F.upper(group).alias("__p"), F.col(group).alias("matched_group"), F.col(order).alias("__o"))
-    return cand.join(g, "__p").groupBy(*files.columns).agg(F.min_by("matched_group", "__o").alias("matched_group"))
+    def prefixes(s: Column, _: Column) -> Column:
+        parts = F.split(s, "_")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
+
+    return _by_stem(files, F.upper(naming.stem(F.col(filename))), prefixes, groups, F.upper(group), group, order)
 
 
 def match_contains(files: DataFrame, groups: DataFrame, filename: str = "filename", group: str = "group", order: str = "ord") -> DataFrame:
@@ -35,21 +51,13 @@ def match_contains(files: DataFrame, groups: DataFrame, filename: str = "filenam
 
     Substrings of the lengths that group names have are joined by equality.
     """
-    s = F.lower(naming.stem(F.col(filename)))
-    lengths = groups.filter(F.length(group) > 0).agg(F.array_sort(F.collect_set(F.length(group))).alias("l"))
-    cuts = F.flatten(
-        F.transform(
-            F.filter(F.col("__l"), lambda n: n <= F.length(F.col("__s"))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(F.col("__s")) - n + 1), lambda at: F.substring(F.col("__s"), at, n)
-            ),
-        )
-    )
-    cand = (
-        files.withColumn("__s", s).withColumn("__l", lengths.scalar()).select(*files.columns, F.explode(F.array_distinct(cuts)).alias("__p"))
-    )
-    g = groups.select(F.lower(group).alias("__p"), F.col(group).alias("matched_group"), F.col(order).alias("__o"))
-    return cand.join(g, "__p").groupBy(*files.columns).agg(F.min_by("matched_group", "__o").alias("matched_group"))
+    used = groups.filter(F.length(group) > 0).agg(F.array_sort(F.collect_set(F.length(group))).alias("l")).scalar()
+
+    def cuts(s: Column, lengths: Column) -> Column:
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda at: F.substring(s, at, n))
+        return F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(s)), cut))
+
+    return _by_stem(files, F.lower(naming.stem(F.col(filename))), cuts, groups, F.lower(group), group, order, used)
 
 
 def _upper_names(df: DataFrame, col: str) -> DataFrame:

@@ -40,7 +40,7 @@ def archive_budget(spark, d):
     entries = table(spark, d, "documents").select(
         "doc_id", F.col("n_chars").alias("size"), F.expr("1 + n_chars div (1 + doc_id % 300)").alias("packed")
     )
-    kept = archives.budget(entries, "doc_id", "size", "packed", max_bytes=1_000_000, block=F.expr("doc_id div 1000"))
+    kept = archives.budget(entries, "doc_id", "size", "packed", max_bytes=1_000_000, max_files=20_000, max_ratio=200, block=F.expr("doc_id div 1000"))
     return kept.select("doc_id", "size")
 
 

@@ -54,7 +54,7 @@ SELECT c.f AS filename, (row_number() OVER (PARTITION BY c.f ORDER BY c.n, part)
   sha256((head || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY s2.n) FROM s s2 WHERE s2.f = c.f AND s2.n BETWEEN a AND b))[1:3500]) AS digest
 FROM c JOIN b ON b.f = c.f""")
 def table_chunks(spark, d):
-    chunks = chunking.chunk_lines(chunking.lines_of(part_tables(spark, d), part_header()))
+    chunks = chunking.chunk_lines(chunking.lines_of(part_tables(spark, d), part_header(), max_cols=120, max_cell=250))
     return chunks.select("filename", "chunk_index", "row_start", "row_end", F.sha2("text", 256).alias("digest"))
 
 
@@ -76,7 +76,7 @@ c AS (SELECT f, g, count(*) AS n, count(*) FILTER (WHERE nm <> '') AS nn, string
 SELECT f AS filename, sha256(('TYPE: CSV_SUMMARY | FILE: ' || f || ' | GROUP: ' || g || chr(10) || 'COLUMNS: p_partkey, p_name, p_type, p_size, p_retailprice' || chr(10) || 'ROW_COUNT: ' || n || chr(10) ||
  'NON_EMPTY_COUNTS: p_partkey:' || n || ', p_name:' || nn || ', p_type:' || n || ', p_size:' || n || ', p_retailprice:' || n || chr(10) || 'SAMPLE_ROWS:' || chr(10) || sample)[1:3500]) AS digest FROM c""")
 def table_summaries(spark, d):
-    docs = chunking.summary_docs(part_tables(spark, d), part_header())
+    docs = chunking.summary_docs(part_tables(spark, d), part_header(), cap=3500, max_cols=120, max_cell=250)
     return docs.select("filename", F.sha2("text", 256).alias("digest"))
 
 
@@ -105,7 +105,7 @@ def upserted_chunks(spark, d):
     target = table(spark, d, "documents").select("doc_id", F.col("lang").alias("mark"))
     again = table(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("mark"))
     new = table(spark, d, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.lit("new").alias("mark"))
-    return chunking.upsert(target, again.unionByName(new))
+    return chunking.upsert(target, again.unionByName(new), F.col("doc_id"))
 
 
 @report("""SELECT doc_id, (SELECT count(*) FROM documents WHERE lang = 'de') AS deleted FROM documents WHERE lang <> 'de'""")

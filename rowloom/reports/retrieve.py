@@ -13,7 +13,7 @@ from rowloom.session import pin
 @report(r"""SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:80], ' ') AS tokens
 FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{2,64}') AS t FROM benchmark)""")
 def question_tokens(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text"), 80), " ").alias("tokens"))
 
 
 @report(r"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[A-Za-z0-9_./\-]{2,64}')) AS t FROM benchmark)

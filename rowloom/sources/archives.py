@@ -37,35 +37,42 @@ def scan_files(spark: SparkSession, root: str, suffix: str = ".xml", content: bo
     return found.filter(F.lower("path").endswith(suffix) & ~F.rlike("path", F.lit(r"(^|/)[._][^/]*/")))
 
 
-def _open_entries(content: bytes, name: str, max_depth: int, max_ratio: float, max_bytes: int | None):
-    """Walk one archive and the archives in it; yields ``(path, chain, info, data)``."""
+def _open_entries(content: bytes, name: str, max_depth: int | None, max_ratio: float | None, max_bytes: int | None):
+    """Walk one archive and the archives in it; yields ``(path, chain, info, data, error)``, without data where there is an error."""
     spent = 0
     todo = [(content, "", [name], 1)]
     while todo:
         blob, prefix, chain, depth = todo.pop(0)
         with zipfile.ZipFile(io.BytesIO(blob)) as zf:
             for info in zf.infolist():
-                if info.is_dir() or (info.compress_size and info.file_size / info.compress_size > max_ratio):
+                if info.is_dir():
+                    continue
+                folders = info.filename.replace("\\", "/").split("/")[:-1]
+                leaf = posixpath.basename(info.filename)
+                where = "/".join([p for p in (prefix, *folders) if p] + [leaf])
+                if max_ratio is not None and info.compress_size and info.file_size / info.compress_size > max_ratio:
+                    yield where, chain + folders, info, None, f"packed more than {max_ratio:g} to 1"
                     continue
                 spent += info.file_size
                 if max_bytes is not None and spent > max_bytes:
                     return
-                folders = info.filename.replace("\\", "/").split("/")[:-1]
                 if any(f[:1] in (".", "_") for f in folders):
                     continue
-                leaf = posixpath.basename(info.filename)
                 suffix = posixpath.splitext(leaf)[1].lower()
                 if suffix == ".zip":
-                    if depth < max_depth:
-                        inner = f"_nested_{depth}_{leaf[:-4]}"
-                        try:
-                            data = zf.read(info)
-                            zipfile.ZipFile(io.BytesIO(data)).close()
-                        except (zipfile.BadZipFile, RuntimeError, EOFError):
-                            continue
-                        todo.append((data, inner, chain + folders + [leaf], depth + 1))
+                    if max_depth is not None and depth >= max_depth:
+                        yield where, chain + folders, info, None, f"nested deeper than {max_depth}"
+                        continue
+                    inner = f"_nested_{depth}_{leaf[:-4]}"
+                    try:
+                        data = zf.read(info)
+                        zipfile.ZipFile(io.BytesIO(data)).close()
+                    except (zipfile.BadZipFile, RuntimeError, EOFError) as e:
+                        yield where, chain + folders, info, None, str(e)
+                        continue
+                    todo.append((data, inner, chain + folders + [leaf], depth + 1))
                 else:
-                    yield "/".join([p for p in (prefix, *folders) if p] + [leaf]), chain + folders, info, zf.read(info)
+                    yield where, chain + folders, info, zf.read(info), None
 
 
 def expand_archives(
@@ -73,15 +80,16 @@ def expand_archives(
     path: str = "path",
     content: str = "content",
     suffixes: tuple[str, ...] = (".xml", ".csv"),
-    max_depth: int = 10,
-    max_ratio: float = 200,
+    max_depth: int | None = None,
+    max_ratio: float | None = None,
     max_bytes: int | None = None,
 ) -> DataFrame:
     """Entries of ZIP archives and of the ZIPs in them, one row each.
 
     ``zip_chain`` lists the archives and folders down to the entry. An archive
-    that cannot be read gives one row with ``error``. ``max_bytes`` stops an
-    archive at the entry that passes the budget.
+    that cannot be read, at any depth, gives one row with ``error``, and so does
+    an entry beyond ``max_depth`` or ``max_ratio``. ``max_bytes`` stops an
+    archive at the entry that passes the budget. No limit holds unless given.
     """
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -89,15 +97,18 @@ def expand_archives(
         for pdf in batches:
             for name, blob in zip(pdf[path], pdf[content]):
                 try:
-                    for n, (entry, chain, info, data) in enumerate(
-                        _open_entries(bytes(blob), posixpath.basename(name), max_depth, max_ratio, max_bytes)
+                    n = -1
+                    for entry, chain, info, data, error in _open_entries(
+                        bytes(blob), posixpath.basename(name), max_depth, max_ratio, max_bytes
                     ):
-                        if not entry.lower().endswith(suffixes):
+                        n += error is None
+                        if error is None and not entry.lower().endswith(suffixes):
                             continue
+                        at = n if error is None else None
                         rows.append(
-                            (name, n, entry, posixpath.basename(entry), chain, info.file_size, info.compress_size, data, None)
+                            (name, at, entry, posixpath.basename(entry), chain, info.file_size, info.compress_size, data, error)
                         )
-                        held += len(data)
+                        held += len(data or b"")
                         if held > BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=cols)
                             rows, held = [], 0
@@ -136,19 +147,24 @@ def budget(
     size: str,
     compressed: str | None = None,
     keys: tuple[str, ...] = (),
-    max_bytes: int = 300 * 1024 * 1024,
-    max_files: int = 20_000,
-    max_ratio: float = 200,
+    max_bytes: int | None = None,
+    max_files: int | None = None,
+    max_ratio: float | None = None,
     block: Column | None = None,
 ) -> DataFrame:
     """Entries in order while their running size and count stay within the budget.
 
-    Entries packed tighter than ``max_ratio`` are dropped and do not count.
+    Entries packed tighter than ``max_ratio`` are dropped and do not count. No
+    limit holds unless given.
     """
-    if compressed:
+    if compressed and max_ratio is not None:
         df = df.filter((F.col(compressed) <= 0) | (F.col(size) / F.col(compressed) <= max_ratio))
     placed = number_rows(df, list(keys), [order], number="__file", sums={"__bytes": F.col(size)}, block=block)
-    return placed.filter((F.col("__bytes") <= max_bytes) & (F.col("__file") <= max_files)).drop("__file", "__bytes")
+    if max_bytes is not None:
+        placed = placed.filter(F.col("__bytes") <= max_bytes)
+    if max_files is not None:
+        placed = placed.filter(F.col("__file") <= max_files)
+    return placed.drop("__file", "__bytes")
 
 
 def decode_text(content: Column) -> Column:

@@ -18,9 +18,12 @@ def older_than(jobs: DataFrame, ts: str, now: Column, days: int = 30, statuses:
     return old.filter(F.col("status").isin(*statuses)) if statuses else old
 
 
-def idle_sessions(events: DataFrame, key: str, ts: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions closed by a gap without activity; emitted on a stream once the gap has passed."""
-    if events.isStreaming:
+def idle_sessions(events: DataFrame, key: str, ts: str, gap: str = "24 hours", late: str | None = None) -> DataFrame:
+    """Sessions closed by a gap without activity; emitted on a stream once the gap has passed.
+
+    A stream needs ``late``, how late an action may come, to know that a gap has passed.
+    """
+    if events.isStreaming and late:
         events = events.withWatermark(ts, late)
     return events.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("actions")).select(
         key, F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("expires_at"), "actions"

@@ -2,66 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 END_STATES = ("SUCCESS", "FAILED", "CANCELLED")
-ERROR_CHARS = 2048
-OUTPUT = "job_id long, status string, progress int, error string, started_at timestamp, completed_at timestamp, updated_at timestamp"
 
 
-def fold(updates: DataFrame) -> DataFrame:
+def fold(updates: DataFrame, error_chars: int | None = None) -> DataFrame:
     """Present state per job from ``(job_id, seq, ts, status, progress, error)``.
 
     Progress is clamped to 0..100 and 100 on success; a job starts with its
-    first RUNNING update and completes with its last end state.
+    first RUNNING update and completes with its last end state. Errors are whole
+    unless ``error_chars`` cuts them.
     """
     clamped = F.when(F.col("progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))))
     p = F.when(F.col("status") == "SUCCESS", 100).otherwise(clamped)
     seen = p.isNotNull()
     at = F.struct("ts", "seq")
+    error = F.max_by("error", F.when(F.col("error").isNotNull(), at))
     return updates.groupBy("job_id").agg(
         F.max_by("status", at).alias("status"),
         F.max_by(p, F.when(seen, at)).cast("int").alias("progress"),
-        F.substring(F.max_by("error", F.when(F.col("error").isNotNull(), at)), 1, ERROR_CHARS).alias("error"),
+        (error if error_chars is None else F.substring(error, 1, error_chars)).alias("error"),
         F.min(F.when(F.col("status") == "RUNNING", F.col("ts"))).alias("started_at"),
         F.max_by("ts", F.when(F.col("status").isin(*END_STATES), at)).alias("completed_at"),
         F.max("ts").alias("updated_at"),
     )
 
 
-def _advance(key, batches, state: GroupState):
-    now = list(state.get) if state.exists else [None, None, None, None, None, None, None, None]
-    status, progress, error, started, completed, updated, last_ts, last_seq = now
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "seq"]).itertuples():
-            if last_ts is not None and (r.ts, r.seq) <= (pd.Timestamp(last_ts), last_seq):
-                continue
-            status, updated, last_ts, last_seq = r.status, r.ts, r.ts, int(r.seq)
-            if not pd.isna(r.progress):
-                progress = int(max(0, min(100, r.progress)))
-            if isinstance(r.error, str):
-                error = r.error[:ERROR_CHARS]
-            if r.status == "RUNNING" and started is None:
-                started = r.ts
-            if r.status in END_STATES:
-                completed = r.ts
-                progress = 100 if r.status == "SUCCESS" else progress
-    state.update((status, progress, error, started, completed, updated, last_ts, last_seq))
-    yield pd.DataFrame(
-        [(key[0], status, progress, error, started, completed, updated)],
-        columns=["job_id", "status", "progress", "error", "started_at", "completed_at", "updated_at"],
-    )
-
-
-def fold_stream(updates: DataFrame) -> DataFrame:
-    """The same fold on a stream in update mode; a job's updates must arrive in order."""
-    state = (
-        "status string, progress int, error string, started_at timestamp, completed_at timestamp, "
-        "updated_at timestamp, last_ts timestamp, last_seq long"
-    )
-    return updates.groupBy("job_id").applyInPandasWithState(
-        _advance, OUTPUT, state, "update", GroupStateTimeout.NoTimeout
-    )
+def fold_stream(updates: DataFrame, error_chars: int | None = None) -> DataFrame:
+    """The same fold on a stream, in update mode; updates may arrive in any order."""
+    return fold(updates, error_chars)

@@ -27,8 +27,12 @@ def accepted(events: DataFrame, key: str, ts: str, event_id: str, limit: int, se
     return placed.withColumn("accepted", ok).withColumn("retry_after", F.when(~ok, wait)).drop("__n")
 
 
-def window_counts(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60, late: str | None = "2 minutes") -> DataFrame:
-    """Accepted and refused requests per key and window; the same on a stream and on a table."""
+def window_counts(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60, late: str | None = None) -> DataFrame:
+    """Accepted and refused requests per key and window; the same on a stream and on a table.
+
+    On a stream ``late`` bounds how late a request may come, and with it the
+    state; without it every request counts, in update mode.
+    """
     if events.isStreaming and late:
         events = events.withWatermark(ts, late)
     counts = events.groupBy(F.window(ts, f"{seconds} seconds"), key).agg(F.count(F.lit(1)).alias("requests"))

@@ -45,9 +45,13 @@ def test_limits(spark):
     for _ in range(4):
         deep = zipped({"in.zip": deep})
     assert expand(spark, {"d.zip": deep}).count() == 1
-    assert expand(spark, {"d.zip": deep}, max_depth=4).count() == 0
+    (r,) = expand(spark, {"d.zip": deep}, max_depth=4).collect()
+    assert r.error == "nested deeper than 4" and r.path.endswith("in.zip") and r.content is None
     bomb = zipped({"z.xml": "0" * 1_000_000, "ok.xml": "abc"}, deflate=True)
-    assert [r.path for r in expand(spark, {"b.zip": bomb}).collect()] == ["ok.xml"]
+    assert [(r.path, r.error) for r in expand(spark, {"b.zip": bomb}, max_ratio=200).collect()] == [("z.xml", "packed more than 200 to 1"), ("ok.xml", None)]
+    assert sorted(r.path for r in expand(spark, {"b.zip": bomb}).collect()) == ["ok.xml", "z.xml"]
+    broken = zipped({"in.zip": b"no archive", "ok.xml": "abc"})
+    assert {(r.path, r.error is None) for r in expand(spark, {"n.zip": broken}).collect()} == {("in.zip", False), ("ok.xml", True)}
     sizes = zipped({"1.xml": "x" * 60, "2.xml": "x" * 60, "3.xml": "x"})
     assert [r.path for r in expand(spark, {"s.zip": sizes}, max_bytes=100).collect()] == ["1.xml"]
 

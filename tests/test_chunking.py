@@ -17,8 +17,10 @@ def one_pass(name, group, header, lines, target, keep, cap):
         return sum(len(line) + 1 for _, line in rows)
 
     def close():
-        text = "\n".join(head + [line for _, line in chunk])[:cap]
-        out.append((name, group, len(out), chunk[0][0], chunk[-1][0], text))
+        top, body = "\n".join(head), "\n".join(line for _, line in chunk)
+        room = max(cap - len(top) - 1, cap // 2)
+        for at in range(0, max(1, len(body)), room):  # a long line goes on in further chunks
+            out.append((name, group, len(out), chunk[0][0], chunk[-1][0], f"{top}\n{body[at:at + room]}"))
 
     for n, line in enumerate(lines, 1):
         if chunk and base + size(chunk) + len(line) + 1 > target:
@@ -74,3 +76,13 @@ def test_every_row_is_covered(spark):
     spans = chunking.chunk_lines(chunking.lines_of(nums, F.array(F.lit("h")))).orderBy("chunk_index").collect()
     assert spans[0].row_start == 1 and spans[-1].row_end == 3000
     assert all(b.row_start <= a.row_end + 1 and b.row_end > a.row_end for a, b in zip(spans, spans[1:]))
+
+
+def test_columns_and_cells_are_whole(spark):
+    wide = spark.createDataFrame([("w.csv", "W", 0, [f"v{i}" for i in range(129)] + ["z" * 5000])], "filename string, group string, row_idx long, cells array<string>")
+    header = F.array(*[F.lit(f"c{i}") for i in range(130)])
+    texts = [r.text for r in chunking.chunk_lines(chunking.lines_of(wide, header)).orderBy("chunk_index").collect()]
+    body = "".join(t.split("ROWS:\n", 1)[1] for t in texts)
+    assert body == " | ".join([f"v{i}" for i in range(129)] + ["z" * 5000]) and max(map(len, texts)) <= 3500
+    (doc,) = chunking.summary_docs(wide, header).collect()
+    assert "c129:1" in doc.text and "z" * 5000 in doc.text

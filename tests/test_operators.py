@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import display, naming, text
-from rowloom.operators import catalog, dialogue, edits
+from rowloom.operators import align, catalog, dialogue, edits, lookups
 from rowloom.plans.ranking import number_rows, rank_rows, top_rows
 
 
@@ -97,3 +97,23 @@ def test_scalars(spark):
     assert get(naming.output_path(F.lit("/x/../y/a.XML"))) == "x/y/a.csv"
     assert get(naming.group_from_path(F.lit("s/output/ab_c.csv"))) == "AB"
     assert get(naming.group_from_path(F.lit("s/K/ab_c.csv"))) == "K"
+
+
+def test_equal_files_stay_rows_of_their_own(spark):
+    files = spark.createDataFrame([("AB_one.csv",), ("AB_one.csv",), ("none.csv",), (None,)], "filename string")
+    groups = spark.createDataFrame([("AB", 1), ("one", 2)], "group string, ord int")
+    assert [r.matched_group for r in lookups.match_prefix(files, groups).collect()] == ["AB", "AB"]
+    assert [r.matched_group for r in lookups.match_contains(files, groups).collect()] == ["AB", "AB"]
+
+
+def test_fingerprint_of_a_table_longer_than_four_levels(spark):
+    rows = spark.range(40).select(F.lit("t").alias("k"), F.col("id").alias("i"))
+    assert align.table_fingerprint(rows, "k", "i", F.col("i").cast("string"), fan_out=2).count() == 1
+
+
+def test_transcripts_hold_all_turns(spark):
+    c = spark.range(1500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"))
+    (r,) = dialogue.transcript(c).collect()
+    assert r.transcript.count("USER") == 1500
+    (r,) = dialogue.transcript(c, n=3).collect()
+    assert r.transcript.count("USER") == 3
