@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom import session
 from rowloom.functions import display, naming, text
 from rowloom.operators import align, catalog, dialogue, edits, lookups
 from rowloom.plans.ranking import number_rows, rank_rows, top_rows
@@ -100,7 +101,7 @@ def test_scalars(spark):
 
 
 def test_equal_files_stay_rows_of_their_own(spark):
-    files = spark.createDataFrame([("AB_one.csv",), ("AB_one.csv",), ("none.csv",), (None,)], "filename string")
+    files = spark.createDataFrame([("AB_one.csv",), ("AB_one.csv",), ("nil.csv",), (None,)], "filename string")
     groups = spark.createDataFrame([("AB", 1), ("one", 2)], "group string, ord int")
     assert [r.matched_group for r in lookups.match_prefix(files, groups).collect()] == ["AB", "AB"]
     assert [r.matched_group for r in lookups.match_contains(files, groups).collect()] == ["AB", "AB"]
@@ -117,3 +118,21 @@ def test_transcripts_hold_all_turns(spark):
     assert r.transcript.count("USER") == 1500
     (r,) = dialogue.transcript(c, n=3).collect()
     assert r.transcript.count("USER") == 3
+
+
+def test_the_package_is_zipped_for_workers(monkeypatch):
+    import zipfile
+
+    class Context:
+        master, sent = "spark://somewhere", []
+
+        def addPyFile(self, path):
+            self.sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    session.ship(Session())
+    session.ship(Session())
+    (path,) = Session.sparkContext.sent
+    assert "rowloom/operators/diff.py" in zipfile.ZipFile(path).namelist()
