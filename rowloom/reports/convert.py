@@ -419,3 +419,17 @@ SELECT doc_id, sha1(lower(trim(regexp_replace(replace(text, 'e', chr(160) || chr
 def normalised_texts(spark, d):
     t = F.replace("text", F.lit("e"), F.lit("\u00a0\te"))
     return texts(spark, d).select("doc_id", F.sha1(text.norm_cell(F.concat(t, F.lit("\x00")), ignore_case=True)).alias("digest"))
+
+
+@report("""SELECT o_orderpriority[1:1] AS folder, sum(strlen(o_orderkey || ',' || o_orderstatus) + 1)::BIGINT AS bytes, count(*)::BIGINT AS lines FROM orders GROUP BY 1""")
+def scanned_files(spark, d):
+    """Orders written as a folder tree of text files, then found by scanning it; hidden files are skipped."""
+    root = scratch_path(spark, "scan")
+    lines = table(spark, d, "orders").select(
+        F.substring("o_orderpriority", 1, 1).alias("p"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value")
+    )
+    lines.write.partitionBy("p").text(root)
+    found = archives.scan_files(spark, root, ".txt")
+    folder = F.regexp_extract("path", "p=([0-9])/", 1)
+    text_lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
+    return found.groupBy(folder.alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(text_lines).cast("long").alias("lines"))
