@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.functions import text
-from rowloom.operators import align, diff
+from rowloom.operators import align, diff, drilldown
 from rowloom.plans.ranking import number_rows
 from rowloom.reports.registry import report, table, texts
 
@@ -132,6 +132,28 @@ def table_changes_ordered(spark, d):
     return _flat(deltas)
 
 
+def nation_files(rows, side):
+    """One delimited text per nation from its rows."""
+    line = F.array_join("cells", ",")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("l")))), lambda r: r["l"]), "\n")
+    files = rows.groupBy("pair_id").agg(F.concat(F.lit(",".join(COLUMNS) + "\n"), body).alias("content"), F.count(F.lit(1)).alias("rows"))
+    name = F.concat("pair_id", F.lit(".csv"))
+    return files.select(
+        F.col("pair_id").cast("long").alias("artifact_id"), F.concat(F.lit(f"{side}/"), name).alias("logical_path"), name.alias("filename"),
+        F.lit("N").alias("group"), "rows", F.lit(5).alias("cols"), "content", align.fingerprint(F.col("content")).alias("sha256"),
+    )
+
+
+@report(BY_NATION + "SELECT pair_id, kind, row_a, row_b FROM d")
+def file_deltas(spark, d):
+    """Two folders of nation files: compared as files, then those that differ row by row."""
+    pair = F.col("c_nationkey")
+    a, b = (nation_files(f(customers(spark, d), pair), s) for f, s in ((left_rows, "left"), (right_rows, "right")))
+    deltas, _ = drilldown.file_deltas(align.compare_files(a, b), a, b)
+    name = F.get_json_object("pair_id", "$.filename")
+    return deltas.select(F.substring_index(name, ".", 1).alias("pair_id"), "kind", "row_a", "row_b")
+
+
 @report(BY_NATION + """
 SELECT pair_id, (SELECT count(*) FROM eq WHERE eq.pair_id = x.pair_id) AS equal, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'MODIFIED') AS modified,
  (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'REMOVED') AS removed, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'ADDED') AS added,
