@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,39 @@ def _in_doc(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return spans.mix(hashes ^ spans.mix(doc.astype(np.uint64) + np.uint64(1)))
 
 
+def _normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text, words and number of every normalised line; numbers count the lines of all texts, those without a word too."""
+    # lower case changes lengths, so words are found anew
+    texts = pa.array([t.lower() if t else "" for t in texts.to_pylist()], pa.string())
+    data, bounds = spans.flat(texts)
+    data = _DIGIT_AS_ZERO[data]
+    starts, ends, _ = spans.words(data, bounds)
+    lines, line_ends, lb = spans.runs(~spans.NEWLINE[data], bounds)
+    first, last = np.searchsorted(starts, lines), np.searchsorted(starts, line_ends)
+    number = np.flatnonzero(last > first)
+    first, last = first[number], last[number]
+    h = spans.span_hashes(spans.span_hashes(data, starts, ends), first, last)
+    return h, spans.owner(lb)[number], last - first, number
+
+
+def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines whose normalised hashes are in their list of ``gone`` ones; all else stays as it is."""
+    h, doc, _, number = _normal_lines(texts)
+    lists = gone.to_pylist()
+    pairs = np.array([x for hashes in lists for x in hashes or []], dtype=np.int64).view(np.uint64)
+    owners = np.repeat(np.arange(len(lists)), [len(x or []) for x in lists])
+    drop = set(number[np.isin(_in_doc(h, doc), _in_doc(pairs, owners))].tolist())
+    out, n = [], 0
+    for text in texts.to_pylist():
+        left = []
+        for line in (text or "").split("\n"):
+            if n not in drop or not line:
+                left.append(line)
+            n += line != ""
+        out.append("\n".join(left))
+    return pa.array(out, pa.string())
+
+
 def measure(texts: pa.Array) -> dict[str, pa.Array]:
     """Base measures and distinct normalised lines of every text."""
     data, bounds = spans.flat(texts)
@@ -83,20 +117,9 @@ def measure(texts: pa.Array) -> dict[str, pa.Array]:
     twice, _ = _repeats(_in_doc(spans.window_hashes(word_hashes, k)[at], spans.owner(wb)[at]))
     out["n_repeat_words"] = pa.array(spans.per_doc(spans.covered(at[twice], k, len(starts)), wb), pa.int64())
 
-    # normalised lines: lower case changes lengths, so words are found anew
-    texts = pa.array([t.lower() if t else "" for t in texts.to_pylist()], pa.string())
-    data, bounds = spans.flat(texts)
-    data = _DIGIT_AS_ZERO[data]
-    starts, ends, _ = spans.words(data, bounds)
-    lines, line_ends, lb = spans.runs(~spans.NEWLINE[data], bounds)
-    first, last = np.searchsorted(starts, lines), np.searchsorted(starts, line_ends)
-    has = last > first
-    lb = np.concatenate([[0], np.cumsum(has)])[lb]
-    first, last = first[has], last[has]
-    h = spans.span_hashes(spans.span_hashes(data, starts, ends), first, last)
-    doc = spans.owner(lb)
+    h, doc, size, _ = _normal_lines(texts)
     order = np.lexsort((h, doc))
-    h, doc, size = h[order], doc[order], (last - first)[order]
+    h, doc, size = h[order], doc[order], size[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     heads = np.flatnonzero(new)
@@ -132,9 +155,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+def judge(
+    profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, with_lines: bool = False
+) -> DataFrame:
     """Add ``base_failed``, ``lost_words`` and ``kept``; ``profiles`` is read once and handed over.
 
+    ``with_lines`` adds ``gone``, the hashes of the document's lines that are boilerplate.
+
     One row per distinct line and document meets the counts of its host; a hot
     line is one row on the counting side, so its join partition can be split.
     """
@@ -147,7 +174,7 @@ def judge(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_
     lost = (
         lines.join(common.select("host", "line"), ["host", "line"], "left_semi")
         .groupBy("row")
-        .agg(F.sum("words").alias("lost_words"))
+        .agg(F.sum("words").alias("lost_words"), *[F.collect_list("line").alias("gone")] * with_lines)
     )
     out = p.drop("line_hash", "line_words", "text_hash").join(lost, "row", "left").drop("row")
     out = out.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
@@ -161,7 +188,29 @@ def line_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
     return out.select(F.col("doc").alias("doc_id"), *MEASURES, "lost_words", "base_failed", "kept")
 
 
-def accepted(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns, whatever their names."""
-    out = judge(profile(docs, text, host, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), **limits)
-    return out.filter("kept").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+def accepted(docs: DataFrame, text: str = "text", host: str = "source", length: str | None = "n_chars", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without their boilerplate lines, with their own columns, whatever their names.
+
+    ``length`` (if it is a column) is set to the code points of what is left; a
+    text that loses no line stays as it is.
+    """
+    out = judge(profile(docs, text, host, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), with_lines=True, **limits)
+    src = out.filter("kept").select("doc", "gone", F.when(F.col("gone").isNotNull(), F.col("doc").getField(text)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in spans.slices(batch, "text"):
+                left = without_lines(part.column("text"), part.column("gone"))
+                left = pc.if_else(pc.is_valid(part.column("text")), left, None)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), left], names=["doc", "left"])
+
+    out = src.mapInArrow(run, T.StructType([src.schema["doc"], T.StructField("left", T.StringType())]))
+    cols = []
+    for c in docs.columns:
+        value = F.col("doc").getField(c)
+        if c == text:
+            value = F.coalesce("left", value)
+        elif c == length:
+            value = F.when(F.col("left").isNotNull(), F.char_length("left").cast(docs.schema[c].dataType)).otherwise(value)
+        cols.append(value.alias(c))
+    return out.select(*cols)

@@ -67,3 +67,17 @@ def test_accepted_rows_keep_their_columns(spark):
     assert line_rules.accepted(empty(spark)).count() == 0
     verdict = line_rules.line_rules(docs)
     assert out.count() == verdict.filter("kept").count()
+
+
+def test_accepted_texts_lose_the_common_lines_of_their_host(spark):
+    own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(12))
+    texts = [f"Menu {i}  HOME é\r\n\n{own(i)}\n  \nmenu {i} home É\nlast of {own(i)[::-1]}\nRead more" for i in range(8)]
+    texts += [f"menu 9 home é\n{own(8)}", f"{own(9)}\n", f"Menu 1 away\n{own(10)}"]
+    sources = ["a"] * 8 + ["b", "a", "a"]
+    docs = frame(spark, texts, sources)
+    normal = lambda x: tuple(WORD.findall(re.sub("[0-9]", "0", x.lower())))
+    held = collections.Counter((s, x) for t, s in zip(texts, sources) for x in {normal(x) for x in t.split("\n")} if x)
+    want = ["\n".join(x for x in t.split("\n") if held[s, normal(x)] <= 3) for t, s in zip(texts, sources)]
+    out = line_rules.accepted(docs, min_docs=3)
+    assert want[0] == f"\n{own(0)}\n  \nlast of {own(0)[::-1]}" and want[8:] == texts[8:]
+    assert rows(out, "doc_id", "text", "n_chars") == sorted(((i, t, len(t)) for i, t in enumerate(want, 1)), key=repr)
