@@ -13,8 +13,12 @@ places of its own pieces: tasks need no state of other tasks. A queue that runs
 dry leaves its part of the rounds to the others.
 
 Shares default to the sources' parts of all tokens, so that all queues run dry
-together. ``MAX_QUEUES`` largest sources have queues of their own, all others
-share the last one; the table of queues is the only thing sent to all tasks.
+together. Sources with a target and the largest others, ``MAX_QUEUES`` less one,
+have queues of their own. All others share the last one, which is filled in the
+same way: they are dealt to about as many bins as a bin has sources, the bins
+fill the queue by deficit round-robin and the sources their bin, so every source
+keeps its own share. What a source leaves that runs dry goes to its bin first.
+The tables of queues are the only thing sent to all tasks, without names.
 
 Defined cases: a null text is an empty one and consists of the end id; null
 sources are a source of their own; documents with equal ids follow each other
@@ -23,8 +27,9 @@ in the order of their texts; a null id is kept as it is.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +63,7 @@ class Mixture:
         """Tokens that each queue (column) has sent before each round (row)."""
         return np.minimum(self.lengths, ((rounds[:, None] // self.every) * self.sends) >> _UNIT)
 
-    def places(self, queue: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    def places(self, queue: np.ndarray, first: np.ndarray, count: np.ndarray, cut_windows: bool = True) -> tuple[np.ndarray, ...]:
         """Pieces of runs of ``count`` tokens from ``first`` of their queue: run, start in it, length and place overall."""
         sends, every = self.sends[queue], self.every[queue]
         serve = lambda x: (((x + 1) << _UNIT) - 1) // sends  # noqa: E731  the service that sends token x
@@ -82,6 +87,8 @@ class Mixture:
         place += a - begin
         keep = b > a
         run, a, b, place = run[keep], a[keep], b[keep], place[keep]
+        if not cut_windows:
+            return run, a - first[run], b - a, place
         # cut at the ends of windows
         piece, step = _expand((place + b - a - 1) // self.window - place // self.window + 1)
         cut = (place[piece] // self.window + step) * self.window
@@ -90,6 +97,33 @@ class Mixture:
         return run[piece], a[piece] - first[run[piece]] + begin - place[piece], end - begin, begin
 
 
+class Bins:
+    """Many sources that fill one queue: a mixture of bins, and of the sources of every bin."""
+
+    def __init__(self, bins: np.ndarray, lengths: np.ndarray, shares: np.ndarray, window: int, min_piece: int):
+        """Sources in the order of their bins, which count from 0."""
+        self.lengths, self.shares, self.window, self.min_piece = lengths, shares, window, min_piece
+        self.bounds = np.searchsorted(bins, np.arange((bins[-1] if len(bins) else -1) + 2))
+        total = lambda x: [x[a:b].sum() for a, b in zip(self.bounds, self.bounds[1:])]
+        self.outer = self.mixture(total(lengths), total(shares))
+
+    def mixture(self, lengths, shares) -> Mixture:
+        """Of rounds in which a queue earns a least piece on average: a token here is far more than one of all tokens."""
+        return Mixture(lengths, shares, max(1, min(self.window, max(1, self.min_piece) * len(lengths))), self.min_piece)
+
+    def places(self, bin_: np.ndarray, number: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``Mixture.places``, for the source with a ``number`` in its bin, and places in the common queue."""
+        found = []
+        for i in np.unique(bin_):
+            at, (a, b) = np.flatnonzero(bin_ == i), self.bounds[i : i + 2]
+            inner = self.mixture(self.lengths[a:b], self.shares[a:b])
+            run, start, length, place = inner.places(number[at], first[at], count[at], False)
+            found.append((at[run], start, length, place, np.full(len(run), i)))
+        run, start, length, place, owner = (np.concatenate(x) for x in zip(*found))
+        again, more, length, place = self.outer.places(owner, place, length, False)
+        return run[again], start[again] + more, length, place
+
+
 def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each index as often as counted, and its number within."""
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -132,22 +166,37 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: s
     return ordered.mapInArrow(run, f"part int, source string, doc_id {kind}, first long, count long, ids binary")
 
 
-def queues(totals: DataFrame, max_queues: int = MAX_QUEUES) -> tuple[list[tuple[str | None, int]], DataFrame]:
+def queues(totals: DataFrame, max_queues: int = MAX_QUEUES, first: Iterable[str] = ()) -> tuple[list[tuple[str | None, int]], DataFrame]:
     """Names and tokens of the queues, and ``totals`` with the queue of each row and the queue's tokens before it.
 
     ``totals`` has a row ``(part, source, n)`` per task and source. The queue
-    without a name holds all sources after the largest ones.
+    without a name holds all sources after those of ``first`` and the largest.
     """
     spark = totals.sparkSession
     sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "source").limit(max_queues - 1).collect()
+    named_first = spark.createDataFrame([(s, True) for s in first], "source string, target boolean")
+    sums = sums.join(F.broadcast(named_first), "source", "left")
+    top = sums.orderBy(F.col("target").isNull(), F.desc("n"), "source").limit(max_queues - 1).collect()
     named = sorted((r.source, r.n) for r in top)
     rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in named)
     found: list[tuple[str | None, int]] = [*named, *([(None, rest)] if rest else [])]
     ids = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "source string, queue int")
     numbered = totals.join(F.broadcast(ids), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(named))))
     before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return found, numbered.select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found, numbered.select("part", "source", "queue", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def binned(rest: DataFrame, shares: dict[str, float], total: int) -> tuple[DataFrame, pa.Table]:
+    """``(source, bin, number)`` of the sources in ``rest``, and ``bin, n, share`` in their order without names."""
+    sums = rest.groupBy("source").agg(F.sum("n").alias("n"))
+    bins = math.isqrt(max(0, sums.count() - 1)) + 1
+    targets = rest.sparkSession.createDataFrame(list(shares.items()), "source string, share double")
+    sums = sums.join(F.broadcast(targets), "source", "left").withColumn("share", F.coalesce("share", F.col("n") / F.lit(total)))
+    sums = sums.withColumn("bin", F.pmod(F.xxhash64("source"), F.lit(bins)))
+    within = Window.partitionBy("bin").orderBy("source")
+    sums = hand_over(sums.withColumn("number", F.row_number().over(within).cast("long") - 1), "packing-bins")
+    table = sums.select("bin", "number", "n", "share").toArrow().sort_by([("bin", "ascending"), ("number", "ascending")])
+    return sums.select("source", "bin", "number"), table
 
 
 def pack(
@@ -165,25 +214,47 @@ def pack(
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece, and its packed ids if asked for.
 
     ``shares`` are target shares by source; a source it does not name keeps its
-    part of all tokens.
+    part of all tokens. The number of sources is not limited.
     """
+    shares = {k: float(v) for k, v in (shares or {}).items()}
     rows = hand_over(tokenized(docs, tokenizer, text, source, doc_id, end_id), "packing-ids")
     totals = hand_over(rows.groupBy("part", "source").agg(F.sum("count").alias("n")), "packing-totals")
-    found, bases = queues(totals)
+    found, bases = queues(totals, first=shares)
     total = sum(n for _, n in found) or 1
-    targets = [(shares or {}).get(name, n / total) if name is not None else n / total for name, n in found]
-    mixture = docs.sparkSession.sparkContext.broadcast(Mixture([n for _, n in found], targets, window, min_piece))
-    placed = rows.join(bases, ["part", "source"]).select("doc_id", "queue", (F.col("base") + F.col("first")).alias("first"), "count", "ids")
+    targets = [shares.get(name, n / total) for name, n in found if name is not None]
+    tail, bins = len(targets), None
+    bases = bases.filter(F.col("queue") < tail).select("part", "source", "queue", "base", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("number"))
+    if len(found) > tail:
+        rest = totals.join(bases.select("source").distinct(), "source", "left_anti")
+        numbers, table = binned(rest, shares, total)
+        before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        rest = rest.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(numbers, "source")
+        bases = bases.union(rest.select("part", "source", F.lit(tail).alias("queue"), "base", "bin", "number"))
+        bin_, n, share = (table.column(c).to_numpy() for c in ("bin", "n", "share"))
+        bins = Bins(bin_, n, share, window, min_piece)
+        targets.append(float(share.sum()))
+    mixture = docs.sparkSession.sparkContext.broadcast((Mixture([n for _, n in found], targets, window, min_piece), bins))
+    placed = rows.join(bases, ["part", "source"])
+    placed = placed.select("doc_id", "queue", "bin", "number", (F.col("base") + F.col("first")).alias("first"), "count", "ids")
     kind = docs.schema[doc_id].dataType.simpleString()
     fields = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = [f.split(" ")[0] for f in fields.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix, kind = mixture.value, word_tokens.encoder(tokenizer).dtype
+        (mix, bins), kind = mixture.value, word_tokens.encoder(tokenizer).dtype
         for batch in batches:
             for part in spans.slices(batch, "ids"):
-                count = part.column("count").to_numpy()
-                doc, start, length, place = mix.places(part.column("queue").to_numpy(), part.column("first").to_numpy(), count)
+                queue, bin_, number, first, count = (part.column(c).to_numpy() for c in ("queue", "bin", "number", "first", "count"))
+                run, length = np.arange(len(count)), count
+                start = np.zeros(len(count), dtype=np.int64)
+                deep = np.flatnonzero(bin_ >= 0)
+                if len(deep):
+                    at, more, size, place = bins.places(bin_[deep], number[deep], first[deep], count[deep])
+                    flat = np.flatnonzero(bin_ < 0)
+                    run, start = np.concatenate([flat, deep[at]]), np.concatenate([start[flat], more])
+                    length, first = np.concatenate([count[flat], size]), np.concatenate([first[flat], place])
+                again, more, length, place = mix.places(queue[run], first, length)
+                doc, start = run[again], start[again] + more
                 data, bounds = spans.flat(part.column("ids").cast(pa.large_binary()))
                 ids = data.view(kind).astype("<u4")
                 at = bounds[doc] // kind.itemsize + start

@@ -156,6 +156,25 @@ def test_shares_and_shared_queues(spark, data, tokenizer, monkeypatch):
     assert [b for _, _, b in rest] == [0, *np.cumsum([10 + i for i in range(6) for _ in range(2)])[:-1].tolist()]
 
 
+def test_every_one_of_many_sources_keeps_its_share(spark, tokenizer):
+    """1123 sources: those without a queue of their own run along the windows too, and have targets."""
+    names = [f"host{i:04}" for i in range(1123)]
+    texts, sources = [f"text {i} " * (60 if i < 1000 else 40) for i in range(1123)], names
+    docs = frame(spark, texts, sources)
+    _, got = check_packing(docs, tokenizer, window=512, min_piece=4)
+    last, by_source = max(r.sequence_id for r in got), collections.defaultdict(list)
+    for r in got:
+        by_source[r.doc_id].append((r.sequence_id, r.length))
+    for i, pieces in by_source.items():
+        early = sum(n for w, n in pieces if w < last / 2) / sum(n for _, n in pieces)
+        assert 0.3 < early < 0.7, i
+    _, got = check_packing(docs, tokenizer, window=512, min_piece=4, shares={"host1100": 0.3})
+    assert sum(r.length for r in got if r.doc_id == 1101 and r.sequence_id == 0) > 60
+    shares = {name: 2.0 if i == 1122 else 1e-3 for i, name in enumerate(names)}  # more targets than queues
+    _, got = check_packing(docs, tokenizer, window=512, min_piece=4, shares=shares)
+    assert sum(r.length for r in got if r.doc_id == 1123 and r.sequence_id < 2) > 70
+
+
 def test_packing_of_odd_rows(spark, tokenizer):
     check_packing(odd(spark), tokenizer)
     check_packing(frame(spark, ["one long source " * 900], ["only"]), tokenizer, window=64)
