@@ -95,6 +95,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return [float(v) for v in w]
 
 
+def spread(parts: list[bytes]) -> list[bytes]:
+    """At most ``BLOCKS_A_TEXT`` blocks at even distances, the first and the last among them."""
+    n = min(len(parts), BLOCKS_A_TEXT)
+    return [parts[i * (len(parts) - 1) // max(1, n - 1)] for i in range(n)]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -117,9 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for batch in batches:
             ys, got = [], []
             for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                parts = blocks(t.encode())
-                stride = max(1, len(parts) // BLOCKS_A_TEXT)
-                for b in parts[::stride][:BLOCKS_A_TEXT]:
+                for b in spread(blocks(t.encode())):
                     ys.append(y)
                     got.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(got, pa.binary())], names=["y", "block"])

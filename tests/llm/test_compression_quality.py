@@ -62,3 +62,10 @@ def test_few_or_no_labels(spark):
     both = cq.fit(docs, labels(spark, [(1, 1, 0), (2, 1, 0), (3, 1, 0), (5, 0, 0), (5, None, 0), (None, 1, 0)]))
     assert cq.score(docs, both).count() == 5
     assert cq.fit(empty(spark), labels(spark, [])).dictionaries is None
+
+
+def test_dictionaries_learn_from_beginnings_and_endings():
+    for n in range(40):
+        got = cq.spread(list(range(n)))
+        assert len(set(got)) == len(got) == min(n, 8) and got == sorted(got) and got[-1:] == list(range(n))[-1:] and got[:1] == list(range(n))[:1]
+        assert all(b - a <= -(-n // 7) for a, b in zip(got, got[1:]))
