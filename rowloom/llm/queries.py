@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, mixture_packing, substrings, weighted_fingerprints, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,9 @@ FROM b JOIN s ON bits[1:depth] = shard
 def op2_hash_shards(spark, folder):
     """The shard of every document under a limit of 16 MiB."""
     return hash_shards.hash_shards(documents(spark, folder))
+
+
+@query()
+def op11_variant_simhash(spark, folder):
+    """The fingerprint of every document and the component it belongs to at two bits or fewer."""
+    return variant_simhash.near_duplicates(documents(spark, folder))
