@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, merkle_manifest, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op2_hash_shards(spark, folder):
 def op11_variant_simhash(spark, folder):
     """The fingerprint of every document and the component it belongs to at two bits or fewer."""
     return variant_simhash.near_duplicates(documents(spark, folder))
+
+
+@query(merkle_manifest.SQL)
+def op12_merkle_manifest(spark, folder):
+    """Leaf, roots and proof of every document, and the root folded from it or from what tampering made of it."""
+    return merkle_manifest.document_manifest(documents(spark, folder))
