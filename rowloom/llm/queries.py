@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, language_crf, line_rules, merkle_manifest, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
+from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, interval_search, language_crf, line_rules, merkle_manifest, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op11_variant_simhash(spark, folder):
 def op12_merkle_manifest(spark, folder):
     """Leaf, roots and proof of every document, and the root folded from it or from what tampering made of it."""
     return merkle_manifest.document_manifest(documents(spark, folder))
+
+
+@query(interval_search.SQL)
+def op13_interval_search(spark, folder):
+    """The 20 best documents of every benchmark item."""
+    return interval_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
