@@ -131,7 +131,9 @@ def near_links(prints: DataFrame, distance: int = 2, limit: int = LIMIT) -> Data
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
     pairs = buckets.filter("n = 2").filter(near("a", "b")).select("a", "b")
 
-    members = hand_over(index.join(buckets.filter("n > 2").select("slot", "value", "n"), ["slot", "value"]), "members")
+    # both sides by shuffle at every size: buckets grow faster than the fingerprints, and a hot one can be split
+    large = buckets.filter("n > 2").select("slot", "value", "n").hint("merge")
+    members = hand_over(index.join(large, ["slot", "value"]), "members")
     few = members.filter(F.col("n") <= limit)
     left = few.select("slot", "value", "wild", F.col("print").alias("a"))
     right = few.select("slot", "value", F.col("print").alias("b"))
@@ -151,7 +153,9 @@ def near_links(prints: DataFrame, distance: int = 2, limit: int = LIMIT) -> Data
 def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", distance: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row: 16 hex digits, and the smallest id that links lead to."""
     found = hand_over(fingerprints(docs, text, keep, shingle), "prints")
-    nodes = hand_over(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = found.groupBy("print").agg(F.min("doc_id").alias("first"))
+    # each row becomes 66 index rows, so that few small files would be few long tasks
+    nodes = hand_over(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print"), "nodes")
     linked = components(hand_over(near_links(nodes.select("print"), distance), "links")).withColumnRenamed("node", "print")
     nodes = nodes.join(linked, "print", "left").withColumn("root", F.coalesce("root", "print"))
     nodes = hand_over(nodes, "roots")
