@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import text
 from rowloom.plans.matching import greedy_match
 from rowloom.plans.ranking import number_rows, running_max, top_rows
+from rowloom.plans.rising import longest_rising
 from rowloom.plans.similarity import jaccard_pairs, token_classes
 from rowloom.session import pin
 
@@ -50,16 +51,27 @@ def row_hash(cells: Column, ignore_case: bool = False, trim_ws: bool = True) ->
 def diff_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     """``pair_id, side, row_idx, block, equal, moved`` of every row of both sides, for tables of any size.
 
-    The k-th row of a hash on one side is equal to the k-th on the other. Such a
-    pair is an anchor as long as anchors rise: its right row lies behind the
-    right rows of all pairs with an earlier left row. The other pairs are equal
-    rows that moved. The rows between two anchors form a block; where equal rows
-    keep their order no row has moved and the blocks are those of an ordered diff.
+    The k-th row of a hash on one side is equal to the k-th on the other. The
+    largest set of such pairs that rises on both sides are the anchors; the
+    other pairs are equal rows that moved. The rows between two anchors form a
+    block; where equal rows keep their order no row has moved and the blocks are
+    those of an ordered diff.
     """
     tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", "hash")
     return _blocks(pin(tag(a, "a").unionByName(tag(b, "b"))))
 
 
+def _anchors(pairs: DataFrame) -> DataFrame:
+    """``(pair_id, row_a, row_b)`` of equal rows with ``moved``; only tables whose rows cross each other need the longest rising run."""
+    seen = running_max(pairs, ["pair_id"], "row_a", "row_b", "upto", F.expr(f"row_a div {ROW_BLOCK}"))
+    crossed = pin(seen.filter(F.col("upto") > F.col("row_b")).select("pair_id").distinct())
+    if crossed.isEmpty():
+        return pairs.withColumn("moved", F.lit(False))
+    rising = longest_rising(pairs.join(crossed, "pair_id", "left_semi"), "pair_id", "row_a", "row_b", block=ROW_BLOCK)
+    rest = pairs.join(crossed, "pair_id", "left_anti").withColumn("moved", F.lit(False))
+    return rest.unionByName(rising.select("pair_id", "row_a", "row_b", (~F.col("rises")).alias("moved")))
+
+
 def _blocks(hashes: DataFrame) -> DataFrame:
     place = F.expr(f"row_idx div {ROW_BLOCK}")
     counts = hashes.groupBy("pair_id", "hash").agg(
@@ -71,9 +83,8 @@ def _blocks(hashes: DataFrame) -> DataFrame:
     copies = number_rows(shared.filter(~once), ["pair_id", "side", "hash"], ["row_idx"], number="k", block=place)
     named = shared.filter(once).withColumn("k", F.lit(1).cast("long")).unionByName(copies)
     side = lambda s, name: named.filter(F.col("side") == s).select("pair_id", "hash", "k", F.col("row_idx").alias(name))
-    anchors = pin(side("a", "row_a").join(side("b", "row_b"), ["pair_id", "hash", "k"]).select("pair_id", "row_a", "row_b"))
-    seen = running_max(anchors, ["pair_id"], "row_a", "row_b", "upto", F.expr(f"row_a div {ROW_BLOCK}"))
-    anchors = seen.select("pair_id", "row_a", "row_b", (F.col("upto") > F.col("row_b")).alias("moved"))
+    pairs = pin(side("a", "row_a").join(side("b", "row_b"), ["pair_id", "hash", "k"]).select("pair_id", "row_a", "row_b"))
+    anchors = _anchors(pairs)
     marks = anchors.select("pair_id", F.lit("a").alias("side"), F.col("row_a").alias("row_idx"), "moved").unionByName(
         anchors.select("pair_id", F.lit("b").alias("side"), F.col("row_b").alias("row_idx"), "moved")
     )

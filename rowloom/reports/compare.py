@@ -125,6 +125,57 @@ def moved_rows(spark, d):
     return diff.diff(left, right)[0].select("kind", "row_a", "row_b")
 
 
+REORDERED = """
+WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer),
+x AS (SELECT *, i % 17 = 3 AND i NOT IN (0, n - 1) AS changed FROM c),
+b AS (SELECT *, row_number() OVER (ORDER BY {place}, i) - 1 AS j FROM x)
+SELECT 'MODIFIED' AS kind, i AS row_a, j AS row_b FROM b WHERE changed
+UNION ALL SELECT 'MOVED', i, NULL FROM b WHERE NOT changed AND {moved}
+UNION ALL SELECT 'MOVED', NULL, j FROM b WHERE NOT changed AND {moved}"""
+
+
+def _reordered(spark, d, place, similar):
+    """The customers against themselves in another order with changed cells: changes, and the rows on each side that moved."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("bal"))
+    c = number_rows(c, [], ["c_custkey"], number="rn").withColumn("i", F.col("rn") - 1).withColumn("n", F.lit(c.count()))
+    c = c.withColumn("again", F.concat(F.lit("K"), F.col("c_custkey") * 7)).withColumn("more", F.concat(F.lit("M"), F.col("c_custkey") * 11))
+    cells = ["c_custkey", "c_name", "c_mktsegment", "bal", "again", "more"]
+    changed = (F.col("i") % 17 == 3) & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)
+    right = c.withColumn("bal", F.when(changed, F.lit("none")).otherwise(F.col("bal"))).withColumn("at", F.expr(place))
+    left, right = diff.table_rows(c, cells, row_idx="i"), diff.table_rows(right, cells, order=["at", "i"])
+    moved = diff.diff_blocks(diff.normalised(left), diff.normalised(right)).filter("moved")
+    mine = lambda s: F.when(F.col("side") == s, F.col("row_idx"))
+    moved = moved.select(F.lit("MOVED").alias("kind"), mine("a").alias("row_a"), mine("b").alias("row_b"))
+    return diff.diff(left, right, similarity_pairing=similar)[0].select("kind", "row_a", "row_b").unionByName(moved)
+
+
+HEAD, TAIL, HALVES = "CASE WHEN i = 0 THEN 1 ELSE 0 END", "CASE WHEN i = n - 1 THEN 0 ELSE 1 END", "CASE WHEN i < n div 2 THEN 1 ELSE 0 END"
+
+
+@report(REORDERED.format(place=HEAD, moved="i = 0"))
+def moved_head(spark, d):
+    """The first row moved to the end: it alone has moved."""
+    return _reordered(spark, d, HEAD, True)
+
+
+@report(REORDERED.format(place=HEAD, moved="i = 0"))
+def moved_head_positional(spark, d):
+    return _reordered(spark, d, HEAD, False)
+
+
+@report(REORDERED.format(place=TAIL, moved="i = n - 1"))
+def moved_tail(spark, d):
+    """The last row moved to the front."""
+    return _reordered(spark, d, TAIL, False)
+
+
+@report(REORDERED.format(place=HALVES.replace("div", "//"), moved="""(i >= n // 2) =
+  ((SELECT count(*) FROM x WHERE NOT changed AND i < n // 2) >= (SELECT count(*) FROM x WHERE NOT changed AND i >= n // 2))"""))
+def swapped_halves(spark, d):
+    """The halves swapped: the one with fewer equal rows has moved."""
+    return _reordered(spark, d, HALVES, True)
+
+
 @report(BY_NATION + ROWS)
 def table_changes_ordered(spark, d):
     pair = F.col("c_nationkey")

@@ -1,5 +1,6 @@
 """Keyless diff: hand cases, difflib itself, and properties."""
 
+import bisect
 import difflib
 import random
 
@@ -103,20 +104,38 @@ def test_moved_rows_are_equal_and_changed_ones_pair_up(spark):
     assert (s.equal, s.modified, s.removed, s.added) == (10, 1, 0, 0)
 
 
-def test_anchors_rise_over_block_cuts(spark, monkeypatch):
+def test_anchors_are_a_longest_rising_run_over_block_cuts(spark, monkeypatch):
     monkeypatch.setattr(diff, "ROW_BLOCK", 4)
     r = random.Random(9)
     a, b = list(range(60)), list(range(60))
     r.shuffle(b)
     left, right = rows(spark, {"p": [[f"r{i}"] for i in a]}), rows(spark, {"p": [[f"r{i}"] for i in b]})
     got = {(x.side, x.row_idx): (x.block, x.moved) for x in diff.diff_blocks(diff.normalised(left), diff.normalised(right)).collect()}
-    top, block, want = -1, 0, {}
+    stay = [i for i in a if not got["a", i][1]]
+    assert [i for i in b if not got["b", b.index(i)][1]] == stay
+    tops = []
     for i in a:
-        j = b.index(i)
-        block += j > top
-        want["a", i] = (block, j < top)
-        top = max(top, j)
-    assert {k: v for k, v in got.items() if k[0] == "a"} == want
+        k = bisect.bisect_left(tops, b.index(i))
+        tops[k : k + 1] = [b.index(i)]
+    assert len(stay) == len(tops)
+    for side, order in (("a", a), ("b", b)):
+        block = 0
+        for at, i in enumerate(order):
+            block += i in stay
+            assert got[side, at] == (block, i not in stay)
+
+
+def test_head_moved_to_the_end(spark):
+    """One row has moved, the others stay anchors, so that changed rows meet in their own blocks."""
+    t = [[f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}"] for i in range(13)]
+    u = [["n0", "n1", "n2", "n3", "n4"], *[list(x) for x in t[1:]], list(t[0])]
+    u[4][2], u[8][0] = "new", "new"
+    left, right = rows(spark, {"p": t}), rows(spark, {"p": u})
+    blocks = diff.diff_blocks(diff.normalised(left), diff.normalised(right)).filter("moved").collect()
+    assert sorted((x.side, x.row_idx) for x in blocks) == [("a", 0), ("b", 13)]
+    for pairing in (True, False):
+        (s,) = diff.diff(left, right, similarity_pairing=pairing)[1].collect()
+        assert (s.equal, s.modified, s.removed, s.added) == (11, 2, 0, 1)
 
 
 def test_uneven_copies_pair_in_order(spark):
