@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming, text
-from rowloom.plans.matching import MATCH_SCHEMA, bin_count, greedy_match
+from rowloom.plans.matching import MATCH_SCHEMA, bin_count, greedy_match, one_round
 from rowloom.plans.ranking import number_rows
-from rowloom.plans.similarity import cosine_pairs, term_suffixes
+from rowloom.plans.similarity import band_thresholds, best_partners, cosine_pairs, term_suffixes
 from rowloom.session import fresh, pin
 
 # Fixed values.
@@ -22,7 +22,7 @@ ADDED_MESSAGE = "➕ Present in Side B only."
 SMALL_FILES = 200  # per side and bucket
 SMALL_TERMS = 500_000  # term rows per bucket
 TERM_CHARS = 4  # characters a term row stands for at least
-BANDS = (0.8, 0.5, 0.25, 0.0)
+BAND_ROWS = 2_000_000  # candidate rows of a bucket in a band
 ID_BLOCK = 100_000
 
 
@@ -167,14 +167,15 @@ def _match_small(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 
 
 def match_cosine(
-    a: DataFrame, b: DataFrame, small_files: int = SMALL_FILES, small_terms: int = SMALL_TERMS, bands=BANDS
+    a: DataFrame, b: DataFrame, small_files: int = SMALL_FILES, small_terms: int = SMALL_TERMS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """Greedy one-to-one pairs by cosine; with no threshold, so dissimilar files pair too.
 
     ``a`` and ``b`` hold ``(bucket, artifact_id, sha256, content)``. Small
-    buckets are settled in bins of bounded size. In large ones the pairs are found
-    band by band from the most similar down; whatever shares no term is paired
-    in order of appearance.
+    buckets are settled in bins of bounded size. In large ones pairs are found
+    in bands from the most similar down, each as wide as ``band_rows`` candidates
+    allow, and by mutually best pairs of blocks where one more step would take
+    more; whatever shares no term is paired in order of appearance.
     """
     both = (
         a.select("bucket", "artifact_id", "sha256", "content", F.lit("a").alias("side"))
@@ -206,7 +207,7 @@ def match_cosine(
     )
     large = both.filter(~F.col("small")).select("side", "bucket", "sha256", "artifact_id", "content")
     if not large.isEmpty():
-        similar = similar.unionByName(_match_large(large, bands))
+        similar = similar.unionByName(_match_large(large, band_rows))
     similar = pin(similar)
 
     def rest(side: str, name: str) -> DataFrame:
@@ -221,9 +222,15 @@ def match_cosine(
     return similar.unionByName(unlike)
 
 
-def _match_large(files: DataFrame, bands) -> DataFrame:
-    """Bands of falling cosine; a band sees only files that are still free."""
-    classes = pin(files.select("side", "bucket", F.col("sha256").alias("cls"), F.col("artifact_id").alias("row_id")))
+def _match_large(files: DataFrame, band_rows: int) -> DataFrame:
+    """Bands of falling cosine, each bucket at its own pace; a band sees only files that are still free.
+
+    Where no band fits ``band_rows`` candidates, the two best partners of every
+    class are worked out block against block and the mutually best pairs are
+    settled; with fewer files left the next band may fit again. No band compares
+    all pairs of a bucket, and no more rows than a few a class leave a block.
+    """
+    rows = pin(files.select("side", "bucket", F.col("sha256").alias("cls"), F.col("artifact_id").alias("row_id")))
     one = files.groupBy("side", "bucket", F.col("sha256").alias("cls")).agg(F.any_value("content").alias("content"))
     terms = (
         one.select("side", "bucket", "cls", F.explode(text.tokens(F.col("content"))).alias("term"))
@@ -232,20 +239,46 @@ def _match_large(files: DataFrame, bands) -> DataFrame:
     )
     norms = terms.groupBy("side", "bucket", "cls").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     terms = pin(terms.join(norms, ["side", "bucket", "cls"]))
+    state = pin(rows.select("bucket").distinct().withColumn("threshold", F.lit(2.0)))
     out = None
-    for threshold in bands:
-        both_open = classes.groupBy("bucket").agg(F.count_distinct("side").alias("n")).filter("n = 2").select("bucket")
-        classes = pin(classes.join(both_open, "bucket", "left_semi"))
-        if classes.isEmpty():
+    while True:
+        open_ = rows.join(state.filter("threshold > 0").select("bucket"), "bucket", "left_semi")
+        open_ = open_.groupBy("bucket").agg(F.count_distinct("side").alias("n")).filter("n = 2").select("bucket")
+        rows = pin(rows.join(open_, "bucket", "left_semi"))
+        if rows.isEmpty():
             break
-        live = classes.select("side", "bucket", "cls").distinct()
-        pairs = cosine_pairs(term_suffixes(terms.join(live, ["side", "bucket", "cls"], "left_semi")), threshold)
-        got = pin(greedy_match(pairs, classes.filter("side = 'a'"), classes.filter("side = 'b'")))
-        out = got if out is None else out.unionByName(got)
-        taken = got.select(F.lit("a").alias("side"), F.col("id_a").alias("row_id")).unionByName(
-            got.select(F.lit("b").alias("side"), F.col("id_b").alias("row_id"))
+        heads = pin(rows.groupBy("side", "bucket", "cls").agg(F.min("row_id").alias("head")))
+        live = pin(term_suffixes(terms.join(heads.select("side", "bucket", "cls"), ["side", "bucket", "cls"], "left_semi")))
+        state = state.join(heads.select("bucket").distinct(), "bucket", "left_semi")
+        band = pin(band_thresholds(live, state, band_rows))
+        state = pin(state.join(band.withColumnRenamed("threshold", "next"), "bucket", "left"))
+        dense = pin(state.filter("next is null").select("bucket"))
+        got = []
+        if not band.isEmpty():
+            mine = rows.join(band.select("bucket"), "bucket", "left_semi")
+            pairs = cosine_pairs(live.join(band.select("bucket"), "bucket", "left_semi"), band)
+            got.append(greedy_match(pairs, mine.filter("side = 'a'"), mine.filter("side = 'b'")))
+        stuck = None
+        if not dense.isEmpty():
+            pairs = pin(best_partners(live.join(dense, "bucket", "left_semi").drop("suffix"), heads))
+            got.append(one_round(pairs, rows.join(dense, "bucket", "left_semi"), ID_BLOCK))
+            # classes without a common term have no pair left
+            stuck = dense.join(pairs.select("bucket").distinct(), "bucket", "left_anti").withColumn("none", F.lit(True))
+        found = got[0] if len(got) == 1 else got[0].unionByName(got[1])
+        found = pin(found)
+        out = found if out is None else out.unionByName(found)
+        reached = F.coalesce("next", "threshold")
+        if stuck is None:
+            state = pin(state.select("bucket", reached.alias("threshold")))
+        else:
+            state = state.join(stuck, "bucket", "left").select("bucket", F.when(F.col("none"), F.lit(0.0)).otherwise(reached).alias("threshold"))
+            state = pin(state)
+        taken = found.select(F.lit("a").alias("side"), F.col("id_a").alias("row_id")).unionByName(
+            found.select(F.lit("b").alias("side"), F.col("id_b").alias("row_id"))
         )
-        classes = classes.join(taken, ["side", "row_id"], "left_anti")
+        rows = rows.join(taken, ["side", "row_id"], "left_anti")
+    if out is None:
+        return files.sparkSession.createDataFrame([], MATCH_SCHEMA)
     return out
 
 

@@ -49,7 +49,7 @@ def _settle(key, pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["bucket", "id_a", "id_b", "score"])
 
 
-def _one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+def one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
     """Row pairs ``(bucket, id_a, id_b, score)`` that greedy matching is sure to make now."""
     placed = pin(
         number_rows(rows, ["side", "bucket", "cls"], ["row_id"], number="k", block=F.expr(f"row_id div {block_rows}"))
@@ -141,7 +141,7 @@ def greedy_match(
             return out
 
         pairs, rows = (d.join(large, "bucket", "left_semi") for d in (pairs, rows))
-        got = pin(_one_round(pairs, rows, block_rows))
+        got = pin(one_round(pairs, rows, block_rows))
         out = out.unionByName(got)
         spent = got.select("bucket", F.lit("a").alias("side"), F.col("id_a").alias("row_id")).unionByName(
             got.select("bucket", F.lit("b").alias("side"), F.col("id_b").alias("row_id"))

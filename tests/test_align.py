@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import align
+from rowloom.plans import similarity
 
 TOKEN = re.compile(r"[A-Za-z0-9_./\-]{2,64}")
 
@@ -43,17 +44,42 @@ def make(n, seed, start):
     return out + [(start + n + i, "x", "beta beta gamma") for i in range(8)]
 
 
-@pytest.mark.parametrize("small_files", [200, 2])
-def test_cosine_matching_equals_brute_force(spark, small_files):
+@pytest.mark.parametrize("small_files,band_rows", [(200, 10), (2, 2_000_000), (2, 300), (2, 0)])
+def test_cosine_matching_equals_brute_force(spark, small_files, band_rows, monkeypatch):
+    """In bins, in one band, in bands that follow the candidates, and by mutually best pairs of small blocks."""
+    monkeypatch.setattr(similarity.best_partners, "__defaults__", (40,))
     a, b = make(30, 1, 0), make(36, 2, 1000)
     frames = []
     for rows in (a, b):
         df = spark.createDataFrame(rows, "artifact_id long, bucket string, content string")
         frames.append(df.withColumn("sha256", F.sha2("content", 256)))
-    got = align.match_cosine(*frames, small_files=small_files).collect()
+    got = align.match_cosine(*frames, small_files=small_files, band_rows=band_rows).collect()
     assert sorted((r.id_a, r.id_b, round(r.score, 9)) for r in got) == brute(a, b)
 
 
+def test_band_thresholds_count_candidates(spark):
+    """The next band reaches as far down as its candidates allow, each bucket for itself."""
+    rng, rows = random.Random(8), []
+    for bucket, n in (("x", 12), ("y", 5)):
+        for i in range(n):
+            words = Counter(rng.choices(["a1", "b2", "c3", "d4", "e5"], k=6))
+            rows += [(rng.choice("ab"), bucket, f"{bucket}{i}", t, f, math.sqrt(sum(v * v for v in words.values()))) for t, f in words.items()]
+    terms = spark.createDataFrame(rows, "side string, bucket string, cls string, term string, tf long, norm double")
+    suffixes = similarity.term_suffixes(terms)
+    got = suffixes.collect()
+
+    def met(bucket, bar):
+        n = Counter((r.term, r.side) for r in got if r.bucket == bucket and r.suffix >= bar)
+        return sum(c * n[t, "b"] for (t, s), c in n.items() if s == "a")
+
+    above = spark.createDataFrame([("x", 2.0), ("y", 2.0)], "bucket string, threshold double")
+    for most in (5, 20, 60, 1000):
+        bars = {r.bucket: r.threshold for r in similarity.band_thresholds(suffixes, above, most).collect()}
+        for bucket in "xy":
+            steps = [k / similarity.GRID for k in range(similarity.GRID + 1) if met(bucket, k / similarity.GRID) <= most]
+            assert bars.get(bucket) == (min(steps) if steps else None)
+
+
 def test_statuses(spark):
     schema = "artifact_id long, logical_path string, content string"
     a = spark.createDataFrame([(1, "G/1/f.csv", "h,i\n1,2"), (2, "G/2/f.csv", "h\nq"), (3, "H/x.csv", "h")], schema)
