@@ -10,9 +10,11 @@ left, those repeated at that length alone are extended to twice the length, and
 the last level compares whole windows. Only anchors and candidates are
 shuffled, never all windows.
 
-Hot runs (a passage that a third of all documents hold) are pre-aggregated
-before they meet, and one row on the side of the counts, so that the join that
-marks their occurrences can be split. No occurrence is dropped.
+Occurrences are worked out once a level and handed over. Hot runs (a passage
+that a third of all documents hold) are pre-aggregated before they meet; the
+repeated hashes are handed over, one row each, so that the join that marks
+their occurrences has shuffles of its own and can be split. No occurrence is
+dropped.
 
 Defined cases: a null or empty text has no words and keeps nothing; copies of
 one text are each other's repetition, whole; rows are kept apart by the caller's
@@ -78,7 +80,7 @@ def _live(part: pa.RecordBatch, wb: np.ndarray, hashes: np.ndarray, done: list[i
 
 def _occurrences(texts: DataFrame, done: list[int], level: int, window: int) -> DataFrame:
     """``(key, h, at, copies)``: what is still to be compared at ``level``, anchors or whole windows."""
-    schema = "key long, h long, at int, copies long"
+    schema = "key binary, h long, at int, copies long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,24 +106,27 @@ def _occurrences(texts: DataFrame, done: list[int], level: int, window: int) ->
 
 def _repeated(found: DataFrame) -> DataFrame:
     """Per text the sorted places of occurrences whose hash occurs more than once."""
+    found = hand_over(found, "occurrences")
     twice = found.groupBy("h").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("h")
+    # counted and written first, so that the join has a shuffle of its own and a hot hash can be split
+    twice = hand_over(twice, "repeated").hint("merge")
     return found.join(twice, "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The texts, one row ``(key, text, copies)`` each in buckets of ``key``, and ``docs`` with ``key`` in front.
 
-    The key is a 64-bit hash of the text; a null text is an empty one.
+    The key is a 128-bit hash of the text; a null text is an empty one.
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    texts = src.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = src.groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the copy is read once a level: buckets keep its joins on the key from moving it
     writer = texts.write.bucketBy(n, "key").format("parquet").option("compression", "zstd")
     writer.option("path", scratch_path(spark, "texts")).saveAsTable(name)
     rows = docs.select(
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+        F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     )
     return spark.table(name), rows
 
@@ -139,7 +144,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, smallest: int = SMAL
 
 def without_repeats(texts: DataFrame, marks: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """``(key, n_words, n_removed, kept_sha256)`` of every text, and the kept text if asked for."""
-    fields = "key long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    fields = "key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     names = [f.split(" ")[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
