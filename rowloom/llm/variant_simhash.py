@@ -125,7 +125,8 @@ def near_links(prints: DataFrame, distance: int = 2, limit: int = LIMIT) -> Data
     if distance not in (1, 2):
         raise ValueError("distance is 1 or 2")
     limit = max(limit, 2)
-    index = index_rows(prints, distance)
+    # each row becomes 66 index rows, so that few small files would be few long tasks
+    index = index_rows(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print"), distance)
     buckets = index.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b"))
     buckets = hand_over(buckets.filter("n > 1"), "buckets")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
@@ -153,9 +154,7 @@ def near_links(prints: DataFrame, distance: int = 2, limit: int = LIMIT) -> Data
 def near_duplicates(docs: DataFrame, text: str = "text", keep: str = "doc_id", distance: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row: 16 hex digits, and the smallest id that links lead to."""
     found = hand_over(fingerprints(docs, text, keep, shingle), "prints")
-    nodes = found.groupBy("print").agg(F.min("doc_id").alias("first"))
-    # each row becomes 66 index rows, so that few small files would be few long tasks
-    nodes = hand_over(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print"), "nodes")
+    nodes = hand_over(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     linked = components(hand_over(near_links(nodes.select("print"), distance), "links")).withColumnRenamed("node", "print")
     nodes = nodes.join(linked, "print", "left").withColumn("root", F.coalesce("root", "print"))
     nodes = hand_over(nodes, "roots")
