@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +24,11 @@ CONTRAST_INTENTS = ("analytical", "compare", "comparison")
 MAX_CONTEXT_CHARS, MAX_CONTEXT_CHUNKS = 40_000, 15
 DIGITS = 9  # scores are compared after rounding, so that ties are ties on every machine
 
-QUERY_BLOCK = 2048  # queries held by a task at a time
-MAX_SCANS = 8  # query blocks that are sent to the documents
-DOC_TILE = 20_000  # documents of a tile beyond that
+CELL_ROWS = 4096  # documents of an index cell on average
+MAX_CELLS = 1024  # centres that travel with a task
+TILE_ROWS = 4096  # documents of a cell that meet queries in one task
+QUERY_BLOCK = 65_536  # queries that may meet in one task
+SLACK = 1e-6  # radians that arc cosines may be off
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
@@ -48,87 +50,135 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -sims[keep]))][:k]
 
 
-def _scan(docs: DataFrame, qids: list, vectors: np.ndarray, k: int, doc_id: str, embedding: str, id_type: str, qid_type: str) -> DataFrame:
-    """One pass over the documents; a task keeps ``k`` hits per query and sends only those."""
-    unit = _unit(vectors)
+@dataclass
+class VectorIndex:
+    """Documents in cells around centres, each cell with the angle that none of its documents exceeds.
+
+    ``rows`` is ``(doc_id, dv, cell, part)``; the parts of a cell bound what a
+    task reads, however many documents share a vector.
+    """
+
+    rows: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+    parts: np.ndarray
+
+
+def vector_index(docs: DataFrame, doc_id: str = "doc_id", embedding: str = "embedding", cell_rows: int | None = None, tile_rows: int | None = None) -> VectorIndex:
+    """Every document in the cell of its nearest centre; centres are the documents with the smallest hashed ids, at most ``MAX_CELLS``."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(embedding).alias("dv")).filter("dv IS NOT NULL")
+    n = max(1, min(MAX_CELLS, src.count() // (cell_rows or CELL_ROWS)))
+    first = src.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("dv").collect()
+    centres = _unit(np.array([r.dv for r in first], dtype=np.float64)) if first else np.zeros((1, 1))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near = _unit(np.stack(pdf["dv"].to_numpy())) @ centres.T
+                cell = near.argmax(axis=1)
+                yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(pdf)), cell], -1, 1)))
+
+    types = dict(src.dtypes)
+    rows = pin(src.mapInPandas(assign, f"doc_id {types['doc_id']}, dv {types['dv']}, cell int, angle double"))
+    radius, size = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
+    for r in rows.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r.cell], size[r.cell] = r.angle, r.n
+    parts = np.maximum(1, -(-size // (tile_rows or TILE_ROWS)))
+    part = F.pmod(F.xxhash64("doc_id"), _per_cell(parts)).cast("int").alias("part")
+    return VectorIndex(rows.select("doc_id", "dv", "cell", part), centres, radius, size, parts)
+
+
+def _per_cell(values: np.ndarray) -> Column:
+    return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
+
+
+def _first_cells(index: VectorIndex, near: np.ndarray, k: int) -> np.ndarray:
+    """For each query which cells to visit first: the nearest that hold ``k`` documents together."""
+    order = np.argsort(-near, axis=1, kind="stable")
+    upto = np.cumsum(index.size[order], axis=1)
+    chosen = np.zeros(near.shape, dtype=bool)
+    np.put_along_axis(chosen, order, upto - index.size[order] < k, axis=1)
+    return chosen & (index.size > 0)
+
+
+def _probes(queries: DataFrame, index: VectorIndex, k: int, rest: bool) -> DataFrame:
+    """``(query_key, qv, cell)``: the cells each query has to visit.
+
+    First the nearest; then (``rest``) those where a document could come up to
+    the query's ``bar``. A document at an angle of at most r from its centre is
+    no nearer to a query than the centre's angle less r.
+    """
+    centres, radius = index.centres, index.radius
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(qids)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf[doc_id].to_numpy()
-            sims = _similar(unit, np.stack(pdf[embedding].to_numpy()))
-            for q in range(len(qids)):
-                at = _best(sims[q], ids, k)
-                s, d = sims[q][at], ids[at]
-                if held[q] is not None:
-                    s, d = np.concatenate([held[q][0], s]), np.concatenate([held[q][1], d])
-                    at = _best(s, d, k)
-                    s, d = s[at], d[at]
-                held[q] = (s, d)
-        for q, found in enumerate(held):
-            if found is not None:
-                yield pd.DataFrame({"query_key": qids[q], "doc_id": found[1], "semantic": found[0]})
-
-    return docs.select(doc_id, embedding).mapInPandas(run, f"query_key {qid_type}, doc_id {id_type}, semantic double")
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                near = _unit(np.stack(some["qv"].to_numpy())) @ centres.T
+                chosen = _first_cells(index_, near, k)
+                if rest:
+                    bound = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius - SLACK))
+                    bar = some["bar"].to_numpy(dtype=float)[:, None]
+                    chosen = ~chosen & (index_.size > 0) & (np.isnan(bar) | (np.maximum(bound, 0) >= bar))
+                q, cell = np.nonzero(chosen)
+                if len(q):
+                    yield pd.DataFrame({"query_key": some["query_key"].to_numpy()[q], "qv": some["qv"].to_numpy()[q], "cell": cell.astype("int32")})
+
+    index_ = VectorIndex(None, centres, radius, index.size, index.parts)
+    types = dict(queries.dtypes)
+    return queries.mapInPandas(run, f"query_key {types['query_key']}, qv {types['qv']}, cell int")
+
+
+def _visit(probes: DataFrame, index: VectorIndex, blocks: int, k: int, types: tuple[str, str]) -> DataFrame:
+    """The ``k`` best documents of every visited part of a cell."""
+    block = F.pmod(F.xxhash64("query_key"), F.lit(blocks)).cast("int")
+    last = _per_cell(index.parts) - 1
+    q = probes.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    d = index.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = {"query_key": [], "doc_id": [], "semantic": []}
+        if len(a) and len(b):
+            mat, ids, keys = np.stack(b["dv"].to_numpy()), b["doc_id"].to_numpy(), a["query_key"].to_numpy()
+            for at in range(0, len(a), 512):
+                sims = _similar(_unit(np.stack(a["qv"].to_numpy()[at : at + 512])), mat)
+                best = [_best(row, ids, k) for row in sims]
+                found["query_key"].append(np.repeat(keys[at : at + 512], [len(x) for x in best]))
+                found["doc_id"] += [ids[x] for x in best]
+                found["semantic"] += [row[x] for row, x in zip(sims, best)]
+            return pd.DataFrame({c: np.concatenate(v) for c, v in found.items()})
+        return pd.DataFrame(columns=list(found))
+
+    keys = ["cell", "part", "block"]
+    schema = f"query_key {types[1]}, doc_id {types[0]}, semantic double"
+    return fresh(q).groupBy(*keys).cogroup(fresh(d).groupBy(*keys)).applyInPandas(tile, schema)
 
 
 def top_k(
-    queries: DataFrame, docs: DataFrame, k: int = TOP_K, query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding"
+    queries: DataFrame, docs: DataFrame | VectorIndex, k: int = TOP_K, query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding"
 ) -> DataFrame:
     """The ``k`` most similar documents of every query: ``(query_id, doc_id, semantic, rn)``.
 
-    Exact cosine search. Up to ``MAX_SCANS`` blocks of queries travel to the
-    documents, one scan per block; more queries than that are shuffled and meet
-    the documents in bounded tiles. Either way only hits are shuffled on.
+    Exact cosine search over an index of cells, which is built here unless
+    ``docs`` is one. Queries are shuffled to the nearest cells that hold ``k``
+    documents; the k-th score found there rules out every cell whose bound lies
+    below it, and the rest is visited. Documents are not copied (up to
+    ``QUERY_BLOCK`` queries), and nothing of either side is collected but the
+    bounded set of centres. Rows without a vector are left out.
     """
-    types = (dict(docs.dtypes)[doc_id], dict(queries.dtypes)[query_id])
-    some = queries.select(query_id, embedding).limit(QUERY_BLOCK * MAX_SCANS + 1).collect()
-    if len(some) > QUERY_BLOCK * MAX_SCANS:
-        out = _tiled(queries, docs, k, query_id, doc_id, embedding, *types)
-    elif not some:
-        return docs.sparkSession.createDataFrame([], f"{query_id} {types[1]}, doc_id {types[0]}, semantic double, rn int")
-    else:
-        blocks = [some[i : i + QUERY_BLOCK] for i in range(0, len(some), QUERY_BLOCK)]
-        scans = [
-            _scan(docs, [r[0] for r in b], np.array([r[1] for r in b], dtype=np.float64), k, doc_id, embedding, *types)
-            for b in blocks
-        ]
-        out = reduce(DataFrame.unionByName, scans)
-    best = top_rows(out, ["query_key"], [F.desc("semantic"), F.asc("doc_id")], k)
-    return best.withColumnRenamed("query_key", query_id)
-
-
-def _tiled(queries, docs, k, query_id, doc_id, embedding, id_type: str, qid_type: str) -> DataFrame:
-    """Top-k of query blocks against document tiles; tile sizes are fixed, their number grows."""
-    n_q = max(1, queries.count() // QUERY_BLOCK)
-    n_d = max(1, docs.count() // DOC_TILE)
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    q = queries.select(
-        F.col(query_id).alias("query_key"), F.col(embedding).alias("qv"), spread(query_id, n_q).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_d - 1).cast("long"))).alias("db"),
-    )
-    d = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(embedding).alias("dv"), spread(doc_id, n_d).alias("db"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"),
-    )
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_key": [], "doc_id": [], "semantic": []})
-        sims, ids, keys = _similar(_unit(np.stack(a.qv)), np.stack(b.dv)), b.doc_id.to_numpy(), a.query_key.to_numpy()
-        at = [_best(row, ids, k) for row in sims]
-        return pd.DataFrame(
-            {
-                "query_key": np.repeat(keys, [len(x) for x in at]),
-                "doc_id": np.concatenate([ids[x] for x in at]),
-                "semantic": np.concatenate([row[x] for row, x in zip(sims, at)]),
-            }
-        )
-
-    schema = f"query_key {qid_type}, doc_id {id_type}, semantic double"
-    return fresh(q).groupBy("qb", "db").cogroup(fresh(d).groupBy("qb", "db")).applyInPandas(tile, schema)
+    index = docs if isinstance(docs, VectorIndex) else vector_index(docs, doc_id, embedding)
+    asked = pin(queries.select(F.col(query_id).alias("query_key"), F.col(embedding).alias("qv")).filter("qv IS NOT NULL"))
+    types = (dict(index.rows.dtypes)["doc_id"], dict(asked.dtypes)["query_key"])
+    if not index.size.sum():
+        return asked.sparkSession.createDataFrame([], f"{query_id} {types[1]}, doc_id {types[0]}, semantic double, rn int")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    order = [F.desc("semantic"), F.asc("doc_id")]
+    near = pin(top_rows(_visit(_probes(asked, index, k, False), index, blocks, k, types), ["query_key"], order, k, "at"))
+    bars = near.groupBy("query_key").agg(F.when(F.max("at") >= k, F.min("semantic")).alias("bar"))
+    rest = _probes(asked.join(bars, "query_key", "left"), index, k, True)
+    every = near.drop("at").unionByName(_visit(rest, index, blocks, k, types))
+    return top_rows(every, ["query_key"], order, k).withColumnRenamed("query_key", query_id)
 
 
 def hybrid(semantic: Column, lexical: Column) -> Column:

@@ -10,17 +10,17 @@ from rowloom.reports.registry import report, table, texts
 from rowloom.session import pin
 
 
-@report(r"""SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:80], ' ') AS tokens
+@report(r"""SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL), ' ') AS tokens
 FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{2,64}') AS t FROM benchmark)""")
 def question_tokens(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text"), 80), " ").alias("tokens"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@report(r"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[A-Za-z0-9_./\-]{2,64}')) AS t FROM benchmark)
+@report(r"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{2,64}')) AS t FROM benchmark)
 SELECT doc_id, round(len(list_filter(t, lambda x: contains(lower(text), x))) / len(t)::DOUBLE, 6) AS score FROM documents JOIN q ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def lexical_scores(spark, d):
     b = table(spark, d, "benchmark")
-    q = b.select("item_id", text.query_tokens(F.substring_index("text", ".", 1)).alias("t"))
+    q = b.select("item_id", text.query_tokens(F.col("text")).alias("t"))
     docs = texts(spark, d).withColumn("item_id", F.col("doc_id") % b.agg(F.count(F.lit(1))).scalar())
     return docs.join(q, "item_id").select("doc_id", F.round(text.lexical_score(F.col("t"), F.col("text")), 6).alias("score"))
 
@@ -83,7 +83,7 @@ sm AS (SELECT ql.q, ql.l, d.doc_id, d.n_chars < 500 AS is_sum, round(coalesce(do
   LEFT JOIN qn ON qn.q = ql.q AND qn.l = ql.l LEFT JOIN dn ON dn.doc_id = d.doc_id),
 tk AS (SELECT *, row_number() OVER (PARTITION BY q, l, is_sum ORDER BY sem DESC, doc_id) AS rn FROM sm WHERE NOT is_sum OR l = 0),
 hit AS (SELECT q, CASE WHEN is_sum THEN 2000000000 ELSE l END AS l, CASE WHEN is_sum THEN 0.1 WHEN l = 0 THEN 0.7 ELSE 0.35 END::DOUBLE AS w, doc_id, sem, rn, body FROM tk WHERE rn <= CASE WHEN is_sum THEN 5 ELSE {fetch} END),
-qt AS (SELECT item_id AS q, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL)[1:80] AS toks
+qt AS (SELECT item_id AS q, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i THEN t[i] END), lambda x: x IS NOT NULL) AS toks
   FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./\-]{{2,64}}') AS t FROM benchmark)),
 sc AS (SELECT hit.*, len(list_filter(toks, lambda x: contains(lower(body), x))) / len(toks)::DOUBLE AS lex FROM hit JOIN qt USING (q)),
 hy AS (SELECT *, round(0.7::DOUBLE * sem + 0.3::DOUBLE * lex, 9) AS score FROM sc),
@@ -114,23 +114,24 @@ mm AS (SELECT q, 0 AS step, [doc_id] AS chosen, doc_id, score FROM ca WHERE ord
   UNION ALL SELECT q, step + 1, list_append(chosen, doc_id), doc_id, score FROM (
     SELECT q, step, chosen, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY round((1.0::DOUBLE - {div}::DOUBLE) * score - {div}::DOUBLE * mj, 12) DESC, ord) AS pick FROM (
       SELECT mm.q, mm.step, mm.chosen, ca.doc_id, ca.score, ca.ord, max(jc.j) AS mj FROM mm JOIN ca ON ca.q = mm.q AND NOT list_contains(mm.chosen, ca.doc_id)
-        JOIN jc ON jc.q = mm.q AND jc.a = ca.doc_id AND list_contains(mm.chosen, jc.b) WHERE mm.step < 19 GROUP BY 1, 2, 3, 4, 5, 6)) WHERE pick = 1)
-SELECT q AS query_id, doc_id, round(score, 6) AS score, step::INT AS rank FROM mm UNION ALL SELECT q, doc_id, round(score, 6), (ord - 1)::INT FROM ca WHERE n <= 20"""
+        JOIN jc ON jc.q = mm.q AND jc.a = ca.doc_id AND list_contains(mm.chosen, jc.b) WHERE mm.step < 19 GROUP BY 1, 2, 3, 4, 5, 6)) WHERE pick = 1),
+an AS (SELECT q, doc_id, score, step::INT AS rank FROM mm UNION ALL SELECT q, doc_id, score, (ord - 1)::INT FROM ca WHERE n <= 20)"""
+ANSWERS = " SELECT q AS query_id, doc_id, round(score, 6) AS score, rank FROM an"
 
 
-@report("WITH RECURSIVE " + RETRIEVE.format(fetch=20) + MMR.format(div="0.15"))
+@report("WITH RECURSIVE " + RETRIEVE.format(fetch=20) + MMR.format(div="0.15") + ANSWERS)
 def answers(spark, d):
     out = retrieval.retrieve(questions(spark, d), question_lists(spark, d), indexed_docs(spark, d), k=20)
     return out.withColumn("score", F.round("score", 6))
 
 
-@report("WITH RECURSIVE " + RETRIEVE.format(fetch=20) + MMR.format(div="0.25"))
+@report("WITH RECURSIVE " + RETRIEVE.format(fetch=20) + MMR.format(div="0.25") + ANSWERS)
 def answers_for_comparison(spark, d):
     out = retrieval.retrieve(questions(spark, d), question_lists(spark, d), indexed_docs(spark, d), k=20, intent="compare")
     return out.withColumn("score", F.round("score", 6))
 
 
-@report("WITH RECURSIVE " + RETRIEVE.format(fetch=30) + MMR.format(div="0.15"))
+@report("WITH RECURSIVE " + RETRIEVE.format(fetch=30) + MMR.format(div="0.15") + ANSWERS)
 def answers_for_overview(spark, d):
     out = retrieval.retrieve(questions(spark, d), question_lists(spark, d), indexed_docs(spark, d), k=20, intent="summary")
     return out.withColumn("score", F.round("score", 6))
@@ -144,46 +145,47 @@ def stripped_texts(spark, d):
     )
 
 
-def ranked_docs(spark, d):
-    """Documents of a source as hits of a query, the shorter the better; every source asks."""
-    from rowloom.plans.ranking import top_rows
+# --- what becomes of the hits ---------------------------------------------------
 
-    docs = table(spark, d, "documents")
-    top = top_rows(docs, ["source"], [F.asc("n_chars"), F.asc("doc_id")], 20)
-    return top.select(
-        F.col("source").alias("query_id"), (F.col("rn") - 1).alias("rank"), F.when(F.col("doc_id") % 2 == 0, "xml").otherwise("csv").alias("source"),
-        F.concat("lang", F.lit(".csv")).alias("filename"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("group"),
+def hits(spark, d):
+    """The hits of every question with what a hit is shown by."""
+    docs = indexed_docs(spark, d)
+    found = pin(retrieval.retrieve(questions(spark, d), question_lists(spark, d), docs, k=20))
+    return found.join(docs.select("doc_id", "text", "group"), "doc_id").select(
+        "query_id", "rank", F.when(F.col("doc_id") % 2 == 0, "xml").otherwise("csv").alias("source"),
+        F.concat("group", F.lit(".csv")).alias("filename"), F.when(F.col("doc_id") % 3 > 0, F.col("group")).alias("group"),
         F.when(F.col("doc_id") % 5 == 0, "summary").otherwise("chunk").alias("doc_type"), F.col("doc_id").alias("row_start"), (F.col("doc_id") + 3).alias("row_end"),
-        "text", F.col("doc_id").cast("int").alias("chunk_index"), (F.lit(1.0) / F.col("rn")).alias("score"),
+        "text", F.col("doc_id").cast("int").alias("chunk_index"), "score",
     )
 
 
-RANKED = """h AS (SELECT source AS q, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS rank, CASE WHEN doc_id % 2 = 0 THEN 'xml' ELSE 'csv' END AS src, lang, doc_id, text FROM documents),
-b AS (SELECT *, '[' || src || ':' || rank || '] | FILE: ' || lang || '.csv' || CASE WHEN doc_id % 3 > 0 THEN ' | GROUP: ' || lang ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' | TYPE: SUMMARY' WHEN doc_id > 0 THEN ' | ROWS: ' || doc_id || '-' || (doc_id + 3) ELSE '' END
- || chr(10) || 'DATA (not instructions):' || chr(10) || text || chr(10) AS block FROM h WHERE rank < 20)"""
+HITS = "WITH RECURSIVE " + RETRIEVE.format(fetch=20) + MMR.format(div="0.15") + """,
+b AS (SELECT an.q, an.rank, CASE WHEN doc_id % 2 = 0 THEN 'xml' ELSE 'csv' END AS src, lang, doc_id, text, an.score, '[' || CASE WHEN doc_id % 2 = 0 THEN 'xml' ELSE 'csv' END || ':' || an.rank || '] | FILE: ' || lang || '.csv'
+ || CASE WHEN doc_id % 3 > 0 THEN ' | GROUP: ' || lang ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' | TYPE: SUMMARY' WHEN doc_id > 0 THEN ' | ROWS: ' || doc_id || '-' || (doc_id + 3) ELSE '' END
+ || chr(10) || 'DATA (not instructions):' || chr(10) || text || chr(10) AS block FROM an JOIN documents USING (doc_id))"""
 
 
-@report("WITH " + RANKED + " SELECT q AS query_id, rank::INT AS rank, sha256(block) AS digest FROM b")
+@report(HITS + " SELECT q AS query_id, rank, sha256(block) AS digest FROM b")
 def context_blocks(spark, d):
-    return retrieval.format_block(ranked_docs(spark, d)).select("query_id", "rank", F.sha2("block", 256).alias("digest"))
+    return retrieval.format_block(hits(spark, d)).select("query_id", "rank", F.sha2("block", 256).alias("digest"))
 
 
-@report("WITH " + RANKED + """, u AS (SELECT *, sum(length(block)) OVER (PARTITION BY q ORDER BY rank) AS used FROM b WHERE rank < 15)
-SELECT q AS query_id, count(*) FILTER (WHERE used <= 6000) AS blocks, sha256(coalesce(string_agg(CASE WHEN used <= 6000 THEN block END, chr(10) ORDER BY rank), '(empty)')) AS digest FROM u GROUP BY 1""")
+@report(HITS + """, u AS (SELECT *, sum(length(block)) OVER (PARTITION BY q ORDER BY rank) AS used FROM b WHERE rank < 15)
+SELECT q AS query_id, count(*) FILTER (WHERE used <= 40000) AS blocks, sha256(coalesce(string_agg(CASE WHEN used <= 40000 THEN block END, chr(10) ORDER BY rank), '(empty)')) AS digest FROM u GROUP BY 1""")
 def packed_context(spark, d):
-    out = retrieval.pack_context(retrieval.format_block(ranked_docs(spark, d)), max_chars=6000)
+    out = retrieval.pack_context(retrieval.format_block(hits(spark, d)))
     return out.select("query_id", "blocks", F.sha2("context", 256).alias("digest"))
 
 
-@report("WITH " + RANKED + """ SELECT q AS query_id, lang || '.csv' AS file, CASE WHEN doc_id % 3 > 0 THEN lang END AS "group", sha256(text[1:300]) AS snippet, doc_id::INT AS chunk_index, round(1.0::DOUBLE / (rank + 1), 4) AS score FROM b""")
+@report(HITS + """ SELECT q AS query_id, lang || '.csv' AS file, CASE WHEN doc_id % 3 > 0 THEN lang END AS "group", sha256(text[1:300]) AS snippet, doc_id::INT AS chunk_index, round_even(score, 4) AS score FROM b""")
 def answer_sources(spark, d):
-    return retrieval.sources(ranked_docs(spark, d), ["query_id"]).withColumn("snippet", F.sha2("snippet", 256))
+    return retrieval.sources(hits(spark, d), ["query_id"]).withColumn("snippet", F.sha2("snippet", 256))
 
 
-@report("WITH " + RANKED + """, s AS (SELECT q, max(src) FILTER (WHERE rank = 0) AS s0, max(src) FILTER (WHERE rank = 1) AS s1 FROM b GROUP BY 1)
-SELECT q AS query_id, '[' || s0 || ':0]' || CASE WHEN s1 = 'csv' THEN ' [csv:1]' ELSE '' END AS valid, CASE WHEN s1 = 'csv' THEN '' ELSE '[csv:1] ' END || '[note:7]' AS invalid, false AS refuse FROM s""")
+@report(HITS + """, s AS (SELECT q, max(src) FILTER (WHERE rank = 0) AS s0, max(src) FILTER (WHERE rank = 1) AS s1 FROM b GROUP BY 1)
+SELECT q AS query_id, array_to_string(list_sort(CASE WHEN s1 = 'csv' THEN ['[' || s0 || ':0]', '[csv:1]'] ELSE ['[' || s0 || ':0]'] END), ' ') AS valid, CASE WHEN s1 = 'csv' THEN '' ELSE '[csv:1] ' END || '[note:7]' AS invalid, false AS refuse FROM s""")
 def checked_citations(spark, d):
-    hits = ranked_docs(spark, d)
-    first = hits.filter("rank = 0").select("query_id", F.concat(F.lit("See ["), "source", F.lit(":0], [csv:1] and [note:7] and [csv:1] [web:3].")).alias("text"))
+    found = pin(hits(spark, d))
+    first = found.filter("rank = 0").select("query_id", F.concat(F.lit("See ["), "source", F.lit(":0], [csv:1] and [note:7] and [csv:1] [web:3].")).alias("text"))
     arr = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
-    return retrieval.check_citations(first, hits).select("query_id", arr("valid"), arr("invalid"), "refuse")
+    return retrieval.check_citations(first, found).select("query_id", arr("valid"), arr("invalid"), "refuse")

@@ -27,11 +27,12 @@ def frames(spark, n_docs, n_queries, dim=8, seed=3):
     return d, q, want
 
 
-@pytest.mark.parametrize("block,scans,tile", [(2048, 8, 20_000), (4, 8, 20_000), (4, 1, 40)])
-def test_top_k_is_exact(spark, monkeypatch, block, scans, tile):
+@pytest.mark.parametrize("block,cell,tile", [(65_536, 4096, 4096), (4, 20, 4096), (65_536, 60, 7)])
+def test_top_k_is_exact(spark, monkeypatch, block, cell, tile):
+    """With one cell, many cells and blocks of queries, and cells in many parts."""
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
-    monkeypatch.setattr(retrieval, "MAX_SCANS", scans)
-    monkeypatch.setattr(retrieval, "DOC_TILE", tile)
+    monkeypatch.setattr(retrieval, "CELL_ROWS", cell)
+    monkeypatch.setattr(retrieval, "TILE_ROWS", tile)
     docs, queries, want = frames(spark, 300, 11)
     got = {}
     for r in retrieval.top_k(queries, docs, 7).orderBy("query_id", "rn").collect():
@@ -39,9 +40,34 @@ def test_top_k_is_exact(spark, monkeypatch, block, scans, tile):
     assert got == want
 
 
+def test_cells_out_of_reach_are_skipped(spark):
+    """Vectors in narrow bundles: a query visits few cells and still finds what a scan finds."""
+    r = np.random.default_rng(5)
+    axes = r.normal(size=(12, 16))
+    vectors_ = [axes[i % 12] + 0.02 * r.normal(size=16) for i in range(600)]
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors_)], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in axes[i] * 3]) for i in range(12)], "query_id long, embedding array<double>")
+    index = retrieval.vector_index(docs, cell_rows=10)
+    asked = queries.select(F.col("query_id").alias("query_key"), F.col("embedding").alias("qv")).withColumn("bar", F.lit(0.99))
+    visited = retrieval._probes(asked, index, 5, True).count() + retrieval._probes(asked.drop("bar"), index, 5, False).count()
+    assert visited < 12 * len(index.centres) / 3
+    a = retrieval.top_k(queries, index, 5).collect()
+    b = retrieval.top_k(queries, docs, 5).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 60
+
+
+def test_opposite_and_zero_vectors(spark):
+    """Similarity below 0 counts as 0, and zeros tie by id."""
+    docs = spark.createDataFrame([(i, [float(s), 0.0]) for i, s in enumerate([-1, -2, 0, -3, 1])], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embedding array<double>")
+    got = retrieval.top_k(queries, retrieval.vector_index(docs, cell_rows=1), 3).orderBy("query_id", "rn").collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(1, 4), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+
+
 def test_no_queries(spark):
     docs, queries, _ = frames(spark, 12, 2)
     assert retrieval.top_k(queries.limit(0), docs, 3).count() == 0
+    assert retrieval.top_k(queries, docs.limit(0), 3).count() == 0
 
 
 def test_fusion_does_not_depend_on_row_order(spark):
