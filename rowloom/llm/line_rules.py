@@ -1,12 +1,12 @@
 """Quality rules: base measures of a text and how often its lines occur across documents of a host.
 
 A line is normalised by lower case, digits as ``0`` and single blanks, and
-hashed. The documents that hold a line are counted per host; copies of one text
-are one document here, so that a text is not boilerplate for being copied. A
-line that more than ``min_docs`` documents and more than ``max_share`` of all
-documents of a host hold is boilerplate and removed; a document is rejected
-when it loses more than ``max_loss`` of its words by that, or when its base
-measures fail.
+hashed. The documents that hold a line are counted per host. A line that more
+than ``min_docs`` documents hold, and more than ``max_share`` of all documents
+of the host or more than ``max_docs`` however large the host, is boilerplate and
+removed, if it stands in more than ``min_docs`` different texts: a text is not
+boilerplate for being copied. A document is rejected when it loses more than
+``max_loss`` of its words by that, or when its base measures fail.
 
 Defined cases: a null text is an empty one; a text without words fails the base
 measures; a null host is a host of its own; equal rows are documents each; a
@@ -32,9 +32,10 @@ _DIGIT_AS_ZERO = np.arange(256, dtype=np.uint8)
 _DIGIT_AS_ZERO[48:58] = 48
 REPEAT_WINDOW = 5
 
-#: a line in more documents of one host than both of these is boilerplate
+#: a line in more documents of one host than the first, and than the share of the host or the third, is boilerplate
 MIN_DOCS = 10
 MAX_SHARE = 0.1
+MAX_DOCS = 10_000
 #: a document that loses more than this share of its words is rejected
 MAX_LOSS = 0.7
 
@@ -156,7 +157,8 @@ def base_failed() -> Column:
 
 
 def judge(
-    profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, with_lines: bool = False
+    profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, max_docs: int = MAX_DOCS,
+    with_lines: bool = False,
 ) -> DataFrame:
     """Add ``base_failed``, ``lost_words`` and ``kept``; ``profiles`` is read once and handed over.
 
@@ -168,9 +170,11 @@ def judge(
     p = hand_over(profiles.withColumn("row", F.monotonically_increasing_id()), "line-profiles")
     lines = p.select("row", "host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     lines = lines.select("row", "host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
-    common = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n")).filter(F.col("n") > min_docs)
-    size = p.groupBy("host").agg(F.count_distinct("text_hash").alias("docs"))
-    common = common.join(size, "host").filter(F.col("n") > max_share * F.col("docs"))
+    # the rows of one line and text first, so that the texts of a line are counted without a set
+    common = lines.groupBy("host", "line", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    common = common.groupBy("host", "line").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > min_docs)
+    size = p.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    common = common.join(size, "host").filter((F.col("n") > max_share * F.col("docs")) | (F.col("n") > max_docs))
     lost = (
         lines.join(common.select("host", "line"), ["host", "line"], "left_semi")
         .groupBy("row")
