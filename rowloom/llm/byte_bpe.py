@@ -9,7 +9,8 @@ a scan over blocks of the batch, all blocks side by side, gives the state before
 every code point. State and class tell where a pre-token starts.
 
 The slices are encoded from a table of those seen before; new ones are merged
-together, the pair of lowest rank first, in all slices at once. Ends of
+together, the pair of lowest rank first, in all slices at once, very long ones
+by a heap. Ends of
 the pre-tokens in ids and bytes are kept, so that ids can be cut and decoded at them.
 
 Defined cases: a null text is an empty one; the pattern is the one of the rank
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ from rowloom.llm import spans
 
 #: slices whose ids a task keeps
 KEPT_SLICES = 1_000_000
+#: slices longer than this are merged by a heap of their pairs, shorter ones all side by side
+HEAP_BYTES = 1024
 #: scan blocks of a batch
 _BLOCK = 1 << 10
 
@@ -222,6 +226,42 @@ class Ranks:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of byte strings: in each the leftmost pair of lowest rank merges until none is left."""
+        long = {i: self._merge_long(p) for i, p in enumerate(pieces) if len(p) > HEAP_BYTES}
+        if long:
+            rest = iter(self._merge_side_by_side([p for i, p in enumerate(pieces) if i not in long]))
+            return [long[i] if i in long else next(rest) for i in range(len(pieces))]
+        return self._merge_side_by_side(pieces)
+
+    def _merge_long(self, piece: bytes) -> bytes:
+        """One long byte string, its pairs in a heap by rank and place: time grows with its length, times the logarithm."""
+        symbols = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self._rank(symbols[:-1], symbols[1:])
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < self.size]
+        heapq.heapify(heap)
+        symbols, ranks, n = symbols.tolist(), [*ranks.tolist(), self.size], len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tokens, ids = self.tokens, self.ids
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if ranks[i] != rank:
+                continue
+            gone = after[i]
+            symbols[i], ranks[gone], symbols[gone] = rank, self.size, -1
+            after[i] = following = after[gone]
+            if following < n:
+                before[following] = i
+            for at in (before[i], i):
+                if at >= 0:
+                    ranks[at] = self.size
+                    if after[at] < n:
+                        made = ids.get(tokens[symbols[at]] + tokens[symbols[after[at]]], self.size)
+                        ranks[at] = made
+                        if made < self.size:
+                            heapq.heappush(heap, (made, at))
+        return np.array([x for x in symbols if x >= 0], dtype="<u4").tobytes()
+
+    def _merge_side_by_side(self, pieces: list[bytes]) -> list[bytes]:
+        """All pieces at once, one merge each in a pass."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         symbols = self.single[data]

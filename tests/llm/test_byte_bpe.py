@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,19 @@ def test_scan_states_follow_the_steps():
     assert scan.states(classes).tolist() == want
 
 
+def test_long_runs_without_a_break(reference):
+    """A slice of any length takes the same merges, in time near its length."""
+    table, rng = byte_bpe.Ranks(PATH), np.random.default_rng(4)
+    letters = list("aeinorstéñüßж語")
+    texts = ["a" * 5000, "".join(rng.choice(letters, 3000)), "short " + "".join(rng.choice(letters, 40_000)) + " end", "!" * 2500]
+    for t, (packed, pieces) in zip(texts, table.encode(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(t)
+        assert table.decode(packed) == t.encode()
+    began = time.process_time()
+    table.merge(["".join(rng.choice(letters, 300_000)).encode()])
+    assert time.process_time() - began < 20
+
+
 def test_the_cache_may_overflow(reference):
     table = byte_bpe.Ranks(PATH, kept=3)
     for t in ("one two three four five six", "six seven eight", "one two"):
