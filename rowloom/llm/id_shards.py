@@ -178,9 +178,12 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Write the ids of all documents in ascending key order; the folder and the manifest of its files."""
+    """Write the ids of all documents in ascending key order; the folder and the manifest of its files.
+
+    Keys are integers; what cannot be read as one is stored like a null key, first and found by position only.
+    """
     folder = folder or scratch_path(docs.sparkSession, "id-shards")
-    src = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    src = docs.select(F.col(f"`{key}`").try_cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = src.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +291,7 @@ def lookup(folder: str, manifest: DataFrame, keys: DataFrame, key: str = "doc_id
     ranges = manifest.filter("first_key IS NOT NULL").select("file", "first_key", "part", "number")
     after = F.lead("first_key").over(Window.orderBy("part", "number"))
     ranges = ranges.withColumn("next_key", after)
-    asked = keys.select(F.col(f"`{key}`").cast("long").alias("key")).filter("key IS NOT NULL").distinct()
+    asked = keys.select(F.col(f"`{key}`").try_cast("long").alias("key")).filter("key IS NOT NULL").distinct()
     hits = asked.join(ranges, (F.col("key") >= F.col("first_key")) & (F.col("next_key").isNull() | (F.col("key") <= F.col("next_key"))))
     hits = hits.select("file", "key").repartition("file").sortWithinPartitions("file")
 

@@ -1,14 +1,17 @@
 """Token ids of whole texts by a tokenizer file of the tokenizers library, word by word.
 
-The word tokenizers used here drop white space and never merge over it, so the
-ids of a text are those of its words in order. The words of a batch of texts are
-told apart by their hashes; each different one is looked up once among the words
-that the task has seen, up to a bound, or given to the library, and the ids are
-then laid out for all words at once.
+A tokenizer whose own description says that it drops white space, splits into
+runs of letters, digits or marks and writes them byte by byte (``BYTE_WORDS``)
+never merges over white space, so the ids of a text are those of its words in
+order. The words of a batch of texts are told apart by their hashes; each
+different one is looked up once among the words that the task has seen, up to a
+bound, or given to the library, and the ids are then laid out for all words at
+once. All other tokenizers are given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -22,6 +25,18 @@ from rowloom.llm import spans
 #: words whose ids a task keeps
 KEPT_WORDS = 1_200_000
 
+# The description of a tokenizer of byte-level words, as its file has it.
+BYTE_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 #: Latin letters and closing marks, the apostrophe aside: two pieces for the tokenizer
 _LATIN_WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 def _folded(text: str | None) -> str | None:
@@ -51,23 +66,16 @@ class WordEncoder:
         self.tails: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_word = self._words_suffice()
-        self.folds = self._folds()
         # bytes as the characters that a byte-level vocabulary writes them with
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _words_suffice(self) -> bool:
-        """White space is dropped and words do not see each other: true of the word tokenizers."""
-        a, b = "Mixed words,", "it's 42 étés!"
-        one = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (a, b)]
-        both = [self.tokenizer.encode(a + gap + b, add_special_tokens=False).ids for gap in (" ", "\n", " \t ")]
-        return all(x == one[0] + one[1] for x in both)
-
-    def _folds(self) -> bool:
-        """Case does not matter: true of tokenizers that make lower case of all text."""
-        a, b = ([e.ids for e in self.tokenizer.encode_batch([x, y], add_special_tokens=False)] for x, y in (("Some CASE ÀÖÞ.", "some case àöþ."), ("µßÿ I'LL", "µßÿ i'll")))
-        return a[0] == a[1] and b[0] == b[1]
+        """The file describes byte-level words in lower case, and nothing else that would look beyond a word."""
+        told = json.loads(self.tokenizer.to_str())
+        own = all(told[k] == v for k, v in BYTE_WORDS.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        return own and all(t["special"] and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in told["added_tokens"])
 
     def _pack(self, ids) -> bytes:
         packed = array("H" if self.dtype.itemsize == 2 else "I", ids)
@@ -110,7 +118,7 @@ class WordEncoder:
         """The packed ids of every text; a null text is an empty one."""
         if not self.by_word:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        folded = pa.array([_folded(t) if self.folds else t for t in texts], pa.large_string())
+        folded = pa.array([_folded(t) for t in texts], pa.large_string())
         data, bounds = spans.flat(folded)
         starts, ends, wb = spans.words(data, bounds)
         code, _ = pd.factorize(spans.span_hashes(data, starts, ends))

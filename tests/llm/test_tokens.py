@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowloom.llm import id_shards, mixture_packing, word_tokens
@@ -43,6 +44,36 @@ def test_words_give_the_ids_of_the_text(tokenizer):
     run()
 
 
+def _word_pieces(path):
+    """A tokenizer of another kind: lower case without accents, words cut into pieces of a small vocabulary."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    words = ["[UNK]", "some", "case", "mixed", "words", ",", ".", "'", "it", "s", "42", "ete", "##s", "!", "aop"]
+    t = Tokenizer(models.WordPiece({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    t.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.Lowercase(), normalizers.StripAccents()])
+    t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    t.save(path)
+    return t
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    path = str(tmp_path / "pieces.json")
+    t = _word_pieces(path)
+    encoder = word_tokens.WordEncoder(path)
+    assert not encoder.by_word
+    texts = ["été", "étés, some CASE. it's 42!", None, "mixed words", "ÀÖP"]
+    got = [np.frombuffer(p, encoder.dtype).tolist() for p in encoder.encode(texts)]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts] and got[0] == [11]
+
+
+def test_keys_that_are_no_integers(spark, tokenizer):
+    """They are stored without a key and read by position."""
+    docs = frame(spark, ["one", "two words", "three"]).withColumn("doc_id", F.when(F.col("doc_id") == 2, "a-1").otherwise(F.col("doc_id").cast("string")))
+    where, manifest = id_shards.write_shards(docs, PATH)
+    got = {r.doc_id: r.n_tokens for r in id_shards.read_shards(where, manifest).collect()}
+    assert got == {None: len(ids_of(tokenizer, "two words")), 1: len(ids_of(tokenizer, "one")), 3: len(ids_of(tokenizer, "three"))}
+
+
 def test_the_word_cache_may_overflow(tokenizer):
     encoder = word_tokens.WordEncoder(PATH, kept=4)
     for t in ("one two, three! four", "four five six.", None, "one two,"):
