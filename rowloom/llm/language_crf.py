@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import spans
 from rowloom.llm.folds import held_out
 from rowloom.llm.handover import hand_over
+from rowloom.session import small_side
 
 UNDETERMINED = "und"
 #: texts of each language that the fit may use, pieces of each and words of a piece
@@ -274,11 +275,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """A model from the labelled documents outside the held-out fold; None if there are none."""
     seen = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), held_out(doc_id, folds, fold).alias("out"))
     seen = seen.filter("NOT out AND id IS NOT NULL AND lang IS NOT NULL AND lang != ''").select("id", "lang", F.xxhash64("id").alias("h"))
+    # hashes below a share of their range leave about four times the sample of a frequent language, however many rows or tasks it has
+    counts = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    low = F.pmod("h", F.lit(1 << 32)) / (1 << 32) * F.col("all") <= 4.0 * sample
+    seen = seen.join(counts, "lang").filter(low)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = seen.withColumn("n", rank).filter(F.col("n") <= sample).select("id", "lang")
+    chosen = small_side(hand_over(seen.withColumn("n", rank).filter(F.col("n") <= sample).select("id", "lang"), "language-ids"))
     src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     # a sample of narrow rows for each language
-    rows = hand_over(src.join(F.broadcast(chosen), ["id", "lang"]).filter("text IS NOT NULL"), "language-sample")
+    rows = hand_over(src.join(chosen, ["id", "lang"]).filter("text IS NOT NULL"), "language-sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
