@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions import text
 from rowloom.operators import diff
+from rowloom.session import pin
+from rowloom.sources import archives, markup, tables
 
 
-def table_rows_of(files: DataFrame, key: str, content: str = "content", sep: str = ",", header: bool = True) -> DataFrame:
-    """Rows ``(pair_id, row_idx, cells)`` of delimited texts without quoting; ``header`` leaves the first line out."""
-    lines = files.select(F.col(key).alias("pair_id"), F.posexplode(text.lines(F.col(content))).alias("n", "line"))
-    if header:
-        lines = lines.filter("n > 0")
-    first = 1 if header else 0
-    return lines.select("pair_id", (F.col("n") - first).cast("long").alias("row_idx"), F.split("line", rf"\Q{sep}\E").alias("cells"))
+def archive_tables(archives_: DataFrame, path: str = "path", content: str = "content", **limits) -> DataFrame:
+    """The tables in archives as files ``(archive, path, filename, group, content)``.
+
+    Delimited entries are taken as they are, markup entries become the table of
+    their records; entries without records or that cannot be read are left out.
+    ``limits`` are those of ``archives.expand_archives``.
+    """
+    entries = pin(archives.inventory(archives.expand_archives(archives_, path, content, **limits)))
+    keys = ["archive", "path", "filename", "group"]
+    plain = entries.filter(F.lower("filename").endswith(".csv")).select(*keys, archives.decode_text(F.col("content")).alias("content"))
+    marked = entries.filter(~F.lower("filename").endswith(".csv"))
+    recs = pin(markup.records(markup.flatten(marked, keys)))
+    return plain.unionByName(tables.table_texts(recs, markup.header_of(recs, keys), keys))
 
 
 def file_deltas(statuses: DataFrame, a: DataFrame, b: DataFrame, sep: str = ",", header: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """Row deltas and counts of every pair of files that ``align.compare_files`` calls MODIFIED.
 
-    Only the texts of such pairs are split into rows. ``pair_id`` is the JSON of
+    Only the texts of such pairs are read as tables, cells in quotes included; rows are padded or cut to their header. ``pair_id`` is the JSON of
     ``group, filename, path_a, path_b``; ``options`` are those of ``diff.diff``.
     """
     pair = F.to_json(F.struct("group", "filename", "path_a", "path_b")).alias("pair")
@@ -29,6 +36,7 @@ def file_deltas(statuses: DataFrame, a: DataFrame, b: DataFrame, sep: str = ",",
 
     def rows(files: DataFrame, path: str) -> DataFrame:
         found = pairs.select("pair", F.col(path).alias("logical_path")).join(files.select("logical_path", "content"), "logical_path")
-        return table_rows_of(found, "pair", sep=sep, header=header)
+        rows_ = tables.parse_tables(found.select("pair", "content"), "pair", sep=sep, header=header)
+        return rows_.withColumnRenamed("pair", "pair_id")
 
     return diff.diff(rows(a, "path_a"), rows(b, "path_b"), **options)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rowloom.functions import text
 from rowloom.operators import align, diff, drilldown
 from rowloom.plans.ranking import number_rows
 from rowloom.reports.registry import report, table, texts
+from rowloom.session import pin
+from rowloom.sources import tables
 
 COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -185,7 +191,7 @@ def table_changes_ordered(spark, d):
 
 def nation_files(rows, side):
     """One delimited text per nation from its rows."""
-    line = F.array_join("cells", ",")
+    line = tables.csv_line(F.col("cells"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("l")))), lambda r: r["l"]), "\n")
     files = rows.groupBy("pair_id").agg(F.concat(F.lit(",".join(COLUMNS) + "\n"), body).alias("content"), F.count(F.lit(1)).alias("rows"))
     name = F.concat("pair_id", F.lit(".csv"))
@@ -205,6 +211,64 @@ def file_deltas(spark, d):
     return deltas.select(F.substring_index(name, ".", 1).alias("pair_id"), "kind", "row_a", "row_b")
 
 
+BRANCHES = DIFF.format(pair="nk::VARCHAR", source=CUSTOMERS.replace("c_name nm", "c_name || ', \"Branch\"' || chr(10) || c_nationkey nm"))
+
+
+def branches(spark, d):
+    """Customers whose names hold a separator, quotes and a line break."""
+    return customers(spark, d).withColumn("c_name", F.concat("c_name", F.lit(', "Branch"\n'), F.col("c_nationkey").cast("string")))
+
+
+@report(BRANCHES + "SELECT pair_id, kind, row_a, row_b FROM d")
+def quoted_file_deltas(spark, d):
+    """Nation files with quoted separators, quotes and line breaks, compared as files and then row by row."""
+    pair = F.col("c_nationkey")
+    a, b = (nation_files(f(branches(spark, d), pair), s) for f, s in ((left_rows, "left"), (right_rows, "right")))
+    deltas, _ = drilldown.file_deltas(align.compare_files(a, b), a, b)
+    name = F.get_json_object("pair_id", "$.filename")
+    return deltas.select(F.substring_index(name, ".", 1).alias("pair_id"), "kind", "row_a", "row_b")
+
+
+def _zipped(batches):
+    """One archive per row of files, each under its name."""
+    for pdf in batches:
+        blobs = []
+        for names, texts_ in zip(pdf["names"], pdf["texts"]):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w") as z:
+                for n, t in zip(names, texts_):
+                    z.writestr(n, t)
+            blobs.append(buf.getvalue())
+        yield pd.DataFrame({"path": pdf["path"], "content": blobs})
+
+
+def nation_archives(rows, side):
+    """An archive for each nation with its table as a delimited and as a markup file."""
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    fields = [F.concat(F.lit(f"<{c}>"), escaped(F.get("cells", F.lit(i))), F.lit(f"</{c}>")) for i, c in enumerate(COLUMNS)]
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", c.alias("l")))), lambda r: r["l"]), "\n")
+    plain = F.concat(F.lit(",".join(COLUMNS) + "\n"), ordered(tables.csv_line(F.col("cells"))))
+    marked = F.concat(F.lit("<list>"), ordered(F.concat(F.lit("<row>"), *fields, F.lit("</row>"))), F.lit("</list>"))
+    files = rows.groupBy("pair_id").agg(F.array(plain, marked).alias("texts"))
+    names = F.array(F.concat(F.lit("tables/"), "pair_id", F.lit(".csv")), F.concat(F.lit("records/"), "pair_id", F.lit(".xml")))
+    files = files.select(F.concat(F.lit(f"{side}/N_"), "pair_id", F.lit(".zip")).alias("path"), names.alias("names"), "texts")
+    return files.mapInPandas(_zipped, "path string, content binary")
+
+
+@report(BY_NATION + "SELECT pair_id || e AS filename, kind, row_a, row_b FROM d, (VALUES ('.csv'), ('.xml')) x(e)")
+def archive_deltas(spark, d):
+    """Two folders of archives: opened, markup turned into tables, compared as files, and those that differ row by row."""
+    pair = F.col("c_nationkey")
+    sides_ = []
+    for f, s in ((left_rows, "left"), (right_rows, "right")):
+        files = drilldown.archive_tables(nation_archives(f(customers(spark, d), pair), s))
+        path = F.concat_ws("/", F.lit(s), "archive", "path")
+        number = F.regexp_extract("filename", "^([0-9]+)", 1).cast("long") * 2 + F.when(F.col("filename").endswith("xml"), 1).otherwise(0)
+        sides_.append(pin(align.artifacts(files.withColumn("id", number), "id", path, "content", F.col("group"))))
+    deltas, _ = drilldown.file_deltas(align.compare_files(*sides_), *sides_)
+    return deltas.select(F.get_json_object("pair_id", "$.filename").alias("filename"), "kind", "row_a", "row_b")
+
+
 @report(BY_NATION + """
 SELECT pair_id, (SELECT count(*) FROM eq WHERE eq.pair_id = x.pair_id) AS equal, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'MODIFIED') AS modified,
  (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'REMOVED') AS removed, (SELECT count(*) FROM d WHERE d.pair_id = x.pair_id AND kind = 'ADDED') AS added,

@@ -87,6 +87,31 @@ def csv_round_trip(spark, d):
     return tables.read_table(spark, out, multiline=False).drop("file", "row_idx")
 
 
+@report("""
+WITH c AS (SELECT c_nationkey AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, c_custkey AS k, 'x, ' || c_name AS a, '"' || c_mktsegment || '"' AS b FROM customer),
+h AS (SELECT t, min(CASE WHEN k % 3 = 0 THEN n END) AS na, min(CASE WHEN k % 5 = 0 THEN n END) AS nb FROM c GROUP BY t),
+o AS (SELECT t, list_filter(CASE WHEN nb < na OR na IS NULL THEN ['id', CASE WHEN nb IS NOT NULL THEN 'b' END, CASE WHEN na IS NOT NULL THEN 'a' END]
+  ELSE ['id', CASE WHEN na IS NOT NULL THEN 'a' END, CASE WHEN nb IS NOT NULL THEN 'b' END] END, lambda x: x IS NOT NULL) AS hd FROM h)
+SELECT t::VARCHAR AS nation, array_to_string(hd, '|') AS header, array_to_string([CASE x WHEN 'id' THEN k::VARCHAR WHEN 'a' THEN CASE WHEN k % 3 = 0 THEN a ELSE '' END
+  ELSE CASE WHEN k % 5 = 0 THEN b ELSE '' END END FOR x IN hd], '|') AS cells FROM c JOIN o USING (t)
+""")
+def converted_tables(spark, d):
+    """One markup document a nation, its ragged records written as a table under its own header, in parts, and read back."""
+    k = F.col("c_custkey")
+    record = F.concat(
+        F.lit("<r><id>"), k.cast("string"), F.lit("</id>"),
+        F.when(k % 3 == 0, F.concat(F.lit("<a>x, "), "c_name", F.lit("</a>"))).otherwise(""),
+        F.when(k % 5 == 0, F.concat(F.lit('<b>"'), "c_mktsegment", F.lit('"</b>'))).otherwise(""), F.lit("</r>"),
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))), lambda x: x["r"]), "")
+    docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.concat(F.lit("<list>"), body, F.lit("</list>")).alias("content"))
+    recs = markup.records(markup.flatten(docs, ["nation"]))
+    out = scratch_path(spark, "converted")
+    tables.write_ragged(recs, markup.header_of(recs, ["nation"]), out, "nation", part_rows=50)
+    got = tables.read_collection(spark, out)
+    return got.select(F.regexp_extract("file", "nation=([0-9]+)/", 1).alias("nation"), F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"))
+
+
 @report("""
 SELECT '"' || c_custkey || '","' || replace(c_name || ' "' || c_mktsegment || '"', '"', '""') || '",""' AS line FROM customer
 """)

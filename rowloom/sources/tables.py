@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import sys
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.plans.ranking import number_rows
 
-MAX_COLS = 240
-ABSENT = "\x00"  # no cell; an empty cell stays an empty string
+HELD_CELLS = 200_000  # cells gathered before they are handed on
+PART_ROWS = 100_000  # rows of a written part
 
 
 def _with_row_no(df: DataFrame, columns: list) -> DataFrame:
@@ -37,34 +43,132 @@ def read_table(
     return rows.filter(F.col("row_idx") < max_rows) if max_rows is not None else rows
 
 
+def _cells(texts: DataFrame, keys: Sequence[str], content: str, sep: str) -> DataFrame:
+    """``keys, record, cells``: every record of delimited texts; cells in quotes may hold separators, quotes and line breaks."""
+    kept = texts.select(*keys, F.col(content).alias("__text"))
+    kinds = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            def made(src: list, numbers: list, rows: list) -> pa.RecordBatch:
+                cols = [batch.column(k).take(pa.array(src, pa.int64())) for k in keys]
+                cols += [pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays(cols, names=[*keys, "record", "cells"])
+
+            src, numbers, rows, held = [], [], [], 0
+            for at, text in enumerate(batch.column("__text")):
+                for n, row in enumerate(csv.reader(io.StringIO(text.as_py() or "", newline=""), delimiter=sep)):
+                    src.append(at)
+                    numbers.append(n)
+                    rows.append(row)
+                    held += len(row) + 1
+                    if held > HELD_CELLS:
+                        yield made(src, numbers, rows)
+                        src, numbers, rows, held = [], [], [], 0
+            if src:
+                yield made(src, numbers, rows)
+
+    return kept.mapInArrow(run, f"{kinds}, record long, cells array<string>")
+
+
+def _fitted(cells: str, header: str) -> Column:
+    """The cells padded or cut to the header."""
+    width = F.size(header)
+    some = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(cells, i), F.lit("")))
+    return F.when(width > 0, some).otherwise(F.array().cast("array<string>"))
+
+
+def parse_tables(texts: DataFrame, key: str, content: str = "content", sep: str = ",", header: bool = True) -> DataFrame:
+    """Rows ``(key, row_idx, cells)`` of delimited texts, one text a row.
+
+    With ``header`` the first record is left out and every row is padded or cut to it.
+    """
+    found = _cells(texts, [key], content, sep)
+    if not header:
+        return found.select(key, F.col("record").alias("row_idx"), "cells")
+    head = found.filter("record = 0").select(key, F.size("cells").alias("__n"), F.col("cells").alias("__header"))
+    body = found.filter("record > 0").join(head, key)
+    return body.select(key, (F.col("record") - 1).alias("row_idx"), _fitted("cells", "__header").alias("cells"))
+
+
 def read_collection(
-    spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = True, max_cols: int = MAX_COLS, cut: bool = False
+    spark: SparkSession, path: str, max_rows: int | None = None, multiline: bool = True, max_cols: int | None = None, sep: str = ","
 ) -> DataFrame:
     """Many tables with headers of their own as ``(file, header, row_idx, cells)``.
 
-    Every row is padded or cut to its file's header. A header of more than
-    ``max_cols`` columns is an error, unless ``cut`` asks for the first ones only.
+    Every row is padded or cut to its file's header, or to the first
+    ``max_cols`` of it. Files are read in splits, a large one by many tasks.
+    With ``multiline`` cells in quotes may hold line breaks: a line belongs to
+    the record before it if the quotes up to it are odd in number, which running
+    sums over the splits tell. A quote inside a cell without quotes is not
+    allowed then; without ``multiline`` every line is a record.
     """
-    schema = ", ".join(f"c{i} string" for i in range(max_cols + 1))
-    raw = spark.read.schema(schema).csv(
-        path, header=False, mode="PERMISSIVE", multiLine=multiline, escape='"', nullValue=ABSENT, recursiveFileLookup=True
-    )
-    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(max_cols)]))
-    rows = _with_row_no(raw, [cells.alias("cells"), F.col(f"c{max_cols}").isNotNull().alias("wide")])
-    header = F.col("cells")
-    if not cut:
-        message = F.concat(F.lit(f"more than {max_cols} columns in "), F.col("file"))
-        header = F.when(F.col("wide"), F.raise_error(message).cast("array<string>")).otherwise(header)
-    head = rows.filter("__row = 1").select("file", header.alias("header"))
-    body = rows.filter("__row > 1").join(head, "file").select(
-        "file",
-        "header",
-        (F.col("__row") - 2).alias("row_idx"),
-        F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("cells"),
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__at"),
+        F.col("value").alias("__line"),
     )
+    order, block = ["__start", "__at"], F.col("__start")
+    if multiline:
+        quotes = F.length("__line") - F.length(F.replace("__line", F.lit('"'), F.lit("")))
+        lines = number_rows(lines.withColumn("__q", quotes), ["file"], order, number=None, sums={"__upto": F.col("__q")}, block=block)
+        opens = F.when((F.col("__upto") - F.col("__q")) % 2 == 0, 1).otherwise(0)
+        lines = number_rows(lines.withColumn("__opens", opens), ["file"], order, number=None, sums={"__record": F.col("__opens")}, block=block)
+        parts = F.array_sort(F.collect_list(F.struct(*order, "__line")))
+        joined = F.array_join(F.transform(parts, lambda p: p["__line"]), "\n")
+        records = lines.groupBy("file", "__record").agg(joined.alias("__line"))
+    else:
+        records = number_rows(lines, ["file"], order, number="__record", block=block)
+    records = records.withColumn("__line", F.regexp_replace("__line", r"\r\z", "")).filter("__line <> ''")
+    found = _cells(records, ["file", "__record"], "__line", sep).drop("record")
+    head = found.filter("__record = 1").select("file", (F.slice("cells", 1, max_cols) if max_cols else F.col("cells")).alias("header"))
+    body = found.filter("__record > 1").join(head, "file")
+    body = number_rows(body, ["file"], ["__record"], number="__n", block=F.expr(f"__record div {PART_ROWS}"))
+    body = body.select("file", "header", (F.col("__n") - 1).alias("row_idx"), _fitted("cells", "header").alias("cells"))
     return body.filter(F.col("row_idx") < max_rows) if max_rows is not None else body
 
 
+def csv_line(cells: Column, sep: str = ",") -> Column:
+    """One line of a delimited table; cells with a separator, quote or line break are quoted."""
+    odd = "[" + sep.replace("\\", "\\\\") + '"\\r\\n]'
+    quoted = lambda c: F.when(F.rlike(c, F.lit(odd)), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.when((F.size(cells) == 1) & (F.get(cells, F.lit(0)) == ""), F.lit('""')).otherwise(
+        F.array_join(F.transform(cells, lambda c: quoted(F.coalesce(c, F.lit("")))), sep)
+    )
+
+
+def ragged_lines(recs: DataFrame, header: DataFrame, keys: Sequence[str], sep: str = ",") -> DataFrame:
+    """``keys, record_idx, head, line`` of records ``(keys, record_idx, fields)``: every table under its own header.
+
+    ``header`` is ``(keys, column, position)``; a field a record lacks is empty.
+    """
+    own = header.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda c: c["column"]).alias("__h"))
+    cells = F.transform("__h", lambda c: F.coalesce(F.try_element_at("fields", c), F.lit("")))
+    return recs.join(own, list(keys)).select(*keys, "record_idx", csv_line(F.col("__h"), sep).alias("head"), csv_line(cells, sep).alias("line"))
+
+
+def write_ragged(recs: DataFrame, header: DataFrame, path: str, key: str, sep: str = ",", part_rows: int = PART_ROWS) -> None:
+    """Records written as delimited files, one folder a table and one file for each ``part_rows`` records, headers included.
+
+    No column list is known to the driver, and a large table is written by many tasks.
+    """
+    lines = ragged_lines(recs, header, [key], sep).withColumn("part", F.expr(f"record_idx div {part_rows}"))
+    heads = lines.groupBy(key, "part").agg(F.any_value("head").alias("value")).withColumn("record_idx", F.lit(-1).cast("long"))
+    every = lines.select(key, "part", "record_idx", F.col("line").alias("value")).unionByName(heads)
+    every = every.repartition(key, "part").sortWithinPartitions(key, "part", "record_idx").drop("record_idx")
+    every.write.mode("errorifexists").partitionBy(key, "part").text(path)
+
+
+def table_texts(recs: DataFrame, header: DataFrame, keys: Sequence[str], sep: str = ",") -> DataFrame:
+    """``keys, content``: each table of records as one delimited text."""
+    lines = ragged_lines(recs, header, keys, sep)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_idx", "line"))), lambda r: r["line"]), "\n")
+    return lines.groupBy(*keys).agg(F.concat(F.any_value("head"), F.lit("\n"), body, F.lit("\n")).alias("content"))
+
+
 def write_tables(df: DataFrame, path: str, by: str = "group") -> None:
     """CSV with header below one folder per group; missing cells are empty."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]

@@ -1,15 +1,16 @@
 """Archives, scans, tables on disk."""
 
+import csv
 import io
 import os
+import random
 import tempfile
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming
-from rowloom.sources import archives, tables
+from rowloom.sources import archives, markup, tables
 
 
 def zipped(entries, deflate=False):
@@ -97,14 +98,57 @@ def test_collection_with_ragged_rows_and_line_breaks(spark):
     assert [(r.x, r.y) for r in one] == [("1", 'two "q"\nlines'), ("4", "")]
 
 
-def test_wide_tables_are_refused_or_cut(spark):
+def test_wide_tables_are_whole_or_cut(spark):
     root = tempfile.mkdtemp(prefix="rowloom-wide-")
     with open(f"{root}/w.csv", "w") as f:
-        f.write("a,b,c\n1,2,3\n")
-    with pytest.raises(Exception, match="more than 2 columns"):
-        tables.read_collection(spark, root, max_cols=2).collect()
-    got = tables.read_collection(spark, root, max_cols=2, cut=True).collect()
-    assert [list(r.cells) for r in got] == [["1", "2"]]
+        f.write(",".join(f"c{i}" for i in range(300)) + "\n" + ",".join(str(i) for i in range(300)) + "\n")
+    (whole,) = tables.read_collection(spark, root).collect()
+    assert list(whole.cells) == [str(i) for i in range(300)] and whole.header[299] == "c299"
+    got = tables.read_collection(spark, root, max_cols=2).collect()
+    assert [(list(r.header), list(r.cells)) for r in got] == [(["c0", "c1"], ["0", "1"])]
+
+
+def test_quoted_lines_over_many_splits(spark):
+    """A file cut anywhere, within quoted cells too, gives the records that one reader sees."""
+    root, r = tempfile.mkdtemp(prefix="rowloom-split-"), random.Random(6)
+    pieces = ["a", "b,c", 'say ""x""', "line\nbreak", "", "\n\n", "tail ü"]
+    rows = [[str(i), r.choice(pieces).replace('""', '"'), "".join(r.choice(pieces) for _ in range(3)).replace('""', '"')] for i in range(400)]
+    with open(f"{root}/big.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["n", "one", "two"], *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = tables.read_collection(spark, root)
+        got = df.orderBy("row_idx").collect()
+        assert spark.read.option("lineSep", "\n").text(root).select(F.spark_partition_id()).distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [list(x.cells) for x in got] == rows
+
+
+def test_lines_are_those_of_a_csv_writer(spark):
+    rows = [["a", "b"], ["x,y", 'q"q'], ["", ""], ["l\nb", "c\rd"], ["plain", ""]]
+    df = spark.createDataFrame([(x,) for x in [*rows, [""], ["one"]]], "c array<string>")
+    got = [r.l for r in df.select(tables.csv_line(F.col("c")).alias("l")).collect()]
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\x00").writerows([*rows, [""], ["one"]])
+    assert got == out.getvalue().split("\x00")[:-1]
+
+
+def test_ragged_tables_in_parts(spark):
+    """Every table under its own header, cut in parts that each have it."""
+    recs = [("t", i, {"a": str(i), **({"b,x": "1"} if i % 3 == 1 else {})}) for i in range(7)] + [("u", 0, {"z": 'say "hi"'})]
+    order = {"t": ["a", "b,x"], "u": ["z"]}
+    df = spark.createDataFrame([(k, i, [c for c in order[k] if c in f], f) for k, i, f in recs], "k string, record_idx long, field_order array<string>, fields map<string,string>")
+    root = tempfile.mkdtemp(prefix="rowloom-ragged-") + "/out"
+    tables.write_ragged(df, markup.header_of(df, ["k"]), root, "k", part_rows=3)
+    assert sorted(os.listdir(f"{root}/k=t")) == ["part=0", "part=1", "part=2"]
+    got = tables.read_collection(spark, root).collect()
+    assert sorted(list(r.cells) for r in got if "k=t" in r.file) == [[str(i), "1" if i % 3 == 1 else ""] for i in range(7)]
+    assert {tuple(r.header) for r in got if "k=t" in r.file} == {("a", "b,x")}
+    assert [list(r.cells) for r in got if "k=u" in r.file] == [['say "hi"']]
+    text = {r.k: r.content for r in tables.table_texts(df, markup.header_of(df, ["k"]), ["k"]).collect()}
+    assert text["u"] == 'z\n"say ""hi"""\n' and text["t"].startswith('a,"b,x"\n0,\n1,1\n')
 
 
 def test_group_rules(spark):
