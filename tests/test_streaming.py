@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import chunking
@@ -76,6 +77,63 @@ def test_limits_take_the_first_of_each_window(spark):
     assert got == {1: (True, None), 2: (True, None), 3: (False, 1), 4: (True, None), 5: (True, None)}
 
 
+def test_ids_of_one_batch_are_ordered(spark):
+    df = spark.createDataFrame([("a", i, f"v{i}", 0) for i in range(9)] + [("b", 3, "only", 0)], "doc_id string, seq int, text string, part int").repartition(5)
+    stream, _ = parts(spark, df, 1)
+    index = folder() + "/index"
+    ingest.ingest(stream, lambda b: b, index, folder(), order="seq").awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in ingest.read_index(spark, index).collect()) == [("a", "v8"), ("b", "only")]
+
+
+FILES = "`group` string, filename string, file_sig string, seq int, text string, part int"
+
+
+def words(files):
+    """One chunk a word."""
+    return files.select("group", "filename", "file_sig", F.posexplode(F.split("text", " ")).alias("chunk_index", "text"))
+
+
+def test_unchanged_files_are_skipped_and_changed_ones_replaced(spark):
+    rows = [
+        ("g", "same", "1", 0, "a b c", 0), ("g", "same", "1", 1, "a b c", 1), ("g", "turns", "1", 0, "old one", 0), ("g", "turns", "2", 2, "new", 1),
+        ("g", "turns", "x", 1, "skipped over", 1), ("g", "back", "1", 0, "p q", 0), ("g", "back", "2", 1, "r", 1), ("g", "back", "1", 2, "p q", 2), ("h", "late", "1", 0, "z", 2),
+    ]
+    stream, _ = parts(spark, spark.createDataFrame(rows, FILES), 3)
+    index, seen = folder() + "/index", []
+
+    def noted(files):
+        seen.append(sorted(r.filename for r in files.select("filename").collect()))
+        return words(files)
+
+    ingest.ingest_files(stream, noted, index, folder()).awaitTermination()
+    assert seen == [["back", "same", "turns"], ["back", "turns"], ["back", "late"]]
+    got = sorted((r.filename, r.chunk_index, r.text) for r in ingest.read_files(spark, index).collect())
+    assert got == [("back", 0, "p"), ("back", 1, "q"), ("late", 0, "z"), ("same", 0, "a"), ("same", 1, "b"), ("same", 2, "c"), ("turns", 0, "new")]
+
+
+def test_an_interrupted_file_goes_on_behind_its_last_chunk(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    df = spark.createDataFrame([("g", "long", "1", 0, text, 0), ("g", "short", "1", 0, "one two", 0)], FILES)
+    stream, _ = parts(spark, df, 1)
+    index, state, calls = folder() + "/index", folder(), []
+
+    def embed(chunks):
+        at = sorted(r.chunk_index for r in chunks.filter("filename = 'long'").collect())
+        calls.append(at)
+        if len(calls) == 3:
+            raise RuntimeError("the service is away")
+        return chunks
+
+    with pytest.raises(Exception, match="the service is away"):
+        ingest.ingest_files(stream, words, index, state, embed=embed, step=3).awaitTermination()
+    marks = {r.filename: (r.last_chunk, r.completed) for r in ingest.file_state(spark, index).collect()}
+    assert marks == {"long": (5, False), "short": (1, True)}
+    ingest.ingest_files(stream, words, index, state, embed=embed, step=3).awaitTermination()
+    assert calls == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [6, 7, 8], [9]]
+    got = [r.text for r in ingest.read_files(spark, index).filter("filename = 'long'").orderBy("chunk_index").collect()]
+    assert got == text.split(" ") and ingest.read_files(spark, index).count() == 12
+
+
 def test_ingest_upserts_over_batches_and_restarts(spark):
     df = spark.createDataFrame(
         [("f1", 0, "old", 0), ("f2", 0, "two", 0), ("f1", 0, "old", 1), ("f1", 1, "new", 1), ("f3", 0, "three", 2)],
