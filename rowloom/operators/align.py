@@ -261,7 +261,7 @@ def _match_large(files: DataFrame, band_rows: int) -> DataFrame:
         stuck = None
         if not dense.isEmpty():
             pairs = pin(best_partners(live.join(dense, "bucket", "left_semi").drop("suffix"), heads))
-            got.append(one_round(pairs, rows.join(dense, "bucket", "left_semi"), ID_BLOCK))
+            got.append(one_round(pairs, rows.join(dense, "bucket", "left_semi"), ID_BLOCK, whole=False))
             # classes without a common term have no pair left
             stuck = dense.join(pairs.select("bucket").distinct(), "bucket", "left_anti").withColumn("none", F.lit(True))
         found = got[0] if len(got) == 1 else got[0].unionByName(got[1])

@@ -49,11 +49,51 @@ def _settle(key, pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["bucket", "id_a", "id_b", "score"])
 
 
-def one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
-    """Row pairs ``(bucket, id_a, id_b, score)`` that greedy matching is sure to make now."""
-    placed = pin(
-        number_rows(rows, ["side", "bucket", "cls"], ["row_id"], number="k", block=F.expr(f"row_id div {block_rows}"))
+def _tied_groups(pairs: DataFrame) -> DataFrame:
+    """``(side, bucket, cls, score, grp)`` of classes that are tied all with all.
+
+    Left classes whose best partners are the same right classes at the same
+    score, each of which has exactly these left classes as its best partners,
+    meet no better pair outside. Sets are compared by their size and the
+    exclusive or of their members' hashes. A single pair without a rival is the
+    smallest such group.
+    """
+    def tops(cls: str, partner: str, side: str) -> DataFrame:
+        levels = pairs.groupBy("bucket", cls, "score").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(partner)).alias("h"))
+        best = levels.groupBy("bucket", cls).agg(F.max(F.struct("score", "n", "h")).alias("t"))
+        return best.select(F.lit(side).alias("side"), "bucket", F.col(cls).alias("cls"), "t.score", "t.n", "t.h")
+
+    both = pin(tops("cls_a", "cls_b", "a").unionByName(tops("cls_b", "cls_a", "b")))
+    alike = both.groupBy("side", "bucket", "score", "n", "h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("own"))
+    one = lambda side, n, h, m, own: alike.filter(F.col("side") == side).select(
+        "bucket", "score", F.col("n").alias(n), F.col("h").alias(h), F.col("m").alias(m), F.col("own").alias(own)
     )
+    # the partners of one side are the members of the other, both ways
+    met = one("a", "n_b", "h_b", "n_a", "h_a").join(one("b", "n_a", "h_a", "n_b", "h_b"), ["bucket", "score", "n_a", "h_a", "n_b", "h_b"])
+    met = pin(met.withColumn("grp", F.xxhash64("score", "h_a", "h_b")))
+    side_a = met.select(F.lit("a").alias("side"), "bucket", "score", F.col("n_b").alias("n"), F.col("h_b").alias("h"), "grp")
+    side_b = met.select(F.lit("b").alias("side"), "bucket", "score", F.col("n_a").alias("n"), F.col("h_a").alias("h"), "grp")
+    return both.join(side_a.unionByName(side_b), ["side", "bucket", "score", "n", "h"]).select("side", "bucket", "cls", "score", "grp")
+
+
+def one_round(pairs: DataFrame, rows: DataFrame, block_rows: int, whole: bool = True) -> DataFrame:
+    """Row pairs ``(bucket, id_a, id_b, score)`` that greedy matching is sure to make now.
+
+    Of classes tied all with all the k-th free left row pairs with the k-th free
+    right one, all at once. What is tied in other ways settles one row of each
+    mutually best pair. ``whole`` says that ``pairs`` are all pairs of their
+    classes; with the best ones only, ties are settled in the second way.
+    """
+    block = F.expr(f"row_id div {block_rows}")
+    found = None
+    if whole:
+        groups = pin(_tied_groups(pairs))
+        tied_rows = rows.join(groups, ["side", "bucket", "cls"])
+        tied_rows = number_rows(tied_rows.select("side", "bucket", "grp", "score", "row_id"), ["side", "bucket", "grp"], ["row_id"], number="k", block=block)
+        left = tied_rows.filter("side = 'a'").select("bucket", "grp", "k", "score", F.col("row_id").alias("id_a"))
+        right = tied_rows.filter("side = 'b'").select("bucket", "grp", "k", F.col("row_id").alias("id_b"))
+        found = left.join(right, ["bucket", "grp", "k"]).select("bucket", "id_a", "id_b", "score")
+    placed = pin(number_rows(rows, ["side", "bucket", "cls"], ["row_id"], number="k", block=block))
 
     def heads(side: str) -> DataFrame:
         """Rows left and first row of every class of a side."""
@@ -68,6 +108,8 @@ def one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
     mutual = best("cls_a").join(
         best("cls_b").select("bucket", "cls_a", "cls_b"), ["bucket", "cls_a", "cls_b"], "left_semi"
     )
+    if whole:
+        mutual = mutual.join(groups.filter("side = 'a'").select("bucket", F.col("cls").alias("cls_a")), ["bucket", "cls_a"], "left_anti")
 
     def tied(mine: str, other: str) -> DataFrame:
         """Classes whose best score another pair of theirs has too."""
@@ -85,12 +127,13 @@ def one_round(pairs: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
     pick = lambda s: placed.filter(F.col("side") == s).select(
         "bucket", F.col("cls").alias(f"cls_{s}"), "k", F.col("row_id").alias(f"id_{s}")
     )
-    return (
+    mixed = (
         settled.join(pick("a"), ["bucket", "cls_a"])
         .filter(F.col("k") <= F.col("take"))
         .join(pick("b"), ["bucket", "cls_b", "k"])
         .select("bucket", "id_a", "id_b", "score")
     )
+    return mixed if found is None else found.unionByName(mixed)
 
 
 def bin_count(df: DataFrame, rows: int) -> int:
