@@ -143,6 +143,19 @@ def field_inventory(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def ranked_fields(inventory: DataFrame) -> DataFrame:
+    """An inventory with the place of each field among the fullest and among the sparsest, ties by name."""
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))
+    # one row a column of the table
+    return inventory.withColumn("fullest", place(F.desc("filled"), F.asc("field"))).withColumn("sparsest", place(F.asc("filled"), F.asc("field")))
+
+
+def group_records(df: DataFrame, group: str) -> DataFrame:
+    """Records per group and their share of all."""
+    counts = df.groupBy(group).agg(_count().alias("records"))
+    return counts.withColumn("share", F.col("records") / counts.agg(F.sum("records")).scalar())
+
+
 def with_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Table per key with a Total row: sum and average."""
     label = F.when(F.grouping_id() == 1, "Total").otherwise(F.col(key).cast("string"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming
-from rowloom.plans.ranking import number_rows, top_rows
+from rowloom.plans.ranking import number_rows, running_max, top_rows
+from rowloom.session import pin
 
 def _count() -> Column:
     return F.count(F.lit(1))
@@ -195,10 +196,15 @@ def flat_name(path: Column, ext: str = ".csv") -> Column:
     return F.concat(F.array_join(F.concat(folders, F.array(naming.stem(path))), "__"), F.lit(ext))
 
 
+NAME_BLOCK = 100_000  # numbers of a name that one task passes over
+
+
 def unique_names(files: DataFrame, path: str = "path", ext: str = ".csv") -> DataFrame:
     """Output name per file; files whose names meet get ``_1``, ``_2`` in path order.
 
-    A number that another file has in its own name is passed over.
+    A number that another file has in its own name is passed over: the m-th free
+    number is m plus how many taken ones have fewer than m free numbers below
+    them, a running maximum over both, in blocks.
     """
     base = files.withColumn("__base", flat_name(F.col(path), ext))
     placed = number_rows(base, ["__base"], [path], number="__k")
@@ -208,18 +214,18 @@ def unique_names(files: DataFrame, path: str = "path", ext: str = ".csv") -> Dat
         base.select("__base").distinct()
         .select(F.regexp_extract(bare, r"^(.*)_(\d{1,9})$", 1).alias("b"), F.regexp_extract(bare, r"^(.*)_([1-9]\d{0,8})$", 2).alias("n"))
         .filter("b <> '' and n <> ''")
-        .withColumn("__base", F.concat("b", F.lit(ext)))
+        .select(F.concat("b", F.lit(ext)).alias("__base"), F.col("n").cast("long").alias("n"))
+        .distinct()
         .join(shared, "__base", "left_semi")
-        .groupBy("__base")
-        .agg(F.array_sort(F.collect_set(F.col("n").cast("long"))).alias("__taken"))
-    )
-    number = F.aggregate(
-        F.coalesce("__taken", F.array().cast("array<bigint>")),
-        F.col("__k") - 1,
-        lambda c, t: F.when(t <= c, c + 1).otherwise(c),
     )
-    name = F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat(bare, F.lit("_"), number.cast("string"), F.lit(ext)))
-    return placed.join(taken, "__base", "left").withColumn("csv_name", name).select(*files.columns, "csv_name")
+    taken = number_rows(taken, ["__base"], ["n"], number="i", block=F.expr(f"n div {NAME_BLOCK}"))
+    steps = taken.select("__base", (2 * (F.col("n") - F.col("i")) + 1).alias("__o"), F.col("i").alias("__i"), *[F.lit(None).cast(t).alias(c) for c, t in files.dtypes])
+    asks = placed.select("__base", (2 * (F.col("__k") - 1)).alias("__o"), F.lit(None).cast("long").alias("__i"), *files.columns)
+    both = pin(steps.withColumn("__file", F.lit(False)).unionByName(asks.withColumn("__file", F.lit(True))))
+    both = running_max(both, ["__base"], "__o", "__i", "__passed", F.expr(f"__o div {2 * NAME_BLOCK}")).filter("__file")
+    number = F.expr("__o div 2") + F.coalesce("__passed", F.lit(0))
+    name = F.when(F.col("__o") == 0, F.col("__base")).otherwise(F.concat(bare, F.lit("_"), number.cast("string"), F.lit(ext)))
+    return both.withColumn("csv_name", name).select(*files.columns, "csv_name")
 
 
 def delete_rows(rows: DataFrame, gone: DataFrame, keys: Sequence[str], row_idx: str = "row_idx", block_rows: int = 100_000) -> DataFrame:

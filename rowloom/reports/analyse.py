@@ -104,6 +104,21 @@ def field_inventory(spark, d):
     return analysis.field_inventory(c, ["c_name", "segment"])
 
 
+@report("""
+WITH f AS (SELECT 'doc_id' AS field, count(*) AS filled FROM documents UNION ALL SELECT 'lang', count(nullif(lang, '')) FROM documents UNION ALL SELECT 'quality', count(quality) FROM documents LEFT JOIN labels USING (doc_id)
+  UNION ALL SELECT 'text', count(nullif(text, '')) FROM documents UNION ALL SELECT 'even', count(*) FILTER (WHERE doc_id % 2 = 0) FROM documents)
+SELECT field, (SELECT count(*) FROM documents) AS row_count, filled, row_number() OVER (ORDER BY filled DESC, field)::INT AS fullest, row_number() OVER (ORDER BY filled, field)::INT AS sparsest FROM f""")
+def ranked_fields(spark, d):
+    """The fullest and the sparsest fields of the documents with their labels."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("even", F.when(F.col("doc_id") % 2 == 0, 1))
+    return analysis.ranked_fields(analysis.field_inventory(docs, ["doc_id", "lang", "quality", "text", "even"])).drop("share", "sample_value")
+
+
+@report("""SELECT source, count(*) AS records, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 8) AS share FROM documents GROUP BY 1""")
+def source_records(spark, d):
+    return rounded(analysis.group_records(table(spark, d, "documents"), "source"), "share", digits=8)
+
+
 @report("""SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'Total' ELSE o_orderpriority END AS label, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS average
  FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def priority_totals(spark, d):

@@ -318,11 +318,26 @@ def transcripts(spark, d):
     return sha("txt").join(sha("md"), "conv_id")
 
 
-@report("SELECT conv_id, turn, role FROM conversations")
+@report("SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")
 def json_transcripts(spark, d):
     t = dialogue.transcript(table(spark, d, "conversations"), "json")
     back = t.select("conv_id", F.posexplode(F.from_json("transcript", "array<struct<role:string,content:string>>")).alias("turn", "m"))
-    return back.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role")
+    return back.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.sha2("m.content", 256).alias("digest"))
+
+
+@report("""
+WITH c AS (SELECT *, '2024-01-01 ' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00' AS ts, role = 'assistant' AS says FROM conversations)
+SELECT conv_id, sha256('# Chat Transcript' || chr(10) || 'Session: ' || conv_id || chr(10) || 'Exported: now' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ||
+  string_agg('## ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ' (' || ts || ')' || chr(10) || chr(10) || text || chr(10) || chr(10) ||
+    CASE WHEN says THEN '**Sources:**' || chr(10) || '- ' || conv_id || '.csv' || chr(10) || '- turn ' || turn || chr(10) || chr(10) ELSE '' END || '---' || chr(10), chr(10) ORDER BY turn)) AS digest
+FROM c GROUP BY conv_id""")
+def stamped_transcripts(spark, d):
+    """Transcripts with the time of each turn and the files that answers rest on."""
+    c = table(spark, d, "conversations")
+    c = c.withColumn("ts", F.concat(F.lit("2024-01-01 "), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":00")))
+    files = F.array(F.concat(F.col("conv_id").cast("string"), F.lit(".csv")), F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    c = c.withColumn("files", F.when(F.col("role") == "assistant", files))
+    return dialogue.transcript(c, "md", "now", ts="ts", sources="files").select("conv_id", F.sha2("transcript", 256).alias("digest"))
 
 
 @report("""SELECT o_orderkey, 0 AS block, 'bar' AS chart_type, s.label AS series_label, p.pt AS point, p.lab AS label, (CASE WHEN p.pt = 0 THEN o_custkey ELSE o_orderkey END + s.add)::DOUBLE AS value

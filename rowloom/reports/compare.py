@@ -499,7 +499,7 @@ def filtered_changes(spark, d):
     return align.filter_changes(changes(spark, d), "ADDED_REMOVED", ["ADDED", "MODIFIED"], "F1").select("o_orderkey", "status")
 
 
-@report(CHANGES + """ SELECT "group" || '/' || filename AS path, filename AS name, false AS is_folder, 1 AS depth, status FROM x
- UNION ALL SELECT DISTINCT "group", "group", true, 0, NULL FROM x""")
+@report(CHANGES + """ SELECT "group" || '/' || filename AS path, filename AS name, false AS is_folder, 1 AS depth, status, "group" || ' > ' || lower(filename) AS path_order FROM x
+ UNION ALL SELECT DISTINCT "group", "group", true, 0, NULL, "group" FROM x""")
 def change_tree(spark, d):
-    return align.folder_tree(changes(spark, d)).drop("path_order")
+    return align.folder_tree(changes(spark, d)).withColumn("path_order", F.replace("path_order", F.lit("\x00"), F.lit(" > ")))

@@ -267,7 +267,7 @@ SELECT o_orderkey, CASE WHEN items > 5 AND (items >= rws OR rws <= 5) THEN 'item
 FROM c WHERE items > 5 OR rws > 5
 """)
 def guessed_record_tags(spark, d):
-    return markup.guess_record_tag(markup.elements(list_docs(spark, d), ["o_orderkey"]), ["o_orderkey"], sample=1001)
+    return markup.guess_record_tag(markup.elements(list_docs(spark, d), ["o_orderkey"]), ["o_orderkey"])
 
 
 @report("""
@@ -299,7 +299,7 @@ SELECT * FROM (SELECT o_orderkey, 0::BIGINT AS record_idx, 'order' AS record_tag
 WHERE length(content) > 50
 """)
 def record_texts(spark, d):
-    return markup.record_text(order_docs(spark, d), ["o_orderkey"], "order", max_chars=6000, max_records=5000, max_field=300, min_chars=50)
+    return markup.record_text(order_docs(spark, d), ["o_orderkey"], "order", min_chars=50)
 
 
 @report("""
@@ -308,7 +308,7 @@ SELECT o_orderkey, 0::BIGINT AS record_idx, 'AUTO:order' AS record_tag, '<order
 UNION ALL SELECT o_orderkey, 1, 'AUTO:order', '<order key="-' || o_orderkey || '"><status>x</status></order>' FROM orders
 """)
 def record_markup(spark, d):
-    return markup.record_xml(order_docs(spark, d), ["o_orderkey"], max_records=5000, max_chars=6000)
+    return markup.record_xml(order_docs(spark, d), ["o_orderkey"])
 
 
 FILE_PATH = """CASE doc_id % 4 WHEN 0 THEN concat(source, '/', lang, '__', cast(n as string), '.xml')

@@ -33,7 +33,7 @@ def part_header():
 LINES = """
 r AS (SELECT p_brand || '.csv' AS f, upper(p_brand) AS g, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n,
   CASE WHEN p_size % 10 = 0 THEN '' WHEN p_size = 7 THEN repeat(p_name, 40) ELSE p_name END AS nm, p_partkey, p_type, p_size, p_retailprice::DECIMAL(18,2) AS price FROM part),
-l AS (SELECT f, g, n, p_partkey || ' | ' || CASE WHEN length(nm) > 250 THEN nm[1:250] || '...' ELSE nm END || ' | ' || p_type || ' | ' || p_size || ' | ' || price AS line, nm FROM r)
+l AS (SELECT f, g, n, p_partkey || ' | ' || nm || ' | ' || p_type || ' | ' || p_size || ' | ' || price AS line, nm FROM r)
 """
 
 
@@ -51,14 +51,25 @@ k AS (SELECT f, 0::BIGINT AS n, 1::BIGINT AS st, NULL::BIGINT AS a1, NULL::BIGIN
 c AS (SELECT f, n, 0 AS part, a1 AS a, b1 AS b FROM k WHERE a1 IS NOT NULL UNION ALL SELECT f, n, 1, a2, b2 FROM k WHERE a2 IS NOT NULL
   UNION ALL SELECT f, n, 2, st, n FROM k WHERE n = (SELECT max(n) FROM s WHERE s.f = k.f) AND st <= n)
 SELECT c.f AS filename, (row_number() OVER (PARTITION BY c.f ORDER BY c.n, part) - 1)::INT AS chunk_index, a AS row_start, b AS row_end,
-  sha256((head || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY s2.n) FROM s s2 WHERE s2.f = c.f AND s2.n BETWEEN a AND b))[1:3500]) AS digest
+  sha256((head || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY s2.n) FROM s s2 WHERE s2.f = c.f AND s2.n BETWEEN a AND b))) AS digest
 FROM c JOIN b ON b.f = c.f""")
 def table_chunks(spark, d):
-    chunks = chunking.chunk_lines(chunking.lines_of(part_tables(spark, d), part_header(), max_cols=120, max_cell=250))
+    chunks = chunking.chunk_lines(chunking.lines_of(part_tables(spark, d), part_header()))
     return chunks.select("filename", "chunk_index", "row_start", "row_end", F.sha2("text", 256).alias("digest"))
 
 
-@report()
+@report("""
+WITH RECURSIVE v AS (SELECT l_returnflag || '.csv' AS f, l_orderkey || ' | ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_quantity || ' | ' || l_extendedprice || ' | ' || l_shipdate AS line,
+  row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n FROM lineitem),
+s AS (SELECT *, length(line) + 1 AS len, sum(length(line) + 1) OVER (PARTITION BY f ORDER BY n)::BIGINT AS cum, count(*) OVER (PARTITION BY f) AS last,
+  'TYPE: CSV_DATA_CHUNK | FILE: ' || f || ' | GROUP: LINES' || chr(10) || 'COLUMNS: l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate' || chr(10) || 'ROWS:' AS head FROM v),
+e AS (SELECT x.f, x.n, x.last, y.n AS upto FROM s x ASOF JOIN s y ON x.f = y.f AND x.cum - x.len + 1500 - length(x.head) - 1 >= y.cum),
+o AS (SELECT x.f, x.n, y.n AS back FROM s x ASOF JOIN s y ON x.f = y.f AND x.cum - 200 <= y.cum - y.len),
+nx AS (SELECT e.f, e.n, e.upto, CASE WHEN e.upto < e.last THEN o.back END AS next FROM e JOIN o ON o.f = e.f AND o.n = e.upto),
+k AS (SELECT f, 0 AS i, n AS a, upto AS b, next FROM nx WHERE n = 1 UNION ALL SELECT k.f, i + 1, nx.n, nx.upto, nx.next FROM k JOIN nx ON nx.f = k.f AND nx.n = k.next)
+SELECT k.f AS filename, i::INT AS chunk_index, a AS row_start, b AS row_end, sha256(any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY n)) AS digest
+FROM k JOIN s ON s.f = k.f AND s.n BETWEEN a AND b GROUP BY 1, 2, 3, 4
+""")
 def lineitem_chunks(spark, d):
     """Three tables that hold all line items: blocks of one table are packed apart."""
     li = table(spark, d, "lineitem").withColumn("filename", F.concat("l_returnflag", F.lit(".csv")))
@@ -74,9 +85,9 @@ def lineitem_chunks(spark, d):
 @report("WITH " + LINES + """,
 c AS (SELECT f, g, count(*) AS n, count(*) FILTER (WHERE nm <> '') AS nn, string_agg(CASE WHEN n <= 5 THEN line END, chr(10) ORDER BY n) AS sample FROM l GROUP BY 1, 2)
 SELECT f AS filename, sha256(('TYPE: CSV_SUMMARY | FILE: ' || f || ' | GROUP: ' || g || chr(10) || 'COLUMNS: p_partkey, p_name, p_type, p_size, p_retailprice' || chr(10) || 'ROW_COUNT: ' || n || chr(10) ||
- 'NON_EMPTY_COUNTS: p_partkey:' || n || ', p_name:' || nn || ', p_type:' || n || ', p_size:' || n || ', p_retailprice:' || n || chr(10) || 'SAMPLE_ROWS:' || chr(10) || sample)[1:3500]) AS digest FROM c""")
+ 'NON_EMPTY_COUNTS: p_partkey:' || n || ', p_name:' || nn || ', p_type:' || n || ', p_size:' || n || ', p_retailprice:' || n || chr(10) || 'SAMPLE_ROWS:' || chr(10) || sample)) AS digest FROM c""")
 def table_summaries(spark, d):
-    docs = chunking.summary_docs(part_tables(spark, d), part_header(), cap=3500, max_cols=120, max_cell=250)
+    docs = chunking.summary_docs(part_tables(spark, d), part_header())
     return docs.select("filename", F.sha2("text", 256).alias("digest"))
 
 

@@ -1,5 +1,6 @@
 """Edits, names, numbering and small cases of the rest."""
 
+import json
 import random
 
 import pytest
@@ -78,6 +79,29 @@ def test_output_names_never_meet(spark):
     assert {got[p] for p in ("a.xml", "a.XML", "a.Xml")} == {"a.csv", "a_2.csv", "a_4.csv"}
 
 
+def test_free_numbers_pass_over_taken_ones(spark, monkeypatch):
+    """Many files of one name beside many numbers that others have, over several blocks."""
+    monkeypatch.setattr(catalog, "NAME_BLOCK", 7)
+    r = random.Random(12)
+    taken = {n for n in range(1, 400) if r.random() < 0.4}
+    paths = ["/".join(["a", *p, "x"]) + f".{e}" for p, e in [((), f"e{i:03d}") for i in range(150)]]
+    paths += [f"a__x_{n}.xml" for n in taken]
+    got = {x.path: x.csv_name for x in catalog.unique_names(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    free = (n for n in range(1, 10_000) if n not in taken)
+    want = {p: "a__x.csv" if i == 0 else f"a__x_{next(free)}.csv" for i, p in enumerate(sorted(p for p in paths if p.startswith("a/")))}
+    assert {p: n for p, n in got.items() if p in want} == want
+    assert len(set(got.values())) == len(paths)
+
+
+def test_stamps_and_sources(spark):
+    rows = [(1, 0, "user", "q", "t0", None), (1, 1, "assistant", "a", "t1", ["x.csv", None])]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ts string, files array<string>")
+    (r,) = dialogue.transcript(c, "md", "now", ts="ts", sources="files").collect()
+    assert r.transcript.endswith("## User (t0)\n\nq\n\n---\n\n## Assistant (t1)\n\na\n\n**Sources:**\n- x.csv\n- unknown\n\n---\n")
+    (r,) = dialogue.transcript(c, "json", ts="ts", sources="files").collect()
+    assert json.loads(r.transcript)[1] == {"role": "assistant", "content": "a", "timestamp": "t1", "sources": ["x.csv", None]}
+
+
 def test_history_is_the_tail(spark):
     df = spark.range(120).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
     assert sorted(r.turn for r in dialogue.last_turns(df).collect()) == list(range(70, 120))
