@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.handover import hand_over
+from rowloom.llm.keys import wide_key
 from rowloom.plans.ranking import number_rows
 
 SAMPLES = 32
@@ -78,7 +79,7 @@ def neighbours(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool
     """
     narrow = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
-        F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"),
+        wide_key(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"),
         F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_chars"),
     )
     rows = hand_over(number_rows(narrow, [], [F.desc_nulls_last("id"), F.col("k")], number="row"), "rows")
@@ -97,7 +98,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     rows, equal = neighbours(docs, text, doc_id)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), whole).alias("k"), whole.alias("text"))
+    texts = docs.select(wide_key(F.col(f"`{doc_id}`"), whole).alias("k"), whole.alias("text"))
     if equal:
         texts = texts.groupBy("k").agg(F.first("text").alias("text"))
     half = F.expr("n_chars div 2")
