@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import spans
-from rowloom.llm.handover import hand_over
+from rowloom.llm.handover import discard, hand_over
+from rowloom.llm.keys import wide_key
 from rowloom.session import scratch_path
 
 WINDOW = 35
@@ -104,13 +105,16 @@ def _occurrences(texts: DataFrame, done: list[int], level: int, window: int) ->
     return texts.mapInArrow(run, schema)
 
 
-def _repeated(found: DataFrame) -> DataFrame:
+def _repeated(found: DataFrame, label: str) -> DataFrame:
     """Per text the sorted places of occurrences whose hash occurs more than once."""
     found = hand_over(found, "occurrences")
     twice = found.groupBy("h").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("h")
     # counted and written first, so that the join has a shuffle of its own and a hot hash can be split
-    twice = hand_over(twice, "repeated").hint("merge")
-    return found.join(twice, "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    twice = hand_over(twice, "repeated")
+    marks = found.join(twice.hint("merge"), "h", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    marks = hand_over(marks, label)
+    discard(found, twice)
+    return marks
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -120,13 +124,13 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    texts = src.groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = src.groupBy(wide_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the copy is read once a level: buckets keep its joins on the key from moving it
     writer = texts.write.bucketBy(n, "key").format("parquet").option("compression", "zstd")
     writer.option("path", scratch_path(spark, "texts")).saveAsTable(name)
     rows = docs.select(
-        F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+        wide_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     )
     return spark.table(name), rows
 
@@ -135,7 +139,7 @@ def repeated_starts(texts: DataFrame, window: int = WINDOW, smallest: int = SMAL
     """``(key, at)``: where in each text a window starts that starts somewhere else too."""
     steps, state = levels(window, smallest), texts
     for i, level in enumerate(steps):
-        marks = hand_over(_repeated(_occurrences(state, steps[:i], level, window)), f"repeats-{level}")
+        marks = _repeated(_occurrences(state, steps[:i], level, window), f"repeats-{level}")
         if level == window:
             return marks
         state = state.join(marks.withColumnRenamed("at", f"at{level}"), "key")
