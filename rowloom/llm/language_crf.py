@@ -276,7 +276,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     seen = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), held_out(doc_id, folds, fold).alias("out"))
     seen = seen.filter("NOT out AND id IS NOT NULL AND lang IS NOT NULL AND lang != ''").select("id", "lang", F.xxhash64("id").alias("h"))
     # hashes below a share of their range leave about four times the sample of a frequent language, however many rows or tasks it has
-    counts = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    # the few counts go to the rows, so that the share is taken before any row moves
+    counts = small_side(hand_over(seen.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "language-counts"))
     low = F.pmod("h", F.lit(1 << 32)) / (1 << 32) * F.col("all") <= 4.0 * sample
     seen = seen.join(counts, "lang").filter(low)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
