@@ -154,6 +154,51 @@ def check_packing(docs, tokenizer, window=2048, **kw):
     return pieces, got
 
 
+def step_by_step(lengths, shares, window, min_piece):
+    """Deficit round-robin as told: every round a queue earns its share, keeps less than a piece or a token, and sends the rest."""
+    unit, total = 1 << 16, sum(shares)
+    earned = [max(1, round(window * s / total * unit)) for s in shares]
+    every = [-(-min_piece * unit // e) for e in earned]
+    sent, deficit, out, turn = [0] * len(lengths), [0] * len(lengths), [], 0
+    while any(s < n for s, n in zip(sent, lengths)):
+        turn += 1
+        for q, n in enumerate(lengths):
+            deficit[q] += earned[q]
+            if turn % every[q] == 0:
+                give = min(n - sent[q], deficit[q] // unit)
+                deficit[q] %= unit
+                out += [(q, sent[q] + i) for i in range(give)]
+                sent[q] += give
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_are_those_of_a_round_robin_step_by_step(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 9))
+    lengths = [int(x) for x in rng.integers(0, 900, n)]
+    lengths[0] += 1
+    shares = [float(x) for x in rng.random(n) ** 3 + 0.001] if seed % 2 else [max(1.0, float(x)) for x in lengths]
+    window, piece = int(rng.choice([32, 100, 257])), int(rng.choice([1, 7, 20]))
+    want = {t: place for place, t in enumerate(step_by_step(lengths, shares, window, piece))}
+    mixture = mixture_packing.Mixture(lengths, shares, window, piece)
+    # documents of different sizes fill the queues
+    queue, first, count = [], [], []
+    for q, size in enumerate(lengths):
+        at = 0
+        while at < size:
+            step = min(size - at, int(rng.integers(1, 200)))
+            queue.append(q), first.append(at), count.append(step)
+            at += step
+    queue, first, count = (np.array(x, dtype=np.int64) for x in (queue, first, count))
+    got = {}
+    for run, start, length, place in zip(*(x.tolist() for x in mixture.places(queue, first, count))):
+        assert place // window == (place + length - 1) // window
+        for i in range(length):
+            got[int(queue[run]), int(first[run]) + start + i] = place + i
+    assert got == want
+
+
 def test_packing_of_documents(spark, data, tokenizer):
     docs = documents(spark, data)
     pieces, got = check_packing(docs, tokenizer, window=512, min_piece=8)
