@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of a cluster where it is not installed; once per application."""
     sc = spark.sparkContext
-    if getattr(sc, "_rowloom_shipped", False) or sc.master.startswith("local["):
+    if getattr(sc, "_rowloom_shipped", False) or sc.master.startswith("local"):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     packed = os.path.join(tempfile.mkdtemp(prefix="rowloom-"), "rowloom.zip")
