@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import byte_bpe, compression_quality, hash_shards, id_shards, interval_search, language_crf, line_rules, merkle_manifest, mixture_packing, substrings, variant_simhash, weighted_fingerprints, weighted_minhash
+from rowloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +19,12 @@ def query(sql: str | None = None):
     """List a query under its name, with the SQL that states its result."""
 
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, folder)
+
+        QUERIES[fn.__name__] = run
         if sql:
             SQL[fn.__name__] = sql.strip()
         return fn
