@@ -23,7 +23,7 @@ import pyarrow as pa
 from rowloom.llm import spans
 
 #: words whose ids a task keeps
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 400_000
 
 # The description of a tokenizer of byte-level words, as its file has it.
 BYTE_WORDS = {
