@@ -6,6 +6,7 @@ flat result moves.
 
 from __future__ import annotations
 
+import sys
 import xml.etree.ElementTree as ET
 from collections import Counter
 from collections.abc import Iterator
@@ -330,6 +331,22 @@ def _as_text(doc: Nodes, record: int, max_len: int | None) -> str:
     return " | ".join(parts)
 
 
+def _as_xml(doc: Nodes, record: int) -> str:
+    """A record written out; the writer calls itself for each level, so a deep record gets a higher limit."""
+    try:
+        return ET.tostring(doc.elements[record], encoding="unicode")
+    except RecursionError:
+        levels = {record: 1}
+        for i in doc.inside(record):
+            levels.setdefault(i, levels.get(doc.parents[i], 0) + 1)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 2 * max(levels.values()))
+    try:
+        return ET.tostring(doc.elements[record], encoding="unicode")
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def _render(df: DataFrame, keys: list[str], content: str, make) -> DataFrame:
     kept = df.select(*keys, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
@@ -372,17 +389,11 @@ def record_xml(
     df: DataFrame, keys: list[str], content: str = "content", record_tag: str | None = None,
     max_records: int | None = None, max_chars: int | None = None,
 ) -> DataFrame:
-    """Records as XML text with their index; longer ones than ``max_chars`` are cut and marked with dots.
-
-    A record that is nested too deep to be written out has a null content.
-    """
+    """Records as XML text with their index, however deep they are nested; longer ones than ``max_chars`` are cut and marked with dots."""
     def make(doc: Nodes):
         tag, found = _choose(doc, record_tag, True)
         for n, i in enumerate(found[:max_records]):
-            try:
-                s = ET.tostring(doc.elements[i], encoding="unicode")
-            except RecursionError:
-                s = None
-            yield n, tag, s if s is None or max_chars is None or len(s) <= max_chars else s[:max_chars] + "..."
+            s = _as_xml(doc, i)
+            yield n, tag, s if max_chars is None or len(s) <= max_chars else s[:max_chars] + "..."
 
     return _render(df, keys, content, make)

@@ -80,6 +80,7 @@ def test_deep_and_many_records_render(spark):
     assert got["deep", 0] == " | ".join(["rec", *["d"] * 3000, "x"]) and got["deep", 1] == "rec | y"
     assert sum(p == "many" for p, _ in got) == 6000
     xml = {(r.path, r.record_idx): r.content for r in markup.record_xml(df, ["path"]).collect()}
+    assert xml["deep", 0] == "<rec>" + "<d>" * 3000 + "x" + "</d>" * 3000 + "</rec>"
     assert xml["deep", 1] == "<rec>y</rec>" and sum(p == "many" for p, _ in xml) == 6000
 
 
