@@ -97,6 +97,27 @@ SELECT t::VARCHAR AS nation, array_to_string(hd, '|') AS header, array_to_string
 """)
 def converted_tables(spark, d):
     """One markup document a nation, its ragged records written as a table under its own header, in parts, and read back."""
+    recs = markup.records(markup.flatten(nation_docs(spark, d), ["nation"]))
+    out = scratch_path(spark, "converted")
+    tables.write_ragged(recs, markup.header_of(recs, ["nation"]), out, "nation", part_rows=50)
+    got = tables.read_collection(spark, out)
+    return got.select(F.regexp_extract("file", "nation=([0-9]+)/", 1).alias("nation"), F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"))
+
+
+@report("""
+SELECT c_nationkey::VARCHAR AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS record_idx, c_custkey::VARCHAR AS id,
+  CASE WHEN c_custkey % 3 = 0 THEN 'x, ' || c_name ELSE '' END AS a, CASE WHEN c_custkey % 5 = 0 THEN '"' || c_mktsegment || '"' ELSE '' END AS b FROM customer
+""")
+def split_documents(spark, d):
+    """The documents of all nations as files, their records read in splits behind each closing tag."""
+    out = scratch_path(spark, "documents")
+    nation_docs(spark, d).write.partitionBy("nation").text(out)
+    recs = markup.read_records(spark, out, "r").withColumn("nation", F.regexp_extract("file", "nation=([0-9]+)/", 1))
+    return markup.to_wide(recs, ["id", "a", "b"], ["nation"])
+
+
+def nation_docs(spark, d):
+    """One markup document a nation with a record for each customer."""
     k = F.col("c_custkey")
     record = F.concat(
         F.lit("<r><id>"), k.cast("string"), F.lit("</id>"),
@@ -104,12 +125,7 @@ def converted_tables(spark, d):
         F.when(k % 5 == 0, F.concat(F.lit('<b>"'), "c_mktsegment", F.lit('"</b>'))).otherwise(""), F.lit("</r>"),
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))), lambda x: x["r"]), "")
-    docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.concat(F.lit("<list>"), body, F.lit("</list>")).alias("content"))
-    recs = markup.records(markup.flatten(docs, ["nation"]))
-    out = scratch_path(spark, "converted")
-    tables.write_ragged(recs, markup.header_of(recs, ["nation"]), out, "nation", part_rows=50)
-    got = tables.read_collection(spark, out)
-    return got.select(F.regexp_extract("file", "nation=([0-9]+)/", 1).alias("nation"), F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"))
+    return table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.concat(F.lit("<list>"), body, F.lit("</list>")).alias("content"))
 
 
 @report("""

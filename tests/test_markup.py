@@ -1,5 +1,8 @@
 """Flattening rules on small documents."""
 
+import random
+import tempfile
+
 from rowloom.sources import markup
 
 
@@ -95,3 +98,26 @@ def test_the_tag_is_guessed_from_the_whole_document(spark):
     doc = "<r><head>" + "<small/>" * 1200 + "</head>" + "<record/>" * 5000 + "</r>"
     df = spark.createDataFrame([("d", doc)], "path string, content string")
     assert [r.record_tag for r in markup.guess_record_tag(markup.elements(df, ["path"]), ["path"]).collect()] == ["record"]
+
+
+def test_large_documents_are_read_in_splits(spark):
+    """A file cut anywhere gives the records of the whole document, name spaces, empty records and odd attributes included."""
+    r = random.Random(8)
+    body = "".join(
+        r.choice([f"<d:rec id='{i}' q=\"a>b\"><x>v{i}</x><x>é{i}</x></d:rec>", f"<d:rec k='{i}'/>", "<skip>\n</skip>", f"<d:rec><y><z>t {i}</z></y></d:rec>", "</g><g n='1'>", "<d:record>no</d:record>"])
+        for i in range(300)
+    )
+    doc = f"<?xml version='1.0'?>\n<!-- c --><all xmlns:d='urn:d' xmlns=\"urn:x\"><g>{body}</g></all>"
+    root = tempfile.mkdtemp(prefix="rowloom-big-")
+    for name, text in (("a", doc), ("b", doc.replace("v1", "w1")), ("none", "<all/>")):
+        with open(f"{root}/{name}.xml", "w") as f:
+            f.write(text)
+    docs = spark.createDataFrame([(n, t) for n, t in (("a", doc), ("b", doc.replace("v1", "w1")))], "path string, content string")
+    want = {(x.path, x.record_idx): (x.field_order, x.fields) for x in markup.records(markup.flatten(docs, ["path"], record_tag="rec")).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        got = {(x.file[-5], x.record_idx): (x.field_order, x.fields) for x in markup.read_records(spark, root, "d:rec").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and len(want) > 200
