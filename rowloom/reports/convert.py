@@ -184,7 +184,7 @@ def _pack(batches):
         )
 
 
-@report("""
+ENTRIES = """
 WITH z AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey % 5 = 0 THEN 'All_20260113_055727.zip' ELSE c_mktsegment || '_' || c_nationkey || '.zip' END AS zip FROM customer),
 g AS (SELECT *, CASE WHEN zip LIKE 'All%' THEN NULL ELSE upper(replace(zip, '.zip', '')) END AS own FROM z)
 SELECT c_custkey || '/' || zip AS archive, 'a.xml' AS path, coalesce(own, 'ROOT') AS "group", zip AS chain, length(c_name)::BIGINT AS size FROM g
@@ -192,17 +192,32 @@ UNION ALL
 SELECT c_custkey || '/' || zip, '_nested_1_2_BATCH/b.XML', coalesce(own, 'ROOT'), zip || '>inner>2_BATCH.zip', length(c_name)::BIGINT + 1 FROM g
 UNION ALL
 SELECT c_custkey || '/' || zip, '_nested_1_12_sub/G/c.xml', coalesce(own, 'SUB'), zip || '>data>12_sub.zip>G', length(c_name)::BIGINT + 2 FROM g
-""")
-def archive_entries(spark, d):
+"""
+
+
+def packed_customers(spark, d):
     name = F.when(F.col("c_nationkey") % 5 == 0, F.lit("All_20260113_055727.zip")).otherwise(
         F.concat("c_mktsegment", F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".zip"))
     )
     src = spread(table(spark, d, "customer")).select(
         F.concat(F.col("c_custkey").cast("string"), F.lit("/"), name).alias("path"), F.col("c_name").alias("name")
     )
-    zips = src.mapInPandas(_pack, "path string, content binary")
-    found = archives.inventory(archives.expand_archives(zips))
-    return found.select("archive", "path", "group", F.array_join("zip_chain", ">").alias("chain"), "size")
+    return src.mapInPandas(_pack, "path string, content binary")
+
+
+def _shown(entries):
+    return archives.inventory(entries).select("archive", "path", "group", F.array_join("zip_chain", ">").alias("chain"), "size")
+
+
+@report(ENTRIES)
+def archive_entries(spark, d):
+    return _shown(archives.expand_archives(packed_customers(spark, d)))
+
+
+@report(ENTRIES)
+def spread_entries(spark, d):
+    """The same archives, each entry unpacked in a task of its own, nested archives in a second round."""
+    return _shown(archives.spread_archives(packed_customers(spark, d)))
 
 
 @report(f"""

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import io
 import posixpath
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming
 from rowloom.plans.ranking import number_rows
+from rowloom.session import pin
 
 ENTRY_SCHEMA = (
     "archive string, entry_no long, path string, filename string, zip_chain array<string>, "
@@ -121,6 +125,120 @@ def expand_archives(
     return df.select(path, content).mapInPandas(expand, ENTRY_SCHEMA)
 
 
+LISTED = (
+    "archive string, depth int, place array<int>, path string, chain array<string>, kind string, size long, compressed_size long, "
+    "method int, crc long, data binary, error string"
+)
+
+
+def _packed(blob: bytes, info: zipfile.ZipInfo) -> bytes:
+    """An entry's bytes as they lie in its archive."""
+    name, extra = struct.unpack_from("<HH", blob, info.header_offset + 26)
+    start = info.header_offset + 30 + name + extra
+    return blob[start : start + info.compress_size]
+
+
+def spread_archives(
+    df: DataFrame, path: str = "path", content: str = "content", suffixes: tuple[str, ...] = (".xml", ".csv"),
+    max_depth: int | None = None, max_ratio: float | None = None,
+) -> DataFrame:
+    """The entries of ``expand_archives``, each unpacked in a task of its own: for few or large archives.
+
+    One task reads an archive's directory and passes its entries on as they are
+    packed; they are dealt to all tasks and unpacked there, so that no task
+    holds more than one archive packed or one entry unpacked. Archives among the
+    entries take the next round, all of one depth together. An entry that
+    cannot be unpacked gives a row with ``error``.
+    """
+    names = [c.split()[0] for c in LISTED.split(", ")]
+    spark = df.sparkSession
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for archive, depth, place, prefix, chain, own, blob in zip(*(batch.column(c).to_pylist() for c in ("archive", "depth", "place", "prefix", "chain", "own", "data"))):
+                try:
+                    zf = zipfile.ZipFile(io.BytesIO(blob))
+                except (zipfile.BadZipFile, RuntimeError, EOFError, TypeError) as e:
+                    rows.append((archive, depth - 1, place, own["path"], own["chain"], "error", own["size"], own["compressed_size"], None, None, None, str(e)))
+                    continue
+                for n, info in enumerate(zf.infolist()):
+                    if info.is_dir():
+                        continue
+                    folders = info.filename.replace("\\", "/").split("/")[:-1]
+                    leaf = posixpath.basename(info.filename)
+                    where = "/".join([p for p in (prefix, *folders) if p] + [leaf])
+                    row = [archive, depth, [*place, n], where, chain + folders, "other", info.file_size, info.compress_size, info.compress_type, info.CRC, None, None]
+                    nested = leaf.lower().endswith(".zip")
+                    if max_ratio is not None and info.compress_size and info.file_size / info.compress_size > max_ratio:
+                        row[5], row[11] = "error", f"packed more than {max_ratio:g} to 1"
+                    elif any(f[:1] in (".", "_") for f in folders):
+                        continue
+                    elif nested and max_depth is not None and depth >= max_depth:
+                        row[5], row[11] = "error", f"nested deeper than {max_depth}"
+                    elif info.flag_bits & 1:
+                        row[5], row[11] = "error", "encrypted"
+                    elif nested or where.lower().endswith(suffixes):
+                        row[5] = "zip" if nested else "file"
+                        if info.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                            row[10] = _packed(blob, info)
+                        else:
+                            row[8], row[10] = zipfile.ZIP_STORED, zf.read(info)
+                        held += len(row[10])
+                    rows.append(tuple(row))
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kinds)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kinds)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # one entry unpacked at a time
+                row = batch.slice(i, 1).to_pylist()[0]
+                try:
+                    data = row["data"] if row["method"] == zipfile.ZIP_STORED else zlib.decompress(row["data"], -15)
+                    row["data"], row["error"] = data, None if zlib.crc32(data) == row["crc"] else "its checksum does not agree"
+                except zlib.error as e:
+                    row["error"] = str(e)
+                if row["error"]:
+                    row["kind"], row["data"] = "error", None
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(spark.createDataFrame([], LISTED).schema)
+    none = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("chain", "array<string>"), ("size", "long"), ("compressed_size", "long"))])
+    level = df.select(
+        F.col(path).alias("archive"), F.lit(1).alias("depth"), F.array().cast("array<int>").alias("place"), F.lit("").alias("prefix"),
+        F.array(naming.base_name(F.col(path))).alias("chain"), none.alias("own"), F.col(content).alias("data"),
+    )
+    found = None
+    while True:
+        entries = pin(level.mapInArrow(listed, LISTED))
+        packed = entries.filter(F.col("kind").isin("file", "zip"))
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        opened = pin(packed.repartition(tasks, "archive", "place").mapInArrow(unpack, LISTED))
+        done = entries.filter(F.col("kind").isin("other", "error")).unionByName(opened.filter("kind <> 'zip'"))
+        found = done if found is None else found.unionByName(done)
+        nested = opened.filter("kind = 'zip'")
+        if nested.isEmpty():
+            break
+        leaf = naming.base_name(F.col("path"))
+        inner = F.concat(F.lit("_nested_"), F.col("depth").cast("string"), F.lit("_"), F.expr("substring(substring_index(path, '/', -1), 1, length(substring_index(path, '/', -1)) - 4)"))
+        level = nested.select(
+            "archive", (F.col("depth") + 1).alias("depth"), "place", inner.alias("prefix"), F.concat("chain", F.array(leaf)).alias("chain"),
+            F.struct("path", "chain", "size", "compressed_size").alias("own"), "data",
+        )
+    # entries are numbered level by level, those that failed aside
+    order = number_rows(found.filter("kind <> 'error'").select("archive", "depth", "place"), ["archive"], ["depth", "place"], number="n")
+    numbered = found.filter("kind <> 'other'").join(order.select("archive", "place", (F.col("n") - 1).alias("entry_no")), ["archive", "place"], "left")
+    return numbered.select(
+        "archive", F.when(F.col("kind") == "file", F.col("entry_no")).alias("entry_no"), "path", naming.base_name(F.col("path")).alias("filename"),
+        F.col("chain").alias("zip_chain"), "size", "compressed_size", F.col("data").alias("content"), "error",
+    )
+
+
 def inventory(entries: DataFrame) -> DataFrame:
     """Entries with their group and place: the table that conversion starts from."""
     folder = F.when(F.contains("path", F.lit("/")), naming.parent_path(F.col("path"))).otherwise(F.lit(""))

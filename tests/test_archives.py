@@ -72,6 +72,28 @@ def test_scan(spark):
     assert got == {("a.xml", "a.xml", 4), ("sub/B.XML", "B.XML", 4)}
 
 
+def test_entries_unpacked_apart_are_those_of_whole_archives(spark):
+    """Nested archives, folders, hidden ones, limits and broken archives give the same rows either way."""
+    deep = zipped({"x/one.xml": "<a/>" * 50, "two.CSV": "a,b\n", "skip.txt": "-", ".h/hid.xml": "-"}, deflate=True)
+    mid = zipped({"F/deep.zip": deep, "G/bad.zip": b"no archive", "m.xml": "m"}, deflate=True)
+    named = {"p/all.zip": zipped({"top.xml": "t", "n/mid.zip": mid, "n/deep.ZIP": deep, "z.csv": "z"}), "q/broken.zip": b"PK broken", "q/empty.zip": zipped({})}
+    df = spark.createDataFrame(list(named.items()), "path string, content binary")
+
+    def rows(found):
+        return sorted(
+            [(r.archive, r.entry_no, r.path, r.filename, r.zip_chain, r.size, r.compressed_size, bytes(r.content) if r.content is not None else None, bool(r.error)) for r in found.collect()], key=repr
+        )
+
+    for limits in ({}, {"max_depth": 2}, {"max_ratio": 5.0}):
+        assert rows(archives.spread_archives(df, **limits)) == rows(archives.expand_archives(df, **limits))
+    assert rows(archives.spread_archives(df.limit(0))) == []
+    # a damaged entry is an error of its own
+    blob = bytearray(zipped({"a.xml": "text one", "b.xml": "text two"}))
+    blob[blob.index(b"text one")] ^= 1
+    got = archives.spread_archives(spark.createDataFrame([("d.zip", bytes(blob))], "path string, content binary")).collect()
+    assert sorted((r.path, r.error is None) for r in got) == [("a.xml", False), ("b.xml", True)]
+
+
 def test_decode(spark):
     blobs = ["café".encode(), "café".encode("latin-1"), b"\xef\xbb\xbfhead", b""]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary")
