@@ -156,6 +156,15 @@ def group_records(df: DataFrame, group: str) -> DataFrame:
     return counts.withColumn("share", F.col("records") / counts.agg(F.sum("records")).scalar())
 
 
+def summary_row(df: DataFrame, summary: dict[str, str | Column], columns: Sequence[str] | None = None) -> DataFrame:
+    """One row below a table: per column a fixed text or an aggregate shown as text; empty for all other columns."""
+    def shown(c: str) -> Column:
+        what = summary.get(c, "")
+        return (F.lit(what) if isinstance(what, str) else F.coalesce(what.cast("string"), F.lit(""))).alias(c)
+
+    return df.agg(*[shown(c) for c in columns or df.columns])
+
+
 def with_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Table per key with a Total row: sum and average."""
     label = F.when(F.grouping_id() == 1, "Total").otherwise(F.col(key).cast("string"))

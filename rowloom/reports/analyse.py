@@ -114,6 +114,14 @@ def ranked_fields(spark, d):
     return analysis.ranked_fields(analysis.field_inventory(docs, ["doc_id", "lang", "quality", "text", "even"])).drop("share", "sample_value")
 
 
+@report("""SELECT 'Total' AS o_orderpriority, count(*)::VARCHAR AS o_orderkey, sum(o_totalprice::DECIMAL(18,2))::VARCHAR AS o_totalprice, '' AS o_orderstatus, max(o_custkey)::VARCHAR AS o_custkey FROM orders""")
+def order_summary_row(spark, d):
+    """The row below a table of orders: a label, a count, a sum, nothing, a maximum."""
+    orders = table(spark, d, "orders")
+    summary = {"o_orderpriority": "Total", "o_orderkey": F.count(F.lit(1)), "o_totalprice": F.sum(F.col("o_totalprice").cast("decimal(18,2)")), "o_custkey": F.max("o_custkey")}
+    return analysis.summary_row(orders, summary, ["o_orderpriority", "o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey"])
+
+
 @report("""SELECT source, count(*) AS records, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 8) AS share FROM documents GROUP BY 1""")
 def source_records(spark, d):
     return rounded(analysis.group_records(table(spark, d, "documents"), "source"), "share", digits=8)
