@@ -62,7 +62,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kept = kept
+        # words of late, and those of before; a word that occurs again moves up
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_word = self._words_suffice()
@@ -127,11 +129,15 @@ class WordEncoder:
         first[code[::-1]] = np.arange(len(code))[::-1]
         body = data.tobytes()
         words = [body[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.kept:
-            new, self.known, self.tails = words, {}, {}
-        self.known.update(self._learn(new))
-        packed = [self.known[w] for w in words]
+        known, older = self.known, self.older
+        packed = [known.get(w) or older.get(w) for w in words]
+        new = [w for w, p in zip(words, packed) if p is None]
+        learnt = self._learn(new)
+        if len(known) + len(words) > self.kept // 2:
+            self.older, self.known, self.tails = known, {}, {}
+            known = self.known
+        packed = [learnt[w] if p is None else p for w, p in zip(words, packed)]
+        known.update(zip(words, packed))
         # ids of the different words side by side, then of all words
         size = np.array([len(p) for p in packed], dtype=np.int64) // self.dtype.itemsize
         ids = np.frombuffer(b"".join(packed), self.dtype)
