@@ -161,6 +161,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: s
                     ],
                     names=["part", "source", "doc_id", "first", "count", "ids"],
                 )
+        encoder.rest()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"part int, source string, doc_id {kind}, first long, count long, ids binary")

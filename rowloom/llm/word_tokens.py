@@ -15,6 +15,7 @@ import json
 import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ import pyarrow as pa
 
 from rowloom.llm import spans
 
-#: words whose ids a task keeps
-KEPT_WORDS = 400_000
+#: words whose ids a task keeps while it runs, and a worker between tasks
+KEPT_WORDS, KEPT_BETWEEN = 1_200_000, 400_000
 
 # The description of a tokenizer of byte-level words, as its file has it.
 BYTE_WORDS = {
@@ -149,6 +150,13 @@ class WordEncoder:
         return [laid[a:b] for a, b in zip(cut, cut[1:])]
 
 
+    def rest(self, kept: int = KEPT_BETWEEN) -> None:
+        """Keep the words of late only, at the end of a task: other tasks need the room."""
+        self.older = {}
+        if len(self.known) > kept:
+            self.known = dict(islice(reversed(self.known.items()), kept))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
