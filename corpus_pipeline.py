@@ -14,6 +14,8 @@ from rowloom.llm.handover import hand_over
 
 #: a text stays if this share of its words is in one language; a third is what chance gives
 CLEAR_LANGUAGE = 0.35
+#: words whose ids a Python worker keeps: the workers of a stage serve the others too
+KEPT_WORDS = 400_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of 2048 tokens, mixed by source."""
-    return mixture_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return mixture_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept_words=KEPT_WORDS)
 
 
 STAGES = [

@@ -225,7 +225,6 @@ def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
                     held, keys, there, size, number = [], [], [], 0, number + 1
         if held:
             yield close()
-        encoder.rest()
 
     return folder, hand_over(ordered.mapInArrow(run, _WHERE), "id-manifest")
 

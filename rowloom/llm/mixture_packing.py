@@ -130,7 +130,7 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: str, end_id: int, kept: int) -> DataFrame:
     """``part, source, doc_id, first, count, ids`` in queue order: ids of a document, and those of its source before it in its part."""
     src = docs.select(
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: s
         from pyspark import TaskContext
 
         part_number = TaskContext.get().partitionId()
-        encoder = word_tokens.encoder(tokenizer)
+        encoder = word_tokens.encoder(tokenizer, kept)
         end = np.array([end_id], encoder.dtype).tobytes()
         sent: dict[str, int] = {}
         for batch in batches:
@@ -161,7 +161,6 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str, source: str, doc_id: s
                     ],
                     names=["part", "source", "doc_id", "first", "count", "ids"],
                 )
-        encoder.rest()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"part int, source string, doc_id {kind}, first long, count long, ids binary")
@@ -211,14 +210,16 @@ def pack(
     doc_id: str = "doc_id",
     end_id: int = END_ID,
     with_ids: bool = False,
+    kept_words: int = word_tokens.KEPT_WORDS,
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece, and its packed ids if asked for.
 
     ``shares`` are target shares by source; a source it does not name keeps its
-    part of all tokens. The number of sources is not limited.
+    part of all tokens. The number of sources is not limited. A Python worker
+    keeps the ids of ``kept_words`` words, about 180 bytes each.
     """
     shares = {k: float(v) for k, v in (shares or {}).items()}
-    rows = hand_over(tokenized(docs, tokenizer, text, source, doc_id, end_id), "packing-ids")
+    rows = hand_over(tokenized(docs, tokenizer, text, source, doc_id, end_id, kept_words), "packing-ids")
     totals = hand_over(rows.groupBy("part", "source").agg(F.sum("count").alias("n")), "packing-totals")
     found, bases = queues(totals, first=shares)
     total = sum(n for _, n in found) or 1
@@ -242,7 +243,7 @@ def pack(
     names = [f.split(" ")[0] for f in fields.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (mix, bins), kind = mixture.value, word_tokens.encoder(tokenizer).dtype
+        (mix, bins), kind = mixture.value, word_tokens.encoder(tokenizer, kept_words).dtype
         for batch in batches:
             for part in spans.slices(batch, "ids"):
                 queue, bin_, number, first, count = (part.column(c).to_numpy() for c in ("queue", "bin", "number", "first", "count"))

@@ -15,7 +15,6 @@ import json
 import re
 import sys
 from array import array
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,8 +22,8 @@ import pyarrow as pa
 
 from rowloom.llm import spans
 
-#: words whose ids a task keeps while it runs, and a worker between tasks
-KEPT_WORDS, KEPT_BETWEEN = 1_200_000, 400_000
+#: words whose ids a Python worker keeps
+KEPT_WORDS = 1_200_000
 
 # The description of a tokenizer of byte-level words, as its file has it.
 BYTE_WORDS = {
@@ -144,17 +143,11 @@ class WordEncoder:
         return [laid[a:b] for a, b in zip(cut, cut[1:])]
 
 
-    def rest(self, kept: int = KEPT_BETWEEN) -> None:
-        """Keep the words of late only, at the end of a task: other tasks need the room."""
-        if len(self.known) > kept:
-            self.known = dict(islice(reversed(self.known.items()), kept))
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
     """The encoder of this Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = WordEncoder(path, kept)
+    return _encoders[path, kept]
