@@ -11,8 +11,10 @@ from rowloom.streaming import expiry, ingest, jobs, limits
 
 
 def stream_of(spark, d, name):
+    """A table as a stream of its files, be it one file or a folder of parts."""
     schema = table(spark, d, name).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(d)
+    # a pattern, since a stream takes a plain path for a folder
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 

@@ -1,11 +1,14 @@
 """Streams over several batches against their batch forms."""
 
+import glob
+import os
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import chunking
+from rowloom.reports import streams
 from rowloom.streaming import expiry, ingest, jobs, limits
 
 
@@ -156,3 +159,23 @@ def test_ingest_upserts_over_batches_and_restarts(spark):
     target = folder() + "/compact"
     ingest.compact(spark, index, target)
     assert ingest.read_index(spark, target).count() == 5
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder_of_parts(spark):
+    for n in (1, 3):
+        root = folder()
+        rows = spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
+        rows.repartition(n).write.parquet(f"{root}/whole")
+        if n == 1:
+            os.rename(next(glob.iglob(f"{root}/whole/part-*")), f"{root}/events.parquet")
+        else:
+            os.rename(f"{root}/whole", f"{root}/events.parquet")
+        assert sorted(r.event_id for _, r in collect(spark, streams.stream_of(spark, root, "events"), "append")) == list(range(40))
+
+
+def test_chunks_of_a_table_in_parts(spark):
+    root = folder()
+    rows = [(i, f"text {i}", "en", "s", 7) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{root}/documents.parquet")
+    got = streams.ingested_chunks(spark, root).collect()
+    assert len({r.doc_id for r in got}) == 30 and sum(r.chars for r in got) == sum(len(t) for _, t, *_ in rows)
