@@ -1,12 +1,12 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five words; its weight in a text is its count times its inverse
-document frequency. Document frequencies are exact, over all documents: a
-shingle that at least one in ``RARE`` documents holds is, in at least one slice
-of the table, as frequent, so the slices name candidates and one more pass
-counts these everywhere. All other shingles are rare and share one weight. The
-table of frequent ones has at most ``RARE`` times the mean number of shingles
-of a document as entries, whatever the size of the corpus.
+document frequency. Document frequencies are exact, for every shingle and over
+all documents. No table of them is held anywhere: documents are dealt to slices
+of bounded size, a slice sends its shingles to buckets by their hash, a bucket
+adds up what all slices hold and answers each slice, and the slice weighs its
+texts with the answers. A text takes its frequencies along to where it is
+compared.
 
 Texts with equal weights collapse to one class. Signatures are cut into bands;
 classes that share a band are candidates, and all pairs of candidates are
@@ -40,13 +40,8 @@ from rowloom.llm.keys import wide_key
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 8
-#: a shingle in fewer than one in this many documents has the full weight; so near copies of a
-#: group that is a few hundredths of the corpus are not held against each other for being many
-RARE = 16
-#: documents and shingles of a slice that names candidates for frequent shingles, whichever is reached first
-SLICE_DOCS, SLICE_SHINGLES = 1 << 12, 1 << 22
-#: candidates for frequent shingles that are sent to all tasks at most; more are joined
-SUSPECTS = 1 << 21
+#: bytes of text of a slice, and of the text whose shingles meet in a bucket, on average
+SLICE_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: classes of a bucket whose pairs are emitted; larger ones are tested block against block
 SMALL = 32
 #: classes and bytes of text of such a block, on average
@@ -78,60 +73,59 @@ def shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return h[heads], counts, np.searchsorted(doc[heads], np.arange(len(bounds)))
 
 
-def frequent_shingles(docs: DataFrame, text: str = "text", rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that at least one in ``rare`` documents holds, sorted, and their idf."""
-    src = docs.select(F.col(f"`{text}`").alias("text"))
-    total = src.count()
+def shingle_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(slice, bucket, df)``: how many documents of all slices hold each shingle of a slice, in ascending order of the hashes.
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        docs_in = shingles_in = 0
-
-        def named() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(spans.signed(h[n * rare >= docs_in]))], names=["h"])
-
-        for batch in batches:
-            for part in spans.slices(batch, "text"):
-                held.append(shingles(part.column("text"))[0])
-                docs_in += len(part)
-                shingles_in += len(held[-1])
-                if docs_in >= SLICE_DOCS or shingles_in >= SLICE_SHINGLES:
-                    yield named()
-                    held, docs_in, shingles_in = [], 0, 0
-        if docs_in:
-            yield named()
-
-    names = hand_over(src.mapInArrow(suspects, "h long").distinct(), "suspects")
-    few = names.count() <= SUSPECTS
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(names.toArrow().column("h").to_numpy().view(np.uint64)) if few else None)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in spans.slices(batch, "text"):
-                h = shingles(part.column("text"))[0]
-                if few:
-                    known = sent.value
-                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                    h = h[known[at] == h] if len(known) else h[:0]
-                h, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(spans.signed(h)), pa.array(n)], names=["h", "n"])
-
-    counts = src.mapInArrow(tally, "h long, n long")
-    counts = counts if few else counts.join(names, "h", "left_semi")
-    frequent = counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") * rare >= total)
-    got = frequent.toArrow()
-    h = got.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.log(total / got.column("n").to_numpy()[order]) + 1.0
-
-
-def weigh(h: np.ndarray, counts: np.ndarray, frequent: np.ndarray, idf: np.ndarray, rare: int = RARE) -> np.ndarray:
-    """Count times ``1 + ln(documents / documents that hold it)``, the latter ``rare`` at most."""
-    weight = np.full(len(h), np.log(rare) + 1.0)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        hit = frequent[at] == h
+    ``texts`` has ``slice`` and ``text``. A bucket is a range of hashes; ``df``
+    is an array of 32-bit numbers as bytes.
+    """
+    edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], dtype=np.uint64)
+
+    def held(group: pa.Table) -> pa.Table:
+        h = [shingles(part.column("text"))[0] for part in _parts(group)]
+        h, n = np.unique(np.concatenate(h), return_counts=True)
+        at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+        some = np.flatnonzero(np.diff(at))
+        return pa.table(
+            {
+                "slice": pa.array(np.full(len(some), group.column("slice")[0].as_py(), np.int32)),
+                "bucket": pa.array(some.astype(np.int32)),
+                "h": pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
+                "n": pa.array([n[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary()),
+            }
+        )
+
+    def counted(group: pa.Table) -> pa.Table:
+        h, n = (group.column(c).to_pylist() for c in ("h", "n"))
+        at = np.cumsum([0] + [len(x) // 8 for x in h])
+        _, place = np.unique(np.frombuffer(b"".join(h), np.uint64), return_inverse=True)
+        df = np.bincount(place, np.frombuffer(b"".join(n), np.uint32))[place].astype(np.uint32)
+        df = pa.array([df[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "df": df})
+
+    named = texts.groupBy("slice").applyInArrow(held, "slice int, bucket int, h binary, n binary")
+    return named.groupBy("bucket").applyInArrow(counted, "slice int, bucket int, df binary")
+
+
+def _parts(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in group.to_batches():
+        yield from spans.slices(batch, "text")
+
+
+def idf_table(texts: pa.Array, dfs: pa.Array, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of some texts, sorted, and their idf; ``dfs`` has the frequencies of each text's shingles."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    h = np.concatenate([np.zeros(0, np.uint64), *(shingles(part.column("text"))[0] for part in spans.slices(batch, "text"))])
+    h, first = np.unique(h, return_index=True)
+    return h, np.log(total / spans.flat(dfs)[0].view(np.uint32)[first]) + 1.0
+
+
+def weigh(h: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Count times ``1 + ln(documents / documents that hold it)``; the count alone for what is not in the table."""
+    weight = np.ones(len(h))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
         weight[hit] = idf[at[hit]]
     return weight * counts
 
@@ -171,33 +165,46 @@ def sample(h: np.ndarray, weights: np.ndarray, bounds: np.ndarray, n_samples: in
     return out
 
 
-def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text: str, doc_id: str, keep: Column | None = None) -> DataFrame:
-    """``(doc, cls, key, sig)`` of every row; ``cls`` and ``sig`` are null without words."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent)
+def signatures(docs: DataFrame, total: int, size: int, text: str, doc_id: str, keep: Column | None = None) -> DataFrame:
+    """``(doc, cls, key, sig, df)`` of every row; ``cls`` and ``sig`` are null without words.
+
+    ``total`` documents hold ``size`` bytes of text. ``df`` has, as bytes, a
+    32-bit number per shingle of the text: the documents that hold it.
+    """
+    slices, buckets = -(-size // SLICE_BYTES) or 1, -(-size // BUCKET_BYTES) or 1
     src = docs.select(
         (F.col(f"`{doc_id}`") if keep is None else keep).alias("doc"),
         wide_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"),
         F.col(f"`{text}`").alias("text"),
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = table.value
-        for batch in batches:
-            for part in spans.slices(batch, "text"):
-                h, counts, bounds = shingles(part.column("text"))
-                sig = sample(h, weigh(h, counts, known, idf), bounds)
-                full = np.diff(bounds) > 0
-                # equal multisets of shingles, equal class
-                sums = np.zeros(len(h) + 1, dtype=np.uint64)
-                np.cumsum(spans.mix(h ^ spans.mix(counts.astype(np.uint64))), out=sums[1:])
-                cls = spans.mix(sums[bounds[1:]] - sums[bounds[:-1]])
-                at = np.arange(len(full) + 1) * SAMPLES
-                lists = spans.lists(spans.signed(np.ascontiguousarray(sig).reshape(-1)), at, pa.int64())
-                cls = pa.array(spans.signed(cls), mask=~full)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), cls, part.column("key"), lists], names=["doc", "cls", "key", "sig"])
-
+    # copies of a text differ in id and go to slices of their own
+    src = src.withColumn("slice", F.pmod(F.xxhash64("key", "doc"), F.lit(slices)).cast("int"))
     kind = src.schema["doc"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc {kind}, cls long, key binary, sig array<long>")
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = [(part, *shingles(part.column("text"))) for part in _parts(left)]
+        _, place = np.unique(np.concatenate([h for _, h, _, _ in held]), return_inverse=True)
+        answers = right.take(pa.array(np.argsort(right.column("bucket").to_numpy()))).column("df").to_pylist()
+        df = np.frombuffer(b"".join(answers), np.uint32)[place]
+        out, done = [], 0
+        for part, h, counts, bounds in held:
+            own = df[done : done + len(h)]
+            done += len(h)
+            sig = sample(h, counts * (np.log(total / own) + 1.0), bounds)
+            full = np.diff(bounds) > 0
+            # equal multisets of shingles, equal class
+            sums = np.zeros(len(h) + 1, dtype=np.uint64)
+            np.cumsum(spans.mix(h ^ spans.mix(counts.astype(np.uint64))), out=sums[1:])
+            cls = spans.mix(sums[bounds[1:]] - sums[bounds[:-1]])
+            at = np.arange(len(full) + 1) * SAMPLES
+            lists = spans.lists(spans.signed(np.ascontiguousarray(sig).reshape(-1)), at, pa.int64())
+            cls = pa.array(spans.signed(cls), mask=~full)
+            dfs = pa.array([own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([part.column("doc"), cls, part.column("key"), lists, dfs], names=["doc", "cls", "key", "sig", "df"]))
+        return pa.Table.from_batches(out)
+
+    answers = shingle_counts(src, buckets).groupBy("slice")
+    return src.groupBy("slice").cogroup(answers).applyInArrow(sign, f"doc {kind}, cls long, key binary, sig array<long>, df binary")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -223,12 +230,12 @@ def candidates(sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return hand_over(pairs.distinct(), "candidate-pairs"), many if many.limit(1).count() else None
 
 
-def similarity(a: pa.Array, b: pa.Array, frequent: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def similarity(a: pa.Array, b: pa.Array, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of texts, pair by pair."""
     parts = []
     for texts in (a, b):
         h, counts, bounds = shingles(texts)
-        parts.append((spans.owner(bounds), h, weigh(h, counts, frequent, idf)))
+        parts.append((spans.owner(bounds), h, weigh(h, counts, known, idf)))
     doc, h, w = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((h, doc))
     doc, h, w = doc[order], h[order], w[order]
@@ -238,7 +245,7 @@ def similarity(a: pa.Array, b: pa.Array, frequent: np.ndarray, idf: np.ndarray)
     return both / np.maximum(total - both, 1e-12)
 
 
-def _weighted(texts: pa.Array, frequent: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _weighted(texts: pa.Array, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names of a text's shingles, the k-th copy of one named apart, with text and weight of one copy; total weights."""
     docs, names, weights, done = [], [], [], 0
     for part in spans.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
@@ -247,20 +254,20 @@ def _weighted(texts: pa.Array, frequent: np.ndarray, idf: np.ndarray) -> tuple[n
         copy = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         docs.append(done + spans.owner(bounds)[at])
         names.append(np.where(copy == 0, h[at], spans.mix(h[at] ^ spans.mix(copy.astype(np.uint64)))))
-        weights.append(weigh(h, np.ones(len(h)), frequent, idf)[at])
+        weights.append(weigh(h, np.ones(len(h)), known, idf)[at])
         done += len(part)
     doc, name, w = np.concatenate(docs), np.concatenate(names), np.concatenate(weights)
     return doc, name, w, np.bincount(doc, w, len(texts))
 
 
-def all_similarities(a: pa.Array, b: pa.Array, frequent: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def all_similarities(a: pa.Array, b: pa.Array, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of every text of ``a`` (row) to every text of ``b`` (column).
 
     The smaller of two counts is the number of copies both hold, so shared
     weight is a product of matrices over the names that occur on both sides.
     """
-    doc_a, name_a, w, total_a = _weighted(a, frequent, idf)
-    doc_b, name_b, _, total_b = _weighted(b, frequent, idf)
+    doc_a, name_a, w, total_a = _weighted(a, known, idf)
+    doc_b, name_b, _, total_b = _weighted(b, known, idf)
     shared = np.intersect1d(name_a, name_b)
     both = np.zeros((len(a), len(b)))
 
@@ -285,36 +292,38 @@ def all_similarities(a: pa.Array, b: pa.Array, frequent: np.ndarray, idf: np.nda
 
 
 def _texts(needed: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``(cls, text)`` of the classes ``needed``; copies of a text are dropped on the map side already."""
+    """``(cls, text, df)`` of the classes ``needed``; copies of a text are dropped on the map side already."""
     needed = needed.distinct().join(classes.select("cls", "key"), "cls")
     src = docs.select(wide_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"), F.col(f"`{text}`").alias("text"))
-    return hand_over(src.join(needed, "key").groupBy("cls").agg(F.first("text").alias("text")), "candidate-texts")
+    once = src.join(needed, "key").groupBy("cls").agg(F.first("text").alias("text"))
+    return hand_over(once.join(classes.select("cls", "df"), "cls"), "candidate-texts")
 
 
-def _similarities(pairs: DataFrame, texts: DataFrame, frequent) -> DataFrame:
+def _similarities(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     """``(a, b, similarity)`` of pairs, by their whole texts; computed once and handed over."""
-    table = pairs.sparkSession.sparkContext.broadcast(frequent)
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"), F.col("df").alias(f"df_{c}")), c)
+    both = both.select("a", "b", "text_a", "text_b", "df_a", "df_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = table.value
         for batch in batches:
             for part in spans.slices(batch, "text_a"):
                 for small in spans.slices(part, "text_b"):
-                    s = similarity(small.column("text_a"), small.column("text_b"), known, idf)
+                    text_a, text_b, df_a, df_b = (small.column(c) for c in ("text_a", "text_b", "df_a", "df_b"))
+                    known = idf_table(pa.concat_arrays([text_a, text_b]), pa.concat_arrays([df_a, df_b]), total)
+                    s = similarity(text_a, text_b, *known)
                     yield pa.RecordBatch.from_arrays([small.column("a"), small.column("b"), pa.array(s)], names=["a", "b", "similarity"])
 
     return hand_over(both.mapInArrow(run, "a long, b long, similarity double"), "similarities")
 
 
-def _block_links(many: DataFrame, sigs: DataFrame, texts: DataFrame, frequent, threshold: float) -> DataFrame:
+def _block_links(many: DataFrame, sigs: DataFrame, texts: DataFrame, total: int, threshold: float) -> DataFrame:
     """``(cls, root, n)`` per two blocks of a large bucket: links of a class there, and a class it is connected with.
 
     A pair counts in the first large bucket that holds it, and not at all if a
     small one does.
     """
-    table = many.sparkSession.sparkContext.broadcast(frequent)
     members = many.join(texts.select("cls", F.octet_length("text").alias("bytes")), "cls")
     blocks = members.groupBy("band", "h").agg(F.ceil(F.count(F.lit(1)) / BLOCK + F.sum("bytes") / BLOCK_BYTES).cast("long").alias("k"))
     dealt = hand_over(many.join(blocks, ["band", "h"]), "large-buckets")
@@ -323,7 +332,7 @@ def _block_links(many: DataFrame, sigs: DataFrame, texts: DataFrame, frequent, t
     met = met.select("band", "h", "cls", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     where = many.groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1, band)")).alias("large"))
     known = sigs.select("cls", F.array(*_band_hashes()).alias("hashes")).join(where, "cls").join(texts, "cls")
-    met = met.join(known, "cls").select("band", "h", "lo", "hi", "block", "cls", "hashes", "large", "text")
+    met = met.join(known, "cls").select("band", "h", "lo", "hi", "block", "cls", "hashes", "large", "text", "df")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -340,8 +349,8 @@ def _block_links(many: DataFrame, sigs: DataFrame, texts: DataFrame, frequent, t
         rows, cols, open_ = rows[some], cols[any_], open_[some][:, any_]
         linked = np.zeros((len(cls), len(cls)), dtype=bool)
         if len(rows):
-            texts = pa.concat_arrays(group.column("text").chunks)
-            alike = all_similarities(texts.take(pa.array(rows)), texts.take(pa.array(cols)), *table.value)
+            texts, dfs = (pa.concat_arrays(group.column(c).chunks) for c in ("text", "df"))
+            alike = all_similarities(texts.take(pa.array(rows)), texts.take(pa.array(cols)), *idf_table(texts, dfs, total))
             linked[np.ix_(rows, cols)] = open_ & (alike >= threshold - 1e-9)
         linked |= linked.T
         n, root = linked.sum(axis=1), np.arange(len(cls))
@@ -357,7 +366,7 @@ def _block_links(many: DataFrame, sigs: DataFrame, texts: DataFrame, frequent, t
     return hand_over(met.groupBy("band", "h", "lo", "hi").applyInArrow(run, "cls long, root long, n long"), "block-links")
 
 
-def verified(sigs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, frequent, threshold: float) -> tuple[DataFrame, DataFrame]:
+def verified(sigs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, total: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Edges ``(a, b)`` that connect what candidates with a similarity of ``threshold`` connect, and ``(cls, n_links)``.
 
     The edges are the links themselves where buckets are small, and a forest
@@ -366,10 +375,10 @@ def verified(sigs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, fr
     pairs, many = candidates(sigs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     texts = _texts(needed if many is None else needed.union(many.select("cls")), classes, docs, text)
-    links = _similarities(pairs, texts, frequent).filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+    links = _similarities(pairs, texts, total).filter(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("n"))
     if many is not None:
-        found = _block_links(many, sigs, texts, frequent, threshold)
+        found = _block_links(many, sigs, texts, total, threshold)
         links = hand_over(links.union(found.filter("cls != root").select(*_ordered("cls", "root"))).distinct(), "links")
         degree = degree.union(found.select("cls", "n"))
     discard(texts, pairs)
@@ -378,11 +387,11 @@ def verified(sigs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, fr
 
 def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, keep: Column | None):
     """The rows with their ``cls``, the links of every class, and the root class of every class with a link."""
-    frequent = frequent_shingles(docs, text)
-    signed = hand_over(signatures(docs, frequent, text, doc_id, keep), "signatures")
-    classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.min("key").alias("key"))
+    total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()
+    signed = hand_over(signatures(docs, total, size, text, doc_id, keep), "signatures")
+    classes = signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.min("key").alias("key"), F.first("df").alias("df"))
     classes = hand_over(classes, "classes")
-    links, degree = verified(classes.select("cls", "sig"), classes, docs, text, frequent, threshold)
+    links, degree = verified(classes.select("cls", "sig"), classes, docs, text, total, threshold)
     return signed, degree, components(links)
 
 

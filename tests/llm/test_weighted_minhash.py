@@ -20,7 +20,7 @@ def brute(pairs_of, threshold=0.8):
     """Class id by id, links by id; ids are unique."""
     sets = {i: shingle_counts(t) for i, t in pairs_of}
     df = collections.Counter(s for c in sets.values() for s in c)
-    weight = {i: {s: n * (1 + math.log(min(len(sets) / df[s], wm.RARE))) for s, n in c.items()} for i, c in sets.items()}
+    weight = {i: {s: n * (1 + math.log(len(sets) / df[s])) for s, n in c.items()} for i, c in sets.items()}
     first = {}
     for i in sorted(sets):
         if sets[i]:
@@ -89,7 +89,8 @@ def test_clusters_and_chains_of_one_large_bucket(spark, monkeypatch, block):
     texts += [" ".join(f"d{i}x{j}" for j in range(30)) for i in range(12)] + ["five words five words five words five words"]
     got = wm.near_duplicates(frame(spark, texts))
     want, links = brute(list(enumerate(texts, 1)))
-    assert len(set(want.values())) == 16 and max(links[i] for i in range(86, 136)) == 2
+    # the two ends of the chain stand alone: what only they hold weighs most
+    assert len(set(want.values())) == 18 and max(links[i] for i in range(86, 136)) == 2
     assert rows(got, "doc_id", "class_id", "n_links") == sorted(((i, c, links[i]) for i, c in want.items()), key=repr)
 
 
@@ -128,15 +129,34 @@ def test_samples_collide_as_often_as_weights_agree():
     assert abs((both[0] == both[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / n)
 
 
-def test_frequent_shingles_are_counted_over_all_documents(spark, data):
-    docs = documents(spark, data)
-    h, idf = wm.frequent_shingles(docs, rare=20)
-    total = docs.count()
-    held = collections.Counter()
-    for r in docs.select("text").collect():
-        held.update(wm.shingles(pa.array([r.text]))[0].tolist())
-    want = {k: math.log(total / n) + 1 for k, n in held.items() if n * 20 >= total}
-    assert dict(zip(h.tolist(), np.round(idf, 9))) == {k: round(v, 9) for k, v in want.items()}
+def test_every_shingle_is_counted_over_all_documents(spark, data, monkeypatch):
+    monkeypatch.setattr(wm, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(wm, "BUCKET_BYTES", 50_000)
+    docs = documents(spark, data).select("doc_id", "text").union(frame(spark, ["", None, "two words", "two words"]).select("doc_id", "text"))
+    held, texts = collections.Counter(), collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(wm.shingles(pa.array([r.text], pa.string()))[0].tolist())
+        held.update(texts[r.doc_id][-1])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    got = wm.signatures(docs, docs.count(), size, "text", "doc_id").select(F.col("doc").alias("doc_id"), "df").collect()
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.doc_id].append(np.frombuffer(r.df, np.uint32).tolist())
+    assert {i: sorted(x) for i, x in found.items()} == {i: sorted([held[h] for h in x] for x in xs) for i, xs in texts.items()}
+    assert len(set(held.values())) > 2
+
+
+def test_rare_passages_weigh_more_than_common_ones(spark):
+    """Two texts share two thirds of their shingles; whether these are common or their own decides."""
+    banner = " ".join(f"common{j}" for j in range(204))
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    others = [f"{banner} {own(i, 3)}" for i in range(40)]
+    pair = [f"{banner} {own('a', 18)}", f"{banner} {own('b', 18)}"]
+    texts = others + pair
+    got = wm.near_duplicates(frame(spark, texts))
+    want, _ = brute(list(enumerate(texts, 1)))
+    assert {i: c for i, c in rows(got, "doc_id", "class_id")} == want
+    assert want[41] == 41 and want[42] == 42
 
 
 def test_components(spark):
