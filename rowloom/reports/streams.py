@@ -129,21 +129,22 @@ FROM f, range(0, 1000) r(i) WHERE i * 1000 < greatest(length(text), 1)
 def ingested_files(spark, d):
     """All documents as files, a third of them changed in a second delivery and all delivered once more: chunks of the present versions, and when each was made."""
     docs = table(spark, d, "documents")
-    root, index = scratch_path(spark, "deliveries"), scratch_path(spark, "file-index")
-    for n in range(3):
-        changed = (F.col("doc_id") % 3 == 0) & F.lit(n > 0)
-        files = docs.select(
-            F.col("lang").alias("group"), F.col("doc_id").cast("string").alias("filename"), F.when(changed, "2").otherwise("1").alias("file_sig"), F.lit(n).alias("seq"),
-            F.when(changed, F.concat(F.lit("again "), "text")).otherwise(F.col("text")).alias("text"),
-        )
-        files.coalesce(1).write.mode("append").parquet(root)
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    root, index, state = (scratch_path(spark, n) for n in ("deliveries", "file-index", "file-state"))
 
     def to_chunks(batch):
         last = F.greatest(F.floor((F.length("text") - 1) / 1000), F.lit(0)).cast("int")
         cut = batch.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
         return cut.select("group", "filename", "file_sig", "chunk_index", F.substring("text", F.col("chunk_index") * 1000 + 1, F.lit(1000)).alias("text"))
 
-    ingest.ingest_files(stream, to_chunks, index, scratch_path(spark, "file-state"), step=8).awaitTermination()
+    # a delivery is a folder of files of its own; each run takes up all that is new since the one before, as one batch
+    for n in range(3):
+        changed = (F.col("doc_id") % 3 == 0) & F.lit(n > 0)
+        files = docs.select(
+            F.col("lang").alias("group"), F.col("doc_id").cast("string").alias("filename"), F.when(changed, "2").otherwise("1").alias("file_sig"), F.lit(n).alias("seq"),
+            F.when(changed, F.concat(F.lit("again "), "text")).otherwise(F.col("text")).alias("text"),
+        )
+        files.write.mode("append").parquet(root)
+        stream = spark.readStream.schema(files.schema).parquet(root)
+        ingest.ingest_files(stream, to_chunks, index, state, step=8).awaitTermination()
     since = ingest.file_state(spark, index).select("group", "filename", "since")
     return ingest.read_files(spark, index).join(since, ["group", "filename"]).select("filename", "chunk_index", F.sha2("text", 256).alias("digest"), "since")

@@ -179,3 +179,16 @@ def test_chunks_of_a_table_in_parts(spark):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{root}/documents.parquet")
     got = streams.ingested_chunks(spark, root).collect()
     assert len({r.doc_id for r in got}) == 30 and sum(r.chars for r in got) == sum(len(t) for _, t, *_ in rows)
+
+
+def test_a_delivery_is_one_batch_of_many_files(spark, monkeypatch):
+    root, made = folder(), []
+    rows = [(i, "x" * (900 * (i % 4)), "en", "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{root}/documents.parquet")
+    real = streams.scratch_path
+    monkeypatch.setattr(streams, "scratch_path", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(streams, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").repartition(4))
+    got = streams.ingested_files(spark, root).collect()
+    assert len(glob.glob(f"{made[0]}/part-*")) == 12
+    texts = {i: "again " + t if i % 3 == 0 else t for i, t, *_ in rows}
+    assert sorted((r.filename, r.chunk_index, r.since) for r in got) == sorted((str(i), k, int(i % 3 == 0)) for i, t in texts.items() for k in range(max(1, -(-len(t) // 1000))))
