@@ -22,7 +22,7 @@ ENTRY_SCHEMA = (
     "archive string, entry_no long, path string, filename string, zip_chain array<string>, "
     "size long, compressed_size long, content binary, error string"
 )
-BATCH_BYTES = 32 << 20
+BATCH_BYTES, BATCH_ROWS = 32 << 20, 4096  # what is gathered before it is handed on, whichever is reached first
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = ".xml", content: bool = True) -> DataFrame:
@@ -95,6 +95,13 @@ def expand_archives(
     an entry beyond ``max_depth`` or ``max_ratio``. ``max_bytes`` stops an
     archive at the entry that passes the budget. No limit holds unless given.
     """
+    expand = _expander(path, content, suffixes, max_depth, max_ratio, max_bytes)
+    return df.select(path, content).mapInPandas(expand, ENTRY_SCHEMA)
+
+
+def _expander(path: str, content: str, suffixes: tuple[str, ...], max_depth: int | None, max_ratio: float | None, max_bytes: int | None):
+    cols = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         held = 0
@@ -113,7 +120,7 @@ def expand_archives(
                             (name, at, entry, posixpath.basename(entry), chain, info.file_size, info.compress_size, data, error)
                         )
                         held += len(data or b"")
-                        if held > BATCH_BYTES:
+                        if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                             yield pd.DataFrame(rows, columns=cols)
                             rows, held = [], 0
                 except (zipfile.BadZipFile, RuntimeError, EOFError) as e:
@@ -121,8 +128,9 @@ def expand_archives(
         if rows:
             yield pd.DataFrame(rows, columns=cols)
 
-    cols = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
-    return df.select(path, content).mapInPandas(expand, ENTRY_SCHEMA)
+    return expand
+
+
 
 
 LISTED = (
@@ -138,6 +146,30 @@ def _packed(blob: bytes, info: zipfile.ZipInfo) -> bytes:
     return blob[start : start + info.compress_size]
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries as ``LISTED`` with their data unpacked; one that fails loses it and says why."""
+    for batch in batches:
+        method, crc, kind = (batch.column(c).to_pylist() for c in ("method", "crc", "kind"))
+        data, error, start, held = [], [], 0, 0
+        for i in range(len(batch)):
+            blob, why = batch.column("data")[i].as_py(), None
+            try:
+                blob = blob if method[i] == zipfile.ZIP_STORED else zlib.decompress(blob, -15)
+                why = None if zlib.crc32(blob) == crc[i] else "its checksum does not agree"
+            except zlib.error as e:
+                why = str(e)
+            kind[i] = "error" if why else kind[i]
+            data.append(None if why else blob)
+            error.append(why)
+            held += len(blob)
+            if held > BATCH_BYTES or i + 1 == len(batch):
+                new = {"kind": kind[start : i + 1], "data": data, "error": error}
+                done = batch.slice(start, i + 1 - start)
+                arrays = [pa.array(new[f.name], f.type) if f.name in new else done.column(f.name) for f in batch.schema]
+                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+                data, error, start, held = [], [], i + 1, 0
+
+
 def spread_archives(
     df: DataFrame, path: str = "path", content: str = "content", suffixes: tuple[str, ...] = (".xml", ".csv"),
     max_depth: int | None = None, max_ratio: float | None = None,
@@ -146,7 +178,8 @@ def spread_archives(
 
     One task reads an archive's directory and passes its entries on as they are
     packed; they are dealt to all tasks and unpacked there, so that no task
-    holds more than one archive packed or one entry unpacked. Archives among the
+    holds more than one archive packed, or one entry unpacked beyond
+    ``BATCH_BYTES``. Archives among the
     entries take the next round, all of one depth together. An entry that
     cannot be unpacked gives a row with ``error``.
     """
@@ -192,19 +225,6 @@ def spread_archives(
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kinds)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):  # one entry unpacked at a time
-                row = batch.slice(i, 1).to_pylist()[0]
-                try:
-                    data = row["data"] if row["method"] == zipfile.ZIP_STORED else zlib.decompress(row["data"], -15)
-                    row["data"], row["error"] = data, None if zlib.crc32(data) == row["crc"] else "its checksum does not agree"
-                except zlib.error as e:
-                    row["error"] = str(e)
-                if row["error"]:
-                    row["kind"], row["data"] = "error", None
-                yield pa.RecordBatch.from_pylist([row], schema=kinds)
-
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(spark.createDataFrame([], LISTED).schema)
@@ -218,7 +238,7 @@ def spread_archives(
         entries = pin(level.mapInArrow(listed, LISTED))
         packed = entries.filter(F.col("kind").isin("file", "zip"))
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        opened = pin(packed.repartition(tasks, "archive", "place").mapInArrow(unpack, LISTED))
+        opened = pin(packed.repartition(tasks, "archive", "place").mapInArrow(_unpack, LISTED))
         done = entries.filter(F.col("kind").isin("other", "error")).unionByName(opened.filter("kind <> 'zip'"))
         found = done if found is None else found.unionByName(done)
         nested = opened.filter("kind = 'zip'")

@@ -6,7 +6,10 @@ import os
 import random
 import tempfile
 import zipfile
+import zlib
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowloom.functions import naming
@@ -184,3 +187,30 @@ def test_group_rules(spark):
     ]
     df = spark.createDataFrame(cases, "p string, f string, g string")
     assert df.filter(naming.infer_group(F.col("p"), F.col("f")) != F.col("g")).count() == 0
+
+
+def test_small_entries_are_handed_on_by_their_number(monkeypatch):
+    monkeypatch.setattr(archives, "BATCH_ROWS", 10)
+    expand = archives._expander("path", "content", (".xml",), None, None, None)
+    blob = zipped({f"{i}.xml": "x" for i in range(7)})
+    made = list(expand(iter([pd.DataFrame({"path": [f"{i}.zip" for i in range(9)], "content": [blob] * 9})])))
+    assert [len(x) for x in made] == [10] * 6 + [3]
+
+
+def test_small_entries_are_unpacked_together(spark, monkeypatch):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(spark.createDataFrame([], archives.LISTED).schema)
+    packed = lambda i: zlib.compress(b"x" * i)[2:-4]
+    rows = [
+        dict(archive="a", depth=1, place=[i], path=f"{i}.xml", chain=["a"], kind="file", size=i, compressed_size=1, method=8, crc=zlib.crc32(b"x" * (i + (i == 5))), data=packed(i), error=None)
+        for i in range(50)
+    ]
+    rows[7]["data"] = b"no stream"
+    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
+    (out,) = archives._unpack(iter([batch]))
+    got = out.to_pylist()
+    assert [r["kind"] for r in got] == ["error" if i in (5, 7) else "file" for i in range(50)]
+    assert all(r["data"] == (None if i in (5, 7) else b"x" * i) for i, r in enumerate(got)) and got[5]["error"] and got[7]["error"]
+    monkeypatch.setattr(archives, "BATCH_BYTES", 100)
+    assert sum((b.to_pylist() for b in archives._unpack(iter([batch]))), []) == got
