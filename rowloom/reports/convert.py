@@ -20,14 +20,15 @@ ORDER_DOC = """concat('<batch id="', cast(o_custkey as string), '"><order key="'
  cast(cast(o_totalprice as decimal(18,2)) as string), '</total><empty/></order><order key="-', cast(o_orderkey as string),
  '"><status>x</status></order></batch>')"""
 LIST_DOC = """concat('<list>', repeat('<item><v>1</v></item>', cast(4 + o_custkey % 5 as int)), repeat('<row/>', cast(4 + o_orderkey % 7 as int)), '</list>')"""
+TASK_ROWS = 50_000  # documents or archives of a task
 
 
 def order_docs(spark, d):
-    return spread(table(spark, d, "orders")).select("o_orderkey", F.expr(ORDER_DOC).alias("content"))
+    return spread(table(spark, d, "orders"), TASK_ROWS).select("o_orderkey", F.expr(ORDER_DOC).alias("content"))
 
 
 def list_docs(spark, d):
-    return spread(table(spark, d, "orders")).select("o_orderkey", F.expr(LIST_DOC).alias("content"))
+    return spread(table(spark, d, "orders"), TASK_ROWS).select("o_orderkey", F.expr(LIST_DOC).alias("content"))
 
 
 @report("""
@@ -199,7 +200,7 @@ def packed_customers(spark, d):
     name = F.when(F.col("c_nationkey") % 5 == 0, F.lit("All_20260113_055727.zip")).otherwise(
         F.concat("c_mktsegment", F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".zip"))
     )
-    src = spread(table(spark, d, "customer")).select(
+    src = spread(table(spark, d, "customer"), TASK_ROWS).select(
         F.concat(F.col("c_custkey").cast("string"), F.lit("/"), name).alias("path"), F.col("c_name").alias("name")
     )
     return src.mapInPandas(_pack, "path string, content binary")

@@ -69,54 +69,50 @@ class Nodes:
         return out
 
 
-class _Reader(ET.TreeBuilder):
-    """Builds the tree and, along with it, its columns. Comments are nodes of the tree but not of the columns."""
-
-    def __init__(self):
-        super().__init__(insert_comments=True, insert_pis=True)
-        self.nodes, self.path = Nodes(), [-1]
-
-    def start(self, tag, attrs):
-        n, element = self.nodes, super().start(tag, attrs)
-        at = len(n.tags)
-        n.tags.append(_local(tag))
-        n.parents.append(self.path[-1])
-        n.elements.append(element)
-        n.opened.append(len(n.events))
-        n.closed.append(-1)
-        n.stops.append(-1)
-        n.events.append(at)
-        self.path.append(at)
-        return element
-
-    def end(self, tag):
-        at = self.path.pop()
-        self.nodes.closed[at] = len(self.nodes.events)
-        self.nodes.stops[at] = len(self.nodes.tags)
-        self.nodes.events.append(~at)
-        return super().end(tag)
-
-    def comment(self, text):
-        made = super().comment(text)
-        self.nodes.events.append(made)
-        return made
-
-    def pi(self, target, text=None):
-        made = super().pi(target, text)
-        self.nodes.events.append(made)
-        return made
+def _columns(root: ET.Element) -> Nodes:
+    """The columns of a tree. Comments are nodes of the tree but not of the columns."""
+    n = Nodes()
+    path, todo = [-1], [iter((root,))]
+    while todo:
+        for element in todo[-1]:
+            if not isinstance(element.tag, str):
+                n.events.append(element)
+                continue
+            at = len(n.tags)
+            n.tags.append(_local(element.tag))
+            n.parents.append(path[-1])
+            n.elements.append(element)
+            n.opened.append(len(n.events))
+            n.events.append(at)
+            if len(element):
+                n.closed.append(-1)
+                n.stops.append(-1)
+                path.append(at)
+                todo.append(iter(element))
+                break
+            n.closed.append(len(n.events))
+            n.stops.append(at + 1)
+            n.events.append(~at)
+        else:
+            todo.pop()
+            at = path.pop()
+            if at >= 0:
+                n.closed[at] = len(n.events)
+                n.stops[at] = len(n.tags)
+                n.events.append(~at)
+    return n
 
 
 def _parse(content) -> Nodes | None:
     """The document's elements; None for what is no well-formed XML."""
     if content is None:
         return None
-    reader = _Reader()
+    reader = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True))
     try:
-        ET.fromstring(content if isinstance(content, str) else bytes(content), ET.XMLParser(target=reader))
+        root = ET.fromstring(content if isinstance(content, str) else bytes(content), reader)
     except (ET.ParseError, ValueError, LookupError):
         return None
-    return reader.nodes
+    return _columns(root)
 
 
 def _choose(doc: Nodes, tag: str | None, auto: bool) -> tuple[str, list[int]]:
@@ -139,7 +135,10 @@ def _fields(doc: Nodes, record: int, sep: str, include_root: bool, max_len: int
     the number is how many of them are still to come, itself included.
     """
     own = doc.inside(record)
-    left = Counter((doc.parents[i], doc.tags[i]) for i in own)
+    left: dict[tuple[int, str], int] = {}
+    for i in own:
+        kin = doc.parents[i], doc.tags[i]
+        left[kin] = left.get(kin, 0) + 1
     paths = {record: doc.tags[record] if include_root else ""}
     out: dict[str, str] = {}
     for i in own:
@@ -147,15 +146,15 @@ def _fields(doc: Nodes, record: int, sep: str, include_root: bool, max_len: int
             kin = doc.parents[i], doc.tags[i]
             number = f"[{left[kin]}]" if left[kin] > 1 else ""
             left[kin] -= 1
-            paths[i] = sep.join(filter(None, (paths[kin[0]], kin[1]))) + number
+            above = paths[kin[0]]
+            paths[i] = (above + sep + kin[1] if above else kin[1]) + number
         path, element = paths[i], doc.elements[i]
         if not path:
             continue
-        pairs = [(f"{path}@{name}", value) for name, value in element.attrib.items()]
+        for name, value in element.items():
+            out.setdefault(f"{path}@{name}", value[:max_len])
         if not len(element):
-            pairs.append((path, (element.text or "").strip()))
-        for name, value in pairs:
-            out.setdefault(name, value[:max_len])
+            out.setdefault(path, (element.text or "").strip()[:max_len])
     return out
 
 
@@ -257,25 +256,30 @@ def elements(df: DataFrame, keys: list[str], content: str = "content") -> DataFr
     kept = df.select(*keys, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
 
-    def walk(doc: Nodes) -> Iterator[tuple[int, str]]:
-        depths = {-1: 0}
-        for i, tag in enumerate(doc.tags):
-            depths[i] = depths[doc.parents[i]] + 1
-            yield depths[i], tag
+    def made(batch: pa.RecordBatch, src: list, seq: list, depth: list, tags: list) -> pa.RecordBatch:
+        take = pa.array(src, pa.int64())
+        arrays = [batch.column(k).take(take) for k in keys] + [pa.array(seq, pa.int64()), pa.array(depth, pa.int32()), pa.array(tags, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, "seq", "depth", "tag"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for *key, doc in pdf[[*keys, content]].itertuples(index=False, name=None):
-                tree = _parse(doc)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, seq, depth, tags = [], [], [], []
+            for at, doc in enumerate(batch.column(content)):
+                tree = _parse(doc.as_py())
                 if tree is not None:
-                    rows.extend((*key, n, depth, tag) for n, (depth, tag) in enumerate(walk(tree)))
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=[*keys, "seq", "depth", "tag"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=[*keys, "seq", "depth", "tag"])
-
-    return kept.mapInPandas(run, f"{schema}, seq long, depth int, tag string")
+                    n, depths = len(tree.tags), []
+                    for parent in tree.parents:
+                        depths.append(depths[parent] + 1 if parent >= 0 else 1)
+                    src.extend([at] * n)
+                    seq.extend(range(n))
+                    depth.extend(depths)
+                    tags.extend(tree.tags)
+                if len(seq) >= 50_000:
+                    yield made(batch, src, seq, depth, tags)
+                    src, seq, depth, tags = [], [], [], []
+            yield made(batch, src, seq, depth, tags)
+
+    return kept.mapInArrow(run, f"{schema}, seq long, depth int, tag string")
 
 
 def tag_counts(elems: DataFrame, keys: list[str]) -> DataFrame:

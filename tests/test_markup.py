@@ -3,6 +3,7 @@
 import random
 import tempfile
 
+from rowloom.reports import convert
 from rowloom.sources import markup
 
 
@@ -121,3 +122,11 @@ def test_large_documents_are_read_in_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want and len(want) > 200
+
+
+def test_tasks_of_documents_hold_a_bounded_number(spark, monkeypatch):
+    root = tempfile.mkdtemp()
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "'F' AS o_orderstatus", "1.5D AS o_totalprice", "'1-URGENT' AS o_orderpriority").write.parquet(f"{root}/orders.parquet")
+    monkeypatch.setattr(convert, "TASK_ROWS", 100)
+    assert convert.order_docs(spark, root).rdd.getNumPartitions() == convert.list_docs(spark, root).rdd.getNumPartitions() == 30
+    assert convert.wide_records(spark, root).count() == 6000
