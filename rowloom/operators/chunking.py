@@ -186,7 +186,8 @@ def _with_entries(placed, tables, many, target, overlap, cap, block_rows) -> Dat
             }
         )
 
-    sizes = rows.join(many.select(*key), key, "left_semi").select(
+    # no join by table here: it would deal a whole table to one task, and the grouping by block would leave it there
+    sizes = rows.filter("last_block > 0").select(
         *key, "block", "row_no", "first_row", (F.length("line") + 1).alias("size"), (F.length("head") + 1).alias("base")
     )
     schema = "filename string, group string, node long, entry long, exit long"

@@ -86,3 +86,24 @@ def test_columns_and_cells_are_whole(spark):
     assert body == " | ".join([f"v{i}" for i in range(129)] + ["z" * 5000]) and max(map(len, texts)) <= 3500
     (doc,) = chunking.summary_docs(wide, header).collect()
     assert "c129:1" in doc.text and "z" * 5000 in doc.text
+
+
+def test_blocks_of_one_table_are_not_dealt_by_table(spark, monkeypatch):
+    lines = spark.range(1, 1201).select(
+        F.lit("t.csv").alias("filename"), F.lit("G").alias("group"), F.col("id").alias("row_no"),
+        F.concat(F.lit("line "), F.col("id")).alias("line"), F.array(F.lit("c")).alias("header"),
+    )
+    plans = []
+    pin = chunking.pin
+    monkeypatch.setattr(chunking, "pin", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were many
+    try:
+        assert chunking.chunk_lines(lines, 250, 60, 320, block_rows=320).count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    grouped = [p for p in plans if "exits(" in p or "emit(" in p]
+    assert len(grouped) == 2
+    for plan in grouped:
+        dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
+        # the shuffle that the blocks meet in, which is the one nearest to the grouping
+        assert dealt and "block#" in dealt[0]
