@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ SMALL_TERMS = 500_000  # term rows per bucket
 TERM_CHARS = 4  # characters a term row stands for at least
 BAND_ROWS = 2_000_000  # candidate rows of a bucket in a band
 ID_BLOCK = 100_000
+PAIR_ROWS = 512  # pairs of vectors multiplied at once
 
 
 def fingerprint(content: Column) -> Column:
@@ -54,9 +59,9 @@ def table_fingerprint(rows: DataFrame, key: str, row_idx: str, row_text: Column,
 
 
 def term_counts(df: DataFrame, key: str, content: str) -> DataFrame:
-    """Sparse term vectors in long form ``(key, term, tf)``."""
+    """Sparse term vectors in long form ``(key, term, tf)``; texts are dealt by key, so that their terms stay where they are."""
     return (
-        df.select(key, F.explode(text.tokens(F.col(content))).alias("term"))
+        df.select(key, content).repartition(key).select(key, F.explode(text.tokens(F.col(content))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -67,24 +72,40 @@ def vector_norms(terms: DataFrame, key: str) -> DataFrame:
 
 
 def cosine(terms: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Cosine of given pairs ``(id_a, id_b)`` over a term table; 0 without a common term."""
-    norms = vector_norms(terms, key)
-    dots = (
-        pairs.join(terms.select(F.col(key).alias("id_a"), "term", F.col("tf").alias("tf_a")), "id_a")
-        .join(terms.select(F.col(key).alias("id_b"), "term", F.col("tf").alias("tf_b")), ["id_b", "term"])
-        .groupBy("id_a", "id_b")
-        .agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
-    )
-    na = norms.select(F.col(key).alias("id_a"), F.col("norm").alias("norm_a"))
-    nb = norms.select(F.col(key).alias("id_b"), F.col("norm").alias("norm_b"))
-    return (
-        pairs.join(dots, ["id_a", "id_b"], "left")
-        .join(na, "id_a", "left")
-        .join(nb, "id_b", "left")
-        .select(
-            "id_a", "id_b", F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)).alias("similarity")
-        )
-    )
+    """Cosine of given pairs ``(id_a, id_b)`` over a term table; 0 without a common term.
+
+    The vector of a document travels as one row, its terms do not. A pair that
+    is given n times counts n times in its product, and comes back n times.
+    """
+    vectors = pin(terms.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")))
+    both = pairs.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"))
+    for s in ("a", "b"):
+        both = both.join(vectors.select(F.col(key).alias(f"id_{s}"), F.col("terms").alias(f"terms_{s}"), F.col("tfs").alias(f"tfs_{s}")), f"id_{s}", "left")
+    ids = [f"{c} {t}" for c, t in both.select("id_a", "id_b").dtypes]
+    dots = both.mapInArrow(_dots, ", ".join([*ids, "n long, dot long, square_a long, square_b long"]))
+    similarity = F.try_divide(F.col("n") * F.col("dot"), F.sqrt("square_a") * F.sqrt("square_b"))
+    return dots.select("id_a", "id_b", F.coalesce(similarity, F.lit(0.0)).alias("similarity"), F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product of the two vectors of every row, and of either with itself."""
+    for batch in batches:
+        for at in range(0, len(batch), PAIR_ROWS):
+            part = batch.slice(at, PAIR_ROWS)
+            owner, tf, terms = {}, {}, {}
+            for s in ("a", "b"):
+                n = pc.fill_null(pc.list_value_length(part.column(f"terms_{s}")), 0).to_numpy(zero_copy_only=False)
+                owner[s] = np.repeat(np.arange(len(part)), n)
+                tf[s], terms[s] = part.column(f"tfs_{s}").flatten().to_numpy(), part.column(f"terms_{s}").flatten()
+            codes = pa.concat_arrays([terms["a"], terms["b"]]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            names = np.concatenate([owner["a"], owner["b"]]) * (len(codes) + 1) + codes
+            _, in_a, in_b = np.intersect1d(names[: len(owner["a"])], names[len(owner["a"]) :], assume_unique=True, return_indices=True)
+            dot, square_a, square_b = np.zeros((3, len(part)), dtype=np.int64)
+            np.add.at(dot, owner["a"][in_a], tf["a"][in_a] * tf["b"][in_b])
+            np.add.at(square_a, owner["a"], tf["a"] * tf["a"])
+            np.add.at(square_b, owner["b"], tf["b"] * tf["b"])
+            columns = [part.column(c) for c in ("id_a", "id_b", "n")] + [pa.array(x) for x in (dot, square_a, square_b)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "n", "dot", "square_a", "square_b"])
 
 
 def artifacts(df: DataFrame, artifact_id: str, path: Column, content: str, group: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from rowloom.functions import text
 from rowloom.operators import align, diff, drilldown
 from rowloom.plans.ranking import number_rows
 from rowloom.reports.registry import report, table, texts
-from rowloom.session import pin
+from rowloom.session import dealt, pin
 from rowloom.sources import tables
 
 COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -423,7 +423,8 @@ def unmatched_keys(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
     b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
     extra = table(spark, d, "part").select((F.col("p_partkey") + 100_000_000).alias("key"))
-    return align.unmatched(a, b.unionByName(extra).distinct(), "key")
+    a, b = dealt("key", a, b.unionByName(extra))
+    return align.unmatched(a, b.distinct(), "key")
 
 
 @report("""SELECT doc_id, sha256(text) AS sha256, len(string_split(text, chr(10))) - 1 AS rows, source || '__' || substr(sha1(lang || '/' || source || '.csv'), 1, 16) AS stub FROM documents""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators import align
 from rowloom.plans import similarity
+from rowloom.session import dealt
 
 TOKEN = re.compile(r"[A-Za-z0-9_./\-]{2,64}")
 
@@ -102,3 +103,31 @@ def test_fingerprint_tells_order_and_content(spark):
     base = [str(i) for i in range(40)]
     assert mark(base) == mark(list(base))
     assert len({mark(base), mark(base[::-1]), mark(base[:-1]), mark(base[:-1] + ["x"])}) == 4
+
+
+def test_cosine_of_pairs_moves_vectors_not_terms(spark):
+    texts = {1: "aa bb bb cc", 2: "bb cc dd", 3: "", 4: "zz", 5: "aa bb bb cc"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    asked = [(1, 2), (1, 5), (1, 3), (2, 4), (1, 9), (4, None), (5, 2), (5, 2)]
+    pairs = spark.createDataFrame(asked, "id_a long, id_b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = align.cosine(align.term_counts(docs, "id", "text"), pairs, "id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.id_a, r.id_b or 0, r.similarity) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "term#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+    def cos(i, j):
+        x, y = (Counter(TOKEN.findall(texts.get(k) or "")) for k in (i, j))
+        size = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return asked.count((i, j)) * sum(x[t] * y[t] for t in x) / size if size else 0.0
+
+    assert got == [(i, j or 0, pytest.approx(cos(i, j))) for i, j in sorted(asked, key=lambda p: (p[0], p[1] or 0))]
+
+
+def test_keys_are_dealt_by_rows(spark):
+    a, b = dealt("key", spark.range(10).toDF("key"), spark.range(31).toDF("key"), rows=8)
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 4
+    assert [r.key for r in align.unmatched(a, b.distinct(), "key").orderBy("key").collect()] == list(range(10, 31))
