@@ -437,6 +437,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     chosen = per_cls.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("one"))
     empty = signed.filter("cls IS NULL").select("doc.row", F.lit(False).alias("one")).distinct()
     chosen = hand_over(chosen.union(empty), "chosen")
+    discard(signed)
     rows = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(chosen, "row")
     once = rows.filter("one").groupBy("row").agg(F.first("doc").alias("doc"))
     out = once.select("doc").union(rows.filter("NOT one").select("doc"))

@@ -4,7 +4,7 @@ import collections
 import re
 
 import corpus_pipeline
-from rowloom.llm import language_crf, queries
+from rowloom.llm import handover, language_crf, line_rules, queries
 from rowloom.llm.handover import hand_over
 from tests.llm import test_line_rules, test_weighted_minhash
 from tests.llm.common import documents
@@ -60,3 +60,19 @@ def test_stages_agree_with_plain_python(spark, data):
     last = step("packing", fourth)
     assert {r.doc_id for r in last.collect()} == set(want)
     assert corpus_pipeline.run(spark, data).count() == last.count()
+
+
+def test_profiles_of_the_rules_hold_no_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "h", "a b"), (2, "h", " ".join(f"w{i}" for i in range(12))), (2, None, None)], "doc_id long, source string, text string")
+    kept, write = [], line_rules.hand_over
+    monkeypatch.setattr(line_rules, "hand_over", lambda df, label: kept.append(df) or write(df, label))
+    assert [(r.doc_id, r.source) for r in line_rules.accepted(docs).collect()] == [(2, "h")]
+    assert [df.schema["doc"].dataType.simpleString() for df in kept] == ["binary"]
+
+
+def test_handing_over_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    shuffles = lambda: {x for x in files().splitlines() if "shuffle_" in x}
+    before, kept = shuffles(), spark.conf.get(handover.CLEANUP)
+    out = handover.hand_over(spark.range(1000).repartition("id").groupBy("id").count(), "sums")
+    assert shuffles() <= before and out.count() == 1000 and spark.conf.get(handover.CLEANUP) == kept
