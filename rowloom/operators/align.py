@@ -15,7 +15,7 @@ from rowloom.functions import naming, text
 from rowloom.plans.matching import MATCH_SCHEMA, bin_count, greedy_match, one_round
 from rowloom.plans.ranking import number_rows
 from rowloom.plans.similarity import band_thresholds, best_partners, cosine_pairs, term_suffixes
-from rowloom.session import fresh, pin
+from rowloom.session import fresh, pin, small_side
 
 # Fixed values.
 SAME_MESSAGE = "✅ Content identical (SHA256 match)."
@@ -29,6 +29,8 @@ TERM_CHARS = 4  # characters a term row stands for at least
 BAND_ROWS = 2_000_000  # candidate rows of a bucket in a band
 ID_BLOCK = 100_000
 PAIR_ROWS = 512  # pairs of vectors multiplied at once
+TASK_CHARS = 4_000_000  # characters whose terms a task counts
+PIECE = r"(?s).{65536}[^\n]*+|.++"  # a text in pieces that end with a line, which no term crosses
 
 
 def fingerprint(content: Column) -> Column:
@@ -243,23 +245,33 @@ def match_cosine(
     return similar.unionByName(unlike)
 
 
+def _dealt_terms(files: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """``keys, term, tf`` of texts ``(keys, content)`` of any length: their pieces are dealt to ``tasks`` tasks, and so are their terms."""
+    pieces = files.select(*keys, F.posexplode(F.regexp_extract_all("content", F.lit(PIECE), F.lit(0))).alias("piece", "part"))
+    found = pieces.repartition(tasks, *keys, "piece").select(*keys, "piece", F.explode(text.tokens(F.col("part"))).alias("term"))
+    found = found.groupBy(*keys, "piece", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return found.repartition(tasks, *keys, "term").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+
+
 def _match_large(files: DataFrame, band_rows: int) -> DataFrame:
     """Bands of falling cosine, each bucket at its own pace; a band sees only files that are still free.
 
+    ``files`` is pinned, or rows of a pinned table. Of files with equal texts one is read.
+
     Where no band fits ``band_rows`` candidates, the two best partners of every
     class are worked out block against block and the mutually best pairs are
     settled; with fewer files left the next band may fit again. No band compares
     all pairs of a bucket, and no more rows than a few a class leave a block.
     """
-    rows = pin(files.select("side", "bucket", F.col("sha256").alias("cls"), F.col("artifact_id").alias("row_id")))
-    one = files.groupBy("side", "bucket", F.col("sha256").alias("cls")).agg(F.any_value("content").alias("content"))
-    terms = (
-        one.select("side", "bucket", "cls", F.explode(text.tokens(F.col("content"))).alias("term"))
-        .groupBy("side", "bucket", "cls", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    norms = terms.groupBy("side", "bucket", "cls").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    terms = pin(terms.join(norms, ["side", "bucket", "cls"]))
+    cls = ["side", "bucket", "cls"]
+    files = files.withColumnRenamed("sha256", "cls").withColumn("at", F.monotonically_increasing_id())
+    rows = pin(files.select(*cls, F.col("artifact_id").alias("row_id"), "at", F.length("content").alias("chars")))
+    one = pin(rows.groupBy(*cls).agg(F.min_by(F.struct("at", "chars"), "at").alias("one")).select("one.*"))
+    tasks = max(1, -(-one.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0] // TASK_CHARS))
+    rows = rows.drop("at", "chars")
+    terms = pin(_dealt_terms(files.join(small_side(one.select("at")), "at", "left_semi"), cls, tasks))
+    norms = pin(terms.groupBy(*cls).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")))
+    terms = pin(terms.join(small_side(norms), cls))
     state = pin(rows.select("bucket").distinct().withColumn("threshold", F.lit(2.0)))
     out = None
     while True:

@@ -131,3 +131,26 @@ def test_keys_are_dealt_by_rows(spark):
     a, b = dealt("key", spark.range(10).toDF("key"), spark.range(31).toDF("key"), rows=8)
     assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 4
     assert [r.key for r in align.unmatched(a, b.distinct(), "key").orderBy("key").collect()] == list(range(10, 31))
+
+
+def test_terms_of_a_large_file_are_counted_by_many_tasks(spark):
+    lines = "\n".join(f"row{i % 9000} cell{i % 7}\r \u00e9 {'x' * (i % 70)}" for i in range(12000))
+    files = [("one", lines), ("two", "no line end " * 9000 + "\u212aelvin"), ("three", None), ("four", ""), ("five", "\n" * 70000 + "ab")]
+    df = spark.createDataFrame([("n", *f) for f in files], "bucket string, cls string, content string")
+    found = align._dealt_terms(df, ["bucket", "cls"], 4).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in found if r.cls == "one"}) == 4
+    plain = {(r.cls, r.term): r.tf for r in align.term_counts(df, "cls", "content").collect()}
+    assert {(r.cls, r.term): r.tf for r in found} == plain
+    assert len(found) == len(plain) > 9000
+
+
+def test_large_copies_and_pieces_match_as_whole_texts(spark):
+    def text_of(i):
+        return "\n".join(f"row{j * (i % 3 + 1)} of{i % 3} {j}" for j in range(6000))
+
+    a = [(i, "k", f"s{i % 3}", text_of(i)) for i in range(4)]
+    b = [(i + 10, "k", f"t{i}", text_of(i) + f"\nlast{i}") for i in range(3)]
+    frame = lambda x: spark.createDataFrame(x, "artifact_id long, bucket string, sha256 string, content string")
+    got = align.match_cosine(frame(a), frame(b), small_files=0).collect()
+    want = brute([(i, k, t) for i, k, _, t in a], [(i, k, t) for i, k, _, t in b])
+    assert sorted((r.id_a, r.id_b) for r in got) == sorted(x[:2] for x in want)
