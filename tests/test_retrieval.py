@@ -1,8 +1,10 @@
 """Retrieval against plain loops."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,26 @@ def test_embedding_function_gets_bounded_batches(spark):
     assert sorted(r.v[0] for r in got) == [float(i) for i in range(100)]
 
 
+def test_texts_of_a_batch_are_held_a_few_at_a_time():
+    part = pa.array(["\u0436" * 10_000] * 2000 + [None])
+    tracemalloc.start()
+    (got,) = vectors.in_steps(iter([part]), lambda texts: [[float(len(t or ""))] for t in texts], vectors.TEXTS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [[10_000.0]] * 2000 + [[0.0]]
+    assert peak < 2000 * 20_000 / 4
+
+
+def test_probes_of_many_cells_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PROBE_ROWS", 7)
+    monkeypatch.setattr(retrieval, "STEP_ROWS", 3)
+    d, q, want = frames(spark, 300, 20)
+    index = retrieval.vector_index(d, cell_rows=10)
+    probes = retrieval._probes(q.selectExpr("query_id query_key", "embedding qv", "cast(null as double) bar"), index, 10, True)
+    first = retrieval._probes(q.selectExpr("query_id query_key", "embedding qv"), index, 10, False)
+    assert probes.unionByName(first).select("query_key", "cell").distinct().count() == probes.count() + first.count() == 20 * int((index.size > 0).sum())
+
+
 def test_context_stops_at_first_overflow(spark):
     rows = [("q", 0, "a" * 10), ("q", 1, "b" * 30), ("q", 2, "c" * 5), ("r", 0, "d" * 99)]
     df = spark.createDataFrame(rows, "query_id string, rank int, block string")
