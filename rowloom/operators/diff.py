@@ -16,7 +16,7 @@ from rowloom.plans.matching import greedy_match
 from rowloom.plans.ranking import number_rows, running_max, top_rows
 from rowloom.plans.rising import longest_rising
 from rowloom.plans.similarity import jaccard_pairs, token_classes
-from rowloom.session import pin
+from rowloom.session import pin, small_side
 
 ROW_BLOCK = 100_000
 
@@ -57,7 +57,7 @@ def diff_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     block; where equal rows keep their order no row has moved and the blocks are
     those of an ordered diff.
     """
-    tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", "hash")
+    tag = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "row_idx", F.unhex("hash").alias("hash"))
     return _blocks(pin(tag(a, "a").unionByName(tag(b, "b"))))
 
 
@@ -74,16 +74,25 @@ def _anchors(pairs: DataFrame) -> DataFrame:
 
 def _blocks(hashes: DataFrame) -> DataFrame:
     place = F.expr(f"row_idx div {ROW_BLOCK}")
-    counts = hashes.groupBy("pair_id", "hash").agg(
-        F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")
+    at = lambda s: F.when(F.col("side") == s, F.col("row_idx"))
+    shared = (
+        hashes.filter("pair_id IS NOT NULL AND hash IS NOT NULL").groupBy("pair_id", "hash")
+        .agg(
+            F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"),
+            F.max(at("a")).alias("row_a"), F.max(at("b")).alias("row_b"),
+        )
+        .filter("n_a > 0 AND n_b > 0")
     )
-    shared = pin(hashes.join(counts.filter("n_a > 0 AND n_b > 0"), ["pair_id", "hash"]))
-    # copies are told apart by their number; a row that occurs once a side needs none
+    # a row that occurs once a side is paired as it is counted, and its hash not needed again; copies are told apart by their number
     once = (F.col("n_a") == 1) & (F.col("n_b") == 1)
-    copies = number_rows(shared.filter(~once), ["pair_id", "side", "hash"], ["row_idx"], number="k", block=place)
-    named = shared.filter(once).withColumn("k", F.lit(1).cast("long")).unionByName(copies)
-    side = lambda s, name: named.filter(F.col("side") == s).select("pair_id", "hash", "k", F.col("row_idx").alias(name))
-    pairs = pin(side("a", "row_a").join(side("b", "row_b"), ["pair_id", "hash", "k"]).select("pair_id", "row_a", "row_b"))
+    shared = pin(shared.select("pair_id", F.when(~once, F.col("hash")).alias("hash"), "row_a", "row_b"))
+    pairs = shared.filter("hash IS NULL").select("pair_id", "row_a", "row_b")
+    several = shared.filter("hash IS NOT NULL").select("pair_id", "hash")
+    if not several.isEmpty():
+        copies = pin(hashes.join(small_side(several), ["pair_id", "hash"]))
+        copies = number_rows(copies, ["pair_id", "side", "hash"], ["row_idx"], number="k", block=place)
+        side = lambda s, name: copies.filter(F.col("side") == s).select("pair_id", "hash", "k", F.col("row_idx").alias(name))
+        pairs = pin(pairs.unionByName(side("a", "row_a").join(side("b", "row_b"), ["pair_id", "hash", "k"]).select("pair_id", "row_a", "row_b")))
     anchors = _anchors(pairs)
     marks = anchors.select("pair_id", F.lit("a").alias("side"), F.col("row_a").alias("row_idx"), "moved").unionByName(
         anchors.select("pair_id", F.lit("b").alias("side"), F.col("row_b").alias("row_idx"), "moved")
@@ -165,7 +174,7 @@ def diff(
     pair of tables with moved rows, what is left over by similarity pairing is
     paired once more over the whole tables.
     """
-    tag = lambda df, s: normalised(df, ignore_case, trim_ws).select("pair_id", F.lit(s).alias("side"), "row_idx", "norm", "hash")
+    tag = lambda df, s: normalised(df, ignore_case, trim_ws).select("pair_id", F.lit(s).alias("side"), "row_idx", "norm", F.unhex("hash").alias("hash"))
     both = pin(tag(a, "a").unionByName(tag(b, "b")))
     blocks = pin(_blocks(both.select("pair_id", "side", "row_idx", "hash")))
     open_rows = pin(both.drop("hash").join(blocks.filter(~F.col("equal")).drop("equal", "moved"), ["pair_id", "side", "row_idx"]))

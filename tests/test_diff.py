@@ -125,6 +125,22 @@ def test_anchors_are_a_longest_rising_run_over_block_cuts(spark, monkeypatch):
             assert got[side, at] == (block, i not in stay)
 
 
+def test_rows_that_occur_once_are_paired_without_a_join(spark, monkeypatch):
+    a = [["same", str(i)] for i in range(5)] + [["copy"], ["copy"], ["old"]]
+    b = [["same", str(i)] for i in range(5)] + [["copy"], ["new"]]
+    seen = []
+    numbered = diff.number_rows
+    monkeypatch.setattr(diff, "number_rows", lambda df, keys, *x, **kw: (seen.append((keys, df.count())), numbered(df, keys, *x, **kw))[1])
+    assert counts(spark, a, b) == (6, 0, 2, 1, 0)
+    assert [n for keys, n in seen if "hash" in keys] == [3]
+    seen.clear()
+    assert counts(spark, a[:5], b[:5]) == (5, 0, 0, 0, 0)
+    assert not [n for keys, n in seen if "hash" in keys]
+    mixed = [(None, 0, ["x"]), ("p", 0, ["x"]), ("p", 1, None)]
+    frame = spark.createDataFrame(mixed, SCHEMA)
+    assert [(r.pair_id, r.equal) for r in diff.diff(frame, frame)[1].filter("equal > 0").collect()] == [("p", 1)]
+
+
 def test_head_moved_to_the_end(spark):
     """One row has moved, the others stay anchors, so that changed rows meet in their own blocks."""
     t = [[f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}"] for i in range(13)]
